@@ -50,18 +50,19 @@ def _docs(spark, sf_dir):
     return X.inv_docs(spark, sf_dir)
 
 
-def _digested(spark, sf_dir, mode="accurate"):
+def _digested(spark, sf_dir, mode="accurate", checkpoint=False):
     kw = {"chunk": FAST_CHUNK, "threshold": FAST_THRESHOLD} if mode == "fast" else {}
-    return D.digest_candidates(_docs(spark, sf_dir), mode=mode, **kw)
+    return D.digest_candidates(_docs(spark, sf_dir), mode=mode, checkpoint=checkpoint, **kw)
 
 
 def _members(spark, sf_dir):
-    return D.group_members(_digested(spark, sf_dir))
+    # digests feed both the group aggregate and the join back: hash once
+    return D.group_members(_digested(spark, sf_dir, checkpoint=True))
 
 
 def _marked(spark, sf_dir):
     docs = _docs(spark, sf_dir)
-    return D.mark_inventory(docs, D.digest_candidates(docs))
+    return D.mark_inventory(docs, D.digest_candidates(docs, checkpoint=True))
 
 
 # ---- F: duplicates -------------------------------------------------------------------------------

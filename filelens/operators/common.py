@@ -9,10 +9,20 @@ from pyspark.sql import functions as F
 def attach_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Adds the columns of a global aggregate (exactly one row) to every row of ``df``.
 
-    The right side is the result of an aggregate without grouping keys, so its size is
-    proven to be one row; it is broadcast and joined on a constant key (no pairing of
-    two data-sized inputs).
+    The one-row frame becomes a scalar subquery (computed once, no join), so nothing
+    data-sized is paired or broadcast.
     """
-    key = "__one_row_key"
-    right = one_row.withColumn(key, F.lit(1))
-    return df.withColumn(key, F.lit(1)).join(F.broadcast(right), key, "inner").drop(key)
+    packed = one_row.select(F.struct(*one_row.columns).alias("__row")).scalar()
+    out = df
+    for c in one_row.columns:
+        out = out.withColumn(c, packed.getField(c))
+    return out
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint into the session's ``spark.checkpoint.dir`` (a shared folder on a
+    cluster). Cuts lineage, so a result used twice is computed once and a lost executor
+    does not force a recompute from the source."""
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..schema import HASH_LIMIT, PARTIAL_CHUNK, PARTIAL_THRESHOLD, PRIMARY_MARKER
+from .common import materialize
 
 
 def hash_eligible(inv: DataFrame) -> DataFrame:
@@ -52,22 +53,28 @@ def fast_digest(df: DataFrame, content_col: str = "content", chunk: int = PARTIA
 
 def digest_candidates(inv: DataFrame, mode: str = "accurate", content_col: str = "content",
                       chunk: int = PARTIAL_CHUNK, threshold: int = PARTIAL_THRESHOLD,
-                      digests: DataFrame | None = None) -> DataFrame:
+                      digests: DataFrame | None = None, checkpoint: bool = False) -> DataFrame:
     """Candidates with a ``hash`` column.
 
     mode: ``accurate`` (size pre-filter + full MD5), ``full`` (no pre-filter, F4),
     ``fast`` (pre-filter + partial MD5 from ``threshold`` up, F5).
     ``digests`` (full_path, hash) replaces the content column for real files (A8 output).
+    Returns (full_path, size, created, hash). ``checkpoint=True`` writes it to the
+    checkpoint folder so that callers using it twice (groups + members) hash once.
     """
     cands = hash_eligible(inv) if mode == "full" else hash_candidates(inv)
+    keep = ["full_path", "size", "created", "hash"]
     if digests is not None:
-        cands = cands.join(digests.select("full_path", "hash"), "full_path", "inner")
-    elif mode == "fast":
-        cands = fast_digest(cands, content_col, chunk, threshold)
+        # Unreadable files get an empty digest and take no part in grouping.
+        out = cands.join(digests.select("full_path", "hash"), "full_path", "inner").where(F.col("hash") != "")
     else:
-        cands = content_digest(cands, content_col)
-    # Unreadable files get an empty digest and take no part in grouping.
-    return cands.where(F.col("hash") != "")
+        # No filter on the digest here: Catalyst would push it below the size semi join and
+        # hash every eligible row. Rows without content are dropped before hashing instead.
+        cands = cands.where(F.col(content_col).isNotNull())
+        out = (fast_digest(cands, content_col, chunk, threshold) if mode == "fast"
+               else content_digest(cands, content_col))
+    out = out.select(*keep)
+    return materialize(out) if checkpoint else out
 
 
 def group_stats(digested: DataFrame) -> DataFrame:

@@ -28,6 +28,7 @@ from ..functions import columns as C
 from ..operators.hierarchy import relative_directory
 from ..operators.ranking import rank_within
 from ..schema import STAGING_FOLDER
+from ..session import ensure_checkpoint_dir
 
 # A counter suffix as the reference writes it: "_" + a positive integer without leading zeros.
 _COUNTER = r"^(.*)_([1-9][0-9]{0,17})$"
@@ -97,6 +98,10 @@ def assign_targets(files: DataFrame, existing: DataFrame | None = None, action:
                         .select("tdir_l", "name_l"))
     related = has_child.unionByName(child_of_present).distinct().withColumn("related", F.lit(True))
     f = f.join(related, ["tdir_l", "name_l"], "left").withColumn("related", F.coalesce("related", F.lit(False)))
+    # Both branches below read the keyed batch; a reliable checkpoint computes it once
+    # (and keeps lineage short when a lost executor forces a recompute).
+    ensure_checkpoint_dir(spark)
+    f = f.checkpoint(eager=True)
 
     if existing is None:
         existing = spark.createDataFrame([], "full_path string")
