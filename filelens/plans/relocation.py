@@ -38,23 +38,22 @@ PLAN_SCHEMA = "source string, target string, action string, size bigint"
 
 
 def _keyed(df: DataFrame) -> DataFrame:
-    """Lower-case keys of a (target_dir, name) frame."""
-    stem_l = F.lower(C.stem_of("name"))
-    ext_l = F.lower(C.raw_extension("name"))
-    return (df.withColumn("tdir_l", F.lower(F.col("target_dir")))
+    """Name parts and lower-case keys of a (target_dir, name) frame.
+
+    ``parent_l``/``counter``: for a name ``s_k.e`` the name ``s.e`` it is a candidate of, and k.
+    """
+    stem_l = F.lower(F.col("stem"))
+    return (df.withColumn("ext", C.raw_extension("name"))
+              .withColumn("stem", F.regexp_extract("name", r"^(.*?)(\.[^.]+)?$", 1))
+              .withColumn("tdir_l", F.lower(F.col("target_dir")))
               .withColumn("name_l", F.lower(F.col("name")))
+              .withColumn("ext_l", F.lower(F.col("ext")))
               .withColumn("stem_l", stem_l)
-              .withColumn("ext_l", ext_l)
-              .withColumn("root_l", F.regexp_extract(stem_l, _ROOT, 1)))
-
-
-def _parent_name(stem_l, ext_l):
-    """Name whose candidate this one is (``s_k.e`` → ``s.e``), else null."""
-    return F.when(stem_l.rlike(_COUNTER), F.concat(F.regexp_extract(stem_l, _COUNTER, 1), ext_l))
-
-
-def _counter(stem_l):
-    return F.when(stem_l.rlike(_COUNTER), F.regexp_extract(stem_l, _COUNTER, 2).cast("long"))
+              .withColumn("root_l", F.regexp_extract(stem_l, _ROOT, 1))
+              .withColumn("counter", F.regexp_extract(stem_l, _COUNTER, 2))
+              .withColumn("parent_l", F.when(F.col("counter") != "",
+                                             F.concat(F.regexp_extract(stem_l, _COUNTER, 1), F.col("ext_l"))))
+              .withColumn("counter", F.when(F.col("counter") != "", F.col("counter").cast("long"))))
 
 
 def _target(tdir, stem, ext, idx):
@@ -87,33 +86,29 @@ def assign_targets(files: DataFrame, existing: DataFrame | None = None, action:
     Returns (source, target, action, size).
     """
     spark = files.sparkSession
-    f = _keyed(files.select("full_path", "name", "size", "target_dir")
-               .withColumn("stem", C.stem_of("name")).withColumn("ext", C.raw_extension("name")))
-    names = f.select("tdir_l", "name_l", "stem_l", "ext_l").distinct()
-    parents = (names.select("tdir_l", _parent_name(F.col("stem_l"), F.col("ext_l")).alias("name_l"))
-               .where(F.col("name_l").isNotNull()).distinct())
-    has_child = names.join(parents, ["tdir_l", "name_l"], "left_semi").select("tdir_l", "name_l")
-    child_of_present = (names.withColumn("p", _parent_name(F.col("stem_l"), F.col("ext_l")))
-                        .join(names.select("tdir_l", F.col("name_l").alias("p")), ["tdir_l", "p"], "left_semi")
-                        .select("tdir_l", "name_l"))
-    related = has_child.unionByName(child_of_present).distinct().withColumn("related", F.lit(True))
-    f = f.join(related, ["tdir_l", "name_l"], "left").withColumn("related", F.coalesce("related", F.lit(False)))
-    # Both branches below read the keyed batch; a reliable checkpoint computes it once
-    # (and keeps lineage short when a lost executor forces a recompute).
     ensure_checkpoint_dir(spark)
-    f = f.checkpoint(eager=True)
+    # The keyed batch is read by several branches below; a reliable checkpoint computes it once
+    # (and keeps lineage and generated code short when a lost executor forces a recompute).
+    f = _keyed(files.select("full_path", "name", "size", "target_dir")).checkpoint(eager=True)
+    names = f.select("tdir_l", "name_l", "parent_l").distinct()
+    # a name is related when its parent name or one of its children is in the batch
+    has_child = names.join(names.select("tdir_l", F.col("parent_l").alias("name_l")).where(F.col("name_l").isNotNull()),
+                           ["tdir_l", "name_l"], "left_semi").select("tdir_l", "name_l")
+    has_parent = names.join(names.select("tdir_l", F.col("name_l").alias("parent_l")), ["tdir_l", "parent_l"],
+                            "left_semi").select("tdir_l", "name_l")
+    related = has_child.unionByName(has_parent).distinct().withColumn("related", F.lit(True))
+    f = f.join(related, ["tdir_l", "name_l"], "left").withColumn("related", F.coalesce("related", F.lit(False)))
 
     if existing is None:
         existing = spark.createDataFrame([], "full_path string")
-    ex = (existing.select(C.parent_directory("full_path").alias("target_dir"),
-                          C.file_name("full_path").alias("name")))
-    ex = _keyed(ex)
+    # existing names feed the blocked indexes and the exact replay: computed once as well
+    ex = _keyed(existing.select(C.parent_directory("full_path").alias("target_dir"),
+                                C.file_name("full_path").alias("name"))).checkpoint(eager=True)
 
     # -- isolated names: rank + blocked candidate indexes --------------------------------------
     iso = f.where(~F.col("related"))
     blocked = (ex.select("tdir_l", "name_l", F.lit(0).cast("long").alias("idx"))
-               .unionByName(ex.select("tdir_l", _parent_name(F.col("stem_l"), F.col("ext_l")).alias("name_l"),
-                                      _counter(F.col("stem_l")).alias("idx"))
+               .unionByName(ex.select("tdir_l", F.col("parent_l").alias("name_l"), F.col("counter").alias("idx"))
                             .where(F.col("name_l").isNotNull()))
                .distinct()
                .groupBy("tdir_l", "name_l").agg(F.array_sort(F.collect_list("idx")).alias("blocked")))
