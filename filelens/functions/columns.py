@@ -50,19 +50,31 @@ def format_bytes(size) -> Column:
     return out
 
 
+# Path parts use anchored patterns (one pass, no retry at every start position) and read
+# their input once, so derived columns stay small when Catalyst inlines them into filters.
+_NAME_RE = r"^(?:.*[/\\])?([^/\\]*)$"
+_DIR_RE = r"^(.*)[/\\]"
+_EXT_RE = r"^.*(\.[^.]+)$"
+
+
 def file_name(path) -> Column:
     """Last path segment (after the last / or \\)."""
-    return F.regexp_extract(_c(path), r"([^/\\]*)$", 1)
+    return F.regexp_extract(_c(path), _NAME_RE, 1)
 
 
 def parent_directory(path) -> Column:
     """Everything before the last separator ('' when there is none)."""
-    return F.regexp_extract(_c(path), r"^(.*)[/\\][^/\\]*$", 1)
+    return F.regexp_extract(_c(path), _DIR_RE, 1)
+
+
+def raw_extension(name) -> Column:
+    """From the last dot of the name, including it, case kept; '' for no dot or a trailing dot."""
+    return F.regexp_extract(_c(name), _EXT_RE, 1)
 
 
 def extension_of(name) -> Column:
     """From the last dot including it, lower case; '' when there is no dot."""
-    return F.lower(F.regexp_extract(_c(name), r"(\.[^.]+)$", 1))
+    return F.lower(raw_extension(name))
 
 
 def extension_key(ext) -> Column:
@@ -83,11 +95,6 @@ def stem_of(name) -> Column:
     return F.left(n, F.length(n) - F.length(raw_extension(n)))
 
 
-def raw_extension(name) -> Column:
-    """Extension with the case of the file name (used to build target names)."""
-    return F.regexp_extract(_c(name), r"(\.[^.]+)$", 1)
-
-
 def safe_file_name(name) -> Column:
     """Split on characters not allowed in names, drop empty pieces, join with '_'."""
     parts = F.split(_c(name), INVALID_NAME_CHARS)

@@ -44,7 +44,7 @@ def _keyed(df: DataFrame) -> DataFrame:
     """
     stem_l = F.lower(F.col("stem"))
     return (df.withColumn("ext", C.raw_extension("name"))
-              .withColumn("stem", F.regexp_extract("name", r"^(.*?)(\.[^.]+)?$", 1))
+              .withColumn("stem", F.left(F.col("name"), F.length("name") - F.length("ext")))
               .withColumn("tdir_l", F.lower(F.col("target_dir")))
               .withColumn("name_l", F.lower(F.col("name")))
               .withColumn("ext_l", F.lower(F.col("ext")))
