@@ -77,6 +77,23 @@ def digest_candidates(inv: DataFrame, mode: str = "accurate", content_col: str =
     return materialize(out) if checkpoint else out
 
 
+def verify_groups(fast_digested: DataFrame, inv: DataFrame, content_col: str = "content",
+                  digests: DataFrame | None = None) -> DataFrame:
+    """F5 ``verify``: re-hash fully only the members of groups found with partial digests.
+
+    Returns digested rows (full_path, size, created, hash) with full digests for those
+    members, so ``duplicate_groups`` on it has no false positives.
+    """
+    suspects = group_stats(fast_digested).select("size", "hash")
+    members = fast_digested.join(suspects, ["size", "hash"], "left_semi").select("full_path")
+    rows = inv.join(members, "full_path", "left_semi")
+    if digests is not None:
+        out = rows.join(digests.select("full_path", "hash"), "full_path", "inner").where(F.col("hash") != "")
+    else:
+        out = content_digest(rows.where(F.col(content_col).isNotNull()), content_col)
+    return out.select("full_path", "size", "created", "hash")
+
+
 def group_stats(digested: DataFrame) -> DataFrame:
     """one row per duplicate group with its primary (oldest created, then path)."""
     return (digested.groupBy("size", "hash")

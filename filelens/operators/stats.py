@@ -29,18 +29,27 @@ SIZE_BUCKETS = [
 ]
 
 
-def totals(inv: DataFrame) -> DataFrame:
-    """Files, bytes, empty files, distinct parent directories, truncated average."""
+def totals(inv: DataFrame, approx_directories: bool = False) -> DataFrame:
+    """Files, bytes, empty files, distinct parent directories, truncated average.
+
+    ``approx_directories`` counts directories with HyperLogLog++ (no distinct shuffle).
+    """
+    dirs = F.approx_count_distinct("directory") if approx_directories else F.count_distinct("directory")
     return inv.agg(
         F.count(F.lit(1)).alias("total_files"),
         F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("total_size"),
         F.count_if(F.col("size") == 0).alias("empty_files"),
-        F.count_distinct("directory").alias("total_directories"),
+        dirs.alias("total_directories"),
     ).withColumn(
         "average_size",
         F.when(F.col("total_files") > 0, F.expr("total_size div total_files")).otherwise(F.lit(0)).cast("long"))
 
 
+def median_size_approx(inv: DataFrame, accuracy: int = 10000) -> DataFrame:
+    """E4 by option: ``percentile_approx`` (one partial/final aggregate, bounded memory)."""
+    return inv.agg(F.coalesce(F.percentile_approx("size", 0.5, accuracy), F.lit(0)).cast("long").alias("median_size"))
+
+
 def median_size(inv: DataFrame, shift: int = 20) -> DataFrame:
     """Exact median of ``size`` (even count: integer mean of the two middle values; 0 if empty).
 

@@ -121,6 +121,8 @@ def assign_targets(files: DataFrame, existing: DataFrame | None = None, action:
                          "size")
 
     # -- related names: exact replay per (folder, root, extension) --------------------------------
+    if f.where(F.col("related")).limit(1).count() == 0:  # cheap probe of the checkpointed batch
+        return fast.withColumn("action", F.lit(action)).select("source", "target", "action", "size")
     rel = f.where(F.col("related")).select("tdir_l", "root_l", "ext_l", "full_path", "name", "stem", "ext",
                                             "size", "target_dir")
     ex_rel = ex.join(rel.select("tdir_l", "root_l", "ext_l").distinct(), ["tdir_l", "root_l", "ext_l"],

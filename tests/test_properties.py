@@ -83,3 +83,19 @@ def test_plan_targets_unique_and_free(spark):
     targets = [r["target"].lower() for r in plan.collect()]
     assert len(targets) == len(set(targets))
     assert not set(targets) & existing
+
+
+def test_fast_mode_verify_removes_false_positives(spark):
+    docs = X.inv_docs(spark, SF)
+    fast = D.digest_candidates(docs, "fast", chunk=8, threshold=64)
+    verified = D.verify_groups(fast, docs)
+    acc = D.duplicate_groups(D.digest_candidates(docs, "accurate"))
+    assert _groups(D.duplicate_groups(verified)) == _groups(acc)
+
+
+def test_approx_options(spark):
+    inv = X.inv_orders(spark, SF_SMALL)
+    exact = S.totals(inv).first()["total_directories"]
+    approx = S.totals(inv, approx_directories=True).first()["total_directories"]
+    assert abs(approx - exact) <= max(3, exact * 0.1)
+    assert S.median_size_approx(inv).first()[0] >= 0
