@@ -117,7 +117,8 @@ def q_primary_files(spark, sf_dir):
 
 @query("duplicate_with_primary")
 def q_duplicate_with_primary(spark, sf_dir):
-    return D.with_primary_record(_members(spark, sf_dir), _docs(spark, sf_dir)).select(
+    digested = _digested(spark, sf_dir, checkpoint=True)
+    return D.with_primary_record(D.group_members(digested), digested).select(
         "full_path", "primary_path", "primary_size", "primary_modified", "primary_created")
 
 

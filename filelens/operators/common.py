@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,9 +22,16 @@ def attach_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the session's ``spark.checkpoint.dir`` (a shared folder on a
-    cluster). Cuts lineage, so a result used twice is computed once and a lost executor
-    does not force a recompute from the source."""
+    """Writes ``df`` as Parquet into the session's ``spark.checkpoint.dir`` (a shared folder on a
+    cluster) and reads it back.
+
+    Cuts lineage: a result used twice is computed once, and a lost executor does not force a
+    recompute from the source. One pass (a reliable ``checkpoint()`` would compute the plan
+    twice unless cached), and the copy is columnar, so later reads prune columns.
+    """
     from ..session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/filelens-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)

@@ -63,7 +63,7 @@ def digest_candidates(inv: DataFrame, mode: str = "accurate", content_col: str =
     checkpoint folder so that callers using it twice (groups + members) hash once.
     """
     cands = hash_eligible(inv) if mode == "full" else hash_candidates(inv)
-    keep = ["full_path", "size", "created", "hash"]
+    keep = ["full_path", "size", "created", "hash"] + [c for c in ("modified",) if c in inv.columns]
     if digests is not None:
         # Unreadable files get an empty digest and take no part in grouping.
         out = cands.join(digests.select("full_path", "hash"), "full_path", "inner").where(F.col("hash") != "")
@@ -141,8 +141,9 @@ def mark_inventory(inv: DataFrame, digested: DataFrame) -> DataFrame:
     """
     members = group_members(digested).select(
         "full_path", "duplicate_group_id", "is_primary", "primary_file_path", "primary_path")
-    hashes = digested.select("full_path", F.col("hash").alias("_hash"))
-    out = inv.join(hashes, "full_path", "left").join(members, "full_path", "left")
+    # candidate-sized join first, then a single join with the whole inventory
+    hashed = digested.select("full_path", F.col("hash").alias("_hash")).join(members, "full_path", "left")
+    out = inv.join(hashed, "full_path", "left")
     return (out.withColumn("hash", F.coalesce(F.col("_hash"), F.lit("")))
                .withColumn("is_duplicate", F.col("duplicate_group_id").isNotNull())
                .withColumn("duplicate_group_id", F.coalesce(F.col("duplicate_group_id"), F.lit("")))
@@ -156,7 +157,11 @@ def removable_copies(members: DataFrame) -> DataFrame:
 
 
 def with_primary_record(members: DataFrame, inv: DataFrame) -> DataFrame:
-    """for each non-primary member, the record of its primary (self-join on the path)."""
+    """for each non-primary member, the record of its primary (self-join on the path).
+
+    ``inv`` may be the whole inventory or, cheaper, the digested candidates (primaries are
+    always candidates) when they carry the needed columns.
+    """
     prim = inv.select(F.col("full_path").alias("primary_path"),
                       F.col("size").alias("primary_size"),
                       F.col("modified").alias("primary_modified"),

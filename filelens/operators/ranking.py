@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from .common import materialize
 
 _ID_BITS = 33  # monotonically_increasing_id puts the partition index above bit 33
 
@@ -23,14 +23,13 @@ def rank_within(df: DataFrame, keys: list[str], order: list[str], out: str = "ra
                 partitions: int | None = None) -> DataFrame:
     """Adds ``out``: 0-based position of each row within ``keys`` ordered by ``order``."""
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = (df.repartitionByRange(n, *keys, *order)
                 .sortWithinPartitions(*keys, *order)
                 .withColumn("_mid", F.monotonically_increasing_id()))
-    # Reliable checkpoint (spark.checkpoint.dir): the ids must not change between the
-    # two uses below or when a lost executor's partition is recomputed.
-    ranged = ranged.checkpoint(eager=True)
+    # Written to the checkpoint folder: the ids must not change between the two uses
+    # below or when a lost executor's partition is recomputed.
+    ranged = materialize(ranged)
     ranged = ranged.withColumn("_pid", F.shiftright("_mid", _ID_BITS))
     stats = ranged.groupBy(*keys, "_pid").agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)

@@ -28,7 +28,7 @@ from ..functions import columns as C
 from ..operators.hierarchy import relative_directory
 from ..operators.ranking import rank_within
 from ..schema import STAGING_FOLDER
-from ..session import ensure_checkpoint_dir
+from ..operators.common import materialize
 
 # A counter suffix as the reference writes it: "_" + a positive integer without leading zeros.
 _COUNTER = r"^(.*)_([1-9][0-9]{0,17})$"
@@ -86,10 +86,9 @@ def assign_targets(files: DataFrame, existing: DataFrame | None = None, action:
     Returns (source, target, action, size).
     """
     spark = files.sparkSession
-    ensure_checkpoint_dir(spark)
-    # The keyed batch is read by several branches below; a reliable checkpoint computes it once
-    # (and keeps lineage and generated code short when a lost executor forces a recompute).
-    f = _keyed(files.select("full_path", "name", "size", "target_dir")).checkpoint(eager=True)
+    # The keyed batch is read by several branches below; written once to the checkpoint folder
+    # (lineage and generated code stay short, a lost executor does not recompute the source).
+    f = materialize(_keyed(files.select("full_path", "name", "size", "target_dir")))
     names = f.select("tdir_l", "name_l", "parent_l").distinct()
     # a name is related when its parent name or one of its children is in the batch
     has_child = names.join(names.select("tdir_l", F.col("parent_l").alias("name_l")).where(F.col("name_l").isNotNull()),
@@ -102,8 +101,8 @@ def assign_targets(files: DataFrame, existing: DataFrame | None = None, action:
     if existing is None:
         existing = spark.createDataFrame([], "full_path string")
     # existing names feed the blocked indexes and the exact replay: computed once as well
-    ex = _keyed(existing.select(C.parent_directory("full_path").alias("target_dir"),
-                                C.file_name("full_path").alias("name"))).checkpoint(eager=True)
+    ex = materialize(_keyed(existing.select(C.parent_directory("full_path").alias("target_dir"),
+                                            C.file_name("full_path").alias("name"))))
 
     # -- isolated names: rank + blocked candidate indexes --------------------------------------
     iso = f.where(~F.col("related"))
