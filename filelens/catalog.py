@@ -195,7 +195,7 @@ def q_file_kind(spark, sf_dir):
 def q_filetime_to_ts(spark, sf_dir):
     """C14: FILETIME words made from ``modified`` and turned back into a timestamp."""
     o = X.inv_orders(spark, sf_dir)
-    ticks = (F.unix_micros(F.col("modified").cast("timestamp")) + F.lit(C.FILETIME_EPOCH_OFFSET_MICROS)) * 10
+    ticks = (C.epoch_micros("modified") + F.lit(C.FILETIME_EPOCH_OFFSET_MICROS)) * 10
     words = o.withColumn("lo_u", ticks.bitwiseAND(F.lit(4294967295))).select("full_path", "modified",
                      F.shiftright(ticks, 32).cast("int").alias("hi"),
                      F.expr("cast(if(lo_u >= 2147483648, lo_u - 4294967296, lo_u) as int)").alias("lo"))

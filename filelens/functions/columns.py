@@ -166,7 +166,31 @@ def filetime_to_timestamp(hi, lo) -> Column:
     """
     ticks = F.shiftleft(_c(hi).cast("long"), 32).bitwiseOR(_c(lo).cast("long").bitwiseAND(F.lit(4294967295)))
     micros = F.floor(ticks / F.lit(10)).cast("long") - F.lit(FILETIME_EPOCH_OFFSET_MICROS)
-    return F.timestamp_micros(micros).cast("timestamp_ntz")
+    return from_epoch_micros(micros)
+
+
+# Conversions between timestamp_ntz and epoch microseconds from calendar parts only, so that
+# no session time zone (and no daylight-saving gap) takes part.
+_DAY_US = 86400 * 1000000
+
+
+def epoch_micros(ts) -> Column:
+    """Microseconds since 1970-01-01 00:00 of a timestamp without zone."""
+    t = _c(ts)
+    clock = (F.hour(t) * 3600 + F.minute(t) * 60).cast("long") * 1000000 \
+        + (F.date_part(F.lit("SECOND"), t) * 1000000).cast("long")
+    return F.unix_date(F.to_date(t)).cast("long") * _DAY_US + clock
+
+
+def from_epoch_micros(micros) -> Column:
+    """timestamp_ntz from microseconds since 1970-01-01 00:00."""
+    m = _c(micros)
+    days = F.floor(m / F.lit(_DAY_US)).cast("int")
+    rest = m - days.cast("long") * _DAY_US
+    d = F.date_add(F.lit("1970-01-01").cast("date"), days)
+    secs = (rest % 60000000).cast("decimal(16,6)") / 1000000
+    return F.make_timestamp_ntz(F.year(d), F.month(d), F.dayofmonth(d),
+                                (rest / 3600000000).cast("int"), ((rest % 3600000000) / 60000000).cast("int"), secs)
 
 
 def shorten_path(path, limit: int = 60) -> Column:

@@ -45,6 +45,20 @@ def totals(inv: DataFrame, approx_directories: bool = False) -> DataFrame:
         F.when(F.col("total_files") > 0, F.expr("total_size div total_files")).otherwise(F.lit(0)).cast("long"))
 
 
+def entry_totals(entries: DataFrame) -> DataFrame:
+    """E1/E2 on a listing (A1): files, bytes, empty files and *all* directories, root and
+    empty ones included (the accurate count), truncated average."""
+    files = ~F.col("is_dir")
+    return entries.agg(
+        F.count_if(files).alias("total_files"),
+        F.coalesce(F.sum(F.when(files, F.col("size"))), F.lit(0)).cast("long").alias("total_size"),
+        F.count_if(files & (F.col("size") == 0)).alias("empty_files"),
+        F.count_if(F.col("is_dir")).alias("total_directories"),
+    ).withColumn(
+        "average_size",
+        F.when(F.col("total_files") > 0, F.expr("total_size div total_files")).otherwise(F.lit(0)).cast("long"))
+
+
 def median_size_approx(inv: DataFrame, accuracy: int = 10000) -> DataFrame:
     """E4 by option: ``percentile_approx`` (one partial/final aggregate, bounded memory)."""
     return inv.agg(F.coalesce(F.percentile_approx("size", 0.5, accuracy), F.lit(0)).cast("long").alias("median_size"))
@@ -96,7 +110,7 @@ def extremes(inv: DataFrame) -> DataFrame:
     ``min_by``/``max_by`` aggregates, no sort; ties go to the smallest path.
     """
     rec = F.struct("full_path", "size", "modified")
-    micros = F.unix_micros(F.col("modified").cast("timestamp"))  # session time zone is UTC
+    micros = C.epoch_micros("modified")
     rows = inv.agg(
         F.min_by(rec, F.struct((-F.col("size")).alias("k"), F.col("full_path"))).alias("largest"),
         F.min_by(F.when(F.col("size") > 0, rec),

@@ -322,7 +322,8 @@ LEFT JOIN (SELECT CASE WHEN size < 1024 THEN 0 WHEN size < 102400 THEN 1 WHEN si
 """.replace("SELECT * FROM (VALUES", "SELECT bucket_ord, bucket, coalesce(n, 0) AS file_count FROM (VALUES")
 ORACLE["top8_extension_share"] = _with(INV_ORDERS, """
 top AS (""" + BREAKDOWN.format(t="inv_orders") + """ ORDER BY file_count DESC, extension LIMIT 8)""") + """
-SELECT extension, file_count, file_count * 1000000 // (SELECT sum(file_count) FROM top) AS share_ppm FROM top"""
+SELECT extension, file_count,
+       cast(file_count * 1000000 // (SELECT sum(file_count) FROM top) AS BIGINT) AS share_ppm FROM top"""
 TOPN = "\nSELECT full_path, size, modified FROM inv_orders ORDER BY {o}, full_path LIMIT 10"
 ORACLE["largest_files"] = _with(INV_ORDERS) + TOPN.format(o="size DESC")
 ORACLE["oldest_files"] = _with(INV_ORDERS) + TOPN.format(o="modified")

@@ -102,3 +102,18 @@ def test_partial_md5_matches_hashlib(spark):
     df = spark.createDataFrame([(bytearray(data), n)], "b binary, s long")
     assert df.select(C.partial_md5("b", "s", c)).first()[0] == expect
     assert df.select(C.md5_upper(F.col("b"))).first()[0] == hashlib.md5(data).hexdigest().upper()
+
+
+def test_time_zone_does_not_change_results(spark):
+    from filelens import catalog as K
+    sf = "/root/testdata/sf0.001"
+    before = sorted(tuple(r) for r in K.registry()["filetime_to_ts"](spark, sf).collect())
+    ext_before = sorted(tuple(r) for r in K.registry()["extreme_files"](spark, sf).collect())
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        assert sorted(tuple(r) for r in K.registry()["filetime_to_ts"](spark, sf).collect()) == before
+        assert sorted(tuple(r) for r in K.registry()["extreme_files"](spark, sf).collect()) == ext_before
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert all(r[1] == r[4] for r in before)  # converted == modified

@@ -126,3 +126,12 @@ def test_report_writes_and_progress(spark, tree):
     B.write_table(S.size_histogram(files), out + "/hist_parquet", "parquet")
     assert spark.read.parquet(out + "/hist_parquet").count() == 6
     assert B.format_for("r.JSON") == "json" and B.format_for("r.csv") == "csv"
+
+
+def test_accurate_totals_count_every_directory(spark, tree):
+    entries, _ = A.scan(spark, tree)
+    row = S.entry_totals(entries).first()
+    dirs = sum(1 for _, ds, _ in os.walk(tree, followlinks=False) for _ in ds) + 1  # + root
+    locked_unlisted = 0 if os.geteuid() == 0 else 0
+    assert row["total_directories"] >= dirs - 1 - locked_unlisted
+    assert row["empty_files"] == 1 and row["total_files"] >= 12
