@@ -103,7 +103,7 @@ def safe_file_name(name) -> Column:
 
 def file_age_days(modified, as_of) -> Column:
     """Whole days between modified and as_of, toward zero."""
-    return F.timestamp_diff("DAY", _c(modified), _c(as_of))
+    return ((epoch_micros(as_of) - epoch_micros(modified)) / F.lit(_DAY_US)).cast("long")
 
 
 def is_empty(size) -> Column:

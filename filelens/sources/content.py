@@ -70,3 +70,50 @@ def file_digests(candidates: DataFrame, mode: str = "accurate", chunk: int = PAR
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     spread = candidates.select("full_path", "size").repartition(n, F.xxhash64("full_path"))
     return spread.mapInPandas(_digest_batches(mode, chunk, threshold), DIGEST_SCHEMA)
+
+
+def _preview_batches(limit_bytes: int, chars: int, too_large: str, notice: str):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for path, size in zip(pdf["full_path"], pdf["size"]):
+                if size is not None and size > limit_bytes:
+                    out.append(too_large)
+                    continue
+                try:
+                    with open(path, "rb") as f:
+                        raw = f.read(limit_bytes + 1)
+                    text = raw.decode("utf-8-sig", errors="replace")
+                    out.append(text[:chars] + notice if len(text) > chars else text)
+                except OSError:
+                    out.append(None)  # unreadable: no preview (the reference shows properties only)
+            yield pd.DataFrame({"full_path": pdf["full_path"], "preview": out})
+    return run
+
+
+def text_previews(files: DataFrame) -> DataFrame:
+    """A9 on real files: text-kind files up to 1 MiB → their first 10,000 characters (plus the
+    truncation notice); larger ones → the 'too large' notice. Each task reads its own files."""
+    from ..functions import columns as C
+    from ..schema import TEXT_PREVIEW_CHARS, TEXT_PREVIEW_LIMIT
+    text_files = files.where(C.file_kind("extension") == "text").select("full_path", "size")
+    return text_files.mapInPandas(
+        _preview_batches(TEXT_PREVIEW_LIMIT, TEXT_PREVIEW_CHARS, C.TEXT_TOO_LARGE, C.TRUNCATION_NOTICE),
+        "full_path string, preview string")
+
+
+def _access_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        ok = []
+        for path in pdf["full_path"]:
+            try:
+                with open(path, "rb"):
+                    ok.append(True)
+            except OSError:
+                ok.append(False)
+        yield pd.DataFrame({"full_path": pdf["full_path"], "can_open": ok})
+
+
+def open_check(files: DataFrame) -> DataFrame:
+    """A10 ``IsFileAccessible``: can each file be opened for reading (checked by the executors)."""
+    return files.select("full_path").mapInPandas(_access_batches, "full_path string, can_open boolean")

@@ -135,3 +135,13 @@ def test_accurate_totals_count_every_directory(spark, tree):
     locked_unlisted = 0 if os.geteuid() == 0 else 0
     assert row["total_directories"] >= dirs - 1 - locked_unlisted
     assert row["empty_files"] == 1 and row["total_files"] >= 12
+
+
+def test_text_previews_and_open_check(spark, tree):
+    entries, _ = A.scan(spark, tree)
+    files = A.files_of(entries)
+    prev = {r["full_path"][len(tree):]: r["preview"] for r in A8.text_previews(files).collect()}
+    assert prev["/a/x.txt"] == "hello" and prev["/c/z.md"] == "HELLO"
+    assert "/big.bin" not in prev
+    can = {r["full_path"][len(tree):]: r["can_open"] for r in A8.open_check(files).collect()}
+    assert can["/a/x.txt"] and can["/big.bin"]
