@@ -3,10 +3,10 @@
     spark.dataSource.register(FileInventorySource)
     entries = spark.read.format("file_inventory").load("/mnt/share")
 
-One row per file and per directory (root included). The driver only lists the
-first levels to cut the tree into subtrees (``splitDepth``, ``targetPartitions``);
-each subtree is walked by a task on an executor, so the listing itself is
-distributed. Symbolic links to directories are listed but never entered.
+One row per file and per directory (root included). The driver only collects the
+directory names of the first ``splitDepth`` levels to cut the tree into subtrees
+(``targetPartitions``); executors list those first-level folders flat and walk
+each subtree, so no file record passes through the driver. Symbolic links to directories are listed but never entered.
 Entries that cannot be read are kept as rows with ``accessible = false`` and the
 reason in ``attributes``; ``scan`` returns them as a separate reject frame
 (path, reason) instead of dropping them silently.
@@ -87,8 +87,8 @@ def _list(d: str):
         return [], _record(d, None, True, False, _error(e))
 
 
-def _walk(top: str):
-    """Depth-first walk below one subtree root (the root row itself is listed by the caller)."""
+def _walk(top: str, recursive: bool = True):
+    """Entries below ``top`` (the row of ``top`` itself is listed by its parent)."""
     stack = [top]
     while stack:
         d = stack.pop()
@@ -99,22 +99,34 @@ def _walk(top: str):
         for ent in entries:
             rec, descend = _entry(ent)
             yield rec
-            if descend:
+            if descend and recursive:
                 stack.append(ent.path)
 
 
-class _Subtrees(InputPartition):
-    def __init__(self, roots: list[str]):
-        super().__init__(roots)
-        self.roots = roots
+def _subdirectories(d: str) -> list[str]:
+    """Sub-directory paths of one directory (links to directories are not entered)."""
+    entries, err = _list(d)
+    if err is not None:
+        return []
+    out = []
+    for ent in entries:
+        try:
+            if ent.is_dir(follow_symlinks=False) and not ent.is_symlink():
+                out.append(ent.path)
+        except OSError:
+            pass
+    return out
 
 
-class _ShallowEntries(InputPartition):
-    """Entries above the split depth, listed on the driver while splitting."""
+class _Listing(InputPartition):
+    """Directories to list on an executor: only their own entries (``recursive=False``) or
+    their whole subtrees."""
 
-    def __init__(self, rows: list[tuple]):
-        super().__init__(rows)
-        self.rows = rows
+    def __init__(self, dirs: list[str], recursive: bool, include_root: str | None = None):
+        super().__init__((tuple(dirs), recursive, include_root))
+        self.dirs = dirs
+        self.recursive = recursive
+        self.include_root = include_root
 
 
 class FileInventoryReader(DataSourceReader):
@@ -124,40 +136,42 @@ class FileInventoryReader(DataSourceReader):
         self.target = int(options.get("targetPartitions", "64"))
 
     def partitions(self):
-        # Breadth-first split of the first levels into subtree roots. Only the entries of the
-        # first ``split_depth`` levels pass through the driver.
-        shallow = [_record(self.root, os.stat(self.root, follow_symlinks=False), True, False, None)]
-        frontier = [self.root]
+        # Breadth-first over directory *names* of the first levels only: the driver keeps no
+        # file records. Directories above the split depth are listed flat by executors, the
+        # ones at the split depth are walked whole by executors.
+        shallow, frontier = [], [self.root]
         for _ in range(self.split_depth):
             if len(frontier) >= self.target:
                 break
             nxt = []
             for d in frontier:
-                entries, err = _list(d)
-                if err is not None:
-                    shallow.append(err)
-                for ent in entries:
-                    rec, descend = _entry(ent)
-                    shallow.append(rec)
-                    if descend:
-                        nxt.append(ent.path)
+                nxt.extend(_subdirectories(d))
+            shallow.extend(frontier)
             frontier = nxt
             if not frontier:
                 break
+        parts: list[InputPartition] = []
+        chunks = max(1, min(self.target, len(shallow)))
+        flat = [sorted(shallow)[i::chunks] for i in range(chunks)]
+        for i, group in enumerate(flat):
+            if group or i == 0:
+                parts.append(_Listing(group, False, self.root if i == 0 else None))
         n = max(1, min(self.target, len(frontier)))
-        buckets: list[list[str]] = [[] for _ in range(n)]
-        for i, d in enumerate(sorted(frontier)):
-            buckets[i % n].append(d)
-        parts: list[InputPartition] = [_ShallowEntries(shallow)]
-        parts += [_Subtrees(b) for b in buckets if b]
+        for i in range(n):
+            group = sorted(frontier)[i::n]
+            if group:
+                parts.append(_Listing(group, True))
         return parts
 
     def read(self, partition):
-        if isinstance(partition, _ShallowEntries):
-            yield from partition.rows
-            return
-        for top in partition.roots:
-            yield from _walk(top)
+        if partition.include_root is not None:
+            root = partition.include_root
+            try:
+                yield _record(root, os.stat(root, follow_symlinks=False), True, os.path.islink(root), None)
+            except OSError as e:
+                yield _record(root, None, True, False, _error(e))
+        for d in partition.dirs:
+            yield from _walk(d, partition.recursive)
 
 
 class FileInventorySource(DataSource):
