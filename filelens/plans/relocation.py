@@ -146,7 +146,7 @@ def copy_plan(files: DataFrame, destination: str, existing: DataFrame | None = N
 
 
 def staging_target_dir(root: str):
-    """K3 target folder: <root>/FileAnalysis_Staging/<directory relative to root>."""
+    """K3 target folder: <root>/<STAGING_FOLDER>/<directory relative to root>."""
     root = root.rstrip("/")
     rel = relative_directory(F.col("directory"), root)
     base = F.lit(f"{root}/{STAGING_FOLDER}")

@@ -44,5 +44,6 @@ TEXT_PREVIEW_LIMIT = 1024 * 1024        # text preview only up to this size
 IMAGE_PREVIEW_LIMIT = 10 * 1024 * 1024  # image preview only up to this size
 TEXT_PREVIEW_CHARS = 10000
 DISPLAY_LIMIT = 10000                   # rows shown in the grid
-STAGING_FOLDER = "FileAnalysis_Staging"
+STAGING_FOLDER = "FileAnalysis_Staging"       # staging folder below the scanned root
+EXPORT_PREFIX = "FileAnalysis_"               # stamped export name: prefix + yyyyMMdd_HHmmss
 PRIMARY_MARKER = "★ PRIMARY FILE"

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..schema import EXPORT_PREFIX
 
 FORMATS = ("csv", "parquet", "json")
 # Fixed values of the reference: export column titles, in order.
@@ -47,9 +48,9 @@ def format_for(path: str) -> str:
 
 
 def run_folder(base: str, run_id: str | None = None) -> str:
-    """Stamped output folder, e.g. <base>/FileAnalysis_20250101_120000."""
+    """Stamped output folder: <base>/<EXPORT_PREFIX><yyyyMMdd_HHmmss>."""
     stamp = run_id or _dt.datetime.now(_dt.timezone.utc).strftime("%Y%m%d_%H%M%S")
-    return f"{base.rstrip('/')}/FileAnalysis_{stamp}"
+    return f"{base.rstrip('/')}/{EXPORT_PREFIX}{stamp}"
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "csv", mode: str = "errorifexists") -> None:

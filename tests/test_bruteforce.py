@@ -76,3 +76,26 @@ def test_median_golden(spark):
     df = spark.createDataFrame([(1,), (2,), (4,), (9,)], "size long")
     assert median_size(df).first()[0] == 3
     assert median_size(df.where(F.col("size") < 9)).first()[0] == 2
+
+
+def test_duplicates_with_a_hot_group(spark):
+    """A third of all rows share one content: results stay exact and no window sorts the group."""
+    from filelens.operators import duplicates as D
+    rng = random.Random(1)
+    rows = []
+    for i in range(3000):
+        text = "same content" if i % 3 == 0 else f"text {rng.randint(0, 400)}"
+        rows.append((f"/d{i % 17}/f{i:05d}.txt", len(text.encode()), text, i))
+    df = spark.createDataFrame(rows, "full_path string, size long, content string, k long") \
+        .withColumn("created", F.expr("timestampadd(SECOND, cast(k as int), timestamp_ntz'2024-01-01 00:00:00')"))
+    members = D.group_members(D.digest_candidates(df))
+    plan = members._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+    hot = members.where(F.col("file_count") == 1000).select("full_path", "is_primary").collect()
+    assert len(hot) == 1000 and sum(r["is_primary"] for r in hot) == 1
+    assert [r["full_path"] for r in hot if r["is_primary"]] == ["/d0/f00000.txt"]
+    expect = {}
+    for p, s, t, _ in rows:
+        expect.setdefault((s, t), []).append(p)
+    n_groups = sum(1 for v in expect.values() if len(v) > 1)
+    assert members.select("duplicate_group_id").distinct().count() == n_groups
