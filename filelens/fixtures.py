@@ -131,19 +131,6 @@ def plan_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def existing_targets(spark: SparkSession, sf_dir: str, target_dir_sql: str) -> DataFrame:
-    """Names already present at the target: those of doc_id < 20, each also as stem_1.ext.
-
-    ``target_dir_sql`` is a SQL expression over the documents giving the target folder.
-    """
-    docs = inv_docs(spark, sf_dir, with_content=False).where("doc_id < 20")
-    named = docs.select(F.expr(target_dir_sql).alias("tdir"), "name")
-    first = named.select(F.concat_ws("/", "tdir", "name").alias("full_path"))
-    second = named.select(F.concat(F.col("tdir"), F.lit("/"), C.stem_of("name"), F.lit("_1"),
-                                   C.raw_extension("name")).alias("full_path"))
-    return first.unionByName(second)
-
-
 def expected_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every source × (de, en, es, fr, it); the 'it' ones stay empty."""
     sources = table(spark, sf_dir, "documents").select("source").distinct()

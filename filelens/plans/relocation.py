@@ -34,9 +34,6 @@ from ..operators.common import materialize
 _COUNTER = r"^(.*)_([1-9][0-9]{0,17})$"
 _ROOT = r"^(.*?)((_[1-9][0-9]{0,17})*)$"
 
-PLAN_SCHEMA = "source string, target string, action string, size bigint"
-
-
 def _keyed(df: DataFrame) -> DataFrame:
     """Name parts and lower-case keys of a (target_dir, name) frame.
 
