@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import os
 import stat
+import zlib
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -87,27 +88,34 @@ def _list(d: str):
         return [], _record(d, None, True, False, _error(e))
 
 
-def _walk(top: str, recursive: bool = True):
-    """Entries below ``top`` (the row of ``top`` itself is listed by its parent)."""
+def _walk(top: str, recursive: bool = True, shard: tuple[int, int] | None = None):
+    """Entries below ``top`` (the row of ``top`` itself is listed by its parent).
+
+    ``shard = (i, k)``: only the entries of ``top`` whose name hashes to i of k (a flat
+    listing of one very large folder shared by k tasks; each lists, only 1/k are stat'ed).
+    """
     stack = [top]
     while stack:
         d = stack.pop()
         entries, err = _list(d)
         if err is not None:
-            yield err
+            if shard is None or shard[0] == 0:
+                yield err
             continue
         for ent in entries:
+            if shard is not None and zlib.crc32(ent.name.encode("utf-8", "surrogateescape")) % shard[1] != shard[0]:
+                continue
             rec, descend = _entry(ent)
             yield rec
             if descend and recursive:
                 stack.append(ent.path)
 
 
-def _subdirectories(d: str) -> list[str]:
-    """Sub-directory paths of one directory (links to directories are not entered)."""
+def _subdirectories(d: str) -> tuple[list[str], int]:
+    """Sub-directory paths of one directory (links are not entered) and its number of entries."""
     entries, err = _list(d)
     if err is not None:
-        return []
+        return [], 0
     out = []
     for ent in entries:
         try:
@@ -115,18 +123,20 @@ def _subdirectories(d: str) -> list[str]:
                 out.append(ent.path)
         except OSError:
             pass
-    return out
+    return out, len(entries)
 
 
 class _Listing(InputPartition):
-    """Directories to list on an executor: only their own entries (``recursive=False``) or
-    their whole subtrees."""
+    """Directories to list on an executor: only their own entries (``recursive=False``, optionally
+    one hash shard of them) or their whole subtrees."""
 
-    def __init__(self, dirs: list[str], recursive: bool, include_root: str | None = None):
-        super().__init__((tuple(dirs), recursive, include_root))
+    def __init__(self, dirs: list[str], recursive: bool, include_root: str | None = None,
+                 shard: tuple[int, int] | None = None):
+        super().__init__((tuple(dirs), recursive, include_root, shard))
         self.dirs = dirs
         self.recursive = recursive
         self.include_root = include_root
+        self.shard = shard
 
 
 class FileInventoryReader(DataSourceReader):
@@ -134,28 +144,37 @@ class FileInventoryReader(DataSourceReader):
         self.root = os.path.abspath(options.get("path") or options.get("root") or ".")
         self.split_depth = int(options.get("splitDepth", "2"))
         self.target = int(options.get("targetPartitions", "64"))
+        self.flat_split = int(options.get("flatSplitEntries", "50000"))
 
     def partitions(self):
         # Breadth-first over directory *names* of the first levels only: the driver keeps no
-        # file records. Directories above the split depth are listed flat by executors, the
-        # ones at the split depth are walked whole by executors.
-        shallow, frontier = [], [self.root]
+        # file records. Directories above the split depth are listed flat by executors (a very
+        # large one in hash shards over several tasks), the ones at the split depth are walked
+        # whole by executors.
+        shallow: list[tuple[str, int]] = []
+        frontier = [self.root]
         for _ in range(self.split_depth):
             if len(frontier) >= self.target:
                 break
             nxt = []
             for d in frontier:
-                nxt.extend(_subdirectories(d))
-            shallow.extend(frontier)
+                subs, n_entries = _subdirectories(d)
+                nxt.extend(subs)
+                shallow.append((d, n_entries))
             frontier = nxt
             if not frontier:
                 break
-        parts: list[InputPartition] = []
-        chunks = max(1, min(self.target, len(shallow)))
-        flat = [sorted(shallow)[i::chunks] for i in range(chunks)]
-        for i, group in enumerate(flat):
-            if group or i == 0:
-                parts.append(_Listing(group, False, self.root if i == 0 else None))
+        parts: list[InputPartition] = [_Listing([], False, self.root)]
+        small = sorted(d for d, n in shallow if n <= self.flat_split)
+        chunks = max(1, min(self.target, len(small)))
+        for i in range(chunks):
+            group = small[i::chunks]
+            if group:
+                parts.append(_Listing(group, False))
+        for d, n in shallow:
+            if n > self.flat_split:
+                k = min(self.target, -(-n // self.flat_split))
+                parts.extend(_Listing([d], False, None, (i, k)) for i in range(k))
         n = max(1, min(self.target, len(frontier)))
         for i in range(n):
             group = sorted(frontier)[i::n]
@@ -171,7 +190,7 @@ class FileInventoryReader(DataSourceReader):
             except OSError as e:
                 yield _record(root, None, True, False, _error(e))
         for d in partition.dirs:
-            yield from _walk(d, partition.recursive)
+            yield from _walk(d, partition.recursive, partition.shard)
 
 
 class FileInventorySource(DataSource):
@@ -192,13 +211,14 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(FileInventorySource)
 
 
-def scan(spark: SparkSession, root: str, split_depth: int = 2, target_partitions: int | None = None
-         ) -> tuple[DataFrame, DataFrame]:
+def scan(spark: SparkSession, root: str, split_depth: int = 2, target_partitions: int | None = None,
+         flat_split_entries: int = 50000) -> tuple[DataFrame, DataFrame]:
     """A1: (entries, rejects). ``entries`` holds readable files and directories, root included."""
     register(spark)
     target = target_partitions or max(2, spark.sparkContext.defaultParallelism * 4)
     raw = (spark.read.format("file_inventory").option("splitDepth", str(split_depth))
-           .option("targetPartitions", str(target)).load(root))
+           .option("targetPartitions", str(target)).option("flatSplitEntries", str(flat_split_entries))
+           .load(root))
     entries = raw.where(F.col("accessible"))
     rejects = raw.where(~F.col("accessible")).select(F.col("full_path").alias("path"),
                                                      F.col("attributes").alias("reason"))

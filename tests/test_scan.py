@@ -147,15 +147,15 @@ def test_text_previews_and_open_check(spark, tree):
     assert can["/a/x.txt"] and can["/big.bin"]
 
 
-@pytest.mark.parametrize("depth,target", [(0, 4), (1, 2), (2, 3), (3, 50)])
-def test_scan_equals_walk_for_any_split(spark, tree, depth, target):
+@pytest.mark.parametrize("depth,target,flat", [(0, 4, 50000), (1, 2, 50000), (2, 3, 2), (3, 50, 3), (1, 8, 1)])
+def test_scan_equals_walk_for_any_split(spark, tree, depth, target, flat):
     expect = {tree}
     for d, dirs, files in os.walk(tree, followlinks=False):
         for n in dirs + files:
             expect.add(os.path.join(d, n))
     if os.geteuid() != 0:
         expect = {p for p in expect if not p.startswith(os.path.join(tree, "locked") + "/")}
-    entries, _ = A.scan(spark, tree, split_depth=depth, target_partitions=target)
+    entries, _ = A.scan(spark, tree, split_depth=depth, target_partitions=target, flat_split_entries=flat)
     got = [r["full_path"] for r in entries.select("full_path").collect()]
     assert len(got) == len(set(got))
     assert set(got) == expect
