@@ -7,15 +7,15 @@ without case). Here a plan is a table ``(source, target, action, size)``.
 Exact and distributed form of that loop:
 
 * The candidates of a name ``s.e`` are ``s.e, s_1.e, s_2.e, …``. Two batch names can
-  only compete when one is a candidate of the other (``t = s_k``). A name with no
-  such relative in the batch is *isolated*: its files take the free candidates in
-  order, so the file at position r (by source path) gets the r-th candidate index
-  that no existing target blocks. Positions come from a skew-safe rank (a name
-  held by a third of all files is still spread over many tasks) and the blocked
-  indexes are folded with a higher-order ``aggregate`` — all JVM-side.
-* Names that do have a relative in the batch (``x.txt`` and ``x_1.txt`` both moved
-  to one folder) replay the loop exactly, per (folder, root stem, extension), in a
-  cogrouped pandas function together with the existing names of that root.
+  only compete when one is a candidate of the other (``t = s_k``). Files of one name take
+  that name's free candidate indexes in path order, so the file at position r gets the
+  r-th index that is not *blocked*. Positions come from a skew-safe rank (a name held by
+  a third of all files is still spread over many tasks) and the fold over the blocked
+  indexes is a higher-order ``aggregate`` — JVM-side.
+* Blocked indexes are existing target names, plus slots that a related name took first
+  (``x.txt`` and ``x_1.txt`` both moved to one folder: whoever arrives first by path owns
+  ``x_1.txt``). That contest is decided per (folder, root stem, extension) over the
+  distinct *names* with a handful of looked-up file positions — never over the files.
 """
 
 from __future__ import annotations
@@ -58,22 +58,76 @@ def _target(tdir, stem, ext, idx):
     return F.concat(tdir, F.lit("/"), name)
 
 
-def _replay(key, files: pd.DataFrame, existing: pd.DataFrame) -> pd.DataFrame:
-    """The sequential loop for one (folder, root stem, extension) group of related names."""
-    taken = set(existing["name_l"].tolist())
-    out = []
-    files = files.sort_values("full_path", kind="mergesort")
-    for row in files.itertuples(index=False):
-        stem = row.stem
-        ext = row.ext
-        cand = row.name
-        k = 1
-        while cand.lower() in taken:
-            cand = f"{stem}_{k}{ext}"
-            k += 1
-        taken.add(cand.lower())
-        out.append((row.full_path, f"{row.target_dir}/{cand}", row.size))
-    return pd.DataFrame(out, columns=["source", "target", "size"])
+_DP_SCHEMA = "tdir_l string, name_l string, blocked array<bigint>"
+
+
+def _settle(key, names: pd.DataFrame, looks: pd.DataFrame) -> pd.DataFrame:
+    """Who takes each contested slot, for one (folder, root stem, extension) component.
+
+    Runs over the component's *names* (not its files). A slot ``p_k`` is wanted by the files
+    of name p (as their k-th candidate) and by the first file of name ``p_k`` (as its first).
+    Top-down over the name tree, children by counter: the parent reaches index k with its
+    file of rank k − (indexes of p already blocked below k); whichever comes first by path
+    takes the slot. ``looks`` holds the parent file positions at the few ranks that can matter.
+    """
+    pos = {(r.name_l, int(r.rank0)): r.full_path for r in looks.itertuples(index=False)}
+    info = {r.name_l: r for r in names.itertuples(index=False)}
+    blocked = {n: set(int(x) for x in (r.blocked_ex if r.blocked_ex is not None else [])) for n, r in info.items()}
+    children: dict[str, list] = {}
+    for r in info.values():
+        if r.parent_l is not None and r.parent_l in info:
+            children.setdefault(r.parent_l, []).append(r)
+    roots = [n for n, r in info.items() if r.parent_l is None or r.parent_l not in info]
+    order, i = list(roots), 0
+    while i < len(order):
+        order.extend(c.name_l for c in sorted(children.get(order[i], []), key=lambda c: c.counter))
+        i += 1
+    for p in order:
+        for c in sorted(children.get(p, []), key=lambda c: c.counter):
+            k = int(c.counter)
+            if k in blocked[p]:
+                continue  # the slot exists already: neither side can take it
+            rho = k - sum(1 for b in blocked[p] if b < k)
+            t = pos.get((p, rho)) if rho < info[p].n_files else None
+            if t is not None and t < c.first_pos:
+                blocked[c.name_l].add(0)  # the parent's file got there first
+            else:
+                blocked[p].add(k)  # the child's first file took its own name
+    tdir = names["tdir_l"].iloc[0] if len(names) else None
+    return pd.DataFrame({"tdir_l": [tdir] * len(blocked), "name_l": list(blocked),
+                         "blocked": [sorted(v) for v in blocked.values()]})
+
+
+def _settled_blocks(names: DataFrame, child_rows: DataFrame, ranked: DataFrame) -> DataFrame:
+    """Blocked indexes per name once related names have contested their shared slots."""
+    related = (child_rows.select("tdir_l", "name_l")
+               .unionByName(child_rows.select("tdir_l", F.col("parent_l").alias("name_l"))).distinct())
+    rel_names = names.join(related, ["tdir_l", "name_l"], "left_semi")
+
+    # parent file positions at the ranks that can decide a slot: for child counter k, rank
+    # k − (existing blocks below k) − d for d in 0 … (children of the parent) + 1
+    n_children = child_rows.groupBy("tdir_l", "parent_l").agg(F.count(F.lit(1)).alias("n_children"))
+    need = (child_rows.join(n_children, ["tdir_l", "parent_l"], "inner")
+            .withColumn("hi", F.col("counter") - F.size(F.filter("p_blocked", lambda b: b < F.col("counter"))))
+            .withColumn("lo", F.greatest(F.lit(0), F.col("hi") - F.col("n_children") - 1))
+            .withColumn("hi", F.least(F.col("hi"), F.col("p_files") - 1))
+            .where(F.col("hi") >= F.col("lo"))
+            .select("tdir_l", "root_l", "ext_l", F.col("parent_l").alias("name_l"),
+                    F.explode(F.sequence("lo", "hi")).alias("rank0"))
+            .distinct())
+    looks = need.join(ranked.select("tdir_l", "name_l", "rank0", "full_path"), ["tdir_l", "name_l", "rank0"], "inner")
+    rel_cols = ["tdir_l", "root_l", "ext_l", "name_l", "parent_l", "counter", "first_pos", "n_files", "blocked_ex"]
+    # both sides descend from ``names``: fresh column identities for the cogroup
+    rel_names = rel_names.select(*[F.col(c).alias(c) for c in rel_cols])
+    looks = looks.select(*[F.col(c).alias(c) for c in looks.columns])
+    settled = (rel_names
+               .groupBy("tdir_l", "root_l", "ext_l")
+               .cogroup(looks.groupBy("tdir_l", "root_l", "ext_l"))
+               .applyInPandas(_settle, _DP_SCHEMA))
+    blocked = (names.select("tdir_l", "name_l", "blocked_ex")
+               .join(settled, ["tdir_l", "name_l"], "left")
+               .select("tdir_l", "name_l", F.coalesce("blocked", "blocked_ex").alias("blocked")))
+    return blocked
 
 
 def assign_targets(files: DataFrame, existing: DataFrame | None = None, action: str = "move") -> DataFrame:
@@ -81,53 +135,49 @@ def assign_targets(files: DataFrame, existing: DataFrame | None = None, action:
 
     ``existing`` (full_path) lists files already present in the target folders.
     Returns (source, target, action, size).
+
+    Every file's target index is the r-th free candidate index of its name (r = its position
+    among the files of that name, from a skew-safe rank), skipping the *blocked* indexes:
+    existing names, and slots that related names in the batch took first. Only the latter
+    needs a sequential pass, and it runs over distinct names per component (``_settle``),
+    never over a group of files.
     """
     spark = files.sparkSession
     # The keyed batch is read by several branches below; written once to the checkpoint folder
     # (lineage and generated code stay short, a lost executor does not recompute the source).
     f = materialize(_keyed(files.select("full_path", "name", "size", "target_dir")))
-    names = f.select("tdir_l", "name_l", "parent_l").distinct()
-    # a name is related when its parent name or one of its children is in the batch
-    has_child = names.join(names.select("tdir_l", F.col("parent_l").alias("name_l")).where(F.col("name_l").isNotNull()),
-                           ["tdir_l", "name_l"], "left_semi").select("tdir_l", "name_l")
-    has_parent = names.join(names.select("tdir_l", F.col("name_l").alias("parent_l")), ["tdir_l", "parent_l"],
-                            "left_semi").select("tdir_l", "name_l")
-    related = has_child.unionByName(has_parent).distinct().withColumn("related", F.lit(True))
-    f = f.join(related, ["tdir_l", "name_l"], "left").withColumn("related", F.coalesce("related", F.lit(False)))
+    ranked = rank_within(f, ["tdir_l", "name_l"], ["full_path"])
 
     if existing is None:
         existing = spark.createDataFrame([], "full_path string")
-    # existing names feed the blocked indexes and the exact replay: computed once as well
-    ex = materialize(_keyed(existing.select(C.parent_directory("full_path").alias("target_dir"),
-                                            C.file_name("full_path").alias("name"))))
-
-    # -- isolated names: rank + blocked candidate indexes --------------------------------------
-    iso = f.where(~F.col("related"))
-    blocked = (ex.select("tdir_l", "name_l", F.lit(0).cast("long").alias("idx"))
-               .unionByName(ex.select("tdir_l", F.col("parent_l").alias("name_l"), F.col("counter").alias("idx"))
-                            .where(F.col("name_l").isNotNull()))
-               .distinct()
-               .groupBy("tdir_l", "name_l").agg(F.array_sort(F.collect_list("idx")).alias("blocked")))
-    ranked = rank_within(iso, ["tdir_l", "name_l"], ["full_path"])
-    ranked = ranked.join(blocked, ["tdir_l", "name_l"], "left")
-    idx = F.aggregate(F.coalesce(F.col("blocked"), F.array().cast("array<long>")), F.col("rank0"),
+    ex = _keyed(existing.select(C.parent_directory("full_path").alias("target_dir"),
+                                C.file_name("full_path").alias("name")))
+    blocked_ex = (ex.select("tdir_l", "name_l", F.lit(0).cast("long").alias("idx"))
+                  .unionByName(ex.select("tdir_l", F.col("parent_l").alias("name_l"), F.col("counter").alias("idx"))
+                               .where(F.col("name_l").isNotNull()))
+                  .distinct()
+                  .groupBy("tdir_l", "name_l").agg(F.array_sort(F.collect_list("idx")).alias("blocked_ex")))
+
+    # one row per batch name: first path, file count, tree links, existing blocks
+    names = (ranked.groupBy("tdir_l", "name_l", "parent_l", "counter", "root_l", "ext_l")
+             .agg(F.min("full_path").alias("first_pos"), F.count(F.lit(1)).alias("n_files"))
+             .join(blocked_ex, ["tdir_l", "name_l"], "left"))
+    names = materialize(names)
+    # a name is related when its parent name or one of its children is in the batch
+    parents = names.select("tdir_l", F.col("name_l").alias("parent_l"), F.col("n_files").alias("p_files"),
+                           F.coalesce(F.col("blocked_ex"), F.array().cast("array<bigint>")).alias("p_blocked"))
+    child_rows = names.join(parents, ["tdir_l", "parent_l"], "inner")
+    if child_rows.limit(1).count() == 0:  # no related names (cheap probe of the stored names)
+        blocked = names.select("tdir_l", "name_l", F.col("blocked_ex").alias("blocked"))
+    else:
+        blocked = _settled_blocks(names, child_rows, ranked)
+
+    out = ranked.join(blocked, ["tdir_l", "name_l"], "left")
+    idx = F.aggregate(F.coalesce(F.col("blocked"), F.array().cast("array<bigint>")), F.col("rank0"),
                       lambda acc, b: F.when(b <= acc, acc + 1).otherwise(acc))
-    fast = ranked.select(F.col("full_path").alias("source"),
-                         _target(F.col("target_dir"), F.col("stem"), F.col("ext"), idx).alias("target"),
-                         "size")
-
-    # -- related names: exact replay per (folder, root, extension) --------------------------------
-    if f.where(F.col("related")).limit(1).count() == 0:  # cheap probe of the checkpointed batch
-        return fast.withColumn("action", F.lit(action)).select("source", "target", "action", "size")
-    rel = f.where(F.col("related")).select("tdir_l", "root_l", "ext_l", "full_path", "name", "stem", "ext",
-                                            "size", "target_dir")
-    ex_rel = ex.join(rel.select("tdir_l", "root_l", "ext_l").distinct(), ["tdir_l", "root_l", "ext_l"],
-                     "left_semi").select("tdir_l", "root_l", "ext_l", "name_l")
-    slow = (rel.groupBy("tdir_l", "root_l", "ext_l")
-            .cogroup(ex_rel.groupBy("tdir_l", "root_l", "ext_l"))
-            .applyInPandas(_replay, "source string, target string, size bigint"))
-
-    return fast.unionByName(slow).withColumn("action", F.lit(action)).select("source", "target", "action", "size")
+    return out.select(F.col("full_path").alias("source"),
+                      _target(F.col("target_dir"), F.col("stem"), F.col("ext"), idx).alias("target"),
+                      F.lit(action).alias("action"), "size")
 
 
 def move_plan(files: DataFrame, destination: str, existing: DataFrame | None = None) -> DataFrame:

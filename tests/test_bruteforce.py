@@ -99,3 +99,96 @@ def test_duplicates_with_a_hot_group(spark):
         expect.setdefault((s, t), []).append(p)
     n_groups = sum(1 for v in expect.values() if len(v) > 1)
     assert members.select("duplicate_group_id").distinct().count() == n_groups
+
+
+def _python_plan_via_settle(rows, existing):
+    """The distributed algorithm replayed in plain Python (same _settle, same rank windows)."""
+    import re
+
+    import pandas as pd
+
+    from filelens.plans.relocation import _settle
+
+    counter_re = re.compile(r"^(.*)_([1-9][0-9]{0,17})$")
+
+    def parts(name):
+        dot = name.rfind(".")
+        ext = name[dot:] if 0 <= dot < len(name) - 1 else ""
+        stem = name[: len(name) - len(ext)]
+        m = counter_re.match(stem.lower())
+        parent = (m.group(1) + ext.lower()) if m else None
+        root = re.match(r"^(.*?)((_[1-9][0-9]{0,17})*)$", stem.lower()).group(1)
+        return stem, ext, parent, int(m.group(2)) if m else None, root
+
+    by_name = {}
+    for full_path, name, tdir in rows:
+        by_name.setdefault((tdir.lower(), name.lower()), []).append((full_path, name, tdir))
+    for v in by_name.values():
+        v.sort()
+    blocked_ex = {}
+    for e in existing:
+        tdir, name = e.rsplit("/", 1)
+        _, _, parent, k, _ = parts(name)
+        blocked_ex.setdefault((tdir.lower(), name.lower()), set()).add(0)
+        if parent is not None:
+            blocked_ex.setdefault((tdir.lower(), parent), set()).add(k)
+    info = {}
+    for (tdir, nl), files in by_name.items():
+        stem, ext, parent, k, root = parts(files[0][1])
+        info[(tdir, nl)] = dict(tdir_l=tdir, root_l=root, ext_l=ext.lower(), name_l=nl, parent_l=parent, counter=k,
+                                first_pos=files[0][0], n_files=len(files),
+                                blocked_ex=sorted(blocked_ex.get((tdir, nl), [])))
+    related = set()
+    n_children = {}
+    for key, r in info.items():
+        if r["parent_l"] is not None and (r["tdir_l"], r["parent_l"]) in info:
+            related |= {key, (r["tdir_l"], r["parent_l"])}
+            n_children[(r["tdir_l"], r["parent_l"])] = n_children.get((r["tdir_l"], r["parent_l"]), 0) + 1
+    looks = []
+    for key, r in info.items():
+        pk = (r["tdir_l"], r["parent_l"])
+        if r["parent_l"] is None or pk not in info:
+            continue
+        p = info[pk]
+        hi = r["counter"] - sum(1 for b in p["blocked_ex"] if b < r["counter"])
+        lo = max(0, hi - n_children[pk] - 1)
+        hi = min(hi, p["n_files"] - 1)
+        for rank in range(lo, hi + 1):
+            looks.append(dict(tdir_l=p["tdir_l"], root_l=p["root_l"], ext_l=p["ext_l"], name_l=p["name_l"],
+                              rank0=rank, full_path=by_name[pk][rank][0]))
+    blocked = {k: set(v["blocked_ex"]) for k, v in info.items()}
+    comps = {}
+    for key in related:
+        r = info[key]
+        comps.setdefault((r["tdir_l"], r["root_l"], r["ext_l"]), []).append(r)
+    for comp, rs in comps.items():
+        lk = [x for x in looks if (x["tdir_l"], x["root_l"], x["ext_l"]) == comp]
+        out = _settle(comp, pd.DataFrame(rs), pd.DataFrame(lk, columns=["tdir_l", "root_l", "ext_l", "name_l",
+                                                                          "rank0", "full_path"]))
+        for row in out.itertuples(index=False):
+            blocked[(row.tdir_l, row.name_l)] = set(row.blocked)
+    plan = {}
+    for key, files in by_name.items():
+        bl = sorted(blocked[key])
+        for r, (full_path, name, tdir) in enumerate(files):
+            j = r
+            for b in bl:
+                if b <= j:
+                    j += 1
+            stem, ext, *_ = parts(name)
+            plan[full_path] = f"{tdir}/{name}" if j == 0 else f"{tdir}/{stem}_{j}{ext}"
+    return plan
+
+
+def test_settle_algorithm_matches_sequential_loop_many_cases():
+    rng = random.Random(2024)
+    stems = ["a", "a_1", "a_2", "a_3", "a_1_1", "a_1_2", "a_2_1", "a_1_1_1", "A_1", "b", "b_1", "c_01", "c_1"]
+    exts = [".txt", ".TXT", ""]
+    for case in range(1500):
+        rows, existing = [], []
+        for i in range(rng.randint(1, 30)):
+            name = rng.choice(stems) + rng.choice(exts)
+            rows.append((f"/s/{rng.randint(0, 10 ** 6):07d}-{i}", name, rng.choice(["/t", "/t", "/u"])))
+        for _ in range(rng.randint(0, 5)):
+            existing.append(f"{rng.choice(['/t', '/u'])}/{rng.choice(stems)}{rng.choice(exts)}")
+        assert _python_plan_via_settle(rows, existing) == sequential_plan(rows, existing), (case, rows, existing)
