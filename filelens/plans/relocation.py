@@ -21,7 +21,7 @@ Exact and distributed form of that loop:
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -104,16 +104,30 @@ def _settled_blocks(names: DataFrame, child_rows: DataFrame, ranked: DataFrame)
                .unionByName(child_rows.select("tdir_l", F.col("parent_l").alias("name_l"))).distinct())
     rel_names = names.join(related, ["tdir_l", "name_l"], "left_semi")
 
-    # parent file positions at the ranks that can decide a slot: for child counter k, rank
-    # k − (existing blocks below k) − d for d in 0 … (children of the parent) + 1
-    n_children = child_rows.groupBy("tdir_l", "parent_l").agg(F.count(F.lit(1)).alias("n_children"))
-    need = (child_rows.join(n_children, ["tdir_l", "parent_l"], "inner")
-            .withColumn("hi", F.col("counter") - F.size(F.filter("p_blocked", lambda b: b < F.col("counter"))))
-            .withColumn("lo", F.greatest(F.lit(0), F.col("hi") - F.col("n_children") - 1))
-            .withColumn("hi", F.least(F.col("hi"), F.col("p_files") - 1))
-            .where(F.col("hi") >= F.col("lo"))
-            .select("tdir_l", "root_l", "ext_l", F.col("parent_l").alias("name_l"),
-                    F.explode(F.sequence("lo", "hi")).alias("rank0"))
+    # Parent file positions at the ranks that can decide a slot. For the child with counter k
+    # the parent reaches index k with its file of rank k − (existing blocks below k) − s, where
+    # s ≤ number of children with a smaller counter (+1 when index 0 may be taken): a short
+    # interval per child. Per parent the union of these intervals is taken, or — when that is
+    # smaller — the single interval [0, largest counter]; either way the rows grow with the
+    # number of distinct names, never with the files of a name.
+    w = Window.partitionBy("tdir_l", "parent_l").orderBy("counter")
+    iv = (child_rows
+          .withColumn("below", F.row_number().over(w) - 1)
+          .withColumn("hi", F.col("counter") - F.size(F.filter("p_blocked", lambda b: b < F.col("counter"))))
+          .withColumn("lo", F.greatest(F.lit(0), F.col("hi") - F.col("below") - 1))
+          .withColumn("hi", F.least(F.col("hi"), F.col("p_files") - 1)))
+    per_parent = (iv.groupBy("tdir_l", "parent_l")
+                  .agg(F.sum(F.greatest(F.col("hi") - F.col("lo") + 1, F.lit(0))).alias("sparse"),
+                       (F.least(F.max("counter"), F.max("p_files") - 1) + 1).alias("dense")))
+    iv = iv.join(per_parent, ["tdir_l", "parent_l"], "inner")
+    use_dense = F.col("dense") <= F.col("sparse")
+    iv = (iv.withColumn("lo", F.when(use_dense, F.lit(0)).otherwise(F.col("lo")))
+            .withColumn("hi", F.when(use_dense, F.col("dense") - 1).otherwise(F.col("hi")))
+            .where(F.col("hi") >= F.col("lo")))
+    # with the dense choice every child of the parent carries the same interval: keep one
+    iv = iv.withColumn("keep", ~use_dense | (F.row_number().over(w) == 1)).where("keep")
+    need = (iv.select("tdir_l", "root_l", "ext_l", F.col("parent_l").alias("name_l"),
+                      F.explode(F.sequence("lo", "hi")).alias("rank0"))
             .distinct())
     looks = need.join(ranked.select("tdir_l", "name_l", "rank0", "full_path"), ["tdir_l", "name_l", "rank0"], "inner")
     rel_cols = ["tdir_l", "root_l", "ext_l", "name_l", "parent_l", "counter", "first_pos", "n_files", "blocked_ex"]

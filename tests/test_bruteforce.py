@@ -144,16 +144,26 @@ def _python_plan_via_settle(rows, existing):
         if r["parent_l"] is not None and (r["tdir_l"], r["parent_l"]) in info:
             related |= {key, (r["tdir_l"], r["parent_l"])}
             n_children[(r["tdir_l"], r["parent_l"])] = n_children.get((r["tdir_l"], r["parent_l"]), 0) + 1
-    looks = []
+    looks, wanted = [], {}
+    kids = {}
     for key, r in info.items():
         pk = (r["tdir_l"], r["parent_l"])
-        if r["parent_l"] is None or pk not in info:
-            continue
+        if r["parent_l"] is not None and pk in info:
+            kids.setdefault(pk, []).append(r)
+    for pk, cs in kids.items():
         p = info[pk]
-        hi = r["counter"] - sum(1 for b in p["blocked_ex"] if b < r["counter"])
-        lo = max(0, hi - n_children[pk] - 1)
-        hi = min(hi, p["n_files"] - 1)
-        for rank in range(lo, hi + 1):
+        cs.sort(key=lambda c: c["counter"])
+        ivs = []
+        for below, c in enumerate(cs):
+            hi = c["counter"] - sum(1 for b in p["blocked_ex"] if b < c["counter"])
+            lo = max(0, hi - below - 1)
+            ivs.append((lo, min(hi, p["n_files"] - 1)))
+        sparse = sum(max(h - lo + 1, 0) for lo, h in ivs)
+        dense = min(cs[-1]["counter"], p["n_files"] - 1) + 1
+        if dense <= sparse:
+            ivs = [(0, dense - 1)]
+        ranks = {x for lo, h in ivs for x in range(lo, h + 1)}
+        for rank in sorted(ranks):
             looks.append(dict(tdir_l=p["tdir_l"], root_l=p["root_l"], ext_l=p["ext_l"], name_l=p["name_l"],
                               rank0=rank, full_path=by_name[pk][rank][0]))
     blocked = {k: set(v["blocked_ex"]) for k, v in info.items()}
