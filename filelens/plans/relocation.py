@@ -164,6 +164,10 @@ def assign_targets(files: DataFrame, existing: DataFrame | None = None, action:
 
     if existing is None:
         existing = spark.createDataFrame([], "full_path string")
+    else:
+        # a stored copy of the listing: name parts are derived from a plain column (small
+        # generated code, whatever expression produced the paths)
+        existing = materialize(existing.select("full_path"))
     ex = _keyed(existing.select(C.parent_directory("full_path").alias("target_dir"),
                                 C.file_name("full_path").alias("name")))
     blocked_ex = (ex.select("tdir_l", "name_l", F.lit(0).cast("long").alias("idx"))
