@@ -34,4 +34,21 @@ def materialize(df: DataFrame) -> DataFrame:
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/filelens-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.parquet(path)
+
+
+_WRITTEN: list[str] = []
+
+
+def release_materialized(spark) -> int:
+    """Deletes the copies ``materialize`` wrote in this process (call when their results are no
+    longer needed). Returns how many folders were removed."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    removed = 0
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        if path.getFileSystem(conf).delete(path, True):
+            removed += 1
+    return removed

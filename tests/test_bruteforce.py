@@ -202,3 +202,10 @@ def test_settle_algorithm_matches_sequential_loop_many_cases():
         for _ in range(rng.randint(0, 5)):
             existing.append(f"{rng.choice(['/t', '/u'])}/{rng.choice(stems)}{rng.choice(exts)}")
         assert _python_plan_via_settle(rows, existing) == sequential_plan(rows, existing), (case, rows, existing)
+
+
+def test_release_materialized(spark):
+    from filelens.operators.common import materialize, release_materialized
+    df = materialize(spark.range(10))
+    assert df.count() == 10
+    assert release_materialized(spark) >= 1
