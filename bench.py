@@ -30,7 +30,7 @@ from filelens.operators import duplicates as D  # noqa: E402
 from filelens.operators import filters as FL  # noqa: E402
 from filelens.operators import hierarchy as H  # noqa: E402
 from filelens.operators import stats as S  # noqa: E402
-from filelens.operators.common import release_materialized  # noqa: E402
+from filelens.operators.common import delete_path, release_materialized  # noqa: E402
 from filelens.session import ensure_checkpoint_dir, get_session  # noqa: E402
 from filelens.sinks.inventory_table import INVENTORY_COLUMNS, write_inventory  # noqa: E402
 
@@ -106,6 +106,7 @@ def main() -> None:
         "files_per_sec_profile": round(items / max(times["items_totals"], 1e-9), 1),
     }))
     release_materialized(spark)
+    delete_path(spark, scratch)
     spark.stop()
 
 

@@ -41,14 +41,17 @@ def materialize(df: DataFrame) -> DataFrame:
 _WRITTEN: list[str] = []
 
 
+def delete_path(spark, path: str) -> bool:
+    """Deletes a folder this library wrote (through Hadoop's file system API, any scheme)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True))
+
+
 def release_materialized(spark) -> int:
     """Deletes the copies ``materialize`` wrote in this process (call when their results are no
     longer needed). Returns how many folders were removed."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     removed = 0
     while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        if path.getFileSystem(conf).delete(path, True):
-            removed += 1
+        removed += delete_path(spark, _WRITTEN.pop())
     return removed

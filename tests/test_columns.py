@@ -117,3 +117,30 @@ def test_time_zone_does_not_change_results(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
     assert all(r[1] == r[4] for r in before)  # converted == modified
+
+
+def _format_bytes_model(n: int) -> str:
+    """Plain-Python model: divide while ≥ 1024 up to TB, round half away from zero on the exact
+    binary value, at most two decimals, trailing zeros dropped."""
+    from decimal import ROUND_HALF_UP, Decimal
+    units = ["B", "KB", "MB", "GB", "TB"]
+    value, order = float(n), 0
+    while value >= 1024 and order < len(units) - 1:
+        value /= 1024
+        order += 1
+    if order == 0:
+        return f"{n} B"
+    q = Decimal(value).quantize(Decimal("0.01"), rounding=ROUND_HALF_UP)
+    text = format(q, "f").rstrip("0").rstrip(".")
+    return f"{text} {units[order]}"
+
+
+def test_format_bytes_matches_model_on_random_sizes(spark):
+    import random
+    rng = random.Random(99)
+    sizes = [rng.randint(-10, 2 ** rng.randint(1, 52)) for _ in range(4000)]
+    sizes += [1024 * k + d for k in range(1, 40) for d in (-1, 0, 1, 5, 10, 512)]
+    sizes += [int(1024 ** p * (1 + k / 200)) for p in (1, 2, 3, 4) for k in range(0, 200, 5)]
+    df = spark.createDataFrame([(s,) for s in sizes], "s long")
+    got = [r[0] for r in df.select(C.format_bytes("s")).collect()]
+    assert got == [_format_bytes_model(s) for s in sizes]
