@@ -25,15 +25,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..operators.common import materialize
 from ..operators.hierarchy import relative_directory
 from ..operators.ranking import rank_within
 from ..schema import STAGING_FOLDER
-from ..operators.common import materialize
 
 # A counter suffix as the reference writes it: "_" + a positive integer without leading zeros.
 _COUNTER = r"^(.*)_([1-9][0-9]{0,17})$"
 _ROOT = r"^(.*?)((_[1-9][0-9]{0,17})*)$"
 
+
 def _keyed(df: DataFrame) -> DataFrame:
     """Name parts and lower-case keys of a (target_dir, name) frame.
 
@@ -245,3 +246,20 @@ def plan_summary(manifest: DataFrame) -> DataFrame:
         F.count_if(~ok).alias("failed_files"),
         F.coalesce(F.sum(F.when(ok, F.col("size"))), F.lit(0)).cast("long").alias("planned_bytes"),
     ).withColumn("planned_bytes_text", C.format_bytes("planned_bytes"))
+
+
+def plan_selection(inv: DataFrame, selection: DataFrame, action: str, destination: str | None = None,
+                   root: str | None = None, existing: DataFrame | None = None) -> DataFrame:
+    """K1–K3 from a selection table: found paths get targets, missing ones a 'failed' row (K8).
+
+    ``action``: 'move' / 'copy' (into ``destination``) or 'stage' (below ``root``).
+    """
+    rows = plan_for_selection(inv, selection)
+    found = rows.where(F.col("found")).drop("found")
+    if action == "stage":
+        planned = staging_plan(found, root, existing)
+    elif action in ("move", "copy"):
+        planned = (move_plan if action == "move" else copy_plan)(found, destination, existing)
+    else:
+        raise ValueError("action must be 'move', 'copy' or 'stage'")
+    return planned.unionByName(failed_rows(rows, action))

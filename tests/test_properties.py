@@ -99,3 +99,13 @@ def test_approx_options(spark):
     approx = S.totals(inv, approx_directories=True).first()["total_directories"]
     assert abs(approx - exact) <= max(3, exact * 0.1)
     assert S.median_size_approx(inv).first()[0] >= 0
+
+
+def test_plan_selection_reports_missing_sources(spark):
+    from filelens.plans import relocation as R
+    docs = X.inv_docs(spark, SF_SMALL, with_content=False)
+    sel = docs.select("full_path").unionByName(spark.createDataFrame([("/lake/missing.txt",)], "full_path string"))
+    plan = R.plan_selection(docs, sel, "copy", destination="/backup")
+    summary = R.plan_summary(plan).first()
+    assert summary["failed_files"] == 1 and summary["planned_files"] == docs.count()
+    assert summary["planned_bytes"] == docs.agg(F.sum("size")).first()[0]
