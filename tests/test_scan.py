@@ -159,3 +159,20 @@ def test_scan_equals_walk_for_any_split(spark, tree, depth, target, flat):
     got = [r["full_path"] for r in entries.select("full_path").collect()]
     assert len(got) == len(set(got))
     assert set(got) == expect
+
+
+@pytest.mark.parametrize("depth,flat", [(0, 50000), (1, 2), (2, 1)])
+def test_balanced_scan_equals_walk(spark, tree, depth, flat):
+    expect = {tree}
+    for d, dirs, files in os.walk(tree, followlinks=False):
+        for n in dirs + files:
+            expect.add(os.path.join(d, n))
+    if os.geteuid() != 0:
+        expect = {p for p in expect if not p.startswith(os.path.join(tree, "locked") + "/")}
+    entries, rejects = A.scan_balanced(spark, tree, split_depth=depth, target_partitions=4, flat_split_entries=flat)
+    got = [r["full_path"] for r in entries.select("full_path").collect()]
+    assert len(got) == len(set(got))
+    assert set(got) == expect
+    plain, _ = A.scan(spark, tree)
+    cols = ["full_path", "is_dir", "size", "extension", "is_link"]
+    assert sorted(map(tuple, entries.select(*cols).collect())) == sorted(map(tuple, plain.select(*cols).collect()))
