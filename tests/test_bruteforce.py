@@ -139,11 +139,9 @@ def _python_plan_via_settle(rows, existing):
                                 first_pos=files[0][0], n_files=len(files),
                                 blocked_ex=sorted(blocked_ex.get((tdir, nl), [])))
     related = set()
-    n_children = {}
     for key, r in info.items():
         if r["parent_l"] is not None and (r["tdir_l"], r["parent_l"]) in info:
             related |= {key, (r["tdir_l"], r["parent_l"])}
-            n_children[(r["tdir_l"], r["parent_l"])] = n_children.get((r["tdir_l"], r["parent_l"]), 0) + 1
     looks, wanted = [], {}
     kids = {}
     for key, r in info.items():
