@@ -207,3 +207,16 @@ def test_release_materialized(spark):
     df = materialize(spark.range(10))
     assert df.count() == 10
     assert release_materialized(spark) >= 1
+
+
+def test_settle_algorithm_many_files_per_name():
+    rng = random.Random(77)
+    stems = ["r", "r_1", "r_2", "r_5", "r_1_1", "r_1_2", "r_2_1", "q", "q_3"]
+    for case in range(120):
+        rows = []
+        weights = [rng.random() ** 3 for _ in stems]
+        for i in range(rng.randint(50, 300)):
+            name = rng.choices(stems, weights)[0] + ".bin"
+            rows.append((f"/s/{rng.random():.9f}-{i}", name, "/t"))
+        existing = [f"/t/{rng.choice(stems)}_{rng.randint(1, 6)}.bin" for _ in range(rng.randint(0, 8))]
+        assert _python_plan_via_settle(rows, existing) == sequential_plan(rows, existing), case
