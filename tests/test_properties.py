@@ -109,3 +109,22 @@ def test_plan_selection_reports_missing_sources(spark):
     summary = R.plan_summary(plan).first()
     assert summary["failed_files"] == 1 and summary["planned_files"] == docs.count()
     assert summary["planned_bytes"] == docs.agg(F.sum("size")).first()[0]
+
+
+def test_digest_sits_above_the_size_semi_join(spark):
+    df = K.registry()["duplicate_summary"](spark, SF_SMALL)
+    plan = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    md5_lines = [i for i, line in enumerate(plan) if "md5(" in line]
+    semi = [i for i, line in enumerate(plan) if "LeftSemi" in line]
+    assert md5_lines and semi and max(md5_lines) < min(semi)
+    assert not any("Filter" in line and "md5(" in line for line in plan)
+
+
+def test_search_is_literal_not_a_pattern(spark):
+    from filelens.operators import filters as FL
+    inv = spark.createDataFrame([("/a/axb.txt", "axb.txt", ".txt", "/a"), ("/a/a_b.txt", "a_b.txt", ".txt", "/a"),
+                                 ("/a/a%b.TXT", "a%b.TXT", ".txt", "/a")],
+                                "full_path string, name string, extension string, directory string")
+    assert [r[0] for r in FL.find_files(inv, "A_B", "name").select("full_path").collect()] == ["/a/a_b.txt"]
+    assert [r[0] for r in FL.find_files(inv, "%B", "name").select("full_path").collect()] == ["/a/a%b.TXT"]
+    assert FL.search(inv, "  \t ").count() == 3
