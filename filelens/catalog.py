@@ -88,6 +88,14 @@ def q_duplicate_groups_fast(spark, sf_dir):
     return D.duplicate_groups(_digested(spark, sf_dir, "fast"))
 
 
+@query("duplicate_groups_verified")
+def q_duplicate_groups_verified(spark, sf_dir):
+    """F5 with verify: partial digests first, then full digests for the suspected members only."""
+    docs = _docs(spark, sf_dir)
+    fast = D.digest_candidates(docs, mode="fast", chunk=FAST_CHUNK, threshold=FAST_THRESHOLD, checkpoint=True)
+    return D.duplicate_groups(D.verify_groups(fast, docs))
+
+
 @query("hash_candidates")
 def q_hash_candidates(spark, sf_dir):
     return D.hash_candidates(_docs(spark, sf_dir)).select("full_path", "size")
@@ -393,6 +401,13 @@ def q_report_paths(spark, sf_dir):
     return good
 
 
+@query("report_rejects")
+def q_report_rejects(spark, sf_dir):
+    """Report lines without a sixth field go to the reject frame."""
+    _, rejects = H.report_paths(X.report_lines(spark, sf_dir))
+    return rejects
+
+
 @query("report_tree")
 def q_report_tree(spark, sf_dir):
     return H.report_tree(X.report_lines(spark, sf_dir))
@@ -482,6 +497,16 @@ def _staging(spark, sf_dir):
     return R.staging_plan(files, X.DOCS_ROOT, _staging_existing(spark, sf_dir))
 
 
+@query("copy_selection_plan")
+def q_copy_selection_plan(spark, sf_dir):
+    """K2 + K8 from a selection table: every document plus a missing twin of each one whose id
+    is a multiple of 7 (missing sources become 'failed' rows)."""
+    docs = _docs(spark, sf_dir)
+    sel = docs.select("full_path").unionByName(
+        docs.where("doc_id % 7 = 0").select(F.concat("full_path", F.lit(".missing")).alias("full_path")))
+    return R.plan_selection(docs, sel, "copy", destination="/backup")
+
+
 @query("staging_plan")
 def q_staging_plan(spark, sf_dir):
     return _staging(spark, sf_dir)

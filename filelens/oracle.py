@@ -430,3 +430,13 @@ SELECT count(*) FILTER (WHERE action <> 'failed') AS planned_files,
 FROM staged"""
 ORACLE["inventory_after_staging"] = _with(INV_DOCS, DIGESTED, SELECTION, STAGING) + """
 SELECT full_path, size FROM inv_docs WHERE full_path NOT IN (SELECT source FROM staged)"""
+
+ORACLE["duplicate_groups_verified"] = ORACLE["duplicate_groups"]
+ORACLE["report_rejects"] = _with(INV_DOCS, REPORT) + """
+SELECT value AS path, 'fewer than 6 fields' AS reason FROM report_fields WHERE path IS NULL"""
+ORACLE["copy_selection_plan"] = _with(INV_DOCS) + """
+SELECT full_path AS source, '/backup/' || name AS target, 'copy' AS action, size FROM inv_docs
+UNION ALL
+SELECT full_path || '.missing' AS source, CAST(NULL AS VARCHAR) AS target, 'failed' AS action,
+       CAST(NULL AS BIGINT) AS size
+FROM inv_docs WHERE doc_id % 7 = 0"""
