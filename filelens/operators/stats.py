@@ -64,23 +64,40 @@ def median_size_approx(inv: DataFrame, accuracy: int = 10000) -> DataFrame:
     return inv.agg(F.coalesce(F.percentile_approx("size", 0.5, accuracy), F.lit(0)).cast("long").alias("median_size"))
 
 
-def median_size(inv: DataFrame, shift: int = 20) -> DataFrame:
+def _running_counts(buckets: DataFrame, key: str, group_bits: int) -> DataFrame:
+    """Adds ``before``/``cum``: rows in smaller keys / up to this key (``c`` = rows of the key).
+
+    Keys are grouped by ``key >> group_bits``: a running sum over the (few) groups, then one
+    per group over at most 2^group_bits keys — no window ever sees all keys at once.
+    """
+    grouped = buckets.withColumn("_g", F.shiftright(key, group_bits))
+    groups = grouped.groupBy("_g").agg(F.sum("c").alias("_gc"))
+    wg = Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.withColumn("_gbefore", F.coalesce(F.sum("_gc").over(wg), F.lit(0)))
+    wk = Window.partitionBy("_g").orderBy(key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (grouped.join(groups.select("_g", "_gbefore"), "_g", "inner")
+            .withColumn("cum", F.col("_gbefore") + F.sum("c").over(wk))
+            .withColumn("before", F.col("cum") - F.col("c"))
+            .drop("_g", "_gbefore"))
+
+
+def median_size(inv: DataFrame, shift: int = 20, group_bits: int = 10) -> DataFrame:
     """Exact median of ``size`` (even count: integer mean of the two middle values; 0 if empty).
 
-    Two bounded levels instead of one task holding every value:
-    1. counts per coarse bucket ``size >> shift`` (a partial aggregate), running sum over buckets;
+    Bounded levels instead of one task holding every value:
+    1. counts per coarse bucket ``size >> shift`` (a partial aggregate) and their running sum,
+       taken per group of 2^group_bits buckets plus the groups' own running sum;
     2. only inside the one or two buckets that hold the middle ranks: counts per exact size,
        running sum plus the bucket's offset.
-    Each window sees at most (range of sizes >> shift) rows resp. 2^shift distinct sizes,
-    whatever the row count.
+    No window sees more than 2^group_bits buckets, the bucket groups (size range >> (shift +
+    group_bits)) or 2^shift distinct sizes, whatever the row count.
     """
     sized = inv.select(F.col("size")).where(F.col("size").isNotNull())
     n = sized.agg(F.count(F.lit(1)).alias("n"))
     # ranks of the middle values (1-based): lo = (n+1) div 2, hi = n div 2 + 1
     ranks = n.select("n", F.expr("(n + 1) div 2").alias("r_lo"), F.expr("n div 2 + 1").alias("r_hi"))
-    buckets = (sized.groupBy(F.shiftright("size", shift).alias("bucket")).agg(F.count(F.lit(1)).alias("c")))
-    wb = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    buckets = buckets.withColumn("cum", F.sum("c").over(wb)).withColumn("before", F.col("cum") - F.col("c"))
+    buckets = sized.groupBy(F.shiftright("size", shift).alias("bucket")).agg(F.count(F.lit(1)).alias("c"))
+    buckets = _running_counts(buckets, "bucket", group_bits)
     targets = (attach_one_row(buckets, ranks)
                .where(((F.col("r_lo") > F.col("before")) & (F.col("r_lo") <= F.col("cum")))
                       | ((F.col("r_hi") > F.col("before")) & (F.col("r_hi") <= F.col("cum"))))

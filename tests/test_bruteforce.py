@@ -69,6 +69,7 @@ def test_median_two_levels_exact(spark):
                                     (sorted(sizes)[n // 2 - 1] + sorted(sizes)[n // 2]) // 2)
         # a tiny shift forces many coarse buckets and a boundary between the two middle values
         assert median_size(df, shift=3).first()[0] == want, n
+        assert median_size(df, shift=2, group_bits=2).first()[0] == want, n
         assert median_size(df).first()[0] == want, n
 
 
