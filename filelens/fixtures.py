@@ -31,8 +31,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     per-row work on top (paths, digests) does not run in one task. On inputs that already split
     into enough partitions nothing is added."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
+    try:
+        cores = spark.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD view (Spark Connect): read as is
+        return df
+    if splits < cores:
         df = df.repartition(cores)
     return df
 
