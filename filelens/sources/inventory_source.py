@@ -207,6 +207,13 @@ class FileInventorySource(DataSource):
         return FileInventoryReader(self.options, schema)
 
 
+def _default_target(spark: SparkSession) -> int:
+    try:
+        return max(2, spark.sparkContext.defaultParallelism * 4)
+    except Exception:  # noqa: BLE001 - no SparkContext (Spark Connect)
+        return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(FileInventorySource)
 
@@ -215,7 +222,7 @@ def scan(spark: SparkSession, root: str, split_depth: int = 2, target_partitions
          flat_split_entries: int = 50000) -> tuple[DataFrame, DataFrame]:
     """A1: (entries, rejects). ``entries`` holds readable files and directories, root included."""
     register(spark)
-    target = target_partitions or max(2, spark.sparkContext.defaultParallelism * 4)
+    target = target_partitions or _default_target(spark)
     raw = (spark.read.format("file_inventory").option("splitDepth", str(split_depth))
            .option("targetPartitions", str(target)).option("flatSplitEntries", str(flat_split_entries))
            .load(root))
@@ -351,7 +358,7 @@ def scan_balanced(spark: SparkSession, root: str, split_depth: int = 2, target_p
     """A1 in two phases (directories, then flat listings in balanced units). Same rows as ``scan``."""
     spark.dataSource.register(FileInventoryDirsSource)
     register(spark)
-    target = target_partitions or max(2, spark.sparkContext.defaultParallelism * 4)
+    target = target_partitions or _default_target(spark)
     root = os.path.abspath(root)
     dirs = (spark.read.format("file_inventory_dirs").option("splitDepth", str(split_depth))
             .option("targetPartitions", str(target)).load(root))
