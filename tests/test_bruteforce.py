@@ -221,3 +221,17 @@ def test_settle_algorithm_many_files_per_name():
             rows.append((f"/s/{rng.random():.9f}-{i}", name, "/t"))
         existing = [f"/t/{rng.choice(stems)}_{rng.randint(1, 6)}.bin" for _ in range(rng.randint(0, 8))]
         assert _python_plan_via_settle(rows, existing) == sequential_plan(rows, existing), case
+
+
+def test_empty_inputs(spark):
+    from filelens.operators import duplicates as D
+    from filelens.operators import stats as S
+    from filelens.plans.relocation import assign_targets
+    files = spark.createDataFrame([], "full_path string, name string, size long, target_dir string")
+    assert assign_targets(files).count() == 0
+    inv = spark.createDataFrame([], "full_path string, size long, content string, created timestamp_ntz, "
+                                    "modified timestamp_ntz, directory string, extension string")
+    assert D.duplicate_summary(D.duplicate_groups(D.digest_candidates(inv))).first()[0] == 0
+    assert S.median_size(inv).first()[0] == 0
+    assert S.totals(inv).first()["average_size"] == 0
+    assert [r["file_count"] for r in S.size_histogram(inv).collect()] == [0] * 6
