@@ -1,0 +1,3 @@
+"""filelens: file-inventory analytics on Spark (duplicates, profiles, hierarchy, relocation plans)."""
+
+__version__ = "0.1.0"

@@ -1,0 +1 @@
+"""Scalar Column functions (survey §2 C)."""

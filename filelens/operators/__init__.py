@@ -1,0 +1 @@
+"""Relational operators over inventories: duplicates, statistics, filters, hierarchy, ranking."""

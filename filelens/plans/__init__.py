@@ -1,0 +1 @@
+"""Removal and relocation plans as tables (survey §2 K)."""
