@@ -17,8 +17,12 @@ from pyspark.sql import SparkSession
 def get_session(master: str | None = None, shuffle_partitions: int = 8,
                 app_name: str = "filelens") -> SparkSession:
     master = master or os.environ.get("FILELENS_MASTER", "local[*]")
+    builder = SparkSession.builder
+    event_dir = os.environ.get("FILELENS_EVENT_LOG")
+    if event_dir:  # stage and task times for later reading, written to a scratch folder (no UI)
+        builder = builder.config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", event_dir)
     spark = (
-        SparkSession.builder.master(master)
+        builder.master(master)
         .appName(app_name)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
