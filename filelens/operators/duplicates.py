@@ -58,14 +58,19 @@ def digest_candidates(inv: DataFrame, mode: str = "accurate", content_col: str =
 
     mode: ``accurate`` (size pre-filter + full MD5), ``full`` (no pre-filter, F4),
     ``fast`` (pre-filter + partial MD5 from ``threshold`` up, F5).
-    ``digests`` (full_path, hash) replaces the content column for real files (A8 output).
+    ``digests`` (A8 output) replaces the content column for real files; when it carries the
+    candidates' columns it is used as is (it must then come from the candidates of ``mode``).
     Returns (full_path, size, created, hash). ``checkpoint=True`` writes it to the
     checkpoint folder so that callers using it twice (groups + members) hash once.
     """
-    cands = hash_eligible(inv) if mode == "full" else hash_candidates(inv)
     keep = ["full_path", "size", "created", "hash"] + [c for c in ("modified",) if c in inv.columns]
-    if digests is not None:
+    if digests is not None and all(c in digests.columns for c in keep):
+        # file digests carrying their candidates' columns: nothing to join back.
         # Unreadable files get an empty digest and take no part in grouping.
+        out = digests.where(F.col("hash") != "").select(*keep)
+        return materialize(out) if checkpoint else out
+    cands = hash_eligible(inv) if mode == "full" else hash_candidates(inv)
+    if digests is not None:
         out = cands.join(digests.select("full_path", "hash"), "full_path", "inner").where(F.col("hash") != "")
     else:
         # No filter on the digest here: Catalyst would push it below the size semi join and

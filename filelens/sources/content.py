@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schema import DIGEST_SCHEMA, PARTIAL_CHUNK, PARTIAL_THRESHOLD
 
@@ -58,18 +59,30 @@ def _digest_batches(mode: str, chunk: int, threshold: int):
                 except OSError as e:
                     hashes.append("")
                     errors.append(f"{type(e).__name__}: {e.strerror or e}")
-            yield pd.DataFrame({"full_path": pdf["full_path"], "size": pdf["size"],
-                                "hash": hashes, "error": errors})
+            out = pdf.copy()
+            out["hash"] = hashes
+            out["error"] = errors
+            yield out
     return run
 
 
+PASS_THROUGH = ("created", "modified")
+
+
 def file_digests(candidates: DataFrame, mode: str = "accurate", chunk: int = PARTIAL_CHUNK,
                  threshold: int = PARTIAL_THRESHOLD, partitions: int | None = None) -> DataFrame:
-    """(full_path, size, hash, error) for each candidate file; ``mode='fast'`` uses C18 from ``threshold`` up."""
+    """(full_path, size, [created, modified,] hash, error) for each candidate file.
+
+    ``mode='fast'`` uses C18 from ``threshold`` up. The candidates' ``created``/``modified``
+    columns are carried through, so grouping and primary choice need no join back.
+    """
     spark = candidates.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spread = candidates.select("full_path", "size").repartition(n, F.xxhash64("full_path"))
-    return spread.mapInPandas(_digest_batches(mode, chunk, threshold), DIGEST_SCHEMA)
+    extra = [c for c in PASS_THROUGH if c in candidates.columns]
+    spread = candidates.select("full_path", "size", *extra).repartition(n, F.xxhash64("full_path"))
+    fields = [DIGEST_SCHEMA["full_path"], DIGEST_SCHEMA["size"]] + \
+        [candidates.schema[c] for c in extra] + [DIGEST_SCHEMA["hash"], DIGEST_SCHEMA["error"]]
+    return spread.mapInPandas(_digest_batches(mode, chunk, threshold), T.StructType(fields))
 
 
 def _preview_batches(limit_bytes: int, chars: int, too_large: str, notice: str):
