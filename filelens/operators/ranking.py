@@ -22,11 +22,10 @@ _ID_BITS = 33  # monotonically_increasing_id puts the partition index above bit
 def rank_within(df: DataFrame, keys: list[str], order: list[str], out: str = "rank0",
                 partitions: int | None = None) -> DataFrame:
     """Adds ``out``: 0-based position of each row within ``keys`` ordered by ``order``."""
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (df.repartitionByRange(n, *keys, *order)
-                .sortWithinPartitions(*keys, *order)
-                .withColumn("_mid", F.monotonically_increasing_id()))
+    # without an explicit count AQE may merge small neighbouring ranges (order is kept)
+    ranged = (df.repartitionByRange(partitions, *keys, *order) if partitions
+              else df.repartitionByRange(*keys, *order))
+    ranged = ranged.sortWithinPartitions(*keys, *order).withColumn("_mid", F.monotonically_increasing_id())
     # Written to the checkpoint folder: the ids must not change between the two uses
     # below or when a lost executor's partition is recomputed.
     ranged = materialize(ranged)

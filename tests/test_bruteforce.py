@@ -235,3 +235,14 @@ def test_empty_inputs(spark):
     assert S.median_size(inv).first()[0] == 0
     assert S.totals(inv).first()["average_size"] == 0
     assert [r["file_count"] for r in S.size_histogram(inv).collect()] == [0] * 6
+
+
+def test_rank_within_default_partitions(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice(["hot", "hot", "a", "b"]), f"p{i:05d}") for i in range(2000)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "k string, p string")
+    got = {(r["k"], r["p"]): r["rank0"] for r in rank_within(df, ["k"], ["p"]).collect()}
+    for k in {"hot", "a", "b"}:
+        ps = sorted(p for kk, p in rows if kk == k)
+        assert [got[(k, p)] for p in ps] == list(range(len(ps)))
