@@ -6,13 +6,13 @@ Plan shape (accurate mode):
                                       └─ groupBy(size) count>1 ──┴─ left-semi on size
                                                                      → digest (above the semi join)
                                                                      → groupBy(size, hash) having n>1
-                                                                       (one aggregate: count + primary by min_by)
+                                                                       (hash aggregate: count, oldest creation)
 
 The digest is computed only for rows that survive the size semi join. Groups are
 keyed by (size, hash); the group id shown to users is the hash alone. Marking
-and primary choice use one aggregate joined back (no window), so a group that
-holds a third of all rows is never sorted inside one task: the aggregate is
-partial/final and AQE splits the skewed side of the join.
+and primary choice use aggregates joined back (no window), so a group that
+holds a third of all rows is never sorted inside one task: the aggregates are
+partial/final and AQE splits the skewed side of the joins.
 """
 
 from __future__ import annotations
@@ -99,11 +99,19 @@ def verify_groups(fast_digested: DataFrame, inv: DataFrame, content_col: str = "
     return out.select("full_path", "size", "created", "hash")
 
 
+def _created_key():
+    # a missing creation time sorts first, as in a (created, path) ordering
+    return F.coalesce(F.col("created"), F.lit("0001-01-01 00:00:00").cast("timestamp_ntz"))
+
+
 def group_stats(digested: DataFrame) -> DataFrame:
-    """one row per duplicate group with its primary (oldest created, then path)."""
+    """one row per duplicate group with its size, member count and oldest creation time.
+
+    Only fixed-width aggregates (count, min of a timestamp), so the partial and final steps
+    stay hash aggregates.
+    """
     return (digested.groupBy("size", "hash")
-            .agg(F.count(F.lit(1)).alias("file_count"),
-                 F.min_by("full_path", F.struct("created", "full_path")).alias("primary_path"))
+            .agg(F.count(F.lit(1)).alias("file_count"), F.min(_created_key()).alias("min_created"))
             .where(F.col("file_count") > 1))
 
 
@@ -124,9 +132,17 @@ def duplicate_summary(groups: DataFrame) -> DataFrame:
 
 
 def group_members(digested: DataFrame) -> DataFrame:
-    """members of duplicate groups with group id, primary flag and primary path."""
-    stats = group_stats(digested).select("size", "hash", "file_count", "primary_path")
-    members = digested.select("full_path", "size", "hash").join(stats, ["size", "hash"], "inner")
+    """members of duplicate groups with group id, primary flag and primary path.
+
+    The primary is the oldest member by creation time, ties broken by the smallest path: the
+    path is taken only among the members created at the group's oldest time (usually one).
+    """
+    stats = group_stats(digested).select("size", "hash", "file_count", "min_created")
+    members = (digested.select("full_path", "size", "hash", _created_key().alias("_ck"))
+               .join(stats, ["size", "hash"], "inner"))
+    primaries = (members.where(F.col("_ck") == F.col("min_created"))
+                 .groupBy("size", "hash").agg(F.min("full_path").alias("primary_path")))
+    members = members.join(primaries, ["size", "hash"], "inner")
     is_primary = F.col("full_path") == F.col("primary_path")
     return members.select(
         "full_path", "size", "hash",
