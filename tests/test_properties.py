@@ -128,3 +128,16 @@ def test_search_is_literal_not_a_pattern(spark):
     assert [r[0] for r in FL.find_files(inv, "A_B", "name").select("full_path").collect()] == ["/a/a_b.txt"]
     assert [r[0] for r in FL.find_files(inv, "%B", "name").select("full_path").collect()] == ["/a/a%b.TXT"]
     assert FL.search(inv, "  \t ").count() == 3
+
+
+def test_stored_inventory_is_path_ordered_and_complete(spark):
+    import tempfile
+    from filelens.sinks.inventory_table import read_inventory, write_inventory
+    inv = X.inv_orders(spark, SF_SMALL)
+    path = write_inventory(inv, tempfile.mkdtemp(prefix="filelens-inv-") + "/inv", partitions=4)
+    back = read_inventory(spark, path)
+    assert back.count() == inv.count() and "content" not in back.columns
+    # each file covers a path range: the per-file ranges do not overlap
+    ranges = sorted((r["lo"], r["hi"]) for r in back.groupBy(F.input_file_name().alias("f"))
+                    .agg(F.min("full_path").alias("lo"), F.max("full_path").alias("hi")).collect())
+    assert all(a[1] < b[0] for a, b in zip(ranges, ranges[1:]))
