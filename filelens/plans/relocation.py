@@ -263,3 +263,17 @@ def plan_selection(inv: DataFrame, selection: DataFrame, action: str, destinatio
     else:
         raise ValueError("action must be 'move', 'copy' or 'stage'")
     return planned.unionByName(failed_rows(rows, action))
+
+
+def inventory_after_moves(inv: DataFrame, manifest: DataFrame) -> DataFrame:
+    """K1: the inventory with moved rows at their new path (name and folder follow); copies,
+    failed rows and staged rows are handled by the caller (copies leave the inventory as is,
+    staged rows leave it: ``filters.remove_paths``)."""
+    moves = (manifest.where(F.col("action") == "move")
+             .select(F.col("source").alias("full_path"), F.col("target").alias("_target")))
+    out = inv.join(moves, "full_path", "left")
+    new_path = F.coalesce(F.col("_target"), F.col("full_path"))
+    return (out.withColumn("full_path", new_path)
+               .withColumn("name", C.file_name("full_path"))
+               .withColumn("directory", C.parent_directory("full_path"))
+               .drop("_target"))

@@ -141,3 +141,14 @@ def test_stored_inventory_is_path_ordered_and_complete(spark):
     ranges = sorted((r["lo"], r["hi"]) for r in back.groupBy(F.input_file_name().alias("f"))
                     .agg(F.min("full_path").alias("lo"), F.max("full_path").alias("hi")).collect())
     assert all(a[1] < b[0] for a, b in zip(ranges, ranges[1:]))
+
+
+def test_inventory_after_moves(spark):
+    from filelens.plans import relocation as R
+    docs = X.inv_docs(spark, SF_SMALL, with_content=False).select("full_path", "name", "directory", "size")
+    plan = R.move_plan(docs.where(F.col("size") > 3000), "/moved")
+    after = R.inventory_after_moves(docs, plan)
+    assert after.count() == docs.count()
+    moved = after.where(F.col("directory") == "/moved").count()
+    assert moved == docs.where(F.col("size") > 3000).count()
+    assert after.select("full_path").distinct().count() == docs.count()
