@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, line_frequency, near_dedup, token_files
+from . import language_id, line_frequency, near_dedup, piece_lattice, source_mixing, token_files
 from .common import documents
 
 
@@ -26,11 +26,21 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.op6(documents(spark, sf_dir))
 
 
+def op8_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_lattice.op8(documents(spark, sf_dir))
+
+
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mixing.op10(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_frequency": op1_line_frequency,
     "op2_near_dedup": op2_near_dedup,
     "op4_token_files": op4_token_files,
     "op6_language_id": op6_language_id,
+    "op8_piece_lattice": op8_piece_lattice,
+    "op10_source_mixing": op10_source_mixing,
 }
 
 ORACLE: dict[str, str] = {}
