@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, line_frequency, near_dedup, piece_lattice, source_mixing, token_files
+from . import language_id, line_frequency, near_dedup, paragraph_sketch, piece_lattice, source_mixing, token_files
 from .common import documents
 
 
@@ -30,6 +30,10 @@ def op8_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_lattice.op8(documents(spark, sf_dir))
 
 
+def op9_paragraph_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_sketch.op9(documents(spark, sf_dir))
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mixing.op10(documents(spark, sf_dir))
 
@@ -40,6 +44,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_files": op4_token_files,
     "op6_language_id": op6_language_id,
     "op8_piece_lattice": op8_piece_lattice,
+    "op9_paragraph_sketch": op9_paragraph_sketch,
     "op10_source_mixing": op10_source_mixing,
 }
 
