@@ -9,13 +9,14 @@ Steps, none of which pairs up a whole group:
 
 1. sets that are equal (128-bit signature and size) form a class; its smallest doc_id stands for it;
 2. in each band bucket the member whose band buckets are the most popular is the hub; every other
-   member is a candidate with the hub only. An original with thousands of edited copies is the hub of
-   their buckets, so this is linear where "all pairs" is not;
-3. candidates that the sketch screen (``SCREEN`` is five standard errors below the limit) does not rule out
-   are tested exactly on their whole texts; accepted links are joined to components;
-4. in buckets that still hold several components, the members outside the hub's component are paired
-   with all members of other components, and tested likewise. After this no colliding pair of different
-   components is left untested, so components are those of all links.
+   member is tested with the hub only, exactly and on whole texts. An original with thousands of edited copies is
+   the hub of their buckets, so this is linear where "all pairs" is not. Links are joined to components;
+3. members of one hub in different components may still be linked. Two sets that share ``LIMIT`` percent must share an
+   element among the first n - ceil(n * LIMIT / 100) + 1 of each in any common order (prefix filter). The order taken
+   has what the hub does not hold first: copies edited in different places then share nothing in front. Those whose
+   prefix reaches into the hub's elements are paired only if their sizes and shares with the hub allow a link. Both are exact;
+4. the pairs left pass the sketch screen (``SCREEN`` is five standard errors below the limit) and the exact test. After
+   this no colliding pair of different components is left open, so components are those of all links.
 
 A pair at the limit of 0.8 shares no band with probability (1 - 0.8^4)^24 < 4e-6.
 
@@ -125,40 +126,60 @@ def _screened(most: int):
     return run
 
 
-def _linked(width: int, limit: int):
-    def run(batches):
-        last: dict[bytes, np.ndarray] = {}
+def _cached_sets(width: int):
+    last: dict[bytes, np.ndarray] = {}
+
+    def of(raw: bytes) -> np.ndarray:
+        if raw not in last:
+            if len(last) > 64:
+                last.clear()
+            last[raw] = shingles([raw], width)[0]
+        return last[raw]
+    return of
 
-        def of(raw: bytes) -> np.ndarray:
-            if raw not in last:
-                if len(last) > 64:
-                    last.clear()
-                last[raw] = shingles([raw], width)[0]
-            return last[raw]
 
+def _passes(both: int, n: int, m: int, limit: int) -> bool:
+    return both > 0 and 100 * both >= limit * (n + m - both)
+
+
+def _linked(width: int, limit: int):
+    def run(batches):
+        of = _cached_sets(width)
         for batch in batches:
             keep = []
             for x, y in zip(raw_texts(batch.column(2)), raw_texts(batch.column(3))):
                 s, t = of(x), of(y)
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                keep.append(100 * both >= limit * (len(s) + len(t) - both) and both > 0)
+                keep.append(_passes(len(np.intersect1d(s, t, assume_unique=True)), len(s), len(t), limit))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep))
     return run
 
 
-def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, limit: int) -> DataFrame:
-    """The pairs that pass the sketch screen and then the exact test on whole texts."""
-    sketches = reps.select("doc_id", "sketch")
-    near = (pairs.join(sketches.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sa")), "a")
-            .join(sketches.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sb")), "b")
-            .select("a", "b", "sa", "sb").mapInArrow(_screened(sketch_distance_limit()), "a long, b long"))
-    near = materialize(near)
-    ids = near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct()
-    texts = materialize(docs.join(ids, "doc_id", "left_semi"))
-    both = (near.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-            .join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-            .select("a", "b", "ta", "tb"))
-    return materialize(both.mapInArrow(_linked(width, limit), "a long, b long"))
+_RELATIVE = "hub long, doc_id long, linked boolean, n long, in_hub long, reach boolean, prefix array<long>"
+
+
+def _relative(width: int, limit: int):
+    """Of (hub, doc_id, hub's text, text): whether they are linked, and the document's prefix in the hub's order."""
+    def run(batches):
+        of = _cached_sets(width)
+        schema = schema_of(_RELATIVE)
+        for batch in batches:
+            out: list[list] = [[], [], [], [], []]
+            for x, y in zip(raw_texts(batch.column(2)), raw_texts(batch.column(3))):
+                h, s = of(x), of(y)
+                own = np.setdiff1d(s, h, assume_unique=True)
+                both = len(s) - len(own)
+                need = len(s) + limit * len(s) // -100 + 1
+                for col, v in zip(out, [_passes(both, len(s), len(h), limit), len(s), both, len(own) < need, signed(own[:need])]):
+                    col.append(v)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:2], *(pa.array(c, schema.field(i + 2).type) for i, c in enumerate(out))], schema=schema)
+    return run
+
+
+def _with_texts(pairs: DataFrame, texts: DataFrame, a: str, b: str) -> DataFrame:
+    """a, b and their texts. Sort-merge joins: a side's size is not known beforehand, and hot keys can be split."""
+    return (pairs.join(texts.select(F.col("doc_id").alias(b), F.col("text").alias("tb")).hint("merge"), b)
+            .join(texts.select(F.col("doc_id").alias(a), F.col("text").alias("ta")).hint("merge"), a).select(a, b, "ta", "tb"))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = WIDTH,
@@ -179,23 +200,35 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
     shared = materialize(rows.join(sizes, "bucket"))
     fame = shared.groupBy("doc_id").agg(F.sum("size").alias("fame"))
     famed = shared.join(fame, "doc_id")
-    hubs = famed.groupBy("bucket").agg(F.max(F.struct("fame", -F.col("doc_id"))).alias("top")).select(
-        "bucket", (-F.col("top").getItem("col2")).alias("hub"))
-    member = materialize(shared.join(hubs, "bucket").select("bucket", "doc_id", "hub"))
-    star = member.where("doc_id <> hub").select(
-        F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
-    links = _confirmed(star, reps, docs, width, limit)
-
-    # what the hubs did not join: members of other components than the hub's
-    label = components(links)
-    placed = member.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn(
-        "label", F.coalesce("label", "doc_id"))
-    of_hub = placed.where("doc_id = hub").select("bucket", F.col("label").alias("hub_label"))
-    placed = materialize(placed.join(of_hub, "bucket"))
-    odd = placed.where("label <> hub_label").select("bucket", F.col("doc_id").alias("x"), F.col("label").alias("lx"))
-    rest = odd.join(placed.where("doc_id <> hub"), "bucket").where("lx <> label").select(
-        F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b")).distinct()
-    more = _confirmed(rest, reps, docs, width, limit)
+    hubs = famed.groupBy("bucket").agg(F.max(F.struct("fame", (-F.col("doc_id")).alias("minus"))).alias("top")).select(
+        "bucket", (-F.col("top.minus")).alias("hub"))
+    star = materialize(shared.join(hubs, "bucket").where("doc_id <> hub").select("hub", "doc_id").distinct())
+    ids = star.select("doc_id").union(star.select("hub")).distinct()
+    texts = materialize(docs.join(ids.hint("merge"), "doc_id", "left_semi"))
+    relative = materialize(_with_texts(star, texts, "hub", "doc_id").mapInArrow(_relative(width, limit), _RELATIVE))
+    links = relative.where("linked").select(F.col("hub").alias("a"), F.col("doc_id").alias("b"))
+
+    # members of a hub that lie in other components than the hub, with the hub's other members
+    label = materialize(components(links))
+    placed = relative.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").join(
+        label.select(F.col("node").alias("hub"), F.col("label").alias("hub_label")), "hub", "left")
+    placed = placed.withColumn("label", F.coalesce("label", "doc_id")).withColumn("hub_label", F.coalesce("hub_label", "hub"))
+    mixed = placed.where("label <> hub_label").select("hub").distinct()
+    placed = materialize(placed.join(mixed, "hub", "left_semi"))
+    odd = placed.where("label <> hub_label")
+    pair = [F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b")]
+    apart = odd.select("hub", F.col("doc_id").alias("x"), F.col("label").alias("lx"), F.explode("prefix").alias("s")).join(
+        placed.select("hub", "doc_id", "label", F.explode("prefix").alias("s")), ["hub", "s"]).where("lx <> label").select(*pair)
+    within = odd.where("reach").select("hub", F.col("doc_id").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"), F.col("in_hub").alias("hx"))
+    most = F.least("hx", "in_hub")
+    within = within.join(placed.where("reach").select("hub", "doc_id", "label", "n", "in_hub"), "hub").where(
+        (F.col("lx") != F.col("label")) & (100 * most >= limit * (F.col("nx") + F.col("n") - most))).select(*pair)
+    rest = apart.union(within).distinct()
+    sketches = reps.select("doc_id", "sketch")
+    near = (rest.join(sketches.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sa")), "a")
+            .join(sketches.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sb")), "b")
+            .select("a", "b", "sa", "sb").mapInArrow(_screened(sketch_distance_limit()), "a long, b long"))
+    more = materialize(_with_texts(materialize(near), texts, "a", "b").mapInArrow(_linked(width, limit), "a long, b long"))
 
     links = links.union(more)
     if key_shared := sets.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
