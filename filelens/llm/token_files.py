@@ -19,6 +19,7 @@ in the order of a text hash; other columns are ignored.
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import re
 import uuid
@@ -34,10 +35,12 @@ from .common import CHUNK_BYTES
 
 END_ID = 2
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 16 << 20, 256 << 10, 512
-MEMO_PIECES = 1_000_000
+MEMO_PIECES = 600_000
 
-_CUT = re.compile(r"(?<=[^\s᠎]) (?=[^\s᠎])")
-_ODD = re.compile(r"  | [\n\t\r]|[\n\t\r] |[^\S \n\t\r]|᠎")
+_CUT = re.compile(r"(?<=[^\s\u180e]) (?=[^\s\u180e])")
+# white space other than space, tab and line ends
+_RARE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_BESIDE = ("  ", " \n", "\n ", " \t", "\t ", " \r", "\r ")
 _TAIL = ".,!?;:|"
 
 
@@ -48,7 +51,7 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
 
 def pieces(text: str) -> list[str]:
     """The text cut at single spaces that stand between two characters other than white space."""
-    if _ODD.search(text) or text[:1] == " " or text[-1:] == " ":
+    if text[:1] == " " or text[-1:] == " " or any(x in text for x in _BESIDE) or _RARE.search(text):
         return _CUT.split(text)
     return text.split(" ")
 
@@ -64,39 +67,62 @@ class Encoder:
         self.first: dict[str, bytes] = {}
         self.rest: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
+        # bytes of each id: a byte-level vocabulary spells one byte as one character
+        self.width = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.tokenizer.get_vocab_size())])
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes()
                 for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, missing: list[str]) -> None:
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of words that follow a space, many a call: the ids are cut where the words' bytes end."""
+        out: list[bytes] = []
+        texts = [words[i:i + 1000] for i in range(0, len(words), 1000)]
+        for part, e in zip(texts, self.tokenizer.encode_batch_fast([" " + " ".join(t) for t in texts], add_special_tokens=False)):
+            ids = np.array(e.ids, dtype="<u4")
+            ends = np.cumsum([len(w.encode()) + 1 for w in part])
+            at = [0, *(np.searchsorted(np.cumsum(self.width[ids]), ends) + 1).tolist()]
+            raw = ids.tobytes()
+            out += [raw[4 * i:4 * j] for i, j in zip(at, at[1:])]
+        return out
+
+    def _learn(self, missing: set[str]) -> None:
         """Pieces that follow a space. A letter before closing marks ends a token, so the part before is shared."""
         head = {}
         for p in missing:
             core = p.rstrip(_TAIL)
             head[p] = core if core and core[-1].isalpha() else p
-        new = sorted({h for h in head.values() if h not in self.rest})
-        self.rest.update(zip(new, self._encode([" " + h for h in new])))
+        new = [h for h in set(head.values()) if h not in self.rest]
+        other = [h for h in new if h[0].isspace() or h[-1].isspace() or "\u180e" in h]
+        words = list(set(new).difference(other)) if other else new
+        self.rest.update(zip(words, self._encode_words(words)))
+        self.rest.update(zip(other, self._encode([" " + h for h in other])))
         tails = sorted({p[len(h):] for p, h in head.items()} - self.tails.keys())
         self.tails.update(zip(tails, self._encode(tails)))
         for p, h in head.items():
             if h != p:
                 self.rest[p] = self.rest[h] + self.tails[p[len(h):]]
 
+    def _forget(self) -> None:
+        """Keeps what came first, which is the most frequent part, when the memo is full."""
+        if len(self.rest) > MEMO_PIECES:
+            self.rest = dict(itertools.islice(self.rest.items(), MEMO_PIECES // 2))
+        if len(self.first) > MEMO_PIECES // 8:
+            self.first.clear()
+        if len(self.tails) > MEMO_PIECES // 8:
+            self.tails.clear()
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.rest) > MEMO_PIECES or len(self.first) > MEMO_PIECES // 4:
-            self.first.clear(), self.rest.clear(), self.tails.clear()
+        self._forget()
         cut = [pieces(t) for t in texts]
-        heads = sorted({c[0] for c in cut} - self.first.keys())
-        self.first.update(zip(heads, self._encode(heads)))
-        missing = set()
-        for c in cut:
-            missing.update(c[1:])
-        missing -= self.rest.keys()
+        heads = [c.pop(0) for c in cut]
+        new = sorted(set(heads) - self.first.keys())
+        self.first.update(zip(new, self._encode(new)))
+        missing = set(itertools.chain.from_iterable(cut)) - self.rest.keys()
         if missing:
-            self._learn(list(missing))
+            self._learn(missing)
         look = self.rest.__getitem__
-        return [self.first[c[0]] + b"".join(map(look, c[1:])) for c in cut]
+        return [self.first[h] + b"".join(map(look, c)) for h, c in zip(heads, cut)]
 
 
 @functools.cache
@@ -151,9 +177,10 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                      F.col("_metadata.row_index").alias("row_no"))
 
 
-def offsets(table: DataFrame) -> DataFrame:
-    """Adds ``start``: the number of ids in all rows before, by file number and row number."""
-    files = table.groupBy("file_no").agg(F.sum("n_tokens").alias("file_tokens"))
+def offsets(table: DataFrame, lengths: DataFrame) -> DataFrame:
+    """Adds ``start``: the number of ids in all rows before, by file number and row number. ``lengths`` is the
+    table as read, of which only the length column is."""
+    files = lengths.groupBy("file_no").agg(F.sum("n_tokens").alias("file_tokens"))
     before = Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
     files = files.select("file_no", F.coalesce(F.sum("file_tokens").over(before), F.lit(0)).alias("file_start"))
     inside = Window.partitionBy("file_no").orderBy("row_no").rowsBetween(Window.unboundedPreceding, -1)
@@ -178,4 +205,4 @@ def op4(docs: DataFrame) -> DataFrame:
     table = read(spark, write(docs, folder))
     sums = table.select("doc_id", "n_tokens", "ids", "file_no", "row_no").mapInArrow(
         _checksums, "doc_id long, n_tokens long, n_ids long, ids_crc32 long, file_no long, row_no long")
-    return offsets(sums).select("doc_id", "start", F.col("n_ids").alias("n_tokens"), "ids_crc32")
+    return offsets(sums, table).select("doc_id", "start", F.col("n_ids").alias("n_tokens"), "ids_crc32")
