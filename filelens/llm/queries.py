@@ -6,7 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, line_frequency, near_dedup, paragraph_sketch, piece_lattice, source_mixing, token_files
+from . import (
+    language_id,
+    line_frequency,
+    near_dedup,
+    paragraph_sketch,
+    personal_data,
+    piece_lattice,
+    repeated_bytes,
+    source_mixing,
+    token_files,
+)
 from .common import documents
 
 
@@ -22,10 +32,18 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.op4(documents(spark, sf_dir))
 
 
+def op5_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_bytes.op5(documents(spark, sf_dir))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.op6(documents(spark, sf_dir))
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.op7(documents(spark, sf_dir))
+
+
 def op8_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_lattice.op8(documents(spark, sf_dir))
 
@@ -42,7 +60,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_frequency": op1_line_frequency,
     "op2_near_dedup": op2_near_dedup,
     "op4_token_files": op4_token_files,
+    "op5_repeated_bytes": op5_repeated_bytes,
     "op6_language_id": op6_language_id,
+    "op7_personal_data": op7_personal_data,
     "op8_piece_lattice": op8_piece_lattice,
     "op9_paragraph_sketch": op9_paragraph_sketch,
     "op10_source_mixing": op10_source_mixing,
