@@ -8,9 +8,9 @@ differing digests of both sides are known exactly, and likeness is 2 x common /
 pair is sketched again in a larger table (independent parts of PART_CELLS cells, ``PART_LOAD`` digests each, then
 half the load and new hashes every time) and only the failed pairs go on.
 
-Plan: a document's neighbour needs only its first characters, so texts pass one shuffle, on the id, and prefixes another.
-Cells are made by exploding digests and one hash aggregate (sum, XOR), linear in the digests, and partitioned like the
-texts; peeling works on parts of bounded size, so a long text is many small parts.
+Plan: a document's neighbour needs only its first characters and digests, so texts pass one shuffle, on the id, and these another.
+Sketches, their difference and the peeling are expressions on a row's digest arrays: no row is multiplied and nothing is shuffled for
+them. Parts have a bounded size, so a long text is many small parts. Only rows with a stuck side are read again.
 
 Defined cases: a null text is empty; two texts without paragraphs are alike (1); the next of the last document is the first,
 a single document is its own next; ids sort with nulls first, then by a text hash. Identical rows stand for one document in that
@@ -48,22 +48,32 @@ def _check(u) -> Column:
     return F.xxhash64(u, F.lit("check"))
 
 
-def _cell_rows(items: DataFrame, keys: list[str], cells: int, salt: int) -> DataFrame:
-    """Cells of sketches: items has the keys, ``u`` (digest) and ``sign``. One hash aggregate."""
-    rows = items.select(*keys, "sign", "u", _check("u").alias("c"), F.explode(_places("u", cells, salt)).alias("cell"))
-    return rows.groupBy(*keys, "cell").agg(F.sum("sign").alias("n"), F.bit_xor("u").alias("x"), F.bit_xor("c").alias("y"))
-
-
 def _let(value: Column, body) -> Column:
     """``body`` of a value that is computed once."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _peel(cells: Column, size: int, salt: int) -> Column:
-    """Peels an array of (cell, n, x, y); gives (left, plus, minus): unresolved cells and the digests found by side."""
+def _filled(c: Column) -> Column:
+    return (c["n"] != 0) | (c["x"] != 0) | (c["y"] != 0)
+
+
+def _table(items: Column, size: int, salt: int) -> Column:
+    """The filled cells (cell, n, x, y) of an array of (u, sign)."""
+    placed = F.transform(items, lambda i: F.struct(i["u"].alias("u"), i["sign"].alias("sign"), _check(i["u"]).alias("c"),
+                                                   _places(i["u"], size, salt).alias("at")))
+    zero = F.lit(0).cast("bigint")
 
-    def filled(c: Column) -> Column:
-        return (c["n"] != 0) | (c["x"] != 0) | (c["y"] != 0)
+    def cell(all_: Column, c: Column) -> Column:
+        return _let(F.filter(all_, lambda i: F.array_contains(i["at"], c)), lambda mine: F.struct(
+            c.alias("cell"), F.aggregate(mine, zero, lambda a, i: a + i["sign"]).alias("n"),
+            F.aggregate(mine, zero, lambda a, i: a.bitwiseXOR(i["u"])).alias("x"),
+            F.aggregate(mine, zero, lambda a, i: a.bitwiseXOR(i["c"])).alias("y")))
+
+    return _let(placed, lambda all_: F.filter(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda c: cell(all_, c)), _filled))
+
+
+def _peel(cells: Column, size: int, salt: int) -> Column:
+    """Peels an array of filled cells; gives (left, plus, minus): unresolved cells and the digests found by side."""
 
     def pure(c: Column) -> Column:
         return (F.abs(c["n"]) == 1) & (_check(c["x"]) == c["y"])
@@ -80,58 +90,56 @@ def _peel(cells: Column, size: int, salt: int) -> Column:
         found = F.array_distinct(F.transform(F.filter(state["left"], pure), lambda c: F.struct(
             c["x"].alias("x"), c["n"].alias("n"), c["y"].alias("y"), _places(c["x"], size, salt).alias("at"))))
         return _let(found, lambda f: F.when(F.size(f) == 0, state).otherwise(F.struct(
-            F.filter(F.transform(state["left"], lambda c: without(c, f)), filled).alias("left"),
+            F.filter(F.transform(state["left"], lambda c: without(c, f)), _filled).alias("left"),
             F.concat(state["plus"], F.transform(F.filter(f, lambda p: p["n"] > 0), lambda p: p["x"])).alias("plus"),
             F.concat(state["minus"], F.transform(F.filter(f, lambda p: p["n"] < 0), lambda p: p["x"])).alias("minus"))))
 
     none = F.array().cast("array<bigint>")
-    start = F.struct(F.filter(cells, filled).alias("left"), none.alias("plus"), none.alias("minus"))
     # every round that changes anything finds a digest, and a table decodes at most as many as it has cells
-    return F.aggregate(F.sequence(F.lit(1), F.lit(size)), start, step)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(size)), F.struct(cells.alias("left"), none.alias("plus"), none.alias("minus")), step)
+
+
+def _signed(units: Column, sign: int) -> Column:
+    return F.transform(units, lambda u: F.struct(u.alias("u"), F.lit(sign).alias("sign")))
+
+
+def attempt(a: Column, b: Column, n: int) -> Column:
+    """(stuck, plus, minus) of the difference of two digest arrays at the n-th size; n = 0: the tables that are the fingerprints."""
+    both = F.concat(_signed(a, 1), _signed(b, -1))
+    if n == 0:
+        return _let(_peel(_table(both, CELLS, 0), CELLS, 0), lambda r: F.struct(
+            (F.size(r["left"]) > 0).alias("stuck"), r["plus"].alias("plus"), r["minus"].alias("minus")))
+    load = max(4, PART_LOAD >> (n - 1))
+    parts = F.greatest(F.ceil((F.size(a) + F.size(b)) / load).cast("int"), F.lit(1))
+
+    def result(all_: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), parts - 1), lambda p: _peel(_table(F.filter(
+            all_, lambda i: F.pmod(F.xxhash64(i["u"], F.lit(f"part{n}")), parts) == p), PART_CELLS, n), PART_CELLS, n))
+
+    return _let(_let(both, result), lambda r: F.struct(
+        F.exists(r, lambda x: F.size(x["left"]) > 0).alias("stuck"), F.flatten(F.transform(r, lambda x: x["plus"])).alias("plus"),
+        F.flatten(F.transform(r, lambda x: x["minus"])).alias("minus")))
+
+
+def decoded(a: Column, b: Column) -> Column:
+    """The first attempt that is not stuck, of the first two."""
+    return _let(attempt(a, b, 0), lambda r: F.when(r["stuck"], attempt(a, b, 1)).otherwise(r))
 
 
 def differing(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """Of pairs (keys, a, b: digest arrays) the decoded difference: keys, plus (only in a), minus (only in b)."""
-    done = None
-    attempt, load = 0, PART_LOAD
-    while True:
-        if attempt == 0:  # the tables that are the fingerprints
-            parts, size, salt = F.lit(1), CELLS, 0
-        else:
-            parts, size, salt = F.ceil((F.size("a") + F.size("b")) / load).cast("int"), PART_CELLS, attempt
-        both = pairs.select(*keys, F.greatest(parts, F.lit(1)).alias("parts"), F.explode(F.concat(
-            F.transform("a", lambda u: F.struct(u.alias("u"), F.lit(1).alias("sign"))),
-            F.transform("b", lambda u: F.struct(u.alias("u"), F.lit(-1).alias("sign"))))).alias("i"))
-        both = both.select(*keys, F.col("i.u").alias("u"), F.col("i.sign").alias("sign"),
-                           F.pmod(F.xxhash64("i.u", F.lit(f"part{salt}")), F.col("parts")).alias("part"))
-        cells = _cell_rows(both, [*keys, "part"], size, salt).groupBy(*keys, "part").agg(
-            F.collect_list(F.struct("cell", "n", "x", "y")).alias("cells"))  # at most ``size`` cells
-        peeled = cells.select(*keys, _peel(F.col("cells"), size, salt).alias("p")).select(
-            *keys, (F.size("p.left") > 0).alias("stuck"), "p.plus", "p.minus")
-        got = peeled.groupBy(*keys).agg(F.max("stuck").alias("stuck"), F.flatten(F.collect_list("plus")).alias("plus"),
-                                        F.flatten(F.collect_list("minus")).alias("minus"))
-        got = materialize(got.select(*keys, "stuck", F.when(~F.col("stuck"), F.col("plus")).alias("plus"),
-                                     F.when(~F.col("stuck"), F.col("minus")).alias("minus")))
-        good = got.where(~F.col("stuck")).drop("stuck")
-        done = good if done is None else done.unionByName(good)
-        if not got.where("stuck").limit(1).count():
-            return done
-        pairs = pairs.join(got.where("stuck").select(*keys), keys, "left_semi")
-        attempt += 1
-        load = max(4, load // 2) if attempt > 1 else load
-
-
-def _hex_table(cells: Column) -> Column:
-    """A sketch as text: its filled cells in order."""
-    return F.array_join(F.transform(F.array_sort(cells), lambda c: F.concat_ws(
-        ".", F.lpad(F.hex(c.cell), 2, "0"), F.hex(c.n), F.lpad(F.hex(c.x), 16, "0"), F.lpad(F.hex(c.y), 16, "0"))), "")
-
-
-def fingerprints(digests: DataFrame, keys: list[str]) -> DataFrame:
-    """keys and the fingerprint of the digest array ``a``; '' for no paragraphs."""
-    items = digests.select(*keys, F.explode("a").alias("u"), F.lit(1).alias("sign"))
-    cells = _cell_rows(items, keys, CELLS, 0).groupBy(*keys).agg(F.collect_list(F.struct("cell", "n", "x", "y")).alias("cells"))
-    return cells.select(*keys, _hex_table(F.col("cells")).alias("fingerprint"))
+    got = materialize(pairs.select(*keys, "a", "b", decoded(F.col("a"), F.col("b")).alias("r")))
+    done, n = got.where("not r.stuck").select(*keys, "r.plus", "r.minus"), 2
+    while got.where("r.stuck").limit(1).count():
+        got = materialize(got.where("r.stuck").select(*keys, "a", "b", attempt(F.col("a"), F.col("b"), n).alias("r")))
+        done, n = done.unionByName(got.where("not r.stuck").select(*keys, "r.plus", "r.minus")), n + 1
+    return done
+
+
+def fingerprint(units: Column) -> Column:
+    """The sketch of a digest array as text: its filled cells in order; '' for no paragraphs."""
+    return F.array_join(F.transform(_table(_signed(units, 1), CELLS, 0), lambda c: F.concat_ws(
+        ".", F.lpad(F.hex(c["cell"]), 2, "0"), F.hex(c["n"]), F.lpad(F.hex(c["x"]), 16, "0"), F.lpad(F.hex(c["y"]), 16, "0"))), " ")
 
 
 def likeness(size_a: Column, size_b: Column, n_differing: Column) -> Column:
@@ -150,40 +158,37 @@ def op9(docs: DataFrame) -> DataFrame:
     before = ranked.select(((F.col("place") + 1) % F.lit(max(total, 1))).alias("place"), F.col("k").alias("prev_k"), F.col("th").alias("prev_th"),
                            F.floor(F.col("n_chars") / 4).cast("int").alias("take"))
     asks = ranked.select("place", *_KEY).join(before, "place").drop("place")
-    texts = base.drop("doc_id")
-    gives = texts.join(asks, _KEY).select(
+    gives = base.join(asks.hint("merge"), _KEY).select(
         F.col("prev_k").alias("k"), F.col("prev_th").alias("th"), F.substring("text", F.lit(1), F.col("take")).alias("head"),
         paragraphs(F.col("text")).alias("next_units"))
     if rows != total:  # identical rows: one of them gives its head
         gives = gives.dropDuplicates(_KEY)
-        base = base.dropDuplicates(["doc_id", *_KEY])
     n = F.char_length("text")
     edited = F.concat(F.substring("text", F.lit(1), n - F.floor(n / 4).cast("int")), F.col("head"))
-    state = base.join(gives, _KEY).select("doc_id", *_KEY, n.cast("long").alias("n_chars"), "text", edited.alias("edited"), "next_units")
-    state = materialize(state.select(
-        "doc_id", *_KEY, "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
-        paragraphs(F.col("text")).alias("units"), paragraphs(F.col("edited")).alias("edited_units"), "next_units"))
-    # side 0: own text against the edited one; side 1: against the next document
-    sides = state.select(*_KEY, F.col("units").alias("a"), F.explode(F.array(
-        F.struct(F.lit(0).alias("side"), F.col("edited_units").alias("b")),
-        F.struct(F.lit(1).alias("side"), F.col("next_units").alias("b")))).alias("s")).select(
-        *_KEY, F.col("s.side").alias("side"), "a", F.col("s.b").alias("b"))
-    found = differing(sides, [*_KEY, "side"]).select(*_KEY, "side", (F.size("plus") + F.size("minus")).alias("d"))
-    found = found.groupBy(*_KEY).agg(F.max(F.when(F.col("side") == 0, F.col("d"))).alias("d_edited"),
-                                     F.max(F.when(F.col("side") == 1, F.col("d"))).alias("d_next"))
-    prints = state.select(*_KEY, F.explode(F.array(
-        F.struct(F.lit(0).alias("side"), F.col("units").alias("a")), F.struct(F.lit(1).alias("side"), F.col("edited_units").alias("a")))).alias("s")
-        ).select(*_KEY, F.col("s.side").alias("side"), F.col("s.a").alias("a"))
-    prints = fingerprints(prints, [*_KEY, "side"]).groupBy(*_KEY).agg(
-        F.max(F.when(F.col("side") == 0, F.col("fingerprint"))).alias("fingerprint"),
-        F.max(F.when(F.col("side") == 1, F.col("fingerprint"))).alias("edited_fingerprint"))
-    out = (state.select("doc_id", *_KEY, "n_chars", "edited_sha256", F.size("units").alias("n"), F.size("edited_units").alias("ne"),
-                        F.size("next_units").alias("nn")).join(prints, _KEY, "left").join(found, _KEY, "left"))
-    zero = F.lit(0)
-    out = out.select("doc_id", *_KEY, "n_chars", "edited_sha256", F.coalesce("fingerprint", F.lit("")).alias("fingerprint"),
-                     F.coalesce("edited_fingerprint", F.lit("")).alias("edited_fingerprint"),
-                     likeness(F.col("n"), F.col("ne"), F.coalesce("d_edited", zero)).alias("near_edited"),
-                     likeness(F.col("n"), F.col("nn"), F.coalesce("d_next", zero)).alias("near_next"))
-    if rows != total:
-        out = out.join(ranked.select(*_KEY, "copies"), _KEY).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    state = base.join(gives.hint("merge"), _KEY).select(
+        "doc_id", n.cast("long").alias("n_chars"), F.sha2(F.encode(edited, "UTF-8"), 256).alias("edited_sha256"),
+        paragraphs(F.col("text")).alias("units"), paragraphs(edited).alias("edited_units"), "next_units")
+    sides = {"edited": "edited_units", "next": "next_units"}
+    kept = [f"r_{s}" for s in sides]
+    stuck = F.col("r_edited.stuck") | F.col("r_next.stuck")
+    state = state.select("doc_id", "n_chars", "edited_sha256", fingerprint(F.col("units")).alias("fingerprint"),
+                         fingerprint(F.col("edited_units")).alias("edited_fingerprint"), "units", *sides.values(),
+                         *[decoded(F.col("units"), F.col(u)).alias(f"r_{s}") for s, u in sides.items()])
+    # digests are kept of rows that go on; the others need only their numbers
+    state = state.withColumns({f"n_{u}": F.size(u) for u in ["units", *sides.values()]})
+    slim = [F.struct(F.col(r).getField("stuck").alias("stuck"), (F.size(F.col(r).getField("plus")) + F.size(F.col(r).getField("minus"))).alias("d"))
+            .alias(r) for r in kept]
+    names = [c for c in state.columns if c not in kept]
+    digests = ["units", *sides.values()]
+    state = materialize(state.select(*[F.when(stuck, F.col(c)).alias(c) if c in digests else c for c in names], *slim))
+    done, n_attempt = state.where(~stuck).drop(*digests), 2
+    left = state.where(stuck)
+    while left.limit(1).count():
+        again = [F.when(F.col(f"r_{s}.stuck"), _let(attempt(F.col("units"), F.col(u), n_attempt), lambda r: F.struct(
+            r["stuck"].alias("stuck"), (F.size(r["plus"]) + F.size(r["minus"])).alias("d")))).otherwise(F.col(f"r_{s}")).alias(f"r_{s}")
+            for s, u in sides.items()]
+        state = materialize(left.select(*names, *again))
+        done, left, n_attempt = done.unionByName(state.where(~stuck).drop(*digests)), state.where(stuck), n_attempt + 1
+    return done.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+                       likeness(F.col("n_units"), F.col("n_edited_units"), F.col("r_edited.d")).alias("near_edited"),
+                       likeness(F.col("n_units"), F.col("n_next_units"), F.col("r_next.d")).alias("near_next"))
