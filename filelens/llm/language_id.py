@@ -174,7 +174,7 @@ def op6(docs: DataFrame) -> DataFrame:
 def stage(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
     """Keeps the rows whose language is recognised; all columns stay."""
     model = fit(docs.where(remainder("doc_id", 4) != 2))
-    names = docs.columns
-    rows = docs.select("*", F.col("text").alias("text_in"))
-    out = predict(rows, model, "text_in").where((F.col("lang_pred") != "und") & (F.col("score") >= least_score))
-    return out.select(*names)
+    names = {c: f"in_{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.select(*[F.col(c).alias(n) for c, n in names.items()], F.col("text"))
+    out = predict(rows, model).where((F.col("lang_pred") != "und") & (F.col("score") >= least_score))
+    return out.select(*[F.col(n).alias(c) for c, n in names.items()])

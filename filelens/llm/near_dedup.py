@@ -244,3 +244,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
             F.min("component_id").alias("component_id")), "doc_id", "left")
     return out.select("doc_id", "n_shingles", "component_id",
                       F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def stage(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` that are kept, one of each group, with all their columns. Rows that share the kept doc_id and their text
+    are one document: the first stays."""
+    kept = materialize(near_duplicates(docs, text, key).where("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")))
+    ids = kept.distinct()
+    out = docs.join(ids, F.col(key).cast("long") == F.col("kept_id"), "left_semi")
+    if kept.groupBy("kept_id").count().where("count > 1").limit(1).count():
+        out = out.dropDuplicates([key])
+    return out.unionByName(docs.where(F.col(key).isNull()))
