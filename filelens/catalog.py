@@ -18,9 +18,10 @@ from .operators import duplicates as D
 from .operators import filters as FL
 from .operators import hierarchy as H
 from .operators import stats as S
-from .operators.common import attach_one_row
 from .plans import relocation as R
 from .plans import safety as SF
+from .sinks import report as RP
+from .sources import inventory_source as A
 
 # Fixed test parameters of the registered queries.
 FAST_CHUNK = 64          # partial digest chunk for the small documents (reference: 64 KiB)
@@ -50,9 +51,13 @@ def _docs(spark, sf_dir):
     return X.inv_docs(spark, sf_dir)
 
 
-def _digested(spark, sf_dir, mode="accurate", checkpoint=False):
-    kw = {"chunk": FAST_CHUNK, "threshold": FAST_THRESHOLD} if mode == "fast" else {}
-    return D.digest_candidates(_docs(spark, sf_dir), mode=mode, checkpoint=checkpoint, **kw)
+def _digested(spark, sf_dir, checkpoint=False):
+    return D.digest_candidates(_docs(spark, sf_dir), checkpoint=checkpoint)
+
+
+def _groups(docs):
+    # equal digests imply equal sizes: groups need no candidate join
+    return D.duplicate_groups(D.column_digests(docs))
 
 
 def _members(spark, sf_dir):
@@ -70,30 +75,40 @@ def _marked(spark, sf_dir):
 @query("duplicate_summary")
 def q_duplicate_summary(spark, sf_dir):
     """E10 (flagship): groups, members, wasted bytes."""
-    return D.duplicate_summary(D.duplicate_groups(_digested(spark, sf_dir)))
+    return D.duplicate_summary(_groups(_docs(spark, sf_dir)))
 
 
 @query("duplicate_groups")
 def q_duplicate_groups(spark, sf_dir):
+    """among the files that share their size (G1)."""
     return D.duplicate_groups(_digested(spark, sf_dir))
 
 
 @query("duplicate_groups_full")
 def q_duplicate_groups_full(spark, sf_dir):
-    return D.duplicate_groups(_digested(spark, sf_dir, "full"))
+    return _groups(_docs(spark, sf_dir))
 
 
 @query("duplicate_groups_fast")
 def q_duplicate_groups_fast(spark, sf_dir):
-    return D.duplicate_groups(_digested(spark, sf_dir, "fast"))
+    """partial digests, then full ones for the members they suspect."""
+    return _fast(_docs(spark, sf_dir), FAST_CHUNK, FAST_THRESHOLD)
+
+
+def _fast(docs, chunk, threshold):
+    return D.duplicate_groups(D.verify_groups(D.digest_candidates(docs, mode="fast", chunk=chunk, threshold=threshold), docs))
 
 
 @query("duplicate_groups_verified")
 def q_duplicate_groups_verified(spark, sf_dir):
-    """F5 with verify: partial digests first, then full digests for the suspected members only."""
-    docs = _docs(spark, sf_dir)
-    fast = D.digest_candidates(docs, mode="fast", chunk=FAST_CHUNK, threshold=FAST_THRESHOLD, checkpoint=True)
-    return D.duplicate_groups(D.verify_groups(fast, docs))
+    """F5 where most partial groups are wrong: one byte at three places of a text decides."""
+    return _fast(_docs(spark, sf_dir), 1, 1)
+
+
+@query("candidate_count")
+def q_candidate_count(spark, sf_dir):
+    """E11."""
+    return D.candidate_count(_docs(spark, sf_dir))
 
 
 @query("hash_candidates")
@@ -126,7 +141,7 @@ def q_primary_files(spark, sf_dir):
 @query("duplicate_with_primary")
 def q_duplicate_with_primary(spark, sf_dir):
     digested = _digested(spark, sf_dir, checkpoint=True)
-    return D.with_primary_record(D.group_members(digested), digested).select(
+    return D.with_primary_record(D.group_members(digested)).select(
         "full_path", "primary_path", "primary_size", "primary_modified", "primary_created")
 
 
@@ -151,11 +166,7 @@ def q_status_display(spark, sf_dir):
 
 @query("export_rows")
 def q_export_rows(spark, sf_dir):
-    m = _marked(spark, sf_dir)
-    return m.select("name", "extension", C.format_bytes("size").alias("size_text"), F.col("full_path").alias("path"),
-                    C.timestamp_text("modified").alias("modified_text"),
-                    F.when(F.col("is_duplicate"), "Yes").otherwise("No").alias("duplicate"),
-                    F.coalesce(F.col("primary_file_path"), F.lit("")).alias("primary_file"))
+    return RP.export_rows(_marked(spark, sf_dir)).toDF("name", "extension", "size_text", "path", "modified_text", "duplicate", "primary_file")
 
 
 @query("text_head")
@@ -179,17 +190,22 @@ def q_format_bytes(spark, sf_dir):
 
 @query("file_age_days")
 def q_file_age_days(spark, sf_dir):
+    """C7, also from dates before 1700 and a microsecond off whole days."""
     o = X.inv_orders(spark, sf_dir)
+    o = o.unionByName(o.select(*[c for c in o.columns if c not in ("full_path", "modified")],
+                               F.concat("full_path", F.lit("#old")).alias("full_path"),
+                               F.expr("timestampadd(MICROSECOND, 1, timestampadd(DAY, -146000, "
+                                      "timestampadd(SECOND, -unix_timestamp(modified) % 86400, modified)))").alias("modified")))
     return o.select("full_path", C.file_age_days("modified", F.lit(X.AS_OF).cast("timestamp_ntz")).alias("age_days"))
 
 
 @query("grid_rows")
 def q_grid_rows(spark, sf_dir):
-    o = X.inv_orders(spark, sf_dir)
-    return o.select("name", "extension", C.format_bytes("size").alias("size_text"),
-                    F.lit(None).cast("string").alias("primary_file_path"), "directory",
-                    C.timestamp_text("modified").alias("modified_text"),
-                    C.is_empty("size").alias("is_empty"), C.is_large("size").alias("is_large"), "is_read_only")
+    """The grid of the marked documents, with the three marks."""
+    m = _marked(spark, sf_dir)
+    return m.select("full_path", "name", "extension", C.format_bytes("size").alias("size_text"), "primary_file_path", "directory",
+                    C.timestamp_text("modified").alias("modified_text"), "is_duplicate",
+                    C.is_empty("size").alias("is_empty"), C.is_large("size").alias("is_large"))
 
 
 @query("file_kind")
@@ -201,9 +217,9 @@ def q_file_kind(spark, sf_dir):
 
 @query("filetime_to_ts")
 def q_filetime_to_ts(spark, sf_dir):
-    """C14: FILETIME words made from ``modified`` and turned back into a timestamp."""
+    """C14: FILETIME words made from ``modified`` with odd microseconds and ticks, turned back into a timestamp."""
     o = X.inv_orders(spark, sf_dir)
-    ticks = (C.epoch_micros("modified") + F.lit(C.FILETIME_EPOCH_OFFSET_MICROS)) * 10
+    ticks = (C.epoch_micros("modified") + F.lit(C.FILETIME_EPOCH_OFFSET_MICROS)) * 10 + (F.col("size") * 7919 + 123457) % 9999999
     words = o.withColumn("lo_u", ticks.bitwiseAND(F.lit(4294967295))).select("full_path", "modified",
                      F.shiftright(ticks, 32).cast("int").alias("hi"),
                      F.expr("cast(if(lo_u >= 2147483648, lo_u - 4294967296, lo_u) as int)").alias("lo"))
@@ -272,9 +288,22 @@ def q_preset_recent(spark, sf_dir):
     return FL.preset(X.inv_orders(spark, sf_dir), "recent", X.AS_OF).select("full_path", "modified")
 
 
+@query("search_files")
+def q_search_files(spark, sf_dir):
+    """All matches."""
+    return FL.search(FL.preset(X.inv_orders(spark, sf_dir), "all"), SEARCH_TEXT).select("full_path", "size")
+
+
+@query("search_items")
+def q_search_items(spark, sf_dir):
+    """D9 over every line item."""
+    return FL.search(X.inv_items(spark, sf_dir), ".TXT").select("full_path", "size")
+
+
 @query("search_grid")
 def q_search_grid(spark, sf_dir):
-    page = FL.grid_page(X.inv_orders(spark, sf_dir), "all", SEARCH_TEXT, X.AS_OF)
+    """H5: one page of the matches, from a start key on."""
+    page = FL.grid_page(X.inv_orders(spark, sf_dir), "all", SEARCH_TEXT, X.AS_OF, after="/lake/orders/F/3")
     return page.select("full_path", "size", "total_matches")
 
 
@@ -335,28 +364,13 @@ def q_newest_files(spark, sf_dir):
 def q_dashboard_cards(spark, sf_dir):
     """One row of dashboard figures for the documents inventory."""
     docs = _docs(spark, sf_dir)
-    base = docs.agg(
-        F.count(F.lit(1)).alias("total_files"),
-        F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("total_size"),
-        F.count_distinct("directory").alias("folders"),
-        F.count_if(F.col("size") == 0).alias("empty_files"),
-        F.count_if(C.is_large("size")).alias("large_files"),
-    )
-    dup = D.duplicate_summary(D.duplicate_groups(D.digest_candidates(docs)))
-    row = attach_one_row(base, dup)
-    return row.select("total_files", C.format_bytes("total_size").alias("total_size_text"), "folders",
-                      "duplicate_files", "duplicate_groups", C.format_bytes("wasted_bytes").alias("wasted_text"),
-                      "empty_files", "large_files")
+    return S.dashboard(docs, D.duplicate_summary(_groups(docs)), X.DOCS_ROOT)
 
 
 @query("report_summary")
 def q_report_summary(spark, sf_dir):
     """B2 summary sheet."""
-    docs = _docs(spark, sf_dir)
-    base = docs.agg(F.count(F.lit(1)).alias("total_files"), F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("b"))
-    dup = D.duplicate_summary(D.duplicate_groups(D.digest_candidates(docs))).select("duplicate_files")
-    return attach_one_row(base, dup).select("total_files", C.format_bytes("b").alias("total_size_text"),
-                                            "duplicate_files")
+    return RP.summary_rows(_marked(spark, sf_dir)).toDF("total_files", "total_size_text", "duplicate_files")
 
 
 @query("report_duplicates")
@@ -427,10 +441,8 @@ def q_valid_paths(spark, sf_dir):
                                    F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"))
               .unionByName(base.select(F.concat(F.lit("/lake/"), "source", F.lit("/"), "lang").alias("path")))
               .distinct())
-    known = (docs.select(F.col("full_path").alias("path"))
-             .unionByName(docs.select(F.explode(H.ancestors(F.col("directory"))).alias("path")))
-             .distinct().withColumn("is_valid", F.lit(True)))
-    return probes.join(known, "path", "left").select("path", F.coalesce("is_valid", F.lit(False)).alias("is_valid"))
+    entries = docs.select("full_path").unionByName(docs.select(F.explode(H.ancestors(F.col("directory"))).alias("full_path")))
+    return A.valid_paths(probes, entries).select("path", "is_valid")
 
 
 # ---- K: plans --------------------------------------------------------------------------------------
@@ -451,15 +463,16 @@ def q_safe_selection(spark, sf_dir):
 
 @query("delete_summary")
 def q_delete_summary(spark, sf_dir):
-    safe = SF.safe_selection(_members(spark, sf_dir), _selection(spark, sf_dir))
-    return SF.delete_summary(_marked(spark, sf_dir), safe)
+    docs = _docs(spark, sf_dir)
+    digested = D.digest_candidates(docs, checkpoint=True)
+    safe = SF.safe_selection(D.group_members(digested), _selection(spark, sf_dir))
+    return SF.delete_summary(D.mark_inventory(docs, digested), safe)
 
 
 @query("selection_summary")
 def q_selection_summary(spark, sf_dir):
-    """Selection within the shown rows of a search on the documents."""
-    shown = FL.grid_page(_docs(spark, sf_dir), "all", "src1")
-    return SF.selection_summary(shown, _selection(spark, sf_dir))
+    """Selection within all matches of a search on the documents."""
+    return SF.selection_summary(FL.search(_docs(spark, sf_dir), "src1"), _selection(spark, sf_dir))
 
 
 @query("review_decisions")
@@ -473,12 +486,12 @@ def _move_input(spark, sf_dir):
 
 @query("move_plan")
 def q_move_plan(spark, sf_dir):
-    return R.move_plan(_move_input(spark, sf_dir), X.MOVE_TARGET)
+    return R.move_plan(_move_input(spark, sf_dir), X.MOVE_TARGET, X.occupied_targets(spark, sf_dir))
 
 
 @query("copy_plan")
 def q_copy_plan(spark, sf_dir):
-    return R.copy_plan(_move_input(spark, sf_dir), X.MOVE_TARGET)
+    return R.copy_plan(_move_input(spark, sf_dir), X.MOVE_TARGET, X.occupied_targets(spark, sf_dir))
 
 
 def _staging_existing(spark, sf_dir):

@@ -26,19 +26,8 @@ def ext_sql(k: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table. When its files give fewer scan tasks than the cluster has cores (the test
-    tables are single files with one row group), the rows are spread round-robin first, so the
-    per-row work on top (paths, digests) does not run in one task. On inputs that already split
-    into enough partitions nothing is added."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    try:
-        cores = spark.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no RDD view (Spark Connect): read as is
-        return df
-    if splits < cores:
-        df = df.repartition(cores)
-    return df
+    """A driver table."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _attributes(ro: str, hidden: str, system: str) -> str:
@@ -143,6 +132,14 @@ def plan_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def occupied_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that stand in the move target already: the names of the plan input's first ten ids, their ``_1`` and ``_3``."""
+    names = plan_input(spark, sf_dir).where("doc_id < 10").select("name")
+    stem, ext = C.stem_of("name"), C.raw_extension("name")
+    taken = names.select(F.explode(F.array(F.col("name"), F.concat(stem, F.lit("_1"), ext), F.concat(stem, F.lit("_3"), ext))).alias("n"))
+    return taken.select(F.concat(F.lit(MOVE_TARGET + "/"), "n").alias("full_path")).distinct()
+
+
 def expected_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every source × (de, en, es, fr, it); the 'it' ones stay empty."""
     sources = table(spark, sf_dir, "documents").select("source").distinct()
@@ -161,10 +158,11 @@ def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def review_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two decisions per document with doc_id % 5 = 0; the later one wins."""
+    """Two decisions per document with doc_id % 5 = 0; the later one wins, of two at one time the one to keep."""
     docs = inv_docs(spark, sf_dir, with_content=False).where("doc_id % 5 = 0")
     first = docs.select("full_path", F.lit("mark").alias("decision"), F.col("modified").alias("decided_at"))
     second = docs.select("full_path",
                          F.when(F.col("doc_id") % 2 == 0, F.lit("keep")).otherwise(F.lit("mark")).alias("decision"),
                          F.expr("timestampadd(HOUR, 1, modified)").alias("decided_at"))
-    return first.unionByName(second)
+    tied = second.where(F.col("decision") == "keep").select("full_path", F.lit("mark").alias("decision"), "decided_at")
+    return first.unionByName(second).unionByName(tied)

@@ -103,7 +103,7 @@ def safe_file_name(name) -> Column:
 
 def file_age_days(modified, as_of) -> Column:
     """Whole days between modified and as_of, toward zero."""
-    return ((epoch_micros(as_of) - epoch_micros(modified)) / F.lit(_DAY_US)).cast("long")
+    return _div(epoch_micros(as_of) - epoch_micros(modified), _DAY_US)
 
 
 def is_empty(size) -> Column:
@@ -150,13 +150,12 @@ def preview_mode(ext, size) -> Column:
              .otherwise(F.lit("properties")))
 
 
-def text_head(content, size) -> Column:
-    """Preview text of a text file: notice when over 1 MiB, else first 10,000 characters."""
+def text_head(content, size, chars: int = TEXT_PREVIEW_CHARS, max_size: int | None = None) -> Column:
+    """The first ``chars`` characters of a text, with a notice where it goes on. Only with ``max_size`` are larger
+    files answered by the "too large" notice instead."""
     c = _c(content)
-    return (F.when(_c(size) > TEXT_PREVIEW_LIMIT, F.lit(TEXT_TOO_LARGE))
-             .when(F.length(c) > TEXT_PREVIEW_CHARS,
-                   F.concat(F.substring(c, 1, TEXT_PREVIEW_CHARS), F.lit(TRUNCATION_NOTICE)))
-             .otherwise(c))
+    head = F.when(F.length(c) > chars, F.concat(F.substring(c, 1, chars), F.lit(TRUNCATION_NOTICE))).otherwise(c)
+    return head if max_size is None else F.when(_c(size) > max_size, F.lit(TEXT_TOO_LARGE)).otherwise(head)
 
 
 def filetime_to_timestamp(hi, lo) -> Column:
@@ -165,7 +164,7 @@ def filetime_to_timestamp(hi, lo) -> Column:
     The low word is taken unsigned (the reference sign-extends it, which is off by ~429 s).
     """
     ticks = F.shiftleft(_c(hi).cast("long"), 32).bitwiseOR(_c(lo).cast("long").bitwiseAND(F.lit(4294967295)))
-    micros = F.floor(ticks / F.lit(10)).cast("long") - F.lit(FILETIME_EPOCH_OFFSET_MICROS)
+    micros = _div(ticks, 10) - F.lit(FILETIME_EPOCH_OFFSET_MICROS)
     return from_epoch_micros(micros)
 
 
@@ -174,6 +173,11 @@ def filetime_to_timestamp(hi, lo) -> Column:
 _DAY_US = 86400 * 1000000
 
 
+def _div(a: Column, b: int) -> Column:
+    """Whole-number division toward zero; ``/`` divides as double, which is off beyond 2^53."""
+    return ((a - a % F.lit(b)).cast("decimal(20,0)") / F.lit(b)).cast("long")
+
+
 def epoch_micros(ts) -> Column:
     """Microseconds since 1970-01-01 00:00 of a timestamp without zone."""
     t = _c(ts)
@@ -185,12 +189,12 @@ def epoch_micros(ts) -> Column:
 def from_epoch_micros(micros) -> Column:
     """timestamp_ntz from microseconds since 1970-01-01 00:00."""
     m = _c(micros)
-    days = F.floor(m / F.lit(_DAY_US)).cast("int")
-    rest = m - days.cast("long") * _DAY_US
+    rest = F.pmod(m, F.lit(_DAY_US))
+    days = _div(m - rest, _DAY_US).cast("int")
     d = F.date_add(F.lit("1970-01-01").cast("date"), days)
     secs = (rest % 60000000).cast("decimal(16,6)") / 1000000
     return F.make_timestamp_ntz(F.year(d), F.month(d), F.dayofmonth(d),
-                                (rest / 3600000000).cast("int"), ((rest % 3600000000) / 60000000).cast("int"), secs)
+                                _div(rest, 3600000000).cast("int"), _div(rest % 3600000000, 60000000).cast("int"), secs)
 
 
 def shorten_path(path, limit: int = 60) -> Column:
@@ -220,7 +224,3 @@ def partial_md5(content: str, size: str, chunk: int) -> Column:
         f"if({size} > {2 * chunk}, substring({b}, cast({size} div 2 + 1 as int), {chunk}), X''), "
         f"if({size} > {chunk}, substring({b}, cast({size} - {chunk} + 1 as int), {chunk}), X''))))"
     )
-
-
-def primary_marker() -> Column:
-    return F.lit(PRIMARY_MARKER)

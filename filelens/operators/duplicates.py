@@ -1,18 +1,17 @@
 """Duplicate detection (survey §2 F1–F7, G1, D10, E10, E11).
 
-Plan shape (accurate mode):
-
-    inventory ──filter 0<size<100MiB──┬──────────────────────────┐
-                                      └─ groupBy(size) count>1 ──┴─ left-semi on size
-                                                                     → digest (above the semi join)
-                                                                     → groupBy(size, hash) having n>1
-                                                                       (hash aggregate: count, oldest creation)
-
-The digest is computed only for rows that survive the size semi join. Groups are
-keyed by (size, hash); the group id shown to users is the hash alone. Marking
-and primary choice use aggregates joined back (no window), so a group that
-holds a third of all rows is never sorted inside one task: the aggregates are
-partial/final and AQE splits the skewed side of the joins.
+Plan shape for content in a column:
+
+    scan ── md5 in the scan stage ── narrow rows (path, size, created, modified, hash)
+                                      └─ groupBy(size, hash): count and oldest (created, path) in one aggregate
+
+No exchange carries content. Equal (size, hash) implies equal size, so groups need no size pre-filter;
+the candidates themselves (G1, E11) are narrow rows semi-joined on size. For files on disk the semi join
+comes first, and only the candidates are read (A8). Groups are keyed by (size, hash); the group id shown to
+users is the hash alone.
+
+A size or group may hold a third of all rows. Aggregates are partial/final; member joins carry a salt from the path's
+hash, with the group's statistics repeated once per salt, so a hot key is spread over ``SALTS`` tasks.
 """
 
 from __future__ import annotations
@@ -21,21 +20,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..schema import HASH_LIMIT, PARTIAL_CHUNK, PARTIAL_THRESHOLD, PRIMARY_MARKER
+from ..schema import PARTIAL_CHUNK, PARTIAL_THRESHOLD, PRIMARY_MARKER
 from .common import materialize
 
+SALTS = 32
+
+
+def _salted(df: DataFrame) -> DataFrame:
+    return df.withColumn("_salt", F.pmod(F.xxhash64("full_path"), F.lit(SALTS)).cast("int"))
+
+
+def _per_salt(df: DataFrame) -> DataFrame:
+    return df.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def hash_eligible(inv: DataFrame, max_size: int | None = None) -> DataFrame:
+    """Files that are not empty; ``max_size`` (exclusive) only when the caller asks for it."""
+    out = inv.where(F.col("size") > 0)
+    return out if max_size is None else out.where(F.col("size") < F.lit(max_size))
 
-def hash_eligible(inv: DataFrame) -> DataFrame:
-    """0 < size < 100 MiB (pushed to the scan as a filter)."""
-    return inv.where((F.col("size") > 0) & (F.col("size") < F.lit(HASH_LIMIT)))
 
+def hash_candidates(inv: DataFrame, max_size: int | None = None) -> DataFrame:
+    """G1: eligible rows whose size occurs at least twice (salted left-semi join on size)."""
+    eligible = hash_eligible(inv, max_size)
+    shared = (eligible.groupBy("size").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("size"))
+    return _salted(eligible).join(_per_salt(shared), on=["size", "_salt"], how="left_semi").drop("_salt")
 
-def hash_candidates(inv: DataFrame) -> DataFrame:
-    """G1: eligible rows whose size occurs at least twice (left-semi join on size)."""
-    eligible = hash_eligible(inv)
-    shared_sizes = (eligible.groupBy("size").agg(F.count(F.lit(1)).alias("n"))
-                    .where(F.col("n") > 1).select("size"))
-    return eligible.join(shared_sizes, on="size", how="left_semi")
+
+def candidate_count(inv: DataFrame) -> DataFrame:
+    """How many files share their size with another one, and their bytes."""
+    sizes = hash_eligible(inv).groupBy("size").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    return sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("candidate_files"),
+                     F.coalesce(F.sum(F.col("n") * F.col("size")), F.lit(0)).cast("long").alias("candidate_bytes"))
 
 
 def content_digest(df: DataFrame, content_col: str = "content") -> DataFrame:
@@ -51,68 +67,69 @@ def fast_digest(df: DataFrame, content_col: str = "content", chunk: int = PARTIA
     return df.withColumn("hash", F.coalesce(F.when(F.col("size") < threshold, full).otherwise(part), F.lit("")))
 
 
+_NARROW = ("full_path", "size", "created", "modified", "hash")
+
+
+def column_digests(inv: DataFrame, mode: str = "full", content_col: str = "content", chunk: int = PARTIAL_CHUNK,
+                   threshold: int = PARTIAL_THRESHOLD, max_size: int | None = None) -> DataFrame:
+    """Narrow digest rows of all eligible files with content in a column; content ends in the scan stage."""
+    rows = hash_eligible(inv, max_size).where(F.col(content_col).isNotNull())
+    rows = fast_digest(rows, content_col, chunk, threshold) if mode == "fast" else content_digest(rows, content_col)
+    return rows.select(*[c for c in _NARROW if c in rows.columns])
+
+
 def digest_candidates(inv: DataFrame, mode: str = "accurate", content_col: str = "content",
-                      chunk: int = PARTIAL_CHUNK, threshold: int = PARTIAL_THRESHOLD,
-                      digests: DataFrame | None = None, checkpoint: bool = False) -> DataFrame:
-    """Candidates with a ``hash`` column.
-
-    mode: ``accurate`` (size pre-filter + full MD5), ``full`` (no pre-filter, F4),
-    ``fast`` (pre-filter + partial MD5 from ``threshold`` up, F5).
-    ``digests`` (A8 output) replaces the content column for real files; when it carries the
-    candidates' columns it is used as is (it must then come from the candidates of ``mode``).
-    Returns (full_path, size, created, hash). ``checkpoint=True`` writes it to the
-    checkpoint folder so that callers using it twice (groups + members) hash once.
+                      chunk: int = PARTIAL_CHUNK, threshold: int = PARTIAL_THRESHOLD, digests: DataFrame | None = None,
+                      checkpoint: bool = False, max_size: int | None = None) -> DataFrame:
+    """Candidates with a ``hash`` column: (full_path, size, created[, modified], hash).
+
+    mode: ``accurate`` (only files that share their size), ``full`` (no pre-filter, F4), ``fast`` (partial MD5 from
+    ``threshold`` up; a pre-filter only, see ``verify_groups``). ``digests`` (A8 output) replaces the content column for
+    files on disk; when it carries the candidates' columns it is used as is. Unreadable files have an empty digest and take no part in
+    groups (A11); ``digest_rejects`` lists them. ``checkpoint=True`` writes the narrow rows to the checkpoint folder, for
+    callers that use them twice (groups and members).
     """
-    keep = ["full_path", "size", "created", "hash"] + [c for c in ("modified",) if c in inv.columns]
-    if digests is not None and all(c in digests.columns for c in keep):
-        # file digests carrying their candidates' columns: nothing to join back.
-        # Unreadable files get an empty digest and take no part in grouping.
-        out = digests.where(F.col("hash") != "").select(*keep)
-        return materialize(out) if checkpoint else out
-    cands = hash_eligible(inv) if mode == "full" else hash_candidates(inv)
     if digests is not None:
-        out = cands.join(digests.select("full_path", "hash"), "full_path", "inner").where(F.col("hash") != "")
+        keep = [c for c in _NARROW if c in digests.columns or c in inv.columns]
+        out = (digests if all(c in digests.columns for c in keep) else
+               (hash_eligible(inv, max_size) if mode == "full" else hash_candidates(inv, max_size)).join(
+                   digests.select("full_path", "hash"), "full_path", "inner"))
+        out = out.where(F.col("hash") != "").select(*keep)
     else:
-        # No filter on the digest here: Catalyst would push it below the size semi join and
-        # hash every eligible row. Rows without content are dropped before hashing instead.
-        cands = cands.where(F.col(content_col).isNotNull())
-        out = (fast_digest(cands, content_col, chunk, threshold) if mode == "fast"
-               else content_digest(cands, content_col))
-    out = out.select(*keep)
+        out = column_digests(inv, mode, content_col, chunk, threshold, max_size)
+        if mode != "full":
+            out = hash_candidates(out, max_size)
     return materialize(out) if checkpoint else out
 
 
+def digest_rejects(inv: DataFrame, content_col: str = "content") -> DataFrame:
+    """Eligible files without readable content."""
+    return hash_eligible(inv).where(F.col(content_col).isNull()).select("full_path", F.lit("no content").alias("reason"))
+
+
 def verify_groups(fast_digested: DataFrame, inv: DataFrame, content_col: str = "content",
                   digests: DataFrame | None = None) -> DataFrame:
-    """F5 ``verify``: re-hash fully only the members of groups found with partial digests.
-
-    Returns digested rows (full_path, size, created, hash) with full digests for those
-    members, so ``duplicate_groups`` on it has no false positives.
-    """
+    """full digests of the members of groups found with partial ones. ``duplicate_groups`` on the result has no
+    false positives. Content stays in the scan stage; narrow rows are joined."""
     suspects = group_stats(fast_digested).select("size", "hash")
-    members = fast_digested.join(suspects, ["size", "hash"], "left_semi").select("full_path")
-    rows = inv.join(members, "full_path", "left_semi")
-    if digests is not None:
-        out = rows.join(digests.select("full_path", "hash"), "full_path", "inner").where(F.col("hash") != "")
-    else:
-        out = content_digest(rows.where(F.col(content_col).isNotNull()), content_col)
-    return out.select("full_path", "size", "created", "hash")
-
-
-def _created_key():
-    # a missing creation time sorts first, as in a (created, path) ordering
-    return F.coalesce(F.col("created"), F.lit("0001-01-01 00:00:00").cast("timestamp_ntz"))
+    members = _salted(fast_digested).join(_per_salt(suspects), ["size", "hash", "_salt"], "left_semi").select("full_path")
+    full = digests.where(F.col("hash") != "") if digests is not None else column_digests(inv, "full", content_col)
+    if not {"size", "created"} <= set(full.columns):
+        full = full.select("full_path", "hash").join(inv.select("full_path", "size", "created"), "full_path")
+    return full.join(members, "full_path", "left_semi").select(*[c for c in _NARROW if c in full.columns])
 
 
 def group_stats(digested: DataFrame) -> DataFrame:
-    """one row per duplicate group with its size, member count and oldest creation time.
-
-    Only fixed-width aggregates (count, min of a timestamp), so the partial and final steps
-    stay hash aggregates.
-    """
-    return (digested.groupBy("size", "hash")
-            .agg(F.count(F.lit(1)).alias("file_count"), F.min(_created_key()).alias("min_created"))
-            .where(F.col("file_count") > 1))
+    """one row per duplicate group: members, and its primary's path and times. The primary is the oldest by creation time, then
+    by path; a file of unknown age comes last."""
+    order = [F.col("created").isNull().alias("unknown"), F.col("created").alias("created"), F.col("full_path").alias("path")]
+    if "modified" in digested.columns:
+        order.append(F.col("modified").alias("modified"))
+    out = (digested.groupBy("size", "hash").agg(F.count(F.lit(1)).alias("file_count"), F.min(F.struct(*order)).alias("_first"))
+           .where(F.col("file_count") > 1))
+    modified = F.col("_first.modified") if "modified" in digested.columns else F.lit(None).cast("timestamp_ntz")
+    return out.select("size", "hash", "file_count", F.col("_first.path").alias("primary_path"),
+                      F.col("_first.created").alias("primary_created"), modified.alias("primary_modified"))
 
 
 def duplicate_groups(digested: DataFrame) -> DataFrame:
@@ -131,28 +148,27 @@ def duplicate_summary(groups: DataFrame) -> DataFrame:
     )
 
 
-def group_members(digested: DataFrame) -> DataFrame:
-    """members of duplicate groups with group id, primary flag and primary path.
+def with_group(digested: DataFrame) -> DataFrame:
+    """Digested rows with their group's statistics (null outside groups): one salted join."""
+    stats = _per_salt(group_stats(digested))
+    return _salted(digested).join(stats, ["size", "hash", "_salt"], "left").drop("_salt")
 
-    The primary is the oldest member by creation time, ties broken by the smallest path: the
-    path is taken only among the members created at the group's oldest time (usually one).
-    """
-    stats = group_stats(digested).select("size", "hash", "file_count", "min_created")
-    members = (digested.select("full_path", "size", "hash", _created_key().alias("_ck"))
-               .join(stats, ["size", "hash"], "inner"))
-    primaries = (members.where(F.col("_ck") == F.col("min_created"))
-                 .groupBy("size", "hash").agg(F.min("full_path").alias("primary_path")))
-    members = members.join(primaries, ["size", "hash"], "inner")
+
+def _member_columns(rows: DataFrame) -> DataFrame:
     is_primary = F.col("full_path") == F.col("primary_path")
-    return members.select(
-        "full_path", "size", "hash",
-        F.col("hash").alias("duplicate_group_id"),
-        F.lit(True).alias("is_duplicate"),
-        is_primary.alias("is_primary"),
-        F.when(is_primary, F.lit(PRIMARY_MARKER)).otherwise(F.col("primary_path")).alias("primary_file_path"),
-        "primary_path",
-        "file_count",
-    )
+    return rows.withColumns({
+        "is_duplicate": F.col("file_count").isNotNull(),
+        "duplicate_group_id": F.when(F.col("file_count").isNotNull(), F.col("hash")),
+        "is_primary": F.coalesce(is_primary, F.lit(False)),
+        "primary_file_path": F.when(is_primary, F.lit(PRIMARY_MARKER)).otherwise(F.col("primary_path")),
+    })
+
+
+def group_members(digested: DataFrame) -> DataFrame:
+    """members of duplicate groups with group id, primary flag and the primary's record."""
+    rows = _member_columns(with_group(digested)).where("is_duplicate")
+    return rows.select("full_path", "size", "hash", "duplicate_group_id", "is_duplicate", "is_primary", "primary_file_path",
+                       "primary_path", "file_count", "primary_created", "primary_modified")
 
 
 def mark_inventory(inv: DataFrame, digested: DataFrame) -> DataFrame:
@@ -160,13 +176,11 @@ def mark_inventory(inv: DataFrame, digested: DataFrame) -> DataFrame:
 
     ``hash`` is filled for every hashed candidate ('' for the rest); group columns only for members.
     """
-    members = group_members(digested).select(
-        "full_path", "duplicate_group_id", "is_primary", "primary_file_path", "primary_path")
-    # candidate-sized join first, then a single join with the whole inventory
-    hashed = digested.select("full_path", F.col("hash").alias("_hash")).join(members, "full_path", "left")
-    out = inv.join(hashed, "full_path", "left")
+    marked = _member_columns(with_group(digested)).select(
+        "full_path", F.col("hash").alias("_hash"), "is_duplicate", "duplicate_group_id", "is_primary", "primary_file_path", "primary_path")
+    out = inv.join(marked, "full_path", "left")
     return (out.withColumn("hash", F.coalesce(F.col("_hash"), F.lit("")))
-               .withColumn("is_duplicate", F.col("duplicate_group_id").isNotNull())
+               .withColumn("is_duplicate", F.coalesce(F.col("is_duplicate"), F.lit(False)))
                .withColumn("duplicate_group_id", F.coalesce(F.col("duplicate_group_id"), F.lit("")))
                .withColumn("is_primary", F.coalesce(F.col("is_primary"), F.lit(False)))
                .drop("_hash"))
@@ -177,20 +191,6 @@ def removable_copies(members: DataFrame) -> DataFrame:
     return members.where(~F.col("is_primary"))
 
 
-def with_primary_record(members: DataFrame, inv: DataFrame) -> DataFrame:
-    """for each non-primary member, the record of its primary (self-join on the path).
-
-    ``inv`` may be the whole inventory or, cheaper, the digested candidates (primaries are
-    always candidates) when they carry the needed columns.
-    """
-    prim = inv.select(F.col("full_path").alias("primary_path"),
-                      F.col("size").alias("primary_size"),
-                      F.col("modified").alias("primary_modified"),
-                      F.col("created").alias("primary_created"))
-    return removable_copies(members).join(prim, "primary_path", "inner")
-
-
-def analyze(inv: DataFrame, mode: str = "accurate", **kw) -> tuple[DataFrame, DataFrame]:
-    """Entry 1 in one call: (digested candidates, group rows)."""
-    digested = digest_candidates(inv, mode=mode, **kw)
-    return digested, duplicate_groups(digested)
+def with_primary_record(members: DataFrame) -> DataFrame:
+    """for each non-primary member, the record of its primary (from the group's statistics, no join)."""
+    return removable_copies(members).withColumn("primary_size", F.col("size"))

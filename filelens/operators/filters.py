@@ -67,14 +67,15 @@ def search(inv: DataFrame, text: str | None) -> DataFrame:
 
 
 def grid_page(inv: DataFrame, preset_name: str = "all", text: str | None = None,
-              as_of: str | None = None, limit: int = DISPLAY_LIMIT) -> DataFrame:
-    """D9 + H5: the first ``limit`` matching rows by path, each carrying the full match count.
+              as_of: str | None = None, limit: int = DISPLAY_LIMIT, after: str | None = None) -> DataFrame:
+    """H5: the next ``limit`` matching rows by path behind ``after``, each carrying the full match count.
 
     The page is a top-k (``TakeOrderedAndProject``); the count is a separate global
-    aggregate attached as one row.
+    aggregate attached as one row. ``search`` of ``preset`` gives all rows (D4, D9).
     """
     matched = search(preset(inv, preset_name, as_of), text)
-    page = matched.orderBy("full_path").limit(limit)
+    rest = matched if after is None else matched.where(F.col("full_path") > F.lit(after))
+    page = rest.orderBy("full_path").limit(limit)
     total = matched.agg(F.count(F.lit(1)).alias("total_matches"))
     return attach_one_row(page, total)
 

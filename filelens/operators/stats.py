@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..schema import LARGE_LIMIT
 from .common import attach_one_row
+from .hierarchy import ancestors
 
 KIB = 1024
 MIB = 1024 * 1024
@@ -181,6 +182,26 @@ def large_card(inv: DataFrame) -> DataFrame:
                    F.coalesce(F.sum(F.when(big, F.col("size"))), F.lit(0)).cast("long").alias("large_bytes"))
 
 
+def dashboard(inv: DataFrame, duplicates: DataFrame, root: str) -> DataFrame:
+    """One row of dashboard figures from one read of the inventory. Folders are ``root`` and all folders on the way to
+    a file; ``duplicates`` is ``duplicate_summary``'s row."""
+    figures = inv.groupBy("directory").agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("b"), F.count_if(F.col("size") == 0).alias("e"),
+        F.count_if(F.col("size") > LARGE_LIMIT).alias("ln"), F.coalesce(F.sum(F.when(F.col("size") > LARGE_LIMIT, F.col("size"))), F.lit(0)).alias("lb"))
+    # a folder's own row carries the figures, its ancestors' rows only the name
+    rows = figures.select(F.explode(F.concat(
+        F.array(F.struct(F.col("directory").alias("d"), "n", "b", "e", "ln", "lb")),
+        F.transform(ancestors(F.col("directory")), lambda a: F.struct(a.alias("d"), *[F.lit(0).cast("long").alias(c) for c in ("n", "b", "e", "ln", "lb")])))).alias("r")).select("r.*")
+    folders = rows.groupBy("d").agg(*[F.sum(c).alias(c) for c in ("n", "b", "e", "ln", "lb")])
+    below = (F.col("d") == F.lit(root)) | F.col("d").startswith(root + "/")
+    total = folders.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("total_files"), F.coalesce(F.sum("b"), F.lit(0)).cast("long").alias("total_size"),
+                        F.count_if(below).alias("folders"), F.coalesce(F.sum("e"), F.lit(0)).cast("long").alias("empty_files"),
+                        F.coalesce(F.sum("ln"), F.lit(0)).cast("long").alias("large_files"), F.coalesce(F.sum("lb"), F.lit(0)).cast("long").alias("large_bytes"))
+    return attach_one_row(total, duplicates).select(
+        "total_files", C.format_bytes("total_size").alias("total_size_text"), "folders", "duplicate_files", "duplicate_groups",
+        C.format_bytes("wasted_bytes").alias("wasted_text"), "empty_files", "large_files", C.format_bytes("large_bytes").alias("large_size_text"))
+
+
 def top_extensions_share(inv: DataFrame, n: int = 8) -> DataFrame:
     """Top-n extensions by count with their share of the shown total."""
     top = extension_breakdown(inv).orderBy(F.col("file_count").desc(), F.col("extension")).limit(n)

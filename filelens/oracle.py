@@ -74,7 +74,7 @@ pages_base AS (
 inv_pages AS (SELECT *, {_parts()} FROM pages_base)"""
 
 CANDIDATES = """
-eligible AS (SELECT * FROM inv_docs WHERE size > 0 AND size < 104857600),
+eligible AS (SELECT * FROM inv_docs WHERE size > 0),
 cand AS (SELECT * FROM eligible WHERE size IN (SELECT size FROM eligible GROUP BY size HAVING count(*) > 1))"""
 
 DIGESTED = CANDIDATES + """,
@@ -155,13 +155,21 @@ def _move(action: str) -> str:
 plan_in AS (SELECT full_path, size,
                    concat('doc_', cast(doc_id % 50 AS VARCHAR), """ + EXT.format(k="doc_id") + """) AS name
             FROM inv_docs),
-r AS (SELECT *, row_number() OVER (PARTITION BY lower(name) ORDER BY full_path) - 1 AS r FROM plan_in)""") + f"""
+parts AS (SELECT *, left(name, length(name) - length(""" + RAW_EXT.format(n="name") + """)) AS stem,
+                 """ + RAW_EXT.format(n="name") + """ AS ext,
+                 row_number() OVER (PARTITION BY lower(name) ORDER BY full_path) AS turn,
+                 count(*) OVER (PARTITION BY lower(name)) AS n FROM plan_in),
+taken AS (SELECT DISTINCT lower(stem || s || ext) AS name
+          FROM parts, (VALUES (''), ('_1'), ('_3')) t(s)
+          WHERE full_path IN (SELECT full_path FROM inv_docs WHERE doc_id < 10)),
+slots AS (SELECT DISTINCT lower(name) AS name_l, k, lower(CASE WHEN k = 0 THEN name ELSE stem || '_' || cast(k AS VARCHAR) || ext END) AS slot
+          FROM parts, LATERAL (SELECT unnest(range(0, n + 4)) AS k)),
+free AS (SELECT name_l, k, row_number() OVER (PARTITION BY name_l ORDER BY k) AS turn
+         FROM slots WHERE slot NOT IN (SELECT name FROM taken))""") + f"""
 SELECT full_path AS source,
-       '/dest/' || CASE WHEN r = 0 THEN name
-            ELSE left(name, length(name) - length({RAW_EXT.format(n='name')})) || '_' || cast(r AS VARCHAR)
-                 || {RAW_EXT.format(n='name')} END AS target,
+       '/dest/' || CASE WHEN k = 0 THEN name ELSE stem || '_' || cast(k AS VARCHAR) || ext END AS target,
        '{action}' AS action, size
-FROM r"""
+FROM parts JOIN free ON free.name_l = lower(parts.name) AND free.turn = parts.turn"""
 
 
 def _ancestors_sql(col: str) -> str:
@@ -179,21 +187,20 @@ SELECT count(*) AS duplicate_groups, cast(coalesce(sum(file_count), 0) AS BIGINT
        cast(coalesce(sum(wasted_bytes), 0) AS BIGINT) AS wasted_bytes FROM grp"""
 ORACLE["duplicate_groups"] = _with(INV_DOCS, DIGESTED) + "\nSELECT * FROM grp"
 ORACLE["duplicate_groups_full"] = _with(INV_DOCS, """
-eligible AS (SELECT * FROM inv_docs WHERE size > 0 AND size < 104857600),
+eligible AS (SELECT * FROM inv_docs WHERE size > 0),
 dig AS (SELECT size, upper(md5(content)) AS hash FROM eligible)""") + """
 SELECT hash AS duplicate_group_id, size, count(*) AS file_count, (count(*) - 1) * size AS wasted_bytes
 FROM dig GROUP BY size, hash HAVING count(*) > 1"""
 PARTIAL = ("CASE WHEN size < 1024 THEN upper(md5(content)) ELSE upper(md5(encode(content)[1:64] "
            "|| CASE WHEN size > 128 THEN encode(content)[size // 2 + 1 : size // 2 + 64] ELSE ''::BLOB END "
            "|| CASE WHEN size > 64 THEN encode(content)[size - 63 : size] ELSE ''::BLOB END)) END")
-ORACLE["duplicate_groups_fast"] = _with(INV_DOCS, CANDIDATES, f"""
-dig AS (SELECT size, {PARTIAL} AS hash FROM cand)""") + """
-SELECT hash AS duplicate_group_id, size, count(*) AS file_count, (count(*) - 1) * size AS wasted_bytes
-FROM dig GROUP BY size, hash HAVING count(*) > 1"""
+ORACLE["duplicate_groups_fast"] = ORACLE["duplicate_groups"]
+ORACLE["candidate_count"] = _with(INV_DOCS, CANDIDATES) + """
+SELECT count(*) AS candidate_files, cast(coalesce(sum(size), 0) AS BIGINT) AS candidate_bytes FROM cand"""
 ORACLE["hash_candidates"] = _with(INV_DOCS, CANDIDATES) + "\nSELECT full_path, size FROM cand"
 ORACLE["content_md5"] = _with(INV_DOCS) + "\nSELECT full_path, upper(md5(content)) AS hash FROM inv_docs"
 ORACLE["partial_md5"] = _with(INV_DOCS) + f"""
-SELECT full_path, size, {PARTIAL} AS hash FROM inv_docs WHERE size > 0 AND size < 104857600"""
+SELECT full_path, size, {PARTIAL} AS hash FROM inv_docs WHERE size > 0"""
 ORACLE["marked_duplicates"] = _with(INV_DOCS, DIGESTED) + """
 SELECT full_path, size, hash, is_duplicate, duplicate_group_id, is_primary, primary_file_path FROM marked"""
 ORACLE["primary_files"] = _with(INV_DOCS, DIGESTED) + """
@@ -221,8 +228,7 @@ TEXT_EXTS = "('.txt', '.log', '.xml', '.json', '.csv', '.md', '.cs', '.xaml', '.
 IMAGE_EXTS = "('.jpg', '.jpeg', '.png', '.gif', '.bmp', '.ico', '.tiff')"
 ORACLE["text_head"] = _with(INV_DOCS) + f"""
 SELECT full_path,
-       CASE WHEN size > 1048576 THEN 'File too large to preview (>1MB). Showing file properties instead.'
-            WHEN length(content) > 10000 THEN substring(content, 1, 10000) || chr(10) || chr(10) || '... (content truncated for preview)'
+       CASE WHEN length(content) > 10000 THEN substring(content, 1, 10000) || chr(10) || chr(10) || '... (content truncated for preview)'
             ELSE content END AS preview
 FROM inv_docs WHERE lower(extension) IN {TEXT_EXTS}"""
 ORACLE["file_properties"] = _with(INV_DOCS) + f"""
@@ -231,13 +237,15 @@ SELECT name, full_path, {fmt_bytes('size')} AS size_text, upper(extension) AS ty
        attributes
 FROM inv_docs"""
 ORACLE["format_bytes"] = _with(INV_ORDERS) + f"\nSELECT full_path, size, {fmt_bytes('size')} AS size_text FROM inv_orders"
-ORACLE["file_age_days"] = _with(INV_ORDERS) + """
-SELECT full_path, date_sub('day', modified, timestamp '2001-08-01 12:00:00') AS age_days FROM inv_orders"""
-ORACLE["grid_rows"] = _with(INV_ORDERS) + f"""
-SELECT name, extension, {fmt_bytes('size')} AS size_text, cast(NULL AS VARCHAR) AS primary_file_path, directory,
-       strftime(modified, '%Y-%m-%d %H:%M:%S') AS modified_text, size = 0 AS is_empty, size > 104857600 AS is_large,
-       is_read_only
-FROM inv_orders"""
+ORACLE["file_age_days"] = _with(INV_ORDERS, """
+aged AS (SELECT full_path, modified FROM inv_orders
+         UNION ALL SELECT full_path || '#old', modified - to_seconds(epoch_us(modified) // 1000000 % 86400) - to_days(146000)
+                          + to_microseconds(1) FROM inv_orders)""") + """
+SELECT full_path, (epoch_us(timestamp '2001-08-01 12:00:00') - epoch_us(modified)) // 86400000000 AS age_days FROM aged"""
+ORACLE["grid_rows"] = _with(INV_DOCS, DIGESTED) + f"""
+SELECT full_path, name, extension, {fmt_bytes('size')} AS size_text, primary_file_path, directory,
+       strftime(modified, '%Y-%m-%d %H:%M:%S') AS modified_text, is_duplicate, size = 0 AS is_empty, size > 104857600 AS is_large
+FROM marked"""
 ORACLE["file_kind"] = _with(INV_ORDERS) + f"""
 SELECT full_path,
        CASE WHEN lower(extension) IN {TEXT_EXTS} THEN 'text' WHEN lower(extension) IN {IMAGE_EXTS} THEN 'image'
@@ -247,7 +255,7 @@ SELECT full_path,
             ELSE 'properties' END AS preview
 FROM inv_orders"""
 ORACLE["filetime_to_ts"] = _with(INV_ORDERS, """
-ft AS (SELECT full_path, modified, (epoch_us(modified) + 11644473600000000) * 10 AS ticks FROM inv_orders),
+ft AS (SELECT full_path, modified, (epoch_us(modified) + 11644473600000000) * 10 + (size * 7919 + 123457) % 9999999 AS ticks FROM inv_orders),
 words AS (SELECT full_path, modified, cast(ticks >> 32 AS INTEGER) AS hi,
                  cast(CASE WHEN (ticks & 4294967295) >= 2147483648 THEN (ticks & 4294967295) - 4294967296
                            ELSE ticks & 4294967295 END AS INTEGER) AS lo
@@ -284,7 +292,13 @@ ORACLE["search_grid"] = _with(INV_ORDERS, """
 matched AS (SELECT * FROM inv_orders WHERE contains(lower(name), 'orders') OR contains(lower(extension), 'orders')
                                         OR contains(lower(directory), 'orders'))""") + """
 SELECT full_path, size, (SELECT count(*) FROM matched) AS total_matches
-FROM (SELECT * FROM matched ORDER BY full_path LIMIT 10000) p"""
+FROM (SELECT * FROM matched WHERE full_path > '/lake/orders/F/3' ORDER BY full_path LIMIT 10000) p"""
+ORACLE["search_files"] = _with(INV_ORDERS) + """
+SELECT full_path, size FROM inv_orders WHERE contains(lower(name), 'orders') OR contains(lower(extension), 'orders')
+                                          OR contains(lower(directory), 'orders')"""
+ORACLE["search_items"] = _with(INV_ITEMS) + """
+SELECT full_path, size FROM inv_items WHERE contains(lower(name), '.txt') OR contains(lower(extension), '.txt')
+                                         OR contains(lower(directory), '.txt')"""
 
 # ---- E/H ----
 ORACLE["inventory_stats"] = _with(INV_ORDERS) + """
@@ -330,10 +344,12 @@ ORACLE["oldest_files"] = _with(INV_ORDERS) + TOPN.format(o="modified")
 ORACLE["newest_files"] = _with(INV_ORDERS) + TOPN.format(o="modified DESC")
 ORACLE["dashboard_cards"] = _with(INV_DOCS, DIGESTED) + f"""
 SELECT b.total_files, {fmt_bytes('b.total_size')} AS total_size_text, b.folders, g.duplicate_files, g.duplicate_groups,
-       {fmt_bytes('g.wasted_bytes')} AS wasted_text, b.empty_files, b.large_files
+       {fmt_bytes('g.wasted_bytes')} AS wasted_text, b.empty_files, b.large_files, {fmt_bytes('b.large_bytes')} AS large_size_text
 FROM (SELECT count(*) AS total_files, cast(coalesce(sum(size), 0) AS BIGINT) AS total_size,
-             count(DISTINCT directory) AS folders, count(*) FILTER (WHERE size = 0) AS empty_files,
-             count(*) FILTER (WHERE size > 104857600) AS large_files FROM inv_docs) b,
+             (SELECT count(DISTINCT a) FROM (SELECT unnest(""" + _ancestors_sql("directory") + f""") AS a FROM inv_docs)
+              WHERE a = '/lake' OR starts_with(a, '/lake/')) AS folders,
+             count(*) FILTER (WHERE size = 0) AS empty_files, count(*) FILTER (WHERE size > 104857600) AS large_files,
+             cast(coalesce(sum(size) FILTER (WHERE size > 104857600), 0) AS BIGINT) AS large_bytes FROM inv_docs) b,
      (SELECT count(*) AS duplicate_groups, cast(coalesce(sum(file_count), 0) AS BIGINT) AS duplicate_files,
              cast(coalesce(sum(wasted_bytes), 0) AS BIGINT) AS wasted_bytes FROM grp) g"""
 ORACLE["report_summary"] = _with(INV_DOCS, DIGESTED) + f"""
@@ -407,8 +423,7 @@ FROM marked WHERE full_path IN (SELECT full_path FROM safe)"""
 ORACLE["selection_summary"] = _with(INV_DOCS, """
 matched AS (SELECT * FROM inv_docs WHERE contains(lower(name), 'src1') OR contains(lower(extension), 'src1')
                                       OR contains(lower(directory), 'src1')),
-shown AS (SELECT * FROM matched ORDER BY full_path LIMIT 10000),
-sel AS (SELECT * FROM shown WHERE full_path IN (SELECT full_path FROM inv_docs WHERE doc_id % 3 <> 1))""") + f"""
+sel AS (SELECT * FROM matched WHERE full_path IN (SELECT full_path FROM inv_docs WHERE doc_id % 3 <> 1))""") + f"""
 SELECT count(*) AS selected_files, cast(coalesce(sum(size), 0) AS BIGINT) AS selected_bytes,
        {fmt_bytes('cast(coalesce(sum(size), 0) AS BIGINT)')} AS selected_bytes_text
 FROM sel"""
@@ -416,8 +431,10 @@ ORACLE["review_decisions"] = _with(INV_DOCS, """
 log AS (SELECT full_path, 'mark' AS decision, modified AS decided_at FROM inv_docs WHERE doc_id % 5 = 0
         UNION ALL
         SELECT full_path, CASE WHEN doc_id % 2 = 0 THEN 'keep' ELSE 'mark' END, modified + INTERVAL 1 HOUR
-        FROM inv_docs WHERE doc_id % 5 = 0),
-latest AS (SELECT full_path, arg_max(decision, decided_at) AS decision FROM log GROUP BY full_path)""") + """
+        FROM inv_docs WHERE doc_id % 5 = 0
+        UNION ALL SELECT full_path, 'mark', modified + INTERVAL 1 HOUR FROM inv_docs WHERE doc_id % 10 = 0),
+latest AS (SELECT full_path, decision FROM log QUALIFY row_number() OVER (
+             PARTITION BY full_path ORDER BY decided_at DESC, CASE decision WHEN 'keep' THEN 0 ELSE 1 END) = 1)""") + """
 SELECT full_path, decision, decision = 'mark' AS is_selected, decision = 'mark' AS marked_for_removal FROM latest"""
 ORACLE["move_plan"] = _move("move")
 ORACLE["copy_plan"] = _move("copy")

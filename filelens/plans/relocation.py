@@ -20,6 +20,8 @@ Exact and distributed form of that loop:
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -73,7 +75,13 @@ def _settle(key, names: pd.DataFrame, looks: pd.DataFrame) -> pd.DataFrame:
     """
     pos = {(r.name_l, int(r.rank0)): r.full_path for r in looks.itertuples(index=False)}
     info = {r.name_l: r for r in names.itertuples(index=False)}
-    blocked = {n: set(int(x) for x in (r.blocked_ex if r.blocked_ex is not None else [])) for n, r in info.items()}
+    blocked = {n: sorted({int(x) for x in (r.blocked_ex if r.blocked_ex is not None else [])}) for n, r in info.items()}
+
+    def block(name, k):
+        at = bisect_left(blocked[name], k)
+        if at == len(blocked[name]) or blocked[name][at] != k:
+            blocked[name].insert(at, k)
+
     children: dict[str, list] = {}
     for r in info.values():
         if r.parent_l is not None and r.parent_l in info:
@@ -86,17 +94,18 @@ def _settle(key, names: pd.DataFrame, looks: pd.DataFrame) -> pd.DataFrame:
     for p in order:
         for c in sorted(children.get(p, []), key=lambda c: c.counter):
             k = int(c.counter)
-            if k in blocked[p]:
+            below = bisect_left(blocked[p], k)
+            if below < len(blocked[p]) and blocked[p][below] == k:
                 continue  # the slot exists already: neither side can take it
-            rho = k - sum(1 for b in blocked[p] if b < k)
+            rho = k - below
             t = pos.get((p, rho)) if rho < info[p].n_files else None
             if t is not None and t < c.first_pos:
-                blocked[c.name_l].add(0)  # the parent's file got there first
+                block(c.name_l, 0)  # the parent's file got there first
             else:
-                blocked[p].add(k)  # the child's first file took its own name
+                block(p, k)  # the child's first file took its own name
     tdir = names["tdir_l"].iloc[0] if len(names) else None
     return pd.DataFrame({"tdir_l": [tdir] * len(blocked), "name_l": list(blocked),
-                         "blocked": [sorted(v) for v in blocked.values()]})
+                         "blocked": list(blocked.values())})
 
 
 def _settled_blocks(names: DataFrame, child_rows: DataFrame, ranked: DataFrame) -> DataFrame:
@@ -199,13 +208,18 @@ def assign_targets(files: DataFrame, existing: DataFrame | None = None, action:
                       F.lit(action).alias("action"), "size")
 
 
-def move_plan(files: DataFrame, destination: str, existing: DataFrame | None = None) -> DataFrame:
-    """K1: every file goes to ``destination``/name (first free name)."""
+def files_below(inv: DataFrame, folder: str) -> DataFrame:
+    """Paths of the inventory's files in or below ``folder``: what a plan into it must not overwrite."""
+    return inv.where(F.col("full_path").startswith(folder.rstrip("/") + "/")).select("full_path")
+
+
+def move_plan(files: DataFrame, destination: str, existing: DataFrame) -> DataFrame:
+    """K1: every file goes to ``destination``/name (first free name); ``existing`` lists what stands there already."""
     dest = destination.rstrip("/")
     return assign_targets(files.withColumn("target_dir", F.lit(dest)), existing, "move")
 
 
-def copy_plan(files: DataFrame, destination: str, existing: DataFrame | None = None) -> DataFrame:
+def copy_plan(files: DataFrame, destination: str, existing: DataFrame) -> DataFrame:
     """K2: as the move plan; the inventory is unchanged."""
     dest = destination.rstrip("/")
     return assign_targets(files.withColumn("target_dir", F.lit(dest)), existing, "copy")
@@ -252,8 +266,11 @@ def plan_selection(inv: DataFrame, selection: DataFrame, action: str, destinatio
                    root: str | None = None, existing: DataFrame | None = None) -> DataFrame:
     """K1–K3 from a selection table: found paths get targets, missing ones a 'failed' row (K8).
 
-    ``action``: 'move' / 'copy' (into ``destination``) or 'stage' (below ``root``).
+    ``action``: 'move' / 'copy' (into ``destination``) or 'stage' (below ``root``). ``existing``: a listing of the target; by
+    default the inventory's own files there.
     """
+    if existing is None:
+        existing = files_below(inv, f"{root.rstrip('/')}/{STAGING_FOLDER}" if action == "stage" else destination)
     rows = plan_for_selection(inv, selection)
     found = rows.where(F.col("found")).drop("found")
     if action == "stage":

@@ -43,14 +43,16 @@ def safe_selection(members: DataFrame, selection: DataFrame, only_unsafe: bool =
 
 
 def review_decisions(log: DataFrame) -> DataFrame:
-    """K6: the latest decision per path wins ('mark' selects and marks, 'keep' clears both)."""
-    latest = log.groupBy("full_path").agg(F.max_by("decision", "decided_at").alias("decision"))
+    """K6: the latest decision per path wins ('mark' selects and marks, 'keep' clears both); of decisions at one time
+    'keep' wins, as nothing is then lost."""
+    order = F.struct("decided_at", (F.col("decision") == "keep").alias("keeps"))
+    latest = log.groupBy("full_path").agg(F.max_by("decision", order).alias("decision"))
     marked = F.col("decision") == "mark"
     return latest.select("full_path", "decision", marked.alias("is_selected"), marked.alias("marked_for_removal"))
 
 
 def selection_summary(shown: DataFrame, selection: DataFrame) -> DataFrame:
-    """Count and bytes of the selected rows among the shown rows."""
+    """Count and bytes of the selected rows among all matching rows (``shown``: a search, uncut)."""
     sel = shown.join(selection.select("full_path"), "full_path", "left_semi")
     return sel.agg(F.count(F.lit(1)).alias("selected_files"),
                    F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("selected_bytes")) \

@@ -22,11 +22,6 @@ ENTRY_FIELDS = [
 
 ENTRY_SCHEMA = T.StructType(ENTRY_FIELDS)
 
-REJECT_SCHEMA = T.StructType([
-    T.StructField("path", T.StringType(), False),
-    T.StructField("reason", T.StringType(), False),
-])
-
 DIGEST_SCHEMA = T.StructType([
     T.StructField("full_path", T.StringType(), False),
     T.StructField("size", T.LongType(), True),
@@ -36,7 +31,7 @@ DIGEST_SCHEMA = T.StructType([
 
 # Fixed values of the reference.
 # Size limits in bytes.
-HASH_LIMIT = 100 * 1024 * 1024          # hashed when 0 < size < this
+HASH_LIMIT = 100 * 1024 * 1024          # the reference's upper bound for hashing; here only an optional argument
 LARGE_LIMIT = 100 * 1024 * 1024         # large when size > this
 PARTIAL_THRESHOLD = 1024 * 1024         # fast mode: partial digest from this size up
 PARTIAL_CHUNK = 64 * 1024               # fast mode: chunk length

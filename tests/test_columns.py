@@ -91,7 +91,25 @@ def test_text_head(spark):
     got = [r[0] for r in df.select(C.text_head("c", "s")).collect()]
     assert got[0] == "a" * 10000 + "\n\n... (content truncated for preview)"
     assert got[1] == "short"
-    assert got[2].startswith("File too large to preview")
+    assert got[2] == "x"
+    noted = [r[0] for r in df.select(C.text_head("c", "s", chars=3, max_size=1024 * 1024)).collect()]
+    assert noted[0].startswith("aaa\n") and noted[2].startswith("File too large to preview")
+
+
+def test_whole_number_conversions_are_exact(spark):
+    """Beyond 2^53 a division as double is off by one."""
+    import datetime as dt
+    times = [dt.datetime(2024, 5, 6, 7, 8, 9, us) for us in (1, 999999, 123457)] + [dt.datetime(1601, 1, 1, 0, 0, 0, 1), dt.datetime(1650, 2, 3)]
+    rows = []
+    for t in times:
+        ticks = ((t - dt.datetime(1601, 1, 1)) // dt.timedelta(microseconds=1)) * 10 + 7
+        lo = ticks & 0xFFFFFFFF
+        rows.append((ticks >> 32, lo - (1 << 32) if lo >> 31 else lo, t))
+    df = spark.createDataFrame(rows, "hi int, lo int, t timestamp_ntz")
+    assert [r[0] for r in df.select(C.filetime_to_timestamp("hi", "lo")).collect()] == times
+    now = dt.datetime(2024, 1, 1)
+    ages = [r[0] for r in df.select(C.file_age_days("t", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))).collect()]
+    assert ages == [int((now - t) / dt.timedelta(days=1)) for t in times[:3]] + [154496, (now - times[4]).days]
 
 
 def test_partial_md5_matches_hashlib(spark):
@@ -116,7 +134,7 @@ def test_time_zone_does_not_change_results(spark):
         assert sorted(tuple(r) for r in K.registry()["extreme_files"](spark, sf).collect()) == ext_before
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
-    assert all(r[1] == r[4] for r in before)  # converted == modified
+    assert all(0 <= (r[4] - r[1]).total_seconds() < 1 for r in before)  # modified and the ticks added to it
 
 
 def _format_bytes_model(n: int) -> str:

@@ -1,5 +1,6 @@
 """Properties of the operators on the driver's tables (survey §5 layer 4)."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
@@ -27,7 +28,8 @@ def test_prefilter_does_not_change_groups(spark):
 def test_accurate_groups_lie_inside_fast_groups(spark):
     docs = X.inv_docs(spark, SF)
     acc = D.group_members(D.digest_candidates(docs, "accurate"))
-    fast = D.group_members(D.digest_candidates(docs, "fast", chunk=16, threshold=256))
+    partial = D.digest_candidates(docs, "fast", chunk=16, threshold=256)
+    fast = D.group_members(partial)
     pairs = (acc.select("full_path", F.col("duplicate_group_id").alias("a"))
              .join(fast.select("full_path", F.col("duplicate_group_id").alias("f")), "full_path", "left"))
     assert pairs.where(F.col("f").isNull()).count() == 0
@@ -111,13 +113,73 @@ def test_plan_selection_reports_missing_sources(spark):
     assert summary["planned_bytes"] == docs.agg(F.sum("size")).first()[0]
 
 
-def test_digest_sits_above_the_size_semi_join(spark):
-    df = K.registry()["duplicate_summary"](spark, SF_SMALL)
-    plan = df._jdf.queryExecution().executedPlan().toString().splitlines()
-    md5_lines = [i for i, line in enumerate(plan) if "md5(" in line]
-    semi = [i for i, line in enumerate(plan) if "LeftSemi" in line]
-    assert md5_lines and semi and max(md5_lines) < min(semi)
-    assert not any("Filter" in line and "md5(" in line for line in plan)
+def test_no_exchange_carries_content(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = X.inv_docs(spark, SF_SMALL)
+        digested = D.digest_candidates(docs)
+        for df in (D.duplicate_groups(D.column_digests(docs)), D.group_members(digested),
+                   D.verify_groups(D.digest_candidates(docs, "fast", chunk=8, threshold=64), docs)):
+            plan = df._jdf.queryExecution().sparkPlan().toString() + df._jdf.queryExecution().optimizedPlan().toString()
+            tree = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+            joins = [i for i, line in enumerate(tree) if "Join" in line or "Aggregate" in line]
+            digests = [i for i, line in enumerate(tree) if "md5(" in line]
+            assert digests and joins and min(digests) > min(joins) and "Join" not in "".join(tree[max(digests):]), plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_hot_size_and_hot_group_are_salted(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(6000).selectExpr("concat('/f', id) AS full_path", "if(id % 3 = 0, 7, id) AS size", "'h' AS hash",
+                                            "timestamp_ntz'2024-01-01 00:00:00' AS created")
+        for df in (D.hash_candidates(rows), D.with_group(rows)):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            keys = [line for line in plan.splitlines() if "hashpartitioning" in line and "_salt" in line]
+            assert len(keys) >= 2, plan
+        assert D.hash_candidates(rows).where("size = 7").count() == 2001
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_large_files_and_unknown_ages(spark):
+    """No upper bound for hashing; a file of unknown age is never the one to keep."""
+    rows = spark.createDataFrame([("/b", 1 << 40, "H", None), ("/c", 1 << 40, "H", "2020-01-01 00:00:00"), ("/a", 5, "S", None), ("/d", 5, "S", None)],
+                                 "full_path string, size long, hash string, created string").withColumn("created", F.col("created").cast("timestamp_ntz"))
+    assert D.hash_candidates(rows).count() == 4 and D.hash_candidates(rows, max_size=100).count() == 2
+    got = {r["full_path"]: r["is_primary"] for r in D.group_members(rows).collect()}
+    assert got == {"/b": False, "/c": True, "/a": True, "/d": False}
+
+
+def test_plans_do_not_overwrite(spark):
+    from filelens.plans import relocation as R
+    inv = spark.createDataFrame([("/a/x.txt", "x.txt", "/a", 1), ("/backup/x.txt", "x.txt", "/backup", 2), ("/backup/x_1.txt", "x_1.txt", "/backup", 3)],
+                                "full_path string, name string, directory string, size long")
+    plan = R.plan_selection(inv, inv.where("size = 1").select("full_path"), "copy", destination="/backup").collect()
+    assert [r["target"] for r in plan] == ["/backup/x_2.txt"]
+
+
+def test_shared_folder_is_needed_off_one_machine(monkeypatch):
+    from types import SimpleNamespace
+
+    from filelens.session import ensure_checkpoint_dir
+    conf = SimpleNamespace(get=lambda key, default=None: default, set=None)
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        sc = SimpleNamespace(getCheckpointDir=lambda: None, master=master)
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            ensure_checkpoint_dir(SimpleNamespace(sparkContext=sc, conf=conf))
+
+
+def test_pages_follow_each_other(spark):
+    from filelens.operators import filters as FL
+    inv = X.inv_orders(spark, SF_SMALL)
+    first = FL.grid_page(inv, limit=700).collect()
+    second = FL.grid_page(inv, limit=700, after=first[-1]["full_path"]).collect()
+    paths = sorted(r["full_path"] for r in inv.select("full_path").collect())
+    assert [r["full_path"] for r in first + second] == paths[:1400] and first[0]["total_matches"] == len(paths)
 
 
 def test_search_is_literal_not_a_pattern(spark):
@@ -146,7 +208,7 @@ def test_stored_inventory_is_path_ordered_and_complete(spark):
 def test_inventory_after_moves(spark):
     from filelens.plans import relocation as R
     docs = X.inv_docs(spark, SF_SMALL, with_content=False).select("full_path", "name", "directory", "size")
-    plan = R.move_plan(docs.where(F.col("size") > 3000), "/moved")
+    plan = R.move_plan(docs.where(F.col("size") > 3000), "/moved", R.files_below(docs, "/moved"))
     after = R.inventory_after_moves(docs, plan)
     assert after.count() == docs.count()
     moved = after.where(F.col("directory") == "/moved").count()
