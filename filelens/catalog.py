@@ -404,6 +404,28 @@ def q_directory_sizes(spark, sf_dir):
     return H.directory_sizes(X.inv_orders(spark, sf_dir))
 
 
+@query("directory_sizes_visible")
+def q_directory_sizes_visible(spark, sf_dir):
+    """J1 without hidden and system files."""
+    return H.directory_sizes(X.inv_orders(spark, sf_dir), ("is_hidden", "is_system"))
+
+
+@query("visible_files")
+def q_visible_files(spark, sf_dir):
+    """A3."""
+    return A.visible_only(X.inv_orders(spark, sf_dir)).select("full_path", "size")
+
+
+@query("files_outside_system")
+def q_files_outside_system(spark, sf_dir):
+    """A4: documents as files, their language folders as folders, two of which are system folders."""
+    docs = _docs(spark, sf_dir).select("full_path", "directory", "is_dir", "is_system")
+    folders = docs.select(F.col("directory").alias("full_path")).distinct().select(
+        "full_path", C.parent_directory("full_path").alias("directory"), F.lit(True).alias("is_dir"),
+        F.col("full_path").rlike("/src[12]/(de|en)$").alias("is_system"))
+    return A.without_system(docs.unionByName(folders)).select("full_path", "is_dir")
+
+
 @query("folder_tree")
 def q_folder_tree(spark, sf_dir):
     return H.folder_tree(X.inv_orders(spark, sf_dir).select(F.col("directory").alias("path")), "path", "/")

@@ -22,8 +22,11 @@ def ancestors(directory: Column, sep: str = "/") -> Column:
                     lambda p: p.isNotNull())
 
 
-def directory_sizes(inv: DataFrame) -> DataFrame:
-    """For every directory, bytes and files below it (recursive), root included."""
+def directory_sizes(inv: DataFrame, skip: tuple[str, ...] = ()) -> DataFrame:
+    """For every directory, bytes and files below it (recursive), root included. ``skip``: attribute columns (such as
+    ``is_hidden``, ``is_system``) whose files are left out."""
+    for attribute in skip:
+        inv = inv.where(~F.col(attribute))
     per_dir = inv.groupBy("directory").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n"))
     exploded = per_dir.select(F.explode(F.array_distinct(ancestors(F.col("directory")))).alias("directory"), "s", "n")
     return (exploded.groupBy("directory")

@@ -369,6 +369,12 @@ per_dir AS (SELECT directory, sum(size) AS s, count(*) AS n FROM inv_orders GROU
 expl AS (SELECT DISTINCT directory, unnest(""" + _ancestors_sql("directory") + """) AS anc, s, n FROM per_dir)""") + """
 SELECT anc AS directory, cast(sum(s) AS BIGINT) AS total_size, cast(sum(n) AS BIGINT) AS file_count
 FROM expl GROUP BY anc"""
+ORACLE["directory_sizes_visible"] = ORACLE["directory_sizes"].replace(
+    "FROM inv_orders GROUP BY directory", "FROM inv_orders WHERE NOT (is_hidden OR is_system) GROUP BY directory")
+ORACLE["visible_files"] = _with(INV_ORDERS) + "\nSELECT full_path, size FROM inv_orders WHERE NOT (is_hidden OR is_system)"
+ORACLE["files_outside_system"] = _with(INV_DOCS) + """
+SELECT full_path, false AS is_dir FROM inv_docs WHERE NOT is_system AND NOT regexp_matches(directory, '/src[12]/(de|en)$')
+UNION ALL SELECT DISTINCT directory, true FROM inv_docs WHERE NOT regexp_matches(directory, '/src[12]/(de|en)$')"""
 TREE = """
 paths AS (SELECT DISTINCT {col} AS p FROM {src} WHERE {col} IS NOT NULL),
 nodes AS (SELECT p, unnest(range(1, len(string_split(p, '{sep}')) + 1)) AS i FROM paths)"""

@@ -5,8 +5,8 @@
 
 One row per file and per directory (root included). The driver only collects the
 directory names of the first ``splitDepth`` levels to cut the tree into subtrees
-(``targetPartitions``); executors list those first-level folders flat and walk
-each subtree, so no file record passes through the driver. Symbolic links to directories are listed but never entered.
+(``targetPartitions``; file entries are counted one at a time, none is kept); executors list those first-level
+folders flat and walk each subtree. Symbolic links to directories are listed but never entered.
 Entries that cannot be read are kept as rows with ``accessible = false`` and the
 reason in ``attributes``; ``scan`` returns them as a separate reject frame
 (path, reason) instead of dropping them silently.
@@ -16,6 +16,7 @@ The tree must be visible at the same path on every executor (a shared mount).
 
 from __future__ import annotations
 
+import itertools
 import os
 import stat
 import zlib
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..operators.hierarchy import ancestors
 from ..schema import ENTRY_SCHEMA
 
 
@@ -49,13 +51,14 @@ def _record(path: str, st: os.stat_result | None, is_dir: bool, is_link: bool, e
                 False, name.startswith("."), False, is_link, error or "unreadable", False)
     read_only = not (st.st_mode & stat.S_IWUSR)
     hidden = name.startswith(".")
+    system = bool(getattr(st, "st_file_attributes", 0) & stat.FILE_ATTRIBUTE_SYSTEM)  # where the file system has it
     created = getattr(st, "st_birthtime", None) or st.st_ctime
-    flags = [f for f, on in (("ReadOnly", read_only), ("Hidden", hidden), ("Directory", is_dir),
-                             ("ReparsePoint", is_link)) if on]
+    flags = [f for f, on in (("ReadOnly", read_only), ("Hidden", hidden), ("System", system),
+                             ("Directory", is_dir), ("ReparsePoint", is_link)) if on]
     attrs = ", ".join(flags or ["Normal"]) if is_dir else ", ".join(flags + ["Archive"])
     return (path, name, "" if is_dir else _extension(name), directory, is_dir,
             None if is_dir else int(st.st_size), _ts(st.st_mtime), _ts(created), _ts(st.st_atime),
-            read_only, hidden, False, is_link, attrs, error is None)
+            read_only, hidden, system, is_link, attrs, error is None)
 
 
 def _error(e: OSError) -> str:
@@ -79,13 +82,22 @@ def _entry(ent: os.DirEntry) -> tuple[tuple, bool]:
         return _record(ent.path, None, False, False, _error(e)), False
 
 
-def _list(d: str):
-    """Entries of one directory, or the error that prevented listing it."""
+def _entries(d: str):
+    """(entry, None) of one directory, one at a time; (None, reject row) when it can't be listed."""
     try:
         with os.scandir(d) as it:
-            return list(it), None
+            for ent in it:
+                yield ent, None
     except OSError as e:
-        return [], _record(d, None, True, False, _error(e))
+        yield None, _record(d, None, True, False, _error(e))
+
+
+def _is_folder(ent: os.DirEntry) -> bool:
+    """A directory to enter (links are not)."""
+    try:
+        return ent.is_dir(follow_symlinks=False) and not ent.is_symlink()
+    except OSError:
+        return False
 
 
 def _walk(top: str, recursive: bool = True, shard: tuple[int, int] | None = None):
@@ -96,13 +108,11 @@ def _walk(top: str, recursive: bool = True, shard: tuple[int, int] | None = None
     """
     stack = [top]
     while stack:
-        d = stack.pop()
-        entries, err = _list(d)
-        if err is not None:
-            if shard is None or shard[0] == 0:
-                yield err
-            continue
-        for ent in entries:
+        for ent, err in _entries(stack.pop()):
+            if err is not None:
+                if shard is None or shard[0] == 0:
+                    yield err
+                continue
             if shard is not None and zlib.crc32(ent.name.encode("utf-8", "surrogateescape")) % shard[1] != shard[0]:
                 continue
             rec, descend = _entry(ent)
@@ -112,18 +122,15 @@ def _walk(top: str, recursive: bool = True, shard: tuple[int, int] | None = None
 
 
 def _subdirectories(d: str) -> tuple[list[str], int]:
-    """Sub-directory paths of one directory (links are not entered) and its number of entries."""
-    entries, err = _list(d)
-    if err is not None:
-        return [], 0
-    out = []
-    for ent in entries:
-        try:
-            if ent.is_dir(follow_symlinks=False) and not ent.is_symlink():
+    """Sub-directory paths of one directory (links are not entered) and its number of entries; file entries
+    are counted, not kept."""
+    out, n = [], 0
+    for ent, err in _entries(d):
+        if err is None:
+            n += 1
+            if _is_folder(ent):
                 out.append(ent.path)
-        except OSError:
-            pass
-    return out, len(entries)
+    return out, n
 
 
 class _Listing(InputPartition):
@@ -243,13 +250,16 @@ def visible_only(entries: DataFrame) -> DataFrame:
 
 
 def without_system(entries: DataFrame) -> DataFrame:
-    """A4: without system entries."""
-    return entries.where(~F.col("is_system"))
+    """A4: without system entries and all that lies below a system folder."""
+    system = entries.where(F.col("is_dir") & F.col("is_system")).select(F.col("full_path").alias("above"))
+    below = (entries.select("directory").distinct().select("directory", F.explode(ancestors(F.col("directory"))).alias("above"))
+             .join(system, "above", "left_semi").select("directory").distinct())
+    return entries.where(~F.col("is_system")).join(below, "directory", "left_anti").select(*entries.columns)
 
 
-def directories(entries: DataFrame, include_root: bool = True, root: str | None = None) -> DataFrame:
-    """Directory rows (root optional)."""
-    d = entries.where(F.col("is_dir"))
+def directories(entries: DataFrame, include_root: bool = True, root: str | None = None, include_system: bool = True) -> DataFrame:
+    """Directory rows (root and system folders optional)."""
+    d = (entries if include_system else without_system(entries)).where(F.col("is_dir"))
     if not include_root and root is not None:
         d = d.where(F.col("full_path") != os.path.abspath(root))
     return d
@@ -271,21 +281,23 @@ def valid_paths(paths: DataFrame, entries: DataFrame, col: str = "path") -> Data
 DIRS_SCHEMA = "directory string, n_entries long, error string"
 
 
+def _dir_row(d: str, below: list[str] | None = None):
+    """(directory, number of entries, error); adds its folders to ``below``."""
+    n, error = 0, None
+    for ent, err in _entries(d):
+        if err is not None:
+            error = err[13]
+        else:
+            n += 1
+            if below is not None and _is_folder(ent):
+                below.append(ent.path)
+    return d, n, error
+
+
 def _dir_walk(top: str):
     stack = [top]
     while stack:
-        d = stack.pop()
-        entries, err = _list(d)
-        if err is not None:
-            yield (d, 0, err[13])
-            continue
-        yield (d, len(entries), None)
-        for ent in entries:
-            try:
-                if ent.is_dir(follow_symlinks=False) and not ent.is_symlink():
-                    stack.append(ent.path)
-            except OSError:
-                pass
+        yield _dir_row(stack.pop(), stack)
 
 
 class _DirsReader(DataSourceReader):
@@ -319,8 +331,7 @@ class _DirsReader(DataSourceReader):
             if partition.recursive:
                 yield from _dir_walk(d)
             else:
-                entries, err = _list(d)
-                yield (d, len(entries), None if err is None else err[13])
+                yield _dir_row(d)
 
 
 class FileInventoryDirsSource(DataSource):
@@ -337,20 +348,26 @@ class FileInventoryDirsSource(DataSource):
         return _DirsReader(self.options)
 
 
+UNIT_ROWS = 5000  # rows handed on at a time
+
+
+def _unit_rows(d: str, shard: int, k: int):
+    if shard >= 0:
+        yield from _walk(d, False, (shard, k) if k > 1 else None)
+        return
+    try:  # the root's own record
+        yield _record(d, os.stat(d, follow_symlinks=False), True, os.path.islink(d), None)
+    except OSError as e:
+        yield _record(d, None, True, False, _error(e))
+
+
 def _list_units(batches):
     import pandas as pd
     cols = [f.name for f in ENTRY_SCHEMA.fields]
     for pdf in batches:
-        rows = []
-        for d, shard, k in zip(pdf["directory"], pdf["shard"], pdf["k"]):
-            if shard < 0:  # the root's own record
-                try:
-                    rows.append(_record(d, os.stat(d, follow_symlinks=False), True, os.path.islink(d), None))
-                except OSError as e:
-                    rows.append(_record(d, None, True, False, _error(e)))
-                continue
-            rows.extend(_walk(d, False, (int(shard), int(k)) if k > 1 else None))
-        yield pd.DataFrame(rows, columns=cols)
+        rows = itertools.chain.from_iterable(_unit_rows(d, int(i), int(k)) for d, i, k in zip(pdf["directory"], pdf["shard"], pdf["k"]))
+        while part := list(itertools.islice(rows, UNIT_ROWS)):
+            yield pd.DataFrame(part, columns=cols)
 
 
 def scan_balanced(spark: SparkSession, root: str, split_depth: int = 2, target_partitions: int | None = None,

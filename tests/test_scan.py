@@ -176,3 +176,44 @@ def test_balanced_scan_equals_walk(spark, tree, depth, flat):
     plain, _ = A.scan(spark, tree)
     cols = ["full_path", "is_dir", "size", "extension", "is_link"]
     assert sorted(map(tuple, entries.select(*cols).collect())) == sorted(map(tuple, plain.select(*cols).collect()))
+
+
+def test_deep_chain_and_flat_folder(spark, tmp_path):
+    """A chain deeper than the split and a folder of many entries: the same rows as a walk, in either scan."""
+    import os
+    deep = tmp_path
+    for i in range(60):
+        deep = deep / f"d{i}"
+    os.makedirs(deep)
+    (deep / "last.txt").write_text("x")
+    flat = tmp_path / "flat"
+    flat.mkdir()
+    for i in range(3000):
+        (flat / f"f{i}").touch()
+    want = {os.path.join(d, n) for d, dirs, files in os.walk(tmp_path) for n in dirs + files} | {str(tmp_path)}
+    for scan in (A.scan, A.scan_balanced):
+        entries, rejects = scan(spark, str(tmp_path), flat_split_entries=500)
+        assert {r["full_path"] for r in entries.select("full_path").collect()} == want and rejects.count() == 0
+
+
+def test_driver_keeps_no_file_entries(tmp_path):
+    for i in range(500):
+        (tmp_path / f"f{i}").touch()
+    (tmp_path / "sub").mkdir()
+    assert A._subdirectories(str(tmp_path)) == ([str(tmp_path / "sub")], 501)
+    parts = A.FileInventoryReader({"path": str(tmp_path)}, None).partitions()
+    assert {d for p in parts for d in p.dirs} <= {str(tmp_path), str(tmp_path / "sub")}
+
+
+def test_unlistable_folders_are_rejects_for_any_user(spark, tmp_path):
+    """A folder that goes away between its parent's listing and its own (holds for root too)."""
+    rows = list(A._walk(str(tmp_path / "gone")))
+    assert len(rows) == 1 and not rows[0][14] and "FileNotFound" in rows[0][13]
+
+
+def test_system_folders_are_pruned(spark):
+    rows = [("/r/a", "/r", True, False), ("/r/s", "/r", True, True), ("/r/s/x", "/r/s", True, False), ("/r/s/x/f", "/r/s/x", False, False),
+            ("/r/a/f", "/r/a", False, False), ("/r/a/g", "/r/a", False, True)]
+    df = spark.createDataFrame(rows, "full_path string, directory string, is_dir boolean, is_system boolean")
+    assert {r[0] for r in A.without_system(df).select("full_path").collect()} == {"/r/a", "/r/a/f"}
+    assert {r[0] for r in A.directories(df, include_system=False).select("full_path").collect()} == {"/r/a"}
