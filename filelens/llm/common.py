@@ -6,6 +6,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators import common as store
+
 #: Bytes of ASCII white space, the complement of ``[^\x20\x09-\x0D]``.
 SPACE = b" \t\n\x0b\x0c\r"
 #: Bytes of text that numpy code handles at a time (keeps its arrays in cache, and memory bounded).
@@ -27,6 +29,18 @@ def raw_texts(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
+def written() -> str:
+    """Folder of the last copy that ``materialize`` wrote."""
+    return store._WRITTEN[-1]
+
+
+def discard(spark: SparkSession, folders: list[str]) -> None:
+    """Deletes copies that nothing reads any more."""
+    for folder in folders:
+        store._WRITTEN.remove(folder)
+        store.delete_path(spark, folder)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every input bit over 64 bits (wraps on purpose)."""
     x = x ^ (x >> _U(30))

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.common import materialize
-from .common import chunks, raw_texts, signed
+from .common import chunks, discard, raw_texts, signed, written
 
 LENGTH, ANCHOR = 200, 100
 SEGMENT = 1 << 20  # string starts handled at a time
@@ -141,10 +141,10 @@ def _strings(batches):
         twice = np.bincount(group)[group] > 1
         settled = ask[twice & (ask >= 0)]
         carry_ask = np.where(twice, -1, ask)[new]
-        none = np.zeros(len(settled), dtype=np.int64)
+        # what is settled meets nothing else: keys of its own
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate([none, h[new]])), pa.array(np.concatenate([none, signed(w[new])])),
-             pa.array(np.concatenate([settled, carry_ask])), pa.array(np.concatenate([none == 0, np.zeros(len(carry_ask), bool)]))],
+            [pa.array(np.concatenate([settled, h[new]])), pa.array(np.concatenate([settled, signed(w[new])])),
+             pa.array(np.concatenate([settled, carry_ask])), pa.array(np.arange(len(settled) + len(carry_ask)) < len(settled))],
             names=["h", "w", "ask", "settled"])
 
 
@@ -180,23 +180,28 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     found = rows.select("k", "text").mapInArrow(_runs, "h long, s long, k long, run long")
     # stored, so that joins with it may split a hot bucket's runs
     shared = materialize(found.groupBy("h").count().where("count > 1").select("h"))
+    copies = [written()]
     found = materialize(found.join(shared, "h"))
+    copies.append(written())
     equal = materialize(found.groupBy("h", "s").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k", "run")).alias("rep")))
+    copies.append(written())
     mixed = materialize(equal.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("h", F.lit(True).alias("mixed")))
+    copies.append(written())
     equal = materialize(equal.join(mixed, "h", "left").where("n > 1 or mixed"))
+    copies.append(written())
     found = materialize(found.join(equal, ["h", "s"]).select(
         "h", "k", "run", (F.col("n") == 1).alias("alone"),
         (F.col("mixed").isNotNull() & (F.struct("k", "run") == F.col("rep"))).alias("ask")))
+    discard(rows.sparkSession, copies)  # all later steps read the last copy
     first = F.shiftright("run", 8)
     whole = found.where("not alone").select("k", first.alias("first"), (first + F.col("run").bitwiseAND(255) + LENGTH).alias("stop"))
 
     asks = materialize(found.where("ask").select("k", "h", "run", "alone", F.monotonically_increasing_id().alias("no")))
     # identical rows ask alike: texts by key once
     texts = rows.select("k", "text").join(asks.groupBy("k").agg(F.collect_list(F.struct("h", "run", "alone", "no")).alias("asks")), "k")
-    strings = materialize(texts.select("text", "asks").mapInArrow(_strings, "h long, w long, ask long, settled boolean"))
-    open_ = strings.where("not settled")
+    strings = texts.select("text", "asks").mapInArrow(_strings, "h long, w long, ask long, settled boolean")
     times = F.count(F.lit(1)).over(Window.partitionBy("h", "w"))
-    again = open_.withColumn("times", times).where("times > 1 and ask >= 0").select("ask").union(strings.where("settled").select("ask"))
+    again = strings.withColumn("times", times).where("ask >= 0 and (settled or times > 1)").select("ask")
     single = again.select(F.shiftright("ask", 8).alias("no"), F.col("ask").bitwiseAND(255).alias("off")).join(
         asks.select("no", "k", "run"), "no").select("k", (F.shiftright("run", 8) + F.col("off")).alias("first"))
     single = single.select("k", "first", (F.col("first") + LENGTH).alias("stop"))
