@@ -13,8 +13,8 @@ Steps, none of which pairs up a whole group:
    the hub of their buckets, so this is linear where "all pairs" is not. Links are joined to components;
 3. members of one hub in different components may still be linked. Two sets that share ``LIMIT`` percent must share an
    element among the first n - ceil(n * LIMIT / 100) + 1 of each in any common order (prefix filter). The order taken
-   has what the hub does not hold first: copies edited in different places then share nothing in front. Those whose
-   prefix reaches into the hub's elements are paired only if their sizes and shares with the hub allow a link. Both are exact;
+   has what the hub does not hold first: copies edited in different places then share nothing in front, and where two
+   prefixes meet bounds what they can share (positional filter). Those whose prefix reaches into the hub's elements are paired only if their sizes and shares with the hub allow a link. Both are exact;
 4. the pairs left pass the sketch screen (``SCREEN`` is five standard errors below the limit) and the exact test. After
    this no colliding pair of different components is left open, so components are those of all links.
 
@@ -217,9 +217,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
     placed = materialize(placed.join(mixed, "hub", "left_semi"))
     odd = placed.where("label <> hub_label")
     pair = [F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b")]
-    apart = odd.select("hub", F.col("doc_id").alias("x"), F.col("label").alias("lx"), F.explode("prefix").alias("s")).join(
-        placed.select("hub", "doc_id", "label", F.explode("prefix").alias("s")), ["hub", "s"]).where("lx <> label").select(*pair)
-    within = odd.where("reach").select("hub", F.col("doc_id").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"), F.col("in_hub").alias("hx"))
+    # the first element that two prefixes share leaves both so much of their own: with the hub's part it must reach the limit
+    mine = [F.col("n").alias("nx"), F.col("in_hub").alias("hx")]
+    front = F.posexplode("prefix").alias("at", "s")
+    apart = odd.select("hub", F.col("doc_id").alias("x"), F.col("label").alias("lx"), *mine, front).withColumnRenamed("at", "ax").join(
+        placed.select("hub", "doc_id", "label", "n", "in_hub", front), ["hub", "s"])
+    common = F.least("hx", "in_hub") + F.least(F.col("nx") - F.col("hx") - F.col("ax"), F.col("n") - F.col("in_hub") - F.col("at"))
+    apart = apart.where((F.col("lx") != F.col("label")) & (100 * common >= limit * (F.col("nx") + F.col("n") - common))).select(*pair)
+    within = odd.where("reach").select("hub", F.col("doc_id").alias("x"), F.col("label").alias("lx"), *mine)
     most = F.least("hx", "in_hub")
     within = within.join(placed.where("reach").select("hub", "doc_id", "label", "n", "in_hub"), "hub").where(
         (F.col("lx") != F.col("label")) & (100 * most >= limit * (F.col("nx") + F.col("n") - most))).select(*pair)
@@ -230,13 +235,18 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
             .select("a", "b", "sa", "sb").mapInArrow(_screened(sketch_distance_limit()), "a long, b long"))
     more = materialize(_with_texts(materialize(near), texts, "a", "b").mapInArrow(_linked(width, limit), "a long, b long"))
 
-    links = links.union(more)
+    # later links join whole components
+    late = more
     if key_shared := sets.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
         same = filled.join(classes, ["sig_a", "sig_b", "n_shingles"]).where("doc_id <> rep")
-        links = links.union(same.select("doc_id", "rep"))  # rows of one doc_id may lie in several classes
-    label = components(links).withColumnRenamed("node", "rep")
-    named = classes.join(label, "rep", "left").select(
-        "sig_a", "sig_b", "n_shingles", F.coalesce("label", "rep").alias("label"))
+        late = late.union(same.select("doc_id", "rep"))  # rows of one doc_id may lie in several classes
+    for end in ("a", "b"):
+        late = late.join(label.select(F.col("node").alias(end), F.col("label").alias(f"l{end}")), end, "left").withColumn(
+            end, F.coalesce(f"l{end}", end)).drop(f"l{end}")
+    upper = components(late).select(F.col("node").alias("first"), F.col("label").alias("upper"))
+    named = classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").select(
+        "sig_a", "sig_b", "n_shingles", F.coalesce("label", "rep").alias("first")).join(upper, "first", "left").select(
+        "sig_a", "sig_b", "n_shingles", F.coalesce("upper", "first").alias("label"))
     out = sets.drop("band", "sketch").join(named, ["sig_a", "sig_b", "n_shingles"], "left")
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("label", "doc_id")))
     if key_shared:
