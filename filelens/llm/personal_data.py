@@ -64,7 +64,7 @@ def _matches(text: str, kind: str) -> Column:
     found = F.transform(F.arrays_zip(F.regexp_extract_all(F.col(text), pattern, F.lit(0)).alias("v"), F.slice(gaps, 1, F.greatest(
         F.size(gaps) - 1, F.lit(0))).alias("g")), lambda z: F.struct(
             F.lit(kind).alias("kind"), z["v"].alias("value"), F.char_length(z["g"]).alias("gap"), F.right(z["g"], F.lit(CONTEXT)).alias("before")))
-    none = F.slice(found, 1, 0)
+    none = F.array().cast("array<struct<kind:string,value:string,gap:int,before:string>>")
     return F.when(F.contains(F.col(text), F.lit(_MARKS[kind])), found).otherwise(none) if kind in _MARKS else found
 
 
