@@ -5,8 +5,8 @@ is a table of CELLS cells: a digest is added to one cell of each of HASHES regio
 of its digests and the XOR of their checks. Subtracting two tables cancels what both texts share. What is left is peeled: a
 cell with a single digest gives that digest, which is taken out of its other cells, until nothing remains; then the
 differing digests of both sides are known exactly, and likeness is 2 x common / (all of both sides). If peeling gets stuck, the
-pair is sketched again in a larger table (independent parts of PART_CELLS cells, ``PART_LOAD`` digests each, then
-half the load and new hashes every time) and only the failed pairs go on.
+pair is sketched again, larger: independent parts of PART_CELLS cells with about ``PART_LOAD`` digests each; a part that gets stuck is
+sketched once more in RETRY_CELLS cells with new hashes; and pairs with a part that is still stuck go on to more and new parts.
 
 Plan: a document's neighbour needs only its first characters and digests, so texts pass one shuffle, on the id, and these another.
 Sketches, their difference and the peeling are expressions on a row's digest arrays: no row is multiplied and nothing is shuffled for
@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 from ..operators.common import materialize
 from ..operators.ranking import rank_within
 
-HASHES, CELLS = 4, 24
-PART_CELLS, PART_LOAD = 48, 20
+HASHES, CELLS = 4, 16
+PART_CELLS, PART_LOAD, RETRY_CELLS = 16, 7, 48
+ROUNDS = 8  # of peeling; a table that needs more counts as stuck
 _CUT = r"\n+|(?<=[.!?])\x20+"
 _KEY = ["k", "th"]
 
@@ -57,23 +58,35 @@ def _filled(c: Column) -> Column:
     return (c["n"] != 0) | (c["x"] != 0) | (c["y"] != 0)
 
 
+def _cell(items: Column, c: Column) -> Column:
+    """One cell of an array of (u, sign, c, at)."""
+    zero = F.lit(0).cast("bigint")
+    return _let(F.filter(items, lambda i: F.array_contains(i["at"], c)), lambda mine: F.struct(
+        c.alias("cell"), F.aggregate(mine, zero, lambda a, i: a + i["sign"]).alias("n"),
+        F.aggregate(mine, zero, lambda a, i: a.bitwiseXOR(i["u"])).alias("x"),
+        F.aggregate(mine, zero, lambda a, i: a.bitwiseXOR(i["c"])).alias("y")))
+
+
 def _table(items: Column, size: int, salt: int) -> Column:
-    """The filled cells (cell, n, x, y) of an array of (u, sign)."""
+    """All cells (cell, n, x, y) of an array of (u, sign)."""
     placed = F.transform(items, lambda i: F.struct(i["u"].alias("u"), i["sign"].alias("sign"), _check(i["u"]).alias("c"),
                                                    _places(i["u"], size, salt).alias("at")))
-    zero = F.lit(0).cast("bigint")
+    return _let(placed, lambda all_: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda c: _cell(all_, c)))
 
-    def cell(all_: Column, c: Column) -> Column:
-        return _let(F.filter(all_, lambda i: F.array_contains(i["at"], c)), lambda mine: F.struct(
-            c.alias("cell"), F.aggregate(mine, zero, lambda a, i: a + i["sign"]).alias("n"),
-            F.aggregate(mine, zero, lambda a, i: a.bitwiseXOR(i["u"])).alias("x"),
-            F.aggregate(mine, zero, lambda a, i: a.bitwiseXOR(i["c"])).alias("y")))
 
-    return _let(placed, lambda all_: F.filter(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda c: cell(all_, c)), _filled))
+def sketch(units: Column) -> Column:
+    """The table that is a text's fingerprint."""
+    return _table(_signed(units, 1), CELLS, 0)
+
+
+def _subtract(a: Column, b: Column) -> Column:
+    """Table of the difference: what both hold cancels."""
+    return F.zip_with(a, b, lambda p, q: F.struct(p["cell"].alias("cell"), (p["n"] - q["n"]).alias("n"),
+                                                  p["x"].bitwiseXOR(q["x"]).alias("x"), p["y"].bitwiseXOR(q["y"]).alias("y")))
 
 
 def _peel(cells: Column, size: int, salt: int) -> Column:
-    """Peels an array of filled cells; gives (left, plus, minus): unresolved cells and the digests found by side."""
+    """Peels a table; gives (left, plus, minus): unresolved cells and the digests found by side."""
 
     def pure(c: Column) -> Column:
         return (F.abs(c["n"]) == 1) & (_check(c["x"]) == c["y"])
@@ -95,40 +108,60 @@ def _peel(cells: Column, size: int, salt: int) -> Column:
             F.concat(state["minus"], F.transform(F.filter(f, lambda p: p["n"] < 0), lambda p: p["x"])).alias("minus"))))
 
     none = F.array().cast("array<bigint>")
-    # every round that changes anything finds a digest, and a table decodes at most as many as it has cells
-    return F.aggregate(F.sequence(F.lit(1), F.lit(size)), F.struct(cells.alias("left"), none.alias("plus"), none.alias("minus")), step)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)),
+                       F.struct(F.filter(cells, _filled).alias("left"), none.alias("plus"), none.alias("minus")), step)
 
 
 def _signed(units: Column, sign: int) -> Column:
     return F.transform(units, lambda u: F.struct(u.alias("u"), F.lit(sign).alias("sign")))
 
 
+def _outcome(r: Column) -> Column:
+    return F.struct((F.size(r["left"]) > 0).alias("stuck"), r["plus"].alias("plus"), r["minus"].alias("minus"))
+
+
+def _part(items: Column, n: int) -> Column:
+    """A part's digests, in a small table or, when that is stuck, in a larger one."""
+    return _let(_peel(_table(items, PART_CELLS, n), PART_CELLS, n), lambda r: F.when(F.size(r["left"]) == 0, r).otherwise(
+        _peel(_table(items, RETRY_CELLS, -n), RETRY_CELLS, -n)))
+
+
 def attempt(a: Column, b: Column, n: int) -> Column:
-    """(stuck, plus, minus) of the difference of two digest arrays at the n-th size; n = 0: the tables that are the fingerprints."""
-    both = F.concat(_signed(a, 1), _signed(b, -1))
-    if n == 0:
-        return _let(_peel(_table(both, CELLS, 0), CELLS, 0), lambda r: F.struct(
-            (F.size(r["left"]) > 0).alias("stuck"), r["plus"].alias("plus"), r["minus"].alias("minus")))
-    load = max(4, PART_LOAD >> (n - 1))
+    """(stuck, plus, minus) of the difference of two digest arrays in parts, at the n-th size (from 1)."""
+    load = max(2, PART_LOAD >> (n - 1))
     parts = F.greatest(F.ceil((F.size(a) + F.size(b)) / load).cast("int"), F.lit(1))
+    width = F.ceil(F.sqrt(parts)).cast("int")  # parts are found by way of groups of so many: linear times a root
 
-    def result(all_: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), parts - 1), lambda p: _peel(_table(F.filter(
-            all_, lambda i: F.pmod(F.xxhash64(i["u"], F.lit(f"part{n}")), parts) == p), PART_CELLS, n), PART_CELLS, n))
+    def numbered(u: Column, sign: int) -> Column:
+        return F.transform(u, lambda x: F.struct(x.alias("u"), F.lit(sign).alias("sign"), F.pmod(
+            F.xxhash64(x, F.lit(f"part{n}")), parts).cast("int").alias("part")))
 
-    return _let(_let(both, result), lambda r: F.struct(
+    def group(all_: Column, g: Column) -> Column:
+        return _let(F.filter(all_, lambda i: F.floor(i["part"] / width) == g), lambda own: F.transform(
+            F.sequence(F.lit(0), width - 1), lambda q: _part(F.filter(own, lambda i: i["part"] == g * width + q), n)))
+
+    found = _let(F.concat(numbered(a, 1), numbered(b, -1)), lambda all_: F.flatten(F.transform(
+        F.sequence(F.lit(0), width - 1), lambda g: group(all_, g))))
+    return _let(found, lambda r: F.struct(
         F.exists(r, lambda x: F.size(x["left"]) > 0).alias("stuck"), F.flatten(F.transform(r, lambda x: x["plus"])).alias("plus"),
         F.flatten(F.transform(r, lambda x: x["minus"])).alias("minus")))
 
 
-def decoded(a: Column, b: Column) -> Column:
-    """The first attempt that is not stuck, of the first two."""
-    return _let(attempt(a, b, 0), lambda r: F.when(r["stuck"], attempt(a, b, 1)).otherwise(r))
+def by_tables(table_a: Column, table_b: Column) -> Column:
+    """(stuck, plus, minus) of the difference by the fingerprints' tables alone."""
+    return _let(_peel(_subtract(table_a, table_b), CELLS, 0), _outcome)
+
+
+def by_parts(first: Column, a: Column, b: Column) -> Column:
+    """That, or where it is stuck the first attempt by parts."""
+    return F.when(first["stuck"], attempt(a, b, 1)).otherwise(first)
 
 
 def differing(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """Of pairs (keys, a, b: digest arrays) the decoded difference: keys, plus (only in a), minus (only in b)."""
-    got = materialize(pairs.select(*keys, "a", "b", decoded(F.col("a"), F.col("b")).alias("r")))
+    pairs = pairs.withColumn("ta", sketch(F.col("a"))).withColumn("tb", sketch(F.col("b")))
+    pairs = pairs.withColumn("r0", by_tables(F.col("ta"), F.col("tb")))
+    got = materialize(pairs.select(*keys, "a", "b", by_parts(F.col("r0"), F.col("a"), F.col("b")).alias("r")))
     done, n = got.where("not r.stuck").select(*keys, "r.plus", "r.minus"), 2
     while got.where("r.stuck").limit(1).count():
         got = materialize(got.where("r.stuck").select(*keys, "a", "b", attempt(F.col("a"), F.col("b"), n).alias("r")))
@@ -136,9 +169,9 @@ def differing(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return done
 
 
-def fingerprint(units: Column) -> Column:
-    """The sketch of a digest array as text: its filled cells in order; '' for no paragraphs."""
-    return F.array_join(F.transform(_table(_signed(units, 1), CELLS, 0), lambda c: F.concat_ws(
+def fingerprint(table: Column) -> Column:
+    """A sketch as text: its filled cells in order; '' for no paragraphs."""
+    return F.array_join(F.transform(F.filter(table, _filled), lambda c: F.concat_ws(
         ".", F.lpad(F.hex(c["cell"]), 2, "0"), F.hex(c["n"]), F.lpad(F.hex(c["x"]), 16, "0"), F.lpad(F.hex(c["y"]), 16, "0"))), " ")
 
 
@@ -171,9 +204,11 @@ def op9(docs: DataFrame) -> DataFrame:
     sides = {"edited": "edited_units", "next": "next_units"}
     kept = [f"r_{s}" for s in sides]
     stuck = F.col("r_edited.stuck") | F.col("r_next.stuck")
-    state = state.select("doc_id", "n_chars", "edited_sha256", fingerprint(F.col("units")).alias("fingerprint"),
-                         fingerprint(F.col("edited_units")).alias("edited_fingerprint"), "units", *sides.values(),
-                         *[decoded(F.col("units"), F.col(u)).alias(f"r_{s}") for s, u in sides.items()])
+    state = state.withColumns({f"t_{u}": sketch(F.col(u)) for u in ["units", *sides.values()]})
+    state = state.withColumns({f"r0_{s}": by_tables(F.col("t_units"), F.col(f"t_{u}")) for s, u in sides.items()})
+    state = state.select("doc_id", "n_chars", "edited_sha256", fingerprint(F.col("t_units")).alias("fingerprint"),
+                         fingerprint(F.col("t_edited_units")).alias("edited_fingerprint"), "units", *sides.values(),
+                         *[by_parts(F.col(f"r0_{s}"), F.col("units"), F.col(u)).alias(f"r_{s}") for s, u in sides.items()])
     # digests are kept of rows that go on; the others need only their numbers
     state = state.withColumns({f"n_{u}": F.size(u) for u in ["units", *sides.values()]})
     slim = [F.struct(F.col(r).getField("stuck").alias("stuck"), (F.size(F.col(r).getField("plus")) + F.size(F.col(r).getField("minus"))).alias("d"))
