@@ -17,8 +17,10 @@ HEADLINE = ["duplicate_summary", "marked_duplicates", "median_size", "directory_
 def main() -> None:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     spark = get_session()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for sides too large to broadcast
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
     out = ["# Physical plans of the headline queries", "",
-           f"Final adaptive plans at `{sf_dir}` (local, 8 shuffle partitions), from `tools/plans.py`.", ""]
+           f"Final adaptive plans at `{sf_dir}` (local, 8 shuffle partitions, broadcast joins off), from `tools/plans.py`.", ""]
     for name in HEADLINE:
         df = K.registry()[name](spark, sf_dir)
         df.collect()  # run once so the adaptive plan is final
