@@ -16,7 +16,8 @@ bucket. The consecutive strings of one anchor make a run, about one in 50 positi
    give the identifiers of all their strings; those found twice repeat. Strings found twice within a batch are settled there, and one
    carrier for each goes on, so a string that a third of all documents hold arrives once a batch.
 
-Strings are told apart by 128 bits (identifiers of the anchor's bucket and of the string). A group of equal runs, however large,
+Runs are told apart by 128 bits (identifiers of the anchor's bucket and of the run), strings by 96 (the string's and half of the bucket's, which
+is content of the string too). A group of equal runs, however large,
 is one count in the map tasks and one representative; no pairs are made.
 
 Defined cases: a null text is empty; a text shorter than LENGTH loses nothing; rows that share a doc_id are told apart by their texts, and
@@ -128,7 +129,7 @@ def _strings(batches):
             for a in asks:
                 first, more = a["run"] >> 8, a["run"] & 255
                 _, whole = identifiers(np.frombuffer(raw, dtype=np.uint8)[first:first + more + LENGTH])
-                h_all.append(np.full(more + 1, a["h"], dtype=np.int64))
+                h_all.append(np.full(more + 1, a["h"] & 0xFFFFFFFF, dtype=np.int64))
                 w_all.append(whole)
                 ask_all.append((a["no"] << 8) + np.arange(more + 1) if a["alone"] else np.full(more + 1, -1))
         if not h_all:
