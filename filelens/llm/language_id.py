@@ -5,13 +5,15 @@ A known word scores its smoothed log frequency in each language. An unseen word
 those found. A text's language is the one with the highest sum over its words; ``score`` is that
 language's posterior under equal priors (summed log likelihoods, softmax).
 
-The classifier is fitted on a bounded sample: training rows are thinned by a hash of their id to about
-``MAX_TRAIN`` documents, so the model has a size that doesn't grow with the corpus and can be broadcast.
-Prediction covers every whole text.
+The classifier is fitted on a bounded sample of each language: rows are counted by language, and those of a language
+with more than its share of ``MAX_TRAIN`` documents are thinned by a hash of their id to that share, which is
+``LEAST_TRAIN`` at least. A language with fewer rows is learned whole, however large the others are. The model's
+size follows the number of languages, not the corpus, and it can be broadcast. Prediction covers every whole text.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; rows without a language, an id
 or a text aren't learned from; no training rows at all: everything is ``und``; ties go to the first language
-in the order of names; other columns are ignored and repeated rows answered alike.
+in the order of names; other columns are ignored and repeated rows answered alike. Of a text with letters but without any
+known n-gram the score is 1 / languages, which says nothing: ``stage`` keeps it.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_TRAIN = 6000
+LEAST_TRAIN = 100  # of each language, if it has as many
 MIN_COUNT = 2
 LONGEST = 5
 MEMO_WORDS = 300_000
@@ -111,10 +114,12 @@ class Model:
             self.known[row] = self.word_scores(word)
         return row
 
-    def predict(self, text: str | None) -> tuple[str, float]:
+    def predict(self, text: str | None) -> tuple[str, float, bool]:
+        """The language, its posterior, and whether these rest on the text: it has known grams, or no letter at all."""
         words = words_of(text or "")
-        if not self.langs or not has_letter(words):
-            return "und", 0.0
+        letters = has_letter(words)
+        if not self.langs or not letters:
+            return "und", 0.0, not letters
         if len(self.memo) > MEMO_WORDS:
             self.memo.clear()
         try:
@@ -123,15 +128,30 @@ class Model:
             rows = list(map(self._row, words))
         total = self.known.take(rows, axis=0).sum(axis=0, dtype=np.float64)
         best = int(total.argmax())
-        return self.langs[best], float(1 / np.exp(total - total[best]).sum())
+        return self.langs[best], float(1 / np.exp(total - total[best]).sum()), bool(total.any())
 
 
-def fit(rows: DataFrame, max_train: int = MAX_TRAIN, min_count: int = MIN_COUNT) -> Model:
-    """rows: doc_id, text, lang of the training documents, of which about ``max_train`` are used."""
+def quota(sizes: list[int], max_train: int, least: int) -> int:
+    """Rows to take of each language: as many as let all together be ``max_train`` at most, but not below ``least``."""
+    left, most = max_train, 0
+    for k, n in enumerate(sorted(sizes)):
+        most = left // (len(sizes) - k)
+        if n > most:
+            break
+        left, most = left - n, n
+    return max(least, most)
+
+
+def fit(rows: DataFrame, max_train: int = MAX_TRAIN, min_count: int = MIN_COUNT, least: int = LEAST_TRAIN) -> Model:
+    """rows: doc_id, text, lang of the training documents, of which about ``quota`` of each language are used."""
     rows = rows.select("doc_id", "text", "lang").where("doc_id is not null and text is not null and lang is not null")
-    share = min(1.0, max_train / max(1, rows.select("lang").count()))
-    pick = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("language")), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
-    counts = (rows.where(pick).select("text", "lang").mapInArrow(_counted, "lang string, kind int, gram string, n long")
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a language
+    most = quota(list(sizes.values()), max_train, least)
+    limits = [(lang, int(min(1.0, most / n) * (1 << 30))) for lang, n in sorted(sizes.items())]
+    limits = rows.sparkSession.createDataFrame(limits, "lang string, below long")
+    place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("language")), F.lit(1 << 30))
+    picked = rows.join(F.broadcast(limits), "lang").where(place < F.col("below"))
+    counts = (picked.select("text", "lang").mapInArrow(_counted, "lang string, kind int, gram string, n long")
               .groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n")))
     held = counts.groupBy("kind", "gram").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by"))
     held = held.where(F.col("total") >= min_count).orderBy("kind", "gram").toArrow()  # bounded by the sample
@@ -142,20 +162,21 @@ def fit(rows: DataFrame, max_train: int = MAX_TRAIN, min_count: int = MIN_COUNT)
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` with ``lang_pred`` and ``score`` in the place of the text."""
+    """The rows of ``docs`` with ``lang_pred``, ``score`` and ``judged`` (as ``Model.predict`` says) in the place of the text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rest = [c for c in docs.columns if c not in (text, "lang_pred", "score")]
+    rest = [c for c in docs.columns if c not in (text, "lang_pred", "score", "judged")]
     fields = [docs.schema[c] for c in rest]
     from pyspark.sql import types as T
-    schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
+                           T.StructField("judged", T.BooleanType())])
 
     def run(batches):
         model = shared.value
         for batch in batches:
             got = [model.predict(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[1:], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())],
-                names=[*rest, "lang_pred", "score"])
+                [*batch.columns[1:], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()),
+                 pa.array([g[2] for g in got], pa.bool_())], names=[*rest, "lang_pred", "score", "judged"])
 
     return docs.select(text, *rest).mapInArrow(run, schema)
 
@@ -172,9 +193,10 @@ def op6(docs: DataFrame) -> DataFrame:
 
 
 def stage(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
-    """Keeps the rows whose language is recognised; all columns stay."""
+    """Takes out texts without letters, and those whose known n-grams leave the language open (a posterior below ``least_score``).
+    A text that the model knows nothing of stays: nothing speaks against it. All columns stay."""
     model = fit(docs.where(remainder("doc_id", 4) != 2))
     names = {c: f"in_{i}" for i, c in enumerate(docs.columns)}
     rows = docs.select(*[F.col(c).alias(n) for c, n in names.items()], F.col("text"))
-    out = predict(rows, model).where((F.col("lang_pred") != "und") & (F.col("score") >= least_score))
+    out = predict(rows, model).where(~F.col("judged") | ((F.col("lang_pred") != "und") & (F.col("score") >= least_score)))
     return out.select(*[F.col(n).alias(c) for c, n in names.items()])
