@@ -7,7 +7,9 @@ reads only that column's pages; one that wants a document's tokens prunes row gr
 
 Encoding: a text is cut at single spaces between two other characters, where no token of a byte-level
 vocabulary with this splitting rule can cross, and each distinct piece is encoded once per worker
-by the tokenizers library (memo of bounded size). Equal to encoding whole texts; tests compare.
+by the tokenizers library (memo of bounded size). Equal to encoding whole texts; tests compare. A text that holds
+an added token of the vocabulary (``<|endoftext|>``) goes through the library whole and gets that token's id, as
+``add_special_tokens=False`` alone leaves it.
 
 ``offsets`` adds each document's place in the token stream from the length column: running sums within a file,
 and one total per file.
@@ -57,13 +59,15 @@ def pieces(text: str) -> list[str]:
 
 
 class Encoder:
-    """Encodes texts to little-endian 32-bit ids, remembering pieces."""
+    """Encodes texts to little-endian 32-bit ids, remembering pieces. ``added``: added tokens in a text get their ids; else
+    they are ordinary text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added else []
         self.first: dict[str, bytes] = {}
         self.rest: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
@@ -113,6 +117,17 @@ class Encoder:
             self.tails.clear()
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        marked = [i for i, t in enumerate(texts) if any(x in t for x in self.added)]
+        if not marked:
+            return self._encode_pieces(texts)
+        out = self._encode_pieces([t for t in texts if not any(x in t for x in self.added)])
+        self.tokenizer.encode_special_tokens = False
+        for i in marked:  # ascending: each goes to its place
+            out[i:i] = self._encode([texts[i]])
+        self.tokenizer.encode_special_tokens = True
+        return out
+
+    def _encode_pieces(self, texts: list[str]) -> list[bytes]:
         self._forget()
         cut = [pieces(t) for t in texts]
         heads = [c.pop(0) for c in cut]
@@ -127,7 +142,7 @@ class Encoder:
 
 @functools.cache
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return Encoder(path, added=True)
 
 
 def _encoded(path: str, end_id: int):
