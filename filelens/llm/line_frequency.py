@@ -2,7 +2,7 @@
 
 Every line is normalised (A-Z lower-cased, white space collapsed) and hashed. A line is boilerplate on a
 host when more distinct documents of that host hold it than ``max(min_docs, share * documents of the
-host)``. Boilerplate lines are removed; a document that loses more than ``depleted`` of its words is
+host)``, or than ``most_docs``: a small host can lose a line, and a large one's allowance stops growing. Boilerplate lines are removed; a document that loses more than ``depleted`` of its words is
 depleted and rejected, as is one that fails the base rules.
 
 Plan: one pass over the texts writes a narrow table (figures, distinct line hashes with their words);
@@ -11,7 +11,7 @@ documents hold arrives as a few partial counts. The removed lines join back on (
 join that adaptive execution may split.
 
 Defined cases: a null text is empty (no words: base_failed); a null host is the host ''; repeated rows
-count as documents of their own; other columns of the input are ignored.
+count as documents of their own (more copies of a document than the limit lose their lines: remove copies first); other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from ..operators.common import materialize
 from .common import SPACE, raw_texts, schema_of
 
 SYMBOLS = b"#*$%&|<>"
-MIN_DOCS, SHARE, DEPLETED = 50, 0.01, 0.5
+MIN_DOCS, SHARE, MOST_DOCS, DEPLETED = 5, 0.01, 1000, 0.5
 
 _PROFILE = ("row_id long, doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
             "n_repeat_words long, line array<long>, line_words array<long>")
@@ -92,20 +92,21 @@ def profile(docs: DataFrame, text: str = "text", key: str = "doc_id", host: str
     return materialize(rows.mapInArrow(_profile, _PROFILE))
 
 
-def boilerplate_lines(table: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
+def boilerplate_lines(table: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, most_docs: int = MOST_DOCS) -> DataFrame:
     """(host, line, n_docs) of the lines above their host's limit."""
     counts = table.select("host", F.explode("line").alias("line")).groupBy("host", "line").agg(
-        F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") > min_docs)
+        F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") > min(min_docs, most_docs))
     hosts = table.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
-    return counts.join(hosts, "host").where(F.col("n_docs") > F.lit(share) * F.col("host_docs")).drop("host_docs")
+    limit = F.least(F.greatest(F.lit(share) * F.col("host_docs"), F.lit(float(min_docs))), F.lit(float(most_docs)))
+    return counts.join(hosts, "host").where(F.col("n_docs") > limit).drop("host_docs")
 
 
 def verdicts(table: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE,
-             depleted: float = DEPLETED) -> DataFrame:
+             depleted: float = DEPLETED, most_docs: int = MOST_DOCS) -> DataFrame:
     """One row per document: its figures, the removed lines' hashes and words, and the verdict."""
     lines = table.select("row_id", "host", F.explode(F.arrays_zip("line", "line_words")).alias("x")).select(
         "row_id", "host", F.col("x.line").alias("line"), F.col("x.line_words").alias("line_words"))
-    removed = (lines.join(boilerplate_lines(table, min_docs, share).select("host", "line"), ["host", "line"])
+    removed = (lines.join(boilerplate_lines(table, min_docs, share, most_docs).select("host", "line"), ["host", "line"])
                .groupBy("row_id").agg(F.sum("line_words").alias("removed_words"),
                                       F.collect_list("line").alias("removed_lines")))  # at most a document's own lines
     out = table.drop("line", "line_words").join(removed, "row_id", "left").withColumn(
