@@ -258,10 +258,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
 
 def stage(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that are kept, one of each group, with all their columns. Rows that share the kept doc_id and their text
-    are one document: the first stays."""
+    are one document: one stays. Unrelated texts of the kept doc_id all stay."""
     kept = materialize(near_duplicates(docs, text, key).where("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")))
     ids = kept.distinct()
     out = docs.join(ids, F.col(key).cast("long") == F.col("kept_id"), "left_semi")
     if kept.groupBy("kept_id").count().where("count > 1").limit(1).count():
-        out = out.dropDuplicates([key])
+        mark = "_".join([*docs.columns, "hash"])  # a name that no column has
+        out = out.withColumn(mark, F.md5(F.col(text).cast("binary"))).dropDuplicates([key, mark]).drop(mark)
     return out.unionByName(docs.where(F.col(key).isNull()))
