@@ -17,6 +17,11 @@ def spark():
     s.stop()
 
 
+@pytest.fixture(scope="session")
+def sf_small():
+    return SF_SMALL
+
+
 @pytest.fixture(scope="session")
 def duck():
     import duckdb

@@ -3,7 +3,6 @@
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF_SMALL
 from tools.check_oracle import digest
 
 ORACLE = E.oracle_sql()
@@ -24,8 +23,8 @@ def test_entry_runs(spark):
 
 
 @pytest.mark.parametrize("name", sorted(set(ORACLE) - set(E.LLM_ORACLE)))
-def test_query_matches_oracle(spark, duck, name):
-    df = QUERIES[name](spark, SF_SMALL)
+def test_query_matches_oracle(spark, duck, sf_small, name):
+    df = QUERIES[name](spark, sf_small)
     srows = [tuple(r) for r in df.collect()]
     rel = duck.sql(ORACLE[name])
     drows = rel.fetchall()

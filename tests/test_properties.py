@@ -3,7 +3,6 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
 from filelens import catalog as K
 from filelens import fixtures as X
 from filelens.operators import duplicates as D
@@ -18,8 +17,8 @@ def _groups(df):
     return {(r["duplicate_group_id"], r["size"], r["file_count"]) for r in df.collect()}
 
 
-def test_prefilter_does_not_change_groups(spark):
-    docs = X.inv_docs(spark, SF_SMALL)
+def test_prefilter_does_not_change_groups(spark, sf_small):
+    docs = X.inv_docs(spark, sf_small)
     a = D.duplicate_groups(D.digest_candidates(docs, "accurate"))
     b = D.duplicate_groups(D.digest_candidates(docs, "full"))
     assert _groups(a) == _groups(b)
@@ -95,17 +94,17 @@ def test_fast_mode_verify_removes_false_positives(spark):
     assert _groups(D.duplicate_groups(verified)) == _groups(acc)
 
 
-def test_approx_options(spark):
-    inv = X.inv_orders(spark, SF_SMALL)
+def test_approx_options(spark, sf_small):
+    inv = X.inv_orders(spark, sf_small)
     exact = S.totals(inv).first()["total_directories"]
     approx = S.totals(inv, approx_directories=True).first()["total_directories"]
     assert abs(approx - exact) <= max(3, exact * 0.1)
     assert S.median_size_approx(inv).first()[0] >= 0
 
 
-def test_plan_selection_reports_missing_sources(spark):
+def test_plan_selection_reports_missing_sources(spark, sf_small):
     from filelens.plans import relocation as R
-    docs = X.inv_docs(spark, SF_SMALL, with_content=False)
+    docs = X.inv_docs(spark, sf_small, with_content=False)
     sel = docs.select("full_path").unionByName(spark.createDataFrame([("/lake/missing.txt",)], "full_path string"))
     plan = R.plan_selection(docs, sel, "copy", destination="/backup")
     summary = R.plan_summary(plan).first()
@@ -113,11 +112,11 @@ def test_plan_selection_reports_missing_sources(spark):
     assert summary["planned_bytes"] == docs.agg(F.sum("size")).first()[0]
 
 
-def test_no_exchange_carries_content(spark):
+def test_no_exchange_carries_content(spark, sf_small):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        docs = X.inv_docs(spark, SF_SMALL)
+        docs = X.inv_docs(spark, sf_small)
         digested = D.digest_candidates(docs)
         for df in (D.duplicate_groups(D.column_digests(docs)), D.group_members(digested),
                    D.verify_groups(D.digest_candidates(docs, "fast", chunk=8, threshold=64), docs)):
@@ -173,9 +172,9 @@ def test_shared_folder_is_needed_off_one_machine(monkeypatch):
             ensure_checkpoint_dir(SimpleNamespace(sparkContext=sc, conf=conf))
 
 
-def test_pages_follow_each_other(spark):
+def test_pages_follow_each_other(spark, sf_small):
     from filelens.operators import filters as FL
-    inv = X.inv_orders(spark, SF_SMALL)
+    inv = X.inv_orders(spark, sf_small)
     first = FL.grid_page(inv, limit=700).collect()
     second = FL.grid_page(inv, limit=700, after=first[-1]["full_path"]).collect()
     paths = sorted(r["full_path"] for r in inv.select("full_path").collect())
@@ -192,10 +191,10 @@ def test_search_is_literal_not_a_pattern(spark):
     assert FL.search(inv, "  \t ").count() == 3
 
 
-def test_stored_inventory_is_path_ordered_and_complete(spark):
+def test_stored_inventory_is_path_ordered_and_complete(spark, sf_small):
     import tempfile
     from filelens.sinks.inventory_table import read_inventory, write_inventory
-    inv = X.inv_orders(spark, SF_SMALL)
+    inv = X.inv_orders(spark, sf_small)
     path = write_inventory(inv, tempfile.mkdtemp(prefix="filelens-inv-") + "/inv", partitions=4)
     back = read_inventory(spark, path)
     assert back.count() == inv.count() and "content" not in back.columns
@@ -205,9 +204,9 @@ def test_stored_inventory_is_path_ordered_and_complete(spark):
     assert all(a[1] < b[0] for a, b in zip(ranges, ranges[1:]))
 
 
-def test_inventory_after_moves(spark):
+def test_inventory_after_moves(spark, sf_small):
     from filelens.plans import relocation as R
-    docs = X.inv_docs(spark, SF_SMALL, with_content=False).select("full_path", "name", "directory", "size")
+    docs = X.inv_docs(spark, sf_small, with_content=False).select("full_path", "name", "directory", "size")
     plan = R.move_plan(docs.where(F.col("size") > 3000), "/moved", R.files_below(docs, "/moved"))
     after = R.inventory_after_moves(docs, plan)
     assert after.count() == docs.count()
