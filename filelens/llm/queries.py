@@ -11,6 +11,7 @@ from . import (
     language_id,
     line_frequency,
     near_dedup,
+    packed_negatives,
     paragraph_sketch,
     personal_data,
     piece_lattice,
@@ -61,6 +62,10 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mixing.op10(documents(spark, sf_dir))
 
 
+def op11_packed_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_negatives.op11(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_frequency": op1_line_frequency,
     "op2_near_dedup": op2_near_dedup,
@@ -72,6 +77,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_piece_lattice": op8_piece_lattice,
     "op9_paragraph_sketch": op9_paragraph_sketch,
     "op10_source_mixing": op10_source_mixing,
+    "op11_packed_negatives": op11_packed_negatives,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op11_packed_negatives": packed_negatives.ORACLE,
+}
