@@ -10,6 +10,7 @@ from . import (
     context_mixing,
     language_id,
     line_frequency,
+    line_index,
     near_dedup,
     packed_negatives,
     paragraph_sketch,
@@ -66,6 +67,10 @@ def op11_packed_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_negatives.op11(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op12_line_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_index.op12(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_frequency": op1_line_frequency,
     "op2_near_dedup": op2_near_dedup,
@@ -78,8 +83,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_paragraph_sketch": op9_paragraph_sketch,
     "op10_source_mixing": op10_source_mixing,
     "op11_packed_negatives": op11_packed_negatives,
+    "op12_line_index": op12_line_index,
 }
 
 ORACLE: dict[str, str] = {
     "op11_packed_negatives": packed_negatives.ORACLE,
+    "op12_line_index": line_index.ORACLE,
 }
