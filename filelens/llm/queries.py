@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import (
     context_mixing,
+    divergence_cube,
     language_id,
     line_frequency,
     line_index,
@@ -71,6 +72,10 @@ def op12_line_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_index.op12(documents(spark, sf_dir))
 
 
+def op13_divergence_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence_cube.op13(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_frequency": op1_line_frequency,
     "op2_near_dedup": op2_near_dedup,
@@ -84,9 +89,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_source_mixing": op10_source_mixing,
     "op11_packed_negatives": op11_packed_negatives,
     "op12_line_index": op12_line_index,
+    "op13_divergence_cube": op13_divergence_cube,
 }
 
 ORACLE: dict[str, str] = {
     "op11_packed_negatives": packed_negatives.ORACLE,
     "op12_line_index": line_index.ORACLE,
+    "op13_divergence_cube": divergence_cube.ORACLE,
 }
