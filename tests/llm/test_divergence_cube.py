@@ -29,8 +29,10 @@ def plain(rows, top=200, min_docs=3):
             return 1 + 10 ** 9 * (count + 1) // (total + v)
 
         whole = {t: sum(n[lang, s][t] for s in mine) for t in kept}
-        q = {t: p(c, sum(whole.values())) for t, c in whole.items()}
-        share = {s: {t: p(n[lang, s][t], sum(n[lang, s][u] for u in kept)) for t in kept} for s in mine}
+        every = sum(whole.values())
+        q = {t: p(c, every) for t, c in whole.items()}
+        total = {s: sum(n[lang, s][t] for t in kept) for s in mine}
+        share = {s: {t: p(n[lang, s][t], total[s]) for t in kept} for s in mine}
 
         def gain(x, y):
             return (x - y) ** 2 // y
