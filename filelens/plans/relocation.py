@@ -6,35 +6,42 @@ without case). Here a plan is a table ``(source, target, action, size)``.
 
 Exact and distributed form of that loop:
 
-* The candidates of a name ``s.e`` are ``s.e, s_1.e, s_2.e, …``. Two batch names can
-  only compete when one is a candidate of the other (``t = s_k``). Files of one name take
-  that name's free candidate indexes in path order, so the file at position r gets the
-  r-th index that is not *blocked*. Positions come from a skew-safe rank (a name held by
-  a third of all files is still spread over many tasks) and the fold over the blocked
-  indexes is a higher-order ``aggregate`` — JVM-side.
-* Blocked indexes are existing target names, plus slots that a related name took first
-  (``x.txt`` and ``x_1.txt`` both moved to one folder: whoever arrives first by path owns
-  ``x_1.txt``). That contest is decided per (folder, root stem, extension) over the
-  distinct *names* with a handful of looked-up file positions — never over the files.
+* The candidates of a name ``s.e`` are ``s.e, s_1.e, s_2.e, …``. Files of one name take that name's free candidate
+  indexes in path order, so the file at position r gets the r-th index that is not *blocked*. Blocked indexes are rows
+  (folder, name, index); with j of them below it the index b - j is the position from which files go past b, so the
+  r-th free index is r plus the number of blocked rows with b - j <= r: a running count in the merged order of both.
+* Blocked are existing target names, and slots that a related name took first: ``x_1.txt`` is both the first
+  candidate of the files named ``x_1.txt`` (the child) and the second of those named ``x.txt`` (the parent). Whoever arrives
+  first by path owns it. Slots are settled level by level down the name tree. Of a parent's children by
+  counter, let L be how many slots of smaller counter went to the parent. The parent's file that reaches counter k has the position
+  k - (blocked below k) - (children before that kept their slot), and it comes before the child's first file when that position is below the
+  number m of the parent's files with a smaller path. So the slot goes to the parent when L < m - (k - existing below k - children before);
+  all terms on the right are running counts.
+* L is sequential along a parent's children, but a run of children maps L to L + (how many of them lose), and each child loses
+  exactly when L at the run's beginning is below a limit of its own. The limits are found in one pass over range partitions; the few
+  runs of a parent that lies in several partitions are then chained by bounds from above and below that close in on the exact value.
+
+Positions, running counts and limits come from range partitions with offsets, so a name held by a third of all files, a parent
+with a million children and a folder with a million taken names are all spread over many tasks.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_right, insort
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators.common import materialize
 from ..operators.hierarchy import relative_directory
-from ..operators.ranking import rank_within
+from ..operators.ranking import continued_pieces, counted_before, rank_within, sorted_pieces, stored_pieces
 from ..schema import STAGING_FOLDER
 
 # A counter suffix as the reference writes it: "_" + a positive integer without leading zeros.
 _COUNTER = r"^(.*)_([1-9][0-9]{0,17})$"
-_ROOT = r"^(.*?)((_[1-9][0-9]{0,17})*)$"
+_COUNTERS = r"((_[1-9][0-9]{0,17})*)$"
 
 
 def _keyed(df: DataFrame) -> DataFrame:
@@ -47,12 +54,9 @@ def _keyed(df: DataFrame) -> DataFrame:
               .withColumn("stem", F.left(F.col("name"), F.length("name") - F.length("ext")))
               .withColumn("tdir_l", F.lower(F.col("target_dir")))
               .withColumn("name_l", F.lower(F.col("name")))
-              .withColumn("ext_l", F.lower(F.col("ext")))
-              .withColumn("stem_l", stem_l)
-              .withColumn("root_l", F.regexp_extract(stem_l, _ROOT, 1))
               .withColumn("counter", F.regexp_extract(stem_l, _COUNTER, 2))
               .withColumn("parent_l", F.when(F.col("counter") != "",
-                                             F.concat(F.regexp_extract(stem_l, _COUNTER, 1), F.col("ext_l"))))
+                                             F.concat(F.regexp_extract(stem_l, _COUNTER, 1), F.lower(F.col("ext")))))
               .withColumn("counter", F.when(F.col("counter") != "", F.col("counter").cast("long"))))
 
 
@@ -61,150 +65,142 @@ def _target(tdir, stem, ext, idx):
     return F.concat(tdir, F.lit("/"), name)
 
 
-_DP_SCHEMA = "tdir_l string, name_l string, blocked array<bigint>"
-
-
-def _settle(key, names: pd.DataFrame, looks: pd.DataFrame) -> pd.DataFrame:
-    """Who takes each contested slot, for one (folder, root stem, extension) component.
-
-    Runs over the component's *names* (not its files). A slot ``p_k`` is wanted by the files
-    of name p (as their k-th candidate) and by the first file of name ``p_k`` (as its first).
-    Top-down over the name tree, children by counter: the parent reaches index k with its
-    file of rank k − (indexes of p already blocked below k); whichever comes first by path
-    takes the slot. ``looks`` holds the parent file positions at the few ranks that can matter.
+_SLOTS = ["tdir_l", "parent_l"]
+
+
+def _limits(batches):
+    """Adds to every child of a sorted partition the ``limit``: it loses its slot when L at the beginning of its run is below it."""
+    run, held = None, []  # limits of the run's earlier children, ascending
+    for batch in batches:
+        out = []
+        for tdir, parent, z in zip(*(batch.column(c).to_pylist() for c in (*_SLOTS, "z"))):
+            if (tdir, parent) != run:
+                run, held = (tdir, parent), []
+            low, high = 0, max(z, 0)
+            while low < high:  # smallest start from which L has reached z at this child
+                mid = (low + high) // 2
+                if mid + len(held) - bisect_right(held, mid) >= z:
+                    high = mid
+                else:
+                    low = mid + 1
+            if low:
+                insort(held, low)
+            out.append(low)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], names=[*batch.schema.names, "limit"])
+
+
+def _exclusive_sums(order: list[tuple], losers: dict[tuple, int]) -> dict[tuple, int]:
+    """Losers of the same parent in earlier runs, for every run (in order)."""
+    out, total, parent = {}, 0, None
+    for piece in order:
+        total = 0 if piece[:2] != parent else total
+        parent = piece[:2]
+        out[piece] = total
+        total += losers.get(piece, 0)
+    return out
+
+
+def _starts(pieces: DataFrame) -> dict[tuple, int]:
+    """L at the beginning of every run of the parents that lie in several partitions (a number of rows below twice that of the
+    partitions). Fewer children lose from a larger start, so upper bounds of all starts give lower ones and the other way round; with each
+    turn at least one more run of a parent is exact."""
+    spark = pieces.sparkSession
+    runs = sorted(tuple(r)[:3] for r in continued_pieces(pieces, _SLOTS, F.lit(1)).collect())
+    if len({r[:2] for r in runs}) == len(runs):
+        return {}
+
+    def losers(starts: dict[tuple, int]) -> dict[tuple, int]:
+        rows = spark.createDataFrame([(*k, v) for k, v in starts.items()], "tdir_l string, parent_l string, _pid long, start long")
+        got = pieces.join(F.broadcast(rows), [*_SLOTS, "_pid"]).groupBy(*_SLOTS, "_pid").agg(F.count_if(F.col("limit") > F.col("start")).alias("n"))
+        return {tuple(r)[:3]: r["n"] for r in got.collect()}
+
+    low = dict.fromkeys(runs, 0)
+    while True:
+        high = _exclusive_sums(runs, losers(low))
+        if high == low:
+            return low
+        low = _exclusive_sums(runs, losers(high))
+        if high == low:
+            return low
+
+
+def _settled(children: DataFrame, files: DataFrame, blocked: DataFrame, partitions: int | None) -> DataFrame:
+    """Blocked rows (tdir_l, name_l, idx) that related names cause.
+
+    ``children``: tdir_l, parent_l, name_l, counter, first_pos of the names whose parent name is in the batch as well.
     """
-    pos = {(r.name_l, int(r.rank0)): r.full_path for r in looks.itertuples(index=False)}
-    info = {r.name_l: r for r in names.itertuples(index=False)}
-    blocked = {n: sorted({int(x) for x in (r.blocked_ex if r.blocked_ex is not None else [])}) for n, r in info.items()}
-
-    def block(name, k):
-        at = bisect_left(blocked[name], k)
-        if at == len(blocked[name]) or blocked[name][at] != k:
-            blocked[name].insert(at, k)
-
-    children: dict[str, list] = {}
-    for r in info.values():
-        if r.parent_l is not None and r.parent_l in info:
-            children.setdefault(r.parent_l, []).append(r)
-    roots = [n for n, r in info.items() if r.parent_l is None or r.parent_l not in info]
-    order, i = list(roots), 0
-    while i < len(order):
-        order.extend(c.name_l for c in sorted(children.get(order[i], []), key=lambda c: c.counter))
-        i += 1
-    for p in order:
-        for c in sorted(children.get(p, []), key=lambda c: c.counter):
-            k = int(c.counter)
-            below = bisect_left(blocked[p], k)
-            if below < len(blocked[p]) and blocked[p][below] == k:
-                continue  # the slot exists already: neither side can take it
-            rho = k - below
-            t = pos.get((p, rho)) if rho < info[p].n_files else None
-            if t is not None and t < c.first_pos:
-                block(c.name_l, 0)  # the parent's file got there first
-            else:
-                block(p, k)  # the child's first file took its own name
-    tdir = names["tdir_l"].iloc[0] if len(names) else None
-    return pd.DataFrame({"tdir_l": [tdir] * len(blocked), "name_l": list(blocked),
-                         "blocked": list(blocked.values())})
-
-
-def _settled_blocks(names: DataFrame, child_rows: DataFrame, ranked: DataFrame) -> DataFrame:
-    """Blocked indexes per name once related names have contested their shared slots."""
-    related = (child_rows.select("tdir_l", "name_l")
-               .unionByName(child_rows.select("tdir_l", F.col("parent_l").alias("name_l"))).distinct())
-    rel_names = names.join(related, ["tdir_l", "name_l"], "left_semi")
-
-    # Parent file positions at the ranks that can decide a slot. For the child with counter k
-    # the parent reaches index k with its file of rank k − (existing blocks below k) − s, where
-    # s ≤ number of children with a smaller counter (+1 when index 0 may be taken): a short
-    # interval per child. Per parent the union of these intervals is taken, or — when that is
-    # smaller — the single interval [0, largest counter]; either way the rows grow with the
-    # number of distinct names, never with the files of a name.
-    w = Window.partitionBy("tdir_l", "parent_l").orderBy("counter")
-    iv = (child_rows
-          .withColumn("below", F.row_number().over(w) - 1)
-          .withColumn("hi", F.col("counter") - F.size(F.filter("p_blocked", lambda b: b < F.col("counter"))))
-          .withColumn("lo", F.greatest(F.lit(0), F.col("hi") - F.col("below") - 1))
-          .withColumn("hi", F.least(F.col("hi"), F.col("p_files") - 1)))
-    per_parent = (iv.groupBy("tdir_l", "parent_l")
-                  .agg(F.sum(F.greatest(F.col("hi") - F.col("lo") + 1, F.lit(0))).alias("sparse"),
-                       (F.least(F.max("counter"), F.max("p_files") - 1) + 1).alias("dense")))
-    iv = iv.join(per_parent, ["tdir_l", "parent_l"], "inner")
-    use_dense = F.col("dense") <= F.col("sparse")
-    iv = (iv.withColumn("lo", F.when(use_dense, F.lit(0)).otherwise(F.col("lo")))
-            .withColumn("hi", F.when(use_dense, F.col("dense") - 1).otherwise(F.col("hi")))
-            .where(F.col("hi") >= F.col("lo")))
-    # with the dense choice every child of the parent carries the same interval: keep one
-    iv = iv.withColumn("keep", ~use_dense | (F.row_number().over(w) == 1)).where("keep")
-    need = (iv.select("tdir_l", "root_l", "ext_l", F.col("parent_l").alias("name_l"),
-                      F.explode(F.sequence("lo", "hi")).alias("rank0"))
-            .distinct())
-    looks = need.join(ranked.select("tdir_l", "name_l", "rank0", "full_path"), ["tdir_l", "name_l", "rank0"], "inner")
-    rel_cols = ["tdir_l", "root_l", "ext_l", "name_l", "parent_l", "counter", "first_pos", "n_files", "blocked_ex"]
-    # both sides descend from ``names``: fresh column identities for the cogroup
-    rel_names = rel_names.select(*[F.col(c).alias(c) for c in rel_cols])
-    looks = looks.select(*[F.col(c).alias(c) for c in looks.columns])
-    settled = (rel_names
-               .groupBy("tdir_l", "root_l", "ext_l")
-               .cogroup(looks.groupBy("tdir_l", "root_l", "ext_l"))
-               .applyInPandas(_settle, _DP_SCHEMA))
-    blocked = (names.select("tdir_l", "name_l", "blocked_ex")
-               .join(settled, ["tdir_l", "name_l"], "left")
-               .select("tdir_l", "name_l", F.coalesce("blocked", "blocked_ex").alias("blocked")))
-    return blocked
-
-
-def assign_targets(files: DataFrame, existing: DataFrame | None = None, action: str = "move") -> DataFrame:
+    spark = children.sparkSession
+    depth = F.size(F.split(F.regexp_extract(F.col("stem_l"), _COUNTERS, 1), "_")) - 1
+    children = materialize(children.withColumn("depth", depth).drop("stem_l"))
+    out = spark.createDataFrame([], "tdir_l string, name_l string, idx long")
+    # a level per counter in a name: bounded by the length of names
+    for level in [r[0] for r in children.select("depth").distinct().orderBy("depth").collect()]:
+        kids = children.where(F.col("depth") == level).drop("depth")
+        parents = materialize(kids.select(*_SLOTS).distinct())
+
+        def of_parents(df: DataFrame, *columns) -> DataFrame:
+            return df.select("tdir_l", F.col("name_l").alias("parent_l"), *columns).join(parents, _SLOTS, "left_semi")
+
+        taken = materialize(of_parents(blocked.unionByName(out), F.col("idx").alias("counter")))
+        # a slot that exists already goes to neither side
+        kids = kids.join(taken, [*_SLOTS, "counter"], "left_anti").withColumn("path", F.col("first_pos"))
+        kids = rank_within(kids, _SLOTS, ["counter"], "before", partitions)
+        kids = counted_before(taken, kids, _SLOTS, ["counter"], "existing", partitions=partitions)
+        kids = counted_before(of_parents(files, F.col("full_path").alias("path")), kids, _SLOTS, ["path"], "earlier", partitions=partitions)
+        kids = kids.withColumn("z", F.col("earlier") - (F.col("counter") - F.col("existing") - F.col("before")))
+        kids = sorted_pieces(kids.select(*_SLOTS, "name_l", "counter", "z"), _SLOTS, ["counter"], partitions)
+        schema = "tdir_l string, parent_l string, name_l string, counter long, z long, limit long"
+        pieces = stored_pieces(kids.mapInArrow(_limits, schema))
+        starts = spark.createDataFrame([(*k, v) for k, v in _starts(pieces).items()], "tdir_l string, parent_l string, _pid long, start long")
+        lost = F.col("limit") > F.coalesce("start", F.lit(0))
+        settled = pieces.join(F.broadcast(starts), [*_SLOTS, "_pid"], "left").select(
+            "tdir_l", F.when(lost, F.col("name_l")).otherwise(F.col("parent_l")).alias("name_l"),
+            F.when(lost, F.lit(0)).otherwise(F.col("counter")).cast("long").alias("idx"))
+        out = materialize(out.unionByName(settled))
+    return out
+
+
+def assign_targets(files: DataFrame, existing: DataFrame | None = None, action: str = "move",
+                   partitions: int | None = None) -> DataFrame:
     """First-free target names for ``files`` (full_path, name, size, target_dir).
 
     ``existing`` (full_path) lists files already present in the target folders.
-    Returns (source, target, action, size).
-
-    Every file's target index is the r-th free candidate index of its name (r = its position
-    among the files of that name, from a skew-safe rank), skipping the *blocked* indexes:
-    existing names, and slots that related names in the batch took first. Only the latter
-    needs a sequential pass, and it runs over distinct names per component (``_settle``),
-    never over a group of files.
+    Returns (source, target, action, size). ``partitions``: of the sorted steps (default: the session's).
     """
-    spark = files.sparkSession
-    # The keyed batch is read by several branches below; written once to the checkpoint folder
-    # (lineage and generated code stay short, a lost executor does not recompute the source).
-    f = materialize(_keyed(files.select("full_path", "name", "size", "target_dir")))
-    ranked = rank_within(f, ["tdir_l", "name_l"], ["full_path"])
+    names_key = ["tdir_l", "name_l"]
+    ranked = materialize(rank_within(_keyed(files.select("full_path", "name", "size", "target_dir")), names_key, ["full_path"],
+                                     partitions=partitions))
+    firsts = ranked.where(F.col("rank0") == 0)  # one row per batch name: its first file
+    names = firsts.select(*names_key)
 
     if existing is None:
-        existing = spark.createDataFrame([], "full_path string")
-    else:
-        # a stored copy of the listing: name parts are derived from a plain column (small
-        # generated code, whatever expression produced the paths)
-        existing = materialize(existing.select("full_path"))
-    ex = _keyed(existing.select(C.parent_directory("full_path").alias("target_dir"),
-                                C.file_name("full_path").alias("name")))
-    blocked_ex = (ex.select("tdir_l", "name_l", F.lit(0).cast("long").alias("idx"))
-                  .unionByName(ex.select("tdir_l", F.col("parent_l").alias("name_l"), F.col("counter").alias("idx"))
-                               .where(F.col("name_l").isNotNull()))
-                  .distinct()
-                  .groupBy("tdir_l", "name_l").agg(F.array_sort(F.collect_list("idx")).alias("blocked_ex")))
-
-    # one row per batch name: first path, file count, tree links, existing blocks
-    names = (ranked.groupBy("tdir_l", "name_l", "parent_l", "counter", "root_l", "ext_l")
-             .agg(F.min("full_path").alias("first_pos"), F.count(F.lit(1)).alias("n_files"))
-             .join(blocked_ex, ["tdir_l", "name_l"], "left"))
-    names = materialize(names)
-    # a name is related when its parent name or one of its children is in the batch
-    parents = names.select("tdir_l", F.col("name_l").alias("parent_l"), F.col("n_files").alias("p_files"),
-                           F.coalesce(F.col("blocked_ex"), F.array().cast("array<bigint>")).alias("p_blocked"))
-    child_rows = names.join(parents, ["tdir_l", "parent_l"], "inner")
-    if child_rows.limit(1).count() == 0:  # no related names (cheap probe of the stored names)
-        blocked = names.select("tdir_l", "name_l", F.col("blocked_ex").alias("blocked"))
+        blocked = files.sparkSession.createDataFrame([], "tdir_l string, name_l string, idx long")
     else:
-        blocked = _settled_blocks(names, child_rows, ranked)
-
-    out = ranked.join(blocked, ["tdir_l", "name_l"], "left")
-    idx = F.aggregate(F.coalesce(F.col("blocked"), F.array().cast("array<bigint>")), F.col("rank0"),
-                      lambda acc, b: F.when(b <= acc, acc + 1).otherwise(acc))
+        ex = _keyed(existing.select(C.parent_directory("full_path").alias("target_dir"),
+                                    C.file_name("full_path").alias("name")))
+        # an existing name blocks its own first index, and its counter of the name it is a candidate of
+        slots = F.array(F.struct(F.col("name_l").alias("name_l"), F.lit(0).cast("long").alias("idx")),
+                        F.struct(F.col("parent_l").alias("name_l"), F.col("counter").alias("idx")))
+        blocked = (ex.select("tdir_l", F.explode(slots).alias("slot")).select("tdir_l", "slot.*")
+                   .join(names, names_key, "left_semi").distinct())  # without a parent: null, joins nothing
+        blocked = materialize(blocked)
+
+    # names whose parent name is in the batch: few or none, as only names with a counter can be
+    children = (firsts.where(F.col("parent_l").isNotNull())
+                .select("tdir_l", "parent_l", "name_l", "counter", F.col("full_path").alias("first_pos"), F.lower("stem").alias("stem_l"))
+                .join(names.withColumnRenamed("name_l", "parent_l"), _SLOTS, "left_semi"))
+    if not children.isEmpty():
+        blocked = blocked.unionByName(_settled(children, ranked, blocked, partitions)).distinct()
+
+    # position from which files go past a blocked index: the index less the blocked ones below it
+    past = rank_within(blocked, names_key, ["idx"], "below", partitions)
+    past = materialize(past.select(*names_key, (F.col("idx") - F.col("below")).alias("rank0"), (F.col("below") == 0).alias("first")))
+    held = past.where("first").select(*names_key)
+    passing = counted_before(past, ranked.join(held, names_key, "left_semi"), names_key, ["rank0"], "passed", ties=True, partitions=partitions)
+    rest = ranked.join(held, names_key, "left_anti").withColumn("passed", F.lit(0).cast("long"))
+    out = passing.unionByName(rest)
     return out.select(F.col("full_path").alias("source"),
-                      _target(F.col("target_dir"), F.col("stem"), F.col("ext"), idx).alias("target"),
+                      _target(F.col("target_dir"), F.col("stem"), F.col("ext"), F.col("rank0") + F.col("passed")).alias("target"),
                       F.lit(action).alias("action"), "size")
 
 

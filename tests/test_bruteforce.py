@@ -3,9 +3,10 @@
 import random
 import statistics
 
+import pytest
 from pyspark.sql import functions as F
 
-from filelens.operators.ranking import rank_within
+from filelens.operators.ranking import counted_before, rank_within
 from filelens.operators.stats import median_size
 from filelens.plans.relocation import assign_targets
 
@@ -102,105 +103,80 @@ def test_duplicates_with_a_hot_group(spark):
     assert members.select("duplicate_group_id").distinct().count() == n_groups
 
 
-def _python_plan_via_settle(rows, existing):
-    """The distributed algorithm replayed in plain Python (same _settle, same rank windows)."""
-    import re
+def _plan_of_cases(spark, cases, partitions=None):
+    """All cases in one plan: every case has target folders of its own. Also the wanted targets, by the sequential loop."""
+    files, existing, want = [], [], {}
+    for at, (rows, ex) in enumerate(cases):
+        rows = [(f"/case{at}{p}", n, f"/case{at}{d}") for p, n, d in rows]
+        ex = [f"/case{at}{e}" for e in ex]
+        want.update(sequential_plan(rows, ex))
+        files += [(p, n, 1, d) for p, n, d in rows]
+        existing += ex
+    df = spark.createDataFrame(files, "full_path string, name string, size long, target_dir string")
+    ex = spark.createDataFrame([(e,) for e in existing], "full_path string")
+    return {r["source"]: r["target"] for r in assign_targets(df, ex, partitions=partitions).collect()}, want
 
-    import pandas as pd
 
-    from filelens.plans.relocation import _settle
-
-    counter_re = re.compile(r"^(.*)_([1-9][0-9]{0,17})$")
-
-    def parts(name):
-        dot = name.rfind(".")
-        ext = name[dot:] if 0 <= dot < len(name) - 1 else ""
-        stem = name[: len(name) - len(ext)]
-        m = counter_re.match(stem.lower())
-        parent = (m.group(1) + ext.lower()) if m else None
-        root = re.match(r"^(.*?)((_[1-9][0-9]{0,17})*)$", stem.lower()).group(1)
-        return stem, ext, parent, int(m.group(2)) if m else None, root
-
-    by_name = {}
-    for full_path, name, tdir in rows:
-        by_name.setdefault((tdir.lower(), name.lower()), []).append((full_path, name, tdir))
-    for v in by_name.values():
-        v.sort()
-    blocked_ex = {}
-    for e in existing:
-        tdir, name = e.rsplit("/", 1)
-        _, _, parent, k, _ = parts(name)
-        blocked_ex.setdefault((tdir.lower(), name.lower()), set()).add(0)
-        if parent is not None:
-            blocked_ex.setdefault((tdir.lower(), parent), set()).add(k)
-    info = {}
-    for (tdir, nl), files in by_name.items():
-        stem, ext, parent, k, root = parts(files[0][1])
-        info[(tdir, nl)] = dict(tdir_l=tdir, root_l=root, ext_l=ext.lower(), name_l=nl, parent_l=parent, counter=k,
-                                first_pos=files[0][0], n_files=len(files),
-                                blocked_ex=sorted(blocked_ex.get((tdir, nl), [])))
-    related = set()
-    for key, r in info.items():
-        if r["parent_l"] is not None and (r["tdir_l"], r["parent_l"]) in info:
-            related |= {key, (r["tdir_l"], r["parent_l"])}
-    looks, wanted = [], {}
-    kids = {}
-    for key, r in info.items():
-        pk = (r["tdir_l"], r["parent_l"])
-        if r["parent_l"] is not None and pk in info:
-            kids.setdefault(pk, []).append(r)
-    for pk, cs in kids.items():
-        p = info[pk]
-        cs.sort(key=lambda c: c["counter"])
-        ivs = []
-        for below, c in enumerate(cs):
-            hi = c["counter"] - sum(1 for b in p["blocked_ex"] if b < c["counter"])
-            lo = max(0, hi - below - 1)
-            ivs.append((lo, min(hi, p["n_files"] - 1)))
-        sparse = sum(max(h - lo + 1, 0) for lo, h in ivs)
-        dense = min(cs[-1]["counter"], p["n_files"] - 1) + 1
-        if dense <= sparse:
-            ivs = [(0, dense - 1)]
-        ranks = {x for lo, h in ivs for x in range(lo, h + 1)}
-        for rank in sorted(ranks):
-            looks.append(dict(tdir_l=p["tdir_l"], root_l=p["root_l"], ext_l=p["ext_l"], name_l=p["name_l"],
-                              rank0=rank, full_path=by_name[pk][rank][0]))
-    blocked = {k: set(v["blocked_ex"]) for k, v in info.items()}
-    comps = {}
-    for key in related:
-        r = info[key]
-        comps.setdefault((r["tdir_l"], r["root_l"], r["ext_l"]), []).append(r)
-    for comp, rs in comps.items():
-        lk = [x for x in looks if (x["tdir_l"], x["root_l"], x["ext_l"]) == comp]
-        out = _settle(comp, pd.DataFrame(rs), pd.DataFrame(lk, columns=["tdir_l", "root_l", "ext_l", "name_l",
-                                                                          "rank0", "full_path"]))
-        for row in out.itertuples(index=False):
-            blocked[(row.tdir_l, row.name_l)] = set(row.blocked)
-    plan = {}
-    for key, files in by_name.items():
-        bl = sorted(blocked[key])
-        for r, (full_path, name, tdir) in enumerate(files):
-            j = r
-            for b in bl:
-                if b <= j:
-                    j += 1
-            stem, ext, *_ = parts(name)
-            plan[full_path] = f"{tdir}/{name}" if j == 0 else f"{tdir}/{stem}_{j}{ext}"
-    return plan
-
-
-def test_settle_algorithm_matches_sequential_loop_many_cases():
+def test_related_names_match_sequential_loop_many_cases(spark):
     rng = random.Random(2024)
     stems = ["a", "a_1", "a_2", "a_3", "a_1_1", "a_1_2", "a_2_1", "a_1_1_1", "A_1", "b", "b_1", "c_01", "c_1"]
     exts = [".txt", ".TXT", ""]
-    for case in range(1500):
+    cases = []
+    for _ in range(1500):
         rows, existing = [], []
         for i in range(rng.randint(1, 30)):
             name = rng.choice(stems) + rng.choice(exts)
             rows.append((f"/s/{rng.randint(0, 10 ** 6):07d}-{i}", name, rng.choice(["/t", "/t", "/u"])))
         for _ in range(rng.randint(0, 5)):
             existing.append(f"{rng.choice(['/t', '/u'])}/{rng.choice(stems)}{rng.choice(exts)}")
-        assert _python_plan_via_settle(rows, existing) == sequential_plan(rows, existing), (case, rows, existing)
+        cases.append((rows, existing))
+    got, want = _plan_of_cases(spark, cases)
+    assert got == want
+
+
+def _contest(rng, n_parent, n_child, taken):
+    """One parent name with many files and many children, whose paths arrive in a random or a contrary order."""
+    rows = [(f"/s/{rng.random():.9f}-p{i}", "r.bin", "/t") for i in range(n_parent)]
+    counters = rng.sample(range(1, 2 * n_child + 2), n_child)
+    slope = rng.choice([-1, 0, 1])
+    for k in counters:
+        place = (k / (2 * n_child + 2)) * slope % 1 * 0.7 + rng.random() * 0.3 if slope else rng.random()
+        rows += [(f"/s/{place:.9f}-{k}-{i}", f"r_{k}.bin", "/t") for i in range(rng.choice([1, 1, 1, 2]))]
+    return rows, [f"/t/r_{rng.randint(1, 2 * n_child + 2)}.bin" for _ in range(taken)]
+
+
+@pytest.mark.parametrize("partitions", [1, 5, 23])
+def test_a_contested_parent_in_many_partitions(spark, partitions):
+    rng = random.Random(partitions)
+    cases = [_contest(rng, n, m, t) for n, m, t in [(1, 400, 0), (40, 300, 10), (300, 300, 30), (300, 40, 5), (3, 3, 1)]]
+    got, want = _plan_of_cases(spark, cases, partitions)
+    assert got == want
+
+
+def test_contest_steps_are_spread(spark):
+    """A parent with many children: no task gets more than its share of the children."""
+    from filelens.plans import relocation as R
+    seen = []
+    kept, R.stored_pieces = R.stored_pieces, lambda df: seen.append(kept(df)) or seen[-1]
+    try:
+        rows, _ = _contest(random.Random(4), 50, 2000, 0)
+        got, want = _plan_of_cases(spark, [(rows, [])], 8)
+    finally:
+        R.stored_pieces = kept
+    assert got == want
+    sizes = [r["n"] for r in seen[0].groupBy("_pid").agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(sizes) >= 7 and max(sizes) < 2 * 2000 / 7
+
+
+def test_counted_before(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice(["hot", "hot", "a"]), rng.randrange(60)) for _ in range(900)]
+    probes = [(rng.choice(["hot", "hot", "a", "b"]), rng.randrange(70), i) for i in range(700)]
+    r = spark.createDataFrame(rows, "k string, x int")
+    p = spark.createDataFrame(probes, "k string, x int, i int")
+    for ties in (False, True):
+        got = {x["i"]: x["n"] for x in counted_before(r, p, ["k"], ["x"], "n", ties=ties, partitions=9).collect()}
+        assert got == {i: sum(kk == k and (v < x or (ties and v == x)) for kk, v in rows) for k, x, i in probes}
 
 
 def test_release_materialized(spark):
@@ -210,17 +186,19 @@ def test_release_materialized(spark):
     assert release_materialized(spark) >= 1
 
 
-def test_settle_algorithm_many_files_per_name():
+def test_related_names_many_files_per_name(spark):
     rng = random.Random(77)
     stems = ["r", "r_1", "r_2", "r_5", "r_1_1", "r_1_2", "r_2_1", "q", "q_3"]
-    for case in range(120):
+    cases = []
+    for _ in range(120):
         rows = []
         weights = [rng.random() ** 3 for _ in stems]
         for i in range(rng.randint(50, 300)):
             name = rng.choices(stems, weights)[0] + ".bin"
             rows.append((f"/s/{rng.random():.9f}-{i}", name, "/t"))
-        existing = [f"/t/{rng.choice(stems)}_{rng.randint(1, 6)}.bin" for _ in range(rng.randint(0, 8))]
-        assert _python_plan_via_settle(rows, existing) == sequential_plan(rows, existing), case
+        cases.append((rows, [f"/t/{rng.choice(stems)}_{rng.randint(1, 6)}.bin" for _ in range(rng.randint(0, 8))]))
+    got, want = _plan_of_cases(spark, cases, 6)
+    assert got == want
 
 
 def test_empty_inputs(spark):
