@@ -124,11 +124,13 @@ def selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def plan_input(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files to move or copy, with about twenty sources per name (name = doc_<id % 50><EXT>)."""
+    """Files to move or copy, with several sources per name (name = doc_<id % 50><EXT>) and related names: those of every seventh
+    id also have a counter, so that they are candidates of the others."""
     docs = inv_docs(spark, sf_dir, with_content=False)
     return docs.select(
         "full_path", "size", "doc_id",
-        F.expr(f"concat('doc_', cast(doc_id % 50 as string), {ext_sql('doc_id')})").alias("name"),
+        F.expr("concat('doc_', cast(doc_id % 50 as string), if(doc_id % 7 = 3, concat('_', cast(1 + doc_id % 3 as string)), ''), "
+               f"{ext_sql('doc_id')})").alias("name"),
     )
 
 

@@ -56,14 +56,18 @@ def _piece(keys: list[str]) -> Window:
     return Window.partitionBy(*keys, "_pid").orderBy("_mid")
 
 
-def rank_within(df: DataFrame, keys: list[str], order: list[str], out: str = "rank0",
-                partitions: int | None = None) -> DataFrame:
-    """Adds ``out``: 0-based position of each row within ``keys`` (not null) ordered by ``order``."""
-    pieces = stored_pieces(sorted_pieces(df, keys, order, partitions))
+def ranked_pieces(pieces: DataFrame, keys: list[str], out: str = "rank0") -> DataFrame:
+    """The rows of stored pieces with ``out``: 0-based position within ``keys`` (not null)."""
     ranked = pieces.withColumn("_place", F.row_number().over(_piece(keys)) - 1)
     return (_with_offsets(pieces, ranked, keys, F.lit(1))
             .withColumn(out, (F.col("_offset") + F.col("_place")).cast("long"))
-            .select(*df.columns, out))
+            .drop("_offset", "_place", "_mid", "_pid"))
+
+
+def rank_within(df: DataFrame, keys: list[str], order: list[str], out: str = "rank0",
+                partitions: int | None = None) -> DataFrame:
+    """Adds ``out``: 0-based position of each row within ``keys`` (not null) ordered by ``order``."""
+    return ranked_pieces(stored_pieces(sorted_pieces(df, keys, order, partitions)), keys, out).select(*df.columns, out)
 
 
 def counted_before(rows: DataFrame, probes: DataFrame, keys: list[str], order: list[str], out: str,

@@ -152,24 +152,27 @@ def _with(*ctes: str) -> str:
 
 def _move(action: str) -> str:
     return _with(INV_DOCS, """
-plan_in AS (SELECT full_path, size,
-                   concat('doc_', cast(doc_id % 50 AS VARCHAR), """ + EXT.format(k="doc_id") + """) AS name
+plan_in AS (SELECT full_path, size, doc_id,
+                   concat('doc_', cast(doc_id % 50 AS VARCHAR), CASE WHEN doc_id % 7 = 3 THEN '_' || cast(1 + doc_id % 3 AS VARCHAR) ELSE '' END,
+                          """ + EXT.format(k="doc_id") + """) AS name
             FROM inv_docs),
-parts AS (SELECT *, left(name, length(name) - length(""" + RAW_EXT.format(n="name") + """)) AS stem,
-                 """ + RAW_EXT.format(n="name") + """ AS ext,
-                 row_number() OVER (PARTITION BY lower(name) ORDER BY full_path) AS turn,
-                 count(*) OVER (PARTITION BY lower(name)) AS n FROM plan_in),
-taken AS (SELECT DISTINCT lower(stem || s || ext) AS name
-          FROM parts, (VALUES (''), ('_1'), ('_3')) t(s)
-          WHERE full_path IN (SELECT full_path FROM inv_docs WHERE doc_id < 10)),
-slots AS (SELECT DISTINCT lower(name) AS name_l, k, lower(CASE WHEN k = 0 THEN name ELSE stem || '_' || cast(k AS VARCHAR) || ext END) AS slot
-          FROM parts, LATERAL (SELECT unnest(range(0, n + 4)) AS k)),
-free AS (SELECT name_l, k, row_number() OVER (PARTITION BY name_l ORDER BY k) AS turn
-         FROM slots WHERE slot NOT IN (SELECT name FROM taken))""") + f"""
-SELECT full_path AS source,
-       '/dest/' || CASE WHEN k = 0 THEN name ELSE stem || '_' || cast(k AS VARCHAR) || ext END AS target,
-       '{action}' AS action, size
-FROM parts JOIN free ON free.name_l = lower(parts.name) AND free.turn = parts.turn"""
+parts AS (SELECT *, left(name, length(name) - length(""" + RAW_EXT.format(n="name") + """)) AS stem, """ + RAW_EXT.format(n="name") + """ AS ext
+          FROM plan_in),
+-- the loop itself, one file a turn; names of unlike extensions never meet
+queue AS (SELECT *, lower(ext) AS lane, row_number() OVER (PARTITION BY lower(ext) ORDER BY full_path) AS turn FROM parts),
+taken AS (SELECT lower(ext) AS lane, list(DISTINCT lower(stem || s || ext)) AS names
+          FROM parts, (VALUES (''), ('_1'), ('_3')) t(s) WHERE doc_id < 10 GROUP BY lower(ext)),
+replay AS (
+  SELECT DISTINCT queue.lane, cast(0 AS BIGINT) AS turn, coalesce(names, []) AS names, cast(NULL AS VARCHAR) AS source,
+                  cast(NULL AS VARCHAR) AS target, cast(NULL AS BIGINT) AS size
+  FROM queue LEFT JOIN taken USING (lane)
+  UNION ALL
+  SELECT lane, turn, list_append(names, lower(target)), source, target, size
+  FROM (SELECT q.lane, q.turn, r.names, q.full_path AS source, q.size,
+               list_filter(list_transform(range(0, len(r.names) + 1), lambda k: q.stem || CASE WHEN k = 0 THEN '' ELSE '_' || cast(k AS VARCHAR) END || q.ext),
+                           lambda c: NOT list_contains(r.names, lower(c)))[1] AS target
+        FROM replay r JOIN queue q ON q.lane = r.lane AND q.turn = r.turn + 1))""").replace("WITH ", "WITH RECURSIVE ", 1) + f"""
+SELECT source, '/dest/' || target AS target, '{action}' AS action, size FROM replay WHERE turn > 0"""
 
 
 def _ancestors_sql(col: str) -> str:

@@ -30,13 +30,13 @@ from __future__ import annotations
 from bisect import bisect_right, insort
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators.common import materialize
 from ..operators.hierarchy import relative_directory
-from ..operators.ranking import continued_pieces, counted_before, rank_within, sorted_pieces, stored_pieces
+from ..operators.ranking import continued_pieces, counted_before, rank_within, ranked_pieces, sorted_pieces, stored_pieces
 from ..schema import STAGING_FOLDER
 
 # A counter suffix as the reference writes it: "_" + a positive integer without leading zeros.
@@ -66,6 +66,8 @@ def _target(tdir, stem, ext, idx):
 
 
 _SLOTS = ["tdir_l", "parent_l"]
+_NAME = ["tdir_l", "name_l"]
+FEW = 64
 
 
 def _limits(batches):
@@ -160,45 +162,56 @@ def _settled(children: DataFrame, files: DataFrame, blocked: DataFrame, partitio
     return out
 
 
+def _blocked(existing: DataFrame | None, like: DataFrame) -> DataFrame:
+    """(tdir_l, name_l, idx): an existing name blocks its own first index, and its counter of the name it is a candidate of."""
+    if existing is None:
+        return like.sparkSession.createDataFrame([], "tdir_l string, name_l string, idx long")
+    ex = _keyed(existing.select(C.parent_directory("full_path").alias("target_dir"), C.file_name("full_path").alias("name")))
+    slots = F.array(F.struct(F.col("name_l").alias("name_l"), F.lit(0).cast("long").alias("idx")),
+                    F.struct(F.col("parent_l").alias("name_l"), F.col("counter").alias("idx")))
+    return ex.select("tdir_l", F.explode(slots).alias("slot")).select("tdir_l", "slot.*").where(F.col("name_l").isNotNull()).distinct()
+
+
+def _passed(ranked: DataFrame, blocked: DataFrame, partitions: int | None) -> DataFrame:
+    """Adds ``passed``: how many blocked indexes the file at position rank0 of its name goes past."""
+    # position from which files go past a blocked index: the index less the blocked ones below it
+    past = rank_within(blocked, _NAME, ["idx"], "below", partitions).select(*_NAME, (F.col("idx") - F.col("below")).alias("rank0"))
+    return counted_before(past, ranked, _NAME, ["rank0"], "passed", ties=True, partitions=partitions)
+
+
 def assign_targets(files: DataFrame, existing: DataFrame | None = None, action: str = "move",
-                   partitions: int | None = None) -> DataFrame:
+                   partitions: int | None = None, few: int = FEW) -> DataFrame:
     """First-free target names for ``files`` (full_path, name, size, target_dir).
 
     ``existing`` (full_path) lists files already present in the target folders.
-    Returns (source, target, action, size). ``partitions``: of the sorted steps (default: the session's).
+    Returns (source, target, action, size). ``partitions``: of the sorted steps (default: the session's). The
+    blocked indexes of a name with at most ``few`` of them go with its files, those of the others meet their files in order.
     """
-    names_key = ["tdir_l", "name_l"]
-    ranked = materialize(rank_within(_keyed(files.select("full_path", "name", "size", "target_dir")), names_key, ["full_path"],
-                                     partitions=partitions))
-    firsts = ranked.where(F.col("rank0") == 0)  # one row per batch name: its first file
-    names = firsts.select(*names_key)
-
-    if existing is None:
-        blocked = files.sparkSession.createDataFrame([], "tdir_l string, name_l string, idx long")
-    else:
-        ex = _keyed(existing.select(C.parent_directory("full_path").alias("target_dir"),
-                                    C.file_name("full_path").alias("name")))
-        # an existing name blocks its own first index, and its counter of the name it is a candidate of
-        slots = F.array(F.struct(F.col("name_l").alias("name_l"), F.lit(0).cast("long").alias("idx")),
-                        F.struct(F.col("parent_l").alias("name_l"), F.col("counter").alias("idx")))
-        blocked = (ex.select("tdir_l", F.explode(slots).alias("slot")).select("tdir_l", "slot.*")
-                   .join(names, names_key, "left_semi").distinct())  # without a parent: null, joins nothing
-        blocked = materialize(blocked)
+    # stored first: choosing the ranges reads the rows once more than writing them
+    keyed = materialize(_keyed(files.select("full_path", "name", "size", "target_dir")))
+    pieces = stored_pieces(sorted_pieces(keyed, _NAME, ["full_path"], partitions))
+    ranked = ranked_pieces(pieces, _NAME)
+    blocked = _blocked(existing, files)
 
     # names whose parent name is in the batch: few or none, as only names with a counter can be
-    children = (firsts.where(F.col("parent_l").isNotNull())
-                .select("tdir_l", "parent_l", "name_l", "counter", F.col("full_path").alias("first_pos"), F.lower("stem").alias("stem_l"))
-                .join(names.withColumnRenamed("name_l", "parent_l"), _SLOTS, "left_semi"))
+    children = (keyed.where(F.col("parent_l").isNotNull())
+                .groupBy("tdir_l", "parent_l", "name_l", "counter", F.lower("stem").alias("stem_l")).agg(F.min("full_path").alias("first_pos"))
+                .join(keyed.select("tdir_l", F.col("name_l").alias("parent_l")), _SLOTS, "left_semi"))
     if not children.isEmpty():
-        blocked = blocked.unionByName(_settled(children, ranked, blocked, partitions)).distinct()
-
-    # position from which files go past a blocked index: the index less the blocked ones below it
-    past = rank_within(blocked, names_key, ["idx"], "below", partitions)
-    past = materialize(past.select(*names_key, (F.col("idx") - F.col("below")).alias("rank0"), (F.col("below") == 0).alias("first")))
-    held = past.where("first").select(*names_key)
-    passing = counted_before(past, ranked.join(held, names_key, "left_semi"), names_key, ["rank0"], "passed", ties=True, partitions=partitions)
-    rest = ranked.join(held, names_key, "left_anti").withColumn("passed", F.lit(0).cast("long"))
-    out = passing.unionByName(rest)
+        blocked = materialize(blocked)
+        blocked = blocked.unionByName(_settled(children, pieces, blocked, partitions)).distinct()
+
+    first = F.row_number().over(Window.partitionBy(*_NAME).orderBy("idx"))
+    taken = materialize(blocked.withColumn("_n", first).where(F.col("_n") <= few + 1)  # cut before anything is shuffled
+                        .groupBy(*_NAME).agg(F.array_sort(F.collect_list("idx")).alias("taken")))
+    past = F.aggregate(F.coalesce("taken", F.array().cast("array<bigint>")), F.col("rank0"),
+                       lambda idx, b: F.when(b <= idx, idx + 1).otherwise(idx))
+    out = ranked.join(taken.where(F.size("taken") <= few), _NAME, "left").withColumn("passed", past - F.col("rank0"))
+    many = taken.where(F.size("taken") > few).select(*_NAME)
+    if not many.isEmpty():
+        full = materialize(blocked.join(many, _NAME, "left_semi"))
+        out = out.drop("taken").join(many, _NAME, "left_anti").unionByName(
+            _passed(ranked.join(many, _NAME, "left_semi"), full, partitions))
     return out.select(F.col("full_path").alias("source"),
                       _target(F.col("target_dir"), F.col("stem"), F.col("ext"), F.col("rank0") + F.col("passed")).alias("target"),
                       F.lit(action).alias("action"), "size")
