@@ -41,7 +41,6 @@ from ..schema import STAGING_FOLDER
 
 # A counter suffix as the reference writes it: "_" + a positive integer without leading zeros.
 _COUNTER = r"^(.*)_([1-9][0-9]{0,17})$"
-_COUNTERS = r"((_[1-9][0-9]{0,17})*)$"
 
 
 def _keyed(df: DataFrame) -> DataFrame:
@@ -132,13 +131,14 @@ def _settled(children: DataFrame, files: DataFrame, blocked: DataFrame, partitio
     ``children``: tdir_l, parent_l, name_l, counter, first_pos of the names whose parent name is in the batch as well.
     """
     spark = children.sparkSession
-    depth = F.size(F.split(F.regexp_extract(F.col("stem_l"), _COUNTERS, 1), "_")) - 1
-    children = materialize(children.withColumn("depth", depth).drop("stem_l"))
     out = spark.createDataFrame([], "tdir_l string, name_l string, idx long")
-    # a level per counter in a name: bounded by the length of names
-    for level in [r[0] for r in children.select("depth").distinct().orderBy("depth").collect()]:
-        kids = children.where(F.col("depth") == level).drop("depth")
-        parents = materialize(kids.select(*_SLOTS).distinct())
+    pending = materialize(children)
+    while not pending.isEmpty():  # a turn per counter in a name at most: bounded by the length of names
+        # ready are the children whose parent is not itself waiting for its own first slot
+        waiting = pending.select("tdir_l", F.col("name_l").alias("parent_l"), F.lit(True).alias("waits"))
+        marked = materialize(pending.join(waiting, _SLOTS, "left"))
+        kids, pending = marked.where(F.col("waits").isNull()).drop("waits"), marked.where("waits").drop("waits")
+        parents = kids.select(*_SLOTS).distinct()
 
         def of_parents(df: DataFrame, *columns) -> DataFrame:
             return df.select("tdir_l", F.col("name_l").alias("parent_l"), *columns).join(parents, _SLOTS, "left_semi")
@@ -158,7 +158,7 @@ def _settled(children: DataFrame, files: DataFrame, blocked: DataFrame, partitio
         settled = pieces.join(F.broadcast(starts), [*_SLOTS, "_pid"], "left").select(
             "tdir_l", F.when(lost, F.col("name_l")).otherwise(F.col("parent_l")).alias("name_l"),
             F.when(lost, F.lit(0)).otherwise(F.col("counter")).cast("long").alias("idx"))
-        out = materialize(out.unionByName(settled))
+        out = out.unionByName(settled)
     return out
 
 
@@ -195,7 +195,7 @@ def assign_targets(files: DataFrame, existing: DataFrame | None = None, action:
 
     # names whose parent name is in the batch: few or none, as only names with a counter can be
     children = (keyed.where(F.col("parent_l").isNotNull())
-                .groupBy("tdir_l", "parent_l", "name_l", "counter", F.lower("stem").alias("stem_l")).agg(F.min("full_path").alias("first_pos"))
+                .groupBy("tdir_l", "parent_l", "name_l", "counter").agg(F.min("full_path").alias("first_pos"))
                 .join(keyed.select("tdir_l", F.col("name_l").alias("parent_l")), _SLOTS, "left_semi"))
     if not children.isEmpty():
         blocked = materialize(blocked)
