@@ -30,7 +30,8 @@ MAX_TRAIN = 6000
 LEAST_TRAIN = 100  # of each language, if it has as many
 MIN_COUNT = 2
 LONGEST = 5
-MEMO_WORDS = 300_000
+MEMO_WORDS = 150_000
+ROWS = 512  # texts taken out of an Arrow batch at a time
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -161,22 +162,23 @@ def fit(rows: DataFrame, max_train: int = MAX_TRAIN, min_count: int = MIN_COUNT,
     return Model(out)
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` with ``lang_pred``, ``score`` and ``judged`` (as ``Model.predict`` says) in the place of the text."""
+def predict(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = False) -> DataFrame:
+    """The rows of ``docs`` with ``lang_pred``, ``score`` and ``judged`` (as ``Model.predict`` says) in the place of the text, or with
+    ``keep_text`` after it. A text passes to Python once, and back at most once."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rest = [c for c in docs.columns if c not in (text, "lang_pred", "score", "judged")]
-    fields = [docs.schema[c] for c in rest]
+    kept = [text, *rest] if keep_text else rest
     from pyspark.sql import types as T
-    schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
+    schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
                            T.StructField("judged", T.BooleanType())])
 
     def run(batches):
         model = shared.value
         for batch in batches:
-            got = [model.predict(t) for t in batch.column(0).to_pylist()]
+            got = [model.predict(t) for lo in range(0, batch.num_rows, ROWS) for t in batch.column(0).slice(lo, ROWS).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[1:], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()),
-                 pa.array([g[2] for g in got], pa.bool_())], names=[*rest, "lang_pred", "score", "judged"])
+                [*batch.columns[0 if keep_text else 1:], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()),
+                 pa.array([g[2] for g in got], pa.bool_())], names=[*kept, "lang_pred", "score", "judged"])
 
     return docs.select(text, *rest).mapInArrow(run, schema)
 
@@ -197,6 +199,6 @@ def stage(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
     A text that the model knows nothing of stays: nothing speaks against it. All columns stay."""
     model = fit(docs.where(remainder("doc_id", 4) != 2))
     names = {c: f"in_{i}" for i, c in enumerate(docs.columns)}
-    rows = docs.select(*[F.col(c).alias(n) for c, n in names.items()], F.col("text"))
-    out = predict(rows, model).where(~F.col("judged") | ((F.col("lang_pred") != "und") & (F.col("score") >= least_score)))
+    rows = docs.select(*[F.col(c).alias(n) for c, n in names.items()])
+    out = predict(rows, model, names["text"], keep_text=True).where(~F.col("judged") | ((F.col("lang_pred") != "und") & (F.col("score") >= least_score)))
     return out.select(*[F.col(n).alias(c) for c, n in names.items()])
