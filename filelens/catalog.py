@@ -18,6 +18,7 @@ from .operators import duplicates as D
 from .operators import filters as FL
 from .operators import hierarchy as H
 from .operators import stats as S
+from .operators.common import materialize
 from .plans import relocation as R
 from .plans import safety as SF
 from .sinks import report as RP
@@ -96,7 +97,8 @@ def q_duplicate_groups_fast(spark, sf_dir):
 
 
 def _fast(docs, chunk, threshold):
-    return D.duplicate_groups(D.verify_groups(D.digest_candidates(docs, mode="fast", chunk=chunk, threshold=threshold), docs))
+    fast = materialize(D.column_digests(docs, "fast", chunk=chunk, threshold=threshold))  # narrow; read for the groups and for the filter
+    return D.duplicate_groups(D.verify_groups(fast, docs))
 
 
 @query("duplicate_groups_verified")

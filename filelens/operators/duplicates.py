@@ -10,8 +10,9 @@ the candidates themselves (G1, E11) are narrow rows semi-joined on size. For fil
 comes first, and only the candidates are read (A8). Groups are keyed by (size, hash); the group id shown to
 users is the hash alone.
 
-A size or group may hold a third of all rows. Aggregates are partial/final; member joins carry a salt from the path's
-hash, with the group's statistics repeated once per salt, so a hot key is spread over ``SALTS`` tasks.
+A size or group may hold a third of all rows. Aggregates are partial/final. The counts that the joins need anyway also say which keys are
+hot (over 1 / ``HOT_SHARE`` of the counted rows, so at most ``HOT_SHARE`` keys): only these carry a salt from the path's hash, with their
+statistics repeated once per salt, and are spread over ``SALTS`` tasks; every other key's statistics stay one row.
 """
 
 from __future__ import annotations
@@ -22,16 +23,30 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..schema import PARTIAL_CHUNK, PARTIAL_THRESHOLD, PRIMARY_MARKER
 from .common import materialize
+from .membership import bits_for, may_hold, membership
 
 SALTS = 32
+HOT_SHARE = 1000
 
 
-def _salted(df: DataFrame) -> DataFrame:
-    return df.withColumn("_salt", F.pmod(F.xxhash64("full_path"), F.lit(SALTS)).cast("int"))
+def _with_heat(stats: DataFrame, count: str) -> DataFrame:
+    """``stats`` (one row per key) with ``_hot``: the key has over 1 / HOT_SHARE of all counted rows."""
+    total = stats.agg(F.coalesce(F.sum(count), F.lit(0))).scalar()
+    return stats.withColumn("_hot", F.col(count) * F.lit(HOT_SHARE) > total)
 
 
-def _per_salt(df: DataFrame) -> DataFrame:
-    return df.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+def _salted(df: DataFrame, heated: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of a hot key get one of SALTS salts, the others salt 0."""
+    # at most HOT_SHARE rows, whatever the input: small enough for a broadcast by its number
+    hot = heated.where("_hot").select(*keys, "_hot")
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64("full_path"), F.lit(SALTS))).otherwise(0).cast("int")
+    return df.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt).drop("_hot")
+
+
+def _per_salt(heated: DataFrame) -> DataFrame:
+    """The statistics of a hot key once per salt, the others once."""
+    last = F.when(F.col("_hot"), F.lit(SALTS - 1)).otherwise(0)
+    return heated.withColumn("_salt", F.explode(F.sequence(F.lit(0), last))).drop("_hot")
 
 
 def hash_eligible(inv: DataFrame, max_size: int | None = None) -> DataFrame:
@@ -43,8 +58,9 @@ def hash_eligible(inv: DataFrame, max_size: int | None = None) -> DataFrame:
 def hash_candidates(inv: DataFrame, max_size: int | None = None) -> DataFrame:
     """G1: eligible rows whose size occurs at least twice (salted left-semi join on size)."""
     eligible = hash_eligible(inv, max_size)
-    shared = (eligible.groupBy("size").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("size"))
-    return _salted(eligible).join(_per_salt(shared), on=["size", "_salt"], how="left_semi").drop("_salt")
+    shared = _with_heat(eligible.groupBy("size").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1), "n")
+    return (_salted(eligible, shared, ["size"]).join(_per_salt(shared.drop("n")), on=["size", "_salt"], how="left_semi")
+            .select(*eligible.columns))
 
 
 def candidate_count(inv: DataFrame) -> DataFrame:
@@ -64,7 +80,14 @@ def fast_digest(df: DataFrame, content_col: str = "content", chunk: int = PARTIA
     """F5 digest choice: full MD5 below ``threshold``, partial MD5 (C18) from it up."""
     full = C.md5_upper(F.col(content_col))
     part = C.partial_md5(content_col, "size", chunk)
-    return df.withColumn("hash", F.coalesce(F.when(F.col("size") < threshold, full).otherwise(part), F.lit("")))
+    digest = F.coalesce(F.when(F.col("size") < threshold, full).otherwise(part), F.lit(""))
+    return df.withColumn("hash", digest.alias("hash", metadata={"chunk": chunk, "threshold": threshold}))
+
+
+def fast_parameters(digested: DataFrame) -> tuple[int, int]:
+    """(chunk, threshold) that the column ``hash`` was made with; a frame of full digests has threshold None."""
+    made = digested.schema["hash"].metadata
+    return made.get("chunk", 0), made.get("threshold")
 
 
 _NARROW = ("full_path", "size", "created", "modified", "hash")
@@ -107,16 +130,49 @@ def digest_rejects(inv: DataFrame, content_col: str = "content") -> DataFrame:
     return hash_eligible(inv).where(F.col(content_col).isNull()).select("full_path", F.lit("no content").alias("reason"))
 
 
-def verify_groups(fast_digested: DataFrame, inv: DataFrame, content_col: str = "content",
+def suspects(fast_digested: DataFrame) -> DataFrame:
+    """(size, hash, file_count) of the groups that rest on partial digests; those of smaller files are exact already."""
+    threshold = fast_parameters(fast_digested)[1]
+    rows = fast_digested.where(F.lit(False) if threshold is None else F.col("size") >= threshold)
+    return rows.groupBy("size", "hash").agg(F.count(F.lit(1)).alias("file_count")).where(F.col("file_count") > 1)
+
+
+def suspected_members(fast_digested: DataFrame) -> DataFrame:
+    """the files of suspected groups, without their partial digests: what has to be read in full (for files on disk)."""
+    stats = _with_heat(suspects(fast_digested), "file_count")
+    rows = _salted(fast_digested, stats, ["size", "hash"]).join(_per_salt(stats.drop("file_count")), ["size", "hash", "_salt"], "left_semi")
+    return rows.select(*[c for c in fast_digested.columns if c not in ("hash", "error")])
+
+
+def content_suspects(fast_digested: DataFrame, inv: DataFrame, content_col: str = "content") -> DataFrame:
+    """the rows of ``inv`` with content whose partial digest may be suspected, found within the scan stage by a bounded membership
+    filter. A row that passes by chance does no harm: its full digest is in no group."""
+    chunk, threshold = fast_parameters(fast_digested)
+    groups = suspects(fast_digested)
+    bits = bits_for(groups.count())
+    words = membership(groups, ["size", "hash"], bits)
+    large = F.lit(False) if threshold is None else F.col("size") >= threshold
+    rows = hash_eligible(inv).where(large & F.col(content_col).isNotNull())
+    rows = rows.withColumn("hash", C.partial_md5(content_col, "size", chunk))
+    return rows.where(may_hold(words, ["size", "hash"], bits)).drop("hash")
+
+
+def verify_groups(fast_digested: DataFrame, inv: DataFrame | None = None, content_col: str = "content",
                   digests: DataFrame | None = None) -> DataFrame:
-    """full digests of the members of groups found with partial ones. ``duplicate_groups`` on the result has no
-    false positives. Content stays in the scan stage; narrow rows are joined."""
-    suspects = group_stats(fast_digested).select("size", "hash")
-    members = _salted(fast_digested).join(_per_salt(suspects), ["size", "hash", "_salt"], "left_semi").select("full_path")
-    full = digests.where(F.col("hash") != "") if digests is not None else column_digests(inv, "full", content_col)
-    if not {"size", "created"} <= set(full.columns):
-        full = full.select("full_path", "hash").join(inv.select("full_path", "size", "created"), "full_path")
-    return full.join(members, "full_path", "left_semi").select(*[c for c in _NARROW if c in full.columns])
+    """narrow rows whose groups have no false positives: files below the fast digests' threshold as they are (their digests are
+    full ones), larger ones with full digests where a partial digest is suspected. Other content is never hashed in full.
+
+    ``inv`` has the content in a column; for files on disk give ``digests`` instead: ``content.file_digests(suspected_members(...))``. The
+    fast digests are read twice: store them (``checkpoint=True``) when they are costly.
+    """
+    threshold = fast_parameters(fast_digested)[1]
+    small = fast_digested.where((F.lit(True) if threshold is None else F.col("size") < threshold) & (F.col("hash") != ""))
+    if digests is not None:
+        full = digests.where(F.col("hash") != "")
+    else:
+        full = content_digest(content_suspects(fast_digested, inv, content_col), content_col)
+    keep = [c for c in _NARROW if c in small.columns and c in full.columns]
+    return small.select(*keep).unionByName(full.select(*keep))
 
 
 def group_stats(digested: DataFrame) -> DataFrame:
@@ -150,8 +206,9 @@ def duplicate_summary(groups: DataFrame) -> DataFrame:
 
 def with_group(digested: DataFrame) -> DataFrame:
     """Digested rows with their group's statistics (null outside groups): one salted join."""
-    stats = _per_salt(group_stats(digested))
-    return _salted(digested).join(stats, ["size", "hash", "_salt"], "left").drop("_salt")
+    keys = ["size", "hash"]
+    stats = _with_heat(group_stats(digested), "file_count")
+    return _salted(digested, stats, keys).join(_per_salt(stats), [*keys, "_salt"], "left").drop("_salt")
 
 
 def _member_columns(rows: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """A8, C17, C18 on real files: content digests computed where the files are.
 
-Candidates (full_path, size) are spread by a hash of the path — a size shared by a
-third of all files must not land in one task — and each task streams its files
+Candidates (full_path, size) are spread by bytes — neither a size shared by a third of all files nor one
+huge file may hold up a task with others — and each task streams its files
 through MD5 in 1 MiB reads (``mapInPandas``: Arrow batches in and out). Files that
 cannot be read get an empty digest and the error text (A11); the duplicate
 operators drop them.
@@ -9,15 +9,17 @@ operators drop them.
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..schema import DIGEST_SCHEMA, PARTIAL_CHUNK, PARTIAL_THRESHOLD
+from ..operators.ranking import stored_pieces
+from ..schema import DIGEST_SCHEMA, PARTIAL_CHUNK, PARTIAL_THRESHOLD, TEXT_PREVIEW_CHARS, TEXT_PREVIEW_LIMIT
 
 READ_BLOCK = 1024 * 1024
 
@@ -67,51 +69,100 @@ def _digest_batches(mode: str, chunk: int, threshold: int):
 
 
 PASS_THROUGH = ("created", "modified")
+TASK_BYTES = 256 << 20  # bytes to hash in a task (about)
+FILE_COST = 64 << 10  # opening a file counts as so many bytes
+_EVEN = 32  # files below 1 / 32 of a share are dealt evenly enough by a hash
+
+
+def byte_balanced(files: DataFrame, task_bytes: int = TASK_BYTES, bytes_col: str = "size") -> DataFrame:
+    """The rows of ``files`` (full_path, …) dealt to tasks that have at most a share of the bytes plus one file to read.
+
+    The number of tasks follows the bytes (and keeps all cores busy with less). A task takes the files whose running sum of bytes
+    begins in its share. Where every file is small against a share, a hash of the path deals them as evenly without that sum.
+    """
+    spark = files.sparkSession
+    cost = (F.coalesce(bytes_col, F.lit(0)) + F.lit(FILE_COST)).cast("long")
+    total, most = files.agg(F.coalesce(F.sum(cost), F.lit(0)), F.coalesce(F.max(cost), F.lit(0))).first()
+    share = max(1, min(task_bytes, -(-total // (2 * spark.sparkContext.defaultParallelism))))
+    n = max(1, -(-total // share))
+    if most * _EVEN <= share:
+        return files.repartition(n, F.xxhash64("full_path"))
+    pieces = stored_pieces(files.withColumn("_cost", cost))
+    earlier = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
+    offsets = pieces.groupBy("_pid").agg(F.sum("_cost").alias("_n")).withColumn("_offset", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    before = F.coalesce(F.sum("_cost").over(Window.partitionBy("_pid").orderBy("_mid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = pieces.withColumn("_before", before).join(F.broadcast(offsets), "_pid")
+    # numbers up to n from an exact running sum: dealt by number, not by a hash of it
+    return placed.repartitionById(n, F.floor((F.col("_before") + F.col("_offset")) / F.lit(share)).cast("int")).select(*files.columns)
 
 
 def file_digests(candidates: DataFrame, mode: str = "accurate", chunk: int = PARTIAL_CHUNK,
-                 threshold: int = PARTIAL_THRESHOLD, partitions: int | None = None) -> DataFrame:
+                 threshold: int = PARTIAL_THRESHOLD, partitions: int | None = None, task_bytes: int = TASK_BYTES) -> DataFrame:
     """(full_path, size, [created, modified,] hash, error) for each candidate file.
 
     ``mode='fast'`` uses C18 from ``threshold`` up. The candidates' ``created``/``modified``
-    columns are carried through, so grouping and primary choice need no join back.
+    columns are carried through, so grouping and primary choice need no join back. Tasks are balanced by bytes (``byte_balanced``), of
+    which a partial digest reads three chunks; ``partitions`` asks for a fixed number instead.
     """
-    spark = candidates.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     extra = [c for c in PASS_THROUGH if c in candidates.columns]
-    spread = candidates.select("full_path", "size", *extra).repartition(n, F.xxhash64("full_path"))
+    rows = candidates.select("full_path", "size", *extra)
+    if partitions:
+        spread = rows.repartition(partitions, F.xxhash64("full_path"))
+    elif mode == "fast":
+        read = F.when(F.col("size") >= threshold, F.least("size", F.lit(3 * chunk))).otherwise(F.col("size"))
+        spread = byte_balanced(rows.withColumn("_read", read), task_bytes, "_read").drop("_read")
+    else:
+        spread = byte_balanced(rows, task_bytes)
+    made = {"chunk": chunk, "threshold": threshold} if mode == "fast" else {}
     fields = [DIGEST_SCHEMA["full_path"], DIGEST_SCHEMA["size"]] + \
-        [candidates.schema[c] for c in extra] + [DIGEST_SCHEMA["hash"], DIGEST_SCHEMA["error"]]
+        [candidates.schema[c] for c in extra] + [T.StructField("hash", T.StringType(), False, made), DIGEST_SCHEMA["error"]]
     return spread.mapInPandas(_digest_batches(mode, chunk, threshold), T.StructType(fields))
 
 
-def _preview_batches(limit_bytes: int, chars: int, too_large: str, notice: str):
+_MARKS = [(codecs.BOM_UTF8, "utf-8"), (codecs.BOM_UTF32_LE, "utf-32-le"), (codecs.BOM_UTF32_BE, "utf-32-be"),
+          (codecs.BOM_UTF16_LE, "utf-16-le"), (codecs.BOM_UTF16_BE, "utf-16-be")]  # UTF-32's little-endian mark begins with UTF-16's
+
+
+def read_head(path: str, chars: int, default: str = "utf-8") -> tuple[str, bool]:
+    """The first ``chars`` characters of a text file, and whether it goes on. The encoding is told by a byte-order mark (else
+    ``default``); only as many bytes are read as these characters need, and bytes that are no text become replacement characters."""
+    with open(path, "rb") as f:
+        head = f.read(4)
+        mark, encoding = next(((m, e) for m, e in _MARKS if head.startswith(m)), (b"", default))
+        decoder = codecs.getincrementaldecoder(encoding)("replace")
+        text, rest = decoder.decode(head[len(mark):]), True
+        while len(text) <= chars and rest:  # one more tells that the text goes on
+            block = f.read(min(READ_BLOCK, max(64, chars + 1 - len(text))))
+            rest = bool(block)
+            text += decoder.decode(block, not block)
+    return text[:chars], len(text) > chars
+
+
+def _preview_batches(limit_bytes: int | None, chars: int, too_large: str, notice: str, default: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for path, size in zip(pdf["full_path"], pdf["size"]):
-                if size is not None and size > limit_bytes:
+                if limit_bytes is not None and size is not None and size > limit_bytes:
                     out.append(too_large)
                     continue
                 try:
-                    with open(path, "rb") as f:
-                        raw = f.read(limit_bytes + 1)
-                    text = raw.decode("utf-8-sig", errors="replace")
-                    out.append(text[:chars] + notice if len(text) > chars else text)
+                    text, more = read_head(path, chars, default)
+                    out.append(text + notice if more else text)
                 except OSError:
                     out.append(None)  # unreadable: no preview (the reference shows properties only)
             yield pd.DataFrame({"full_path": pdf["full_path"], "preview": out})
     return run
 
 
-def text_previews(files: DataFrame) -> DataFrame:
-    """A9 on real files: text-kind files up to 1 MiB → their first 10,000 characters (plus the
-    truncation notice); larger ones → the 'too large' notice. Each task reads its own files."""
+def text_previews(files: DataFrame, limit_bytes: int | None = TEXT_PREVIEW_LIMIT, chars: int = TEXT_PREVIEW_CHARS,
+                  default_encoding: str = "utf-8") -> DataFrame:
+    """A9 on real files: text-kind files → their first ``chars`` characters (plus the truncation notice); those over
+    ``limit_bytes`` → the 'too large' notice (None: every file gets its head, however large). Each task reads its own files' heads."""
     from ..functions import columns as C
-    from ..schema import TEXT_PREVIEW_CHARS, TEXT_PREVIEW_LIMIT
     text_files = files.where(C.file_kind("extension") == "text").select("full_path", "size")
     return text_files.mapInPandas(
-        _preview_batches(TEXT_PREVIEW_LIMIT, TEXT_PREVIEW_CHARS, C.TEXT_TOO_LARGE, C.TRUNCATION_NOTICE),
+        _preview_batches(limit_bytes, chars, C.TEXT_TOO_LARGE, C.TRUNCATION_NOTICE, default_encoding),
         "full_path string, preview string")
 
 
