@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from ..operators.ranking import stored_pieces
 from ..schema import DIGEST_SCHEMA, PARTIAL_CHUNK, PARTIAL_THRESHOLD, TEXT_PREVIEW_CHARS, TEXT_PREVIEW_LIMIT
+from ..streaming.progress import Progress
 
 READ_BLOCK = 1024 * 1024
 
@@ -47,7 +48,7 @@ def partial_md5_file(path: str, size: int, chunk: int = PARTIAL_CHUNK) -> str:
     return h.hexdigest().upper()
 
 
-def _digest_batches(mode: str, chunk: int, threshold: int):
+def _digest_batches(mode: str, chunk: int, threshold: int, progress: Progress | None = None):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             hashes, errors = [], []
@@ -64,6 +65,10 @@ def _digest_batches(mode: str, chunk: int, threshold: int):
             out = pdf.copy()
             out["hash"] = hashes
             out["error"] = errors
+            if progress is not None:
+                failed = sum(e is not None for e in errors)
+                progress.add(files_hashed=len(out) - failed, files_failed=failed,
+                             bytes_hashed=sum(int(s) for s, e in zip(pdf["size"], errors) if e is None and s is not None))
             yield out
     return run
 
@@ -97,7 +102,8 @@ def byte_balanced(files: DataFrame, task_bytes: int = TASK_BYTES, bytes_col: str
 
 
 def file_digests(candidates: DataFrame, mode: str = "accurate", chunk: int = PARTIAL_CHUNK,
-                 threshold: int = PARTIAL_THRESHOLD, partitions: int | None = None, task_bytes: int = TASK_BYTES) -> DataFrame:
+                 threshold: int = PARTIAL_THRESHOLD, partitions: int | None = None, task_bytes: int = TASK_BYTES,
+                 progress: Progress | None = None) -> DataFrame:
     """(full_path, size, [created, modified,] hash, error) for each candidate file.
 
     ``mode='fast'`` uses C18 from ``threshold`` up. The candidates' ``created``/``modified``
@@ -116,7 +122,7 @@ def file_digests(candidates: DataFrame, mode: str = "accurate", chunk: int = PAR
     made = {"chunk": chunk, "threshold": threshold} if mode == "fast" else {}
     fields = [DIGEST_SCHEMA["full_path"], DIGEST_SCHEMA["size"]] + \
         [candidates.schema[c] for c in extra] + [T.StructField("hash", T.StringType(), False, made), DIGEST_SCHEMA["error"]]
-    return spread.mapInPandas(_digest_batches(mode, chunk, threshold), T.StructType(fields))
+    return spread.mapInPandas(_digest_batches(mode, chunk, threshold, progress), T.StructType(fields))
 
 
 _MARKS = [(codecs.BOM_UTF8, "utf-8"), (codecs.BOM_UTF32_LE, "utf-32-le"), (codecs.BOM_UTF32_BE, "utf-32-be"),

@@ -1,33 +1,44 @@
-"""A folder tree as a DataFrame (Python data source ``file_inventory``).
+"""A folder tree as a DataFrame.
 
-    spark.dataSource.register(FileInventorySource)
-    entries = spark.read.format("file_inventory").load("/mnt/share")
+    entries, rejects = scan(spark, "/mnt/share")
+
+One row per file and per directory (root included). ``scan`` lists the tree in rounds over a shared frontier: a round's work units are folders, or
+hash shards of one very large folder; a task lists units, goes on into the folders it finds until it has listed its budget of
+entries, and hands back what is left as units of the next round, dealt evenly to all tasks again. A deep chain is followed within a task, a huge
+folder at any depth is shared by many, and no subtree belongs to a task beyond its budget. Each round is stored (Arrow batches to Parquet), so the one
+listing serves entries and rejects, and a lost executor repeats a round's unit, not the scan. The driver keeps no path.
+
+The same walk is a Python data source (``spark.read.format("file_inventory").load(root)``) for lazy reads: the driver cuts the tree into
+subtrees by the folders of the first ``splitDepth`` levels, and filters on path prefix, ``is_dir``, ``is_hidden`` and ``is_system`` are pushed into the walk.
 
-One row per file and per directory (root included). The driver only collects the
-directory names of the first ``splitDepth`` levels to cut the tree into subtrees
-(``targetPartitions``; file entries are counted one at a time, none is kept); executors list those first-level
-folders flat and walk each subtree. Symbolic links to directories are listed but never entered.
+Symbolic links to directories are listed but never entered.
 Entries that cannot be read are kept as rows with ``accessible = false`` and the
 reason in ``attributes``; ``scan`` returns them as a separate reject frame
-(path, reason) instead of dropping them silently.
+(path, reason) instead of dropping them silently. A name that is not text (no valid UTF-8) is such an entry.
 
 The tree must be visible at the same path on every executor (a shared mount).
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
 import os
 import stat
 import zlib
+from collections import deque
 from datetime import datetime, timezone
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition, Not, StringStartsWith
 
+from ..operators.common import materialize
 from ..operators.hierarchy import ancestors
 from ..schema import ENTRY_SCHEMA
+from ..streaming.progress import Progress
 
 
 def _ts(seconds: float | None):
@@ -43,6 +54,10 @@ def _extension(name: str) -> str:
     return name[dot:].lower()
 
 
+def _is_system(name: str, st: os.stat_result) -> bool:
+    return bool(getattr(st, "st_file_attributes", 0) & stat.FILE_ATTRIBUTE_SYSTEM)  # where the file system has it
+
+
 def _record(path: str, st: os.stat_result | None, is_dir: bool, is_link: bool, error: str | None):
     name = os.path.basename(path.rstrip("/")) or path
     directory = os.path.dirname(path.rstrip("/"))
@@ -51,7 +66,7 @@ def _record(path: str, st: os.stat_result | None, is_dir: bool, is_link: bool, e
                 False, name.startswith("."), False, is_link, error or "unreadable", False)
     read_only = not (st.st_mode & stat.S_IWUSR)
     hidden = name.startswith(".")
-    system = bool(getattr(st, "st_file_attributes", 0) & stat.FILE_ATTRIBUTE_SYSTEM)  # where the file system has it
+    system = _is_system(name, st)
     created = getattr(st, "st_birthtime", None) or st.st_ctime
     flags = [f for f, on in (("ReadOnly", read_only), ("Hidden", hidden), ("System", system),
                              ("Directory", is_dir), ("ReparsePoint", is_link)) if on]
@@ -67,6 +82,10 @@ def _error(e: OSError) -> str:
 
 def _entry(ent: os.DirEntry) -> tuple[tuple, bool]:
     """(inventory tuple, descend?) for one directory entry; links to directories are not entered."""
+    try:
+        ent.path.encode()
+    except UnicodeEncodeError:
+        return _record(ent.path.encode("utf-8", "replace").decode(), None, False, False, "the name is not text"), False
     try:
         is_link = ent.is_symlink()
         st = ent.stat(follow_symlinks=False)
@@ -100,25 +119,128 @@ def _is_folder(ent: os.DirEntry) -> bool:
         return False
 
 
-def _walk(top: str, recursive: bool = True, shard: tuple[int, int] | None = None):
-    """Entries below ``top`` (the row of ``top`` itself is listed by its parent).
+class Walk:
+    """Lists units (folder, shard, of): the rows of a folder's entries, of one hash shard of them (of > 1), or first the folder's own
+    row (shard -1). Options leave rows out before they are examined, without changing the others:
 
-    ``shard = (i, k)``: only the entries of ``top`` whose name hashes to i of k (a flat
-    listing of one very large folder shared by k tasks; each lists, only 1/k are stat'ed).
+    ``prefix``: only paths that begin with it (other folders are not entered); ``only_dirs``: files are not examined; ``no_hidden``,
+    ``no_system``: such rows are left out, but their folders are entered; ``skip_system``: system folders are not entered either (A4).
     """
-    stack = [top]
-    while stack:
-        for ent, err in _entries(stack.pop()):
+
+    def __init__(self, prefix: str | None = None, only_dirs: bool = False, no_hidden: bool = False, no_system: bool = False,
+                 skip_system: bool = False, flat_split: int | None = None):
+        self.prefix, self.only_dirs, self.no_hidden = prefix, only_dirs, no_hidden
+        self.no_system, self.skip_system, self.flat_split = no_system or skip_system, skip_system, flat_split
+        self.visited = 0  # folders listed
+
+    def push(self, f) -> bool:
+        """Takes a filter on rows over, if the walk can."""
+        if isinstance(f, StringStartsWith) and f.attribute == ("full_path",):
+            if self.prefix is not None and not f.value.startswith(self.prefix) and not self.prefix.startswith(f.value):
+                return False
+            self.prefix = max(self.prefix or "", f.value, key=len)
+            return True
+        if isinstance(f, Not) and isinstance(f.child, EqualTo) and isinstance(f.child.value, bool):
+            f = EqualTo(f.child.attribute, not f.child.value)
+        if not isinstance(f, EqualTo) or not isinstance(f.value, bool):
+            return False
+        name = {("is_dir", True): "only_dirs", ("is_hidden", False): "no_hidden", ("is_system", False): "no_system"}.get((*f.attribute, f.value))
+        if name:
+            setattr(self, name, True)
+        return name is not None
+
+    def _wanted(self, rec: tuple) -> bool:
+        return ((self.prefix is None or rec[0].startswith(self.prefix)) and not (self.only_dirs and not rec[4])
+                and not (self.no_hidden and rec[10]) and not (self.no_system and rec[11]))
+
+    def _enters(self, path: str) -> bool:
+        return self.prefix is None or path.startswith(self.prefix) or self.prefix.startswith(path.rstrip("/") + "/")
+
+    def _list(self, unit: tuple[str, int, int]):
+        """(row, folder to enter, unit to hand back), one of them not None, for each entry of a unit."""
+        d, shard, of = unit
+        if shard < 0:
+            row = _root_row(d)
+            if self._wanted(row):
+                yield row, None, None
+        self.visited += 1
+        found = _entries(d)
+        if self.flat_split and of == 1:
+            head = list(itertools.islice(found, self.flat_split + 1))
+            if len(head) > self.flat_split:  # names are counted, nothing is examined here
+                n = len(head) + sum(1 for _ in found)
+                k = -(-n // self.flat_split)
+                yield from ((None, None, (d, i, k)) for i in range(k))
+                return
+            found = iter(head)
+        for ent, err in found:
             if err is not None:
-                if shard is None or shard[0] == 0:
-                    yield err
+                if shard <= 0 and self._wanted(err):
+                    yield err, None, None
+                continue
+            if of > 1 and zlib.crc32(ent.name.encode("utf-8", "surrogateescape")) % of != shard:
                 continue
-            if shard is not None and zlib.crc32(ent.name.encode("utf-8", "surrogateescape")) % shard[1] != shard[0]:
+            if self.only_dirs and not _maybe_folder(ent):
                 continue
             rec, descend = _entry(ent)
-            yield rec
-            if descend and recursive:
-                stack.append(ent.path)
+            if self._wanted(rec):
+                yield rec, None, None
+            if descend and self._enters(rec[0]) and not (self.skip_system and rec[11]):
+                yield None, ent.path, None
+
+    def rows(self, units, budget: int | None = None):
+        """(row, None) of every entry, or (None, unit) of what is left when ``budget`` entries have been listed."""
+        listed = 0
+        for unit in units:
+            todo = deque([unit])
+            while todo:
+                if budget is not None and listed >= budget:
+                    yield from ((None, x) for x in todo)
+                    break
+                for row, folder, back in self._list(todo.popleft()):
+                    if row is not None:
+                        listed += 1
+                        yield row, None
+                    elif folder is not None:
+                        todo.append((folder, 0, 1))
+                    else:
+                        yield None, back
+
+
+def _maybe_folder(ent: os.DirEntry) -> bool:
+    """A folder or a link (whose target may be one), from the listing alone."""
+    try:
+        return ent.is_dir(follow_symlinks=False) or ent.is_symlink()
+    except OSError:
+        return True
+
+
+def _walk(top: str, recursive: bool = True, shard: tuple[int, int] | None = None):
+    """Entries below ``top`` (the row of ``top`` itself is listed by its parent).
+
+    ``shard = (i, k)``: only the entries of ``top`` whose name hashes to i of k (a flat
+    listing of one very large folder shared by k tasks; each lists, only 1/k are stat'ed).
+    """
+    return _subtree(Walk(), top, recursive, shard)
+
+
+def _subtree(walk: Walk, top: str, recursive: bool, shard: tuple[int, int] | None):
+    unit = (top, *(shard or (0, 1)))
+    if recursive:
+        yield from (row for row, _ in walk.rows([unit]))
+    else:
+        yield from (row for row, _, _ in walk._list(unit) if row is not None)
+
+
+BATCH_ROWS = 5000  # rows handed on at a time
+_ARROW = {T.StringType(): pa.string(), T.BooleanType(): pa.bool_(), T.LongType(): pa.int64(), T.IntegerType(): pa.int32(),
+          T.TimestampNTZType(): pa.timestamp("us")}
+
+
+def _record_batches(rows, schema: T.StructType):
+    types = [_ARROW[f.dataType] for f in schema.fields]
+    while part := list(itertools.islice(rows, BATCH_ROWS)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), types)], names=schema.names)
 
 
 def _subdirectories(d: str) -> tuple[list[str], int]:
@@ -146,12 +268,26 @@ class _Listing(InputPartition):
         self.shard = shard
 
 
+def _root_row(root: str) -> tuple:
+    try:
+        return _record(root, os.stat(root, follow_symlinks=False), True, os.path.islink(root), None)
+    except OSError as e:
+        return _record(root, None, True, False, _error(e))
+
+
 class FileInventoryReader(DataSourceReader):
     def __init__(self, options: dict, schema):
         self.root = os.path.abspath(options.get("path") or options.get("root") or ".")
         self.split_depth = int(options.get("splitDepth", "2"))
         self.target = int(options.get("targetPartitions", "64"))
         self.flat_split = int(options.get("flatSplitEntries", "50000"))
+        self.walk = Walk(skip_system=str(options.get("skipSystem", "false")).lower() == "true")
+
+    def pushFilters(self, filters):
+        """The walk takes over what it can; the rest stays with Spark."""
+        for f in filters:
+            if not self.walk.push(f):
+                yield f
 
     def partitions(self):
         # Breadth-first over directory *names* of the first levels only: the driver keeps no
@@ -190,14 +326,18 @@ class FileInventoryReader(DataSourceReader):
         return parts
 
     def read(self, partition):
+        yield from _record_batches(self._rows(partition), ENTRY_SCHEMA)
+
+    def _rows(self, partition):
+        walk = self.walk
         if partition.include_root is not None:
             root = partition.include_root
-            try:
-                yield _record(root, os.stat(root, follow_symlinks=False), True, os.path.islink(root), None)
-            except OSError as e:
-                yield _record(root, None, True, False, _error(e))
+            row = _root_row(root)
+            if walk._wanted(row):
+                yield row
         for d in partition.dirs:
-            yield from _walk(d, partition.recursive, partition.shard)
+            if walk._enters(d):
+                yield from _subtree(walk, d, partition.recursive, partition.shard)
 
 
 class FileInventorySource(DataSource):
@@ -222,23 +362,61 @@ def _default_target(spark: SparkSession) -> int:
 
 
 def register(spark: SparkSession) -> None:
+    """Makes ``file_inventory`` known; its filters are pushed into the walk."""
     spark.dataSource.register(FileInventorySource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+
 
+_UNIT = "directory string, shard int, of int"
+_ROUND = T.StructType([*(T.StructField(f.name, f.dataType) for f in ENTRY_SCHEMA.fields),
+                       T.StructField("unit", T.StringType()), T.StructField("shard", T.IntegerType()), T.StructField("of", T.IntegerType())])
+FIRST_BUDGET, BUDGET = 500, 50_000  # entries a task lists in the first round (one task) and in later ones
 
-def scan(spark: SparkSession, root: str, split_depth: int = 2, target_partitions: int | None = None,
-         flat_split_entries: int = 50000) -> tuple[DataFrame, DataFrame]:
-    """A1: (entries, rejects). ``entries`` holds readable files and directories, root included."""
-    register(spark)
+
+def _round(options: dict, budget: int, progress: Progress | None):
+    def run(batches):
+        walk = Walk(**options)
+        units = ((d, i, k) for b in batches for d, i, k in zip(*(c.to_pylist() for c in b.columns)))
+        empty_row, no_unit = (None,) * len(ENTRY_SCHEMA), (None,) * 3
+        rows = (row + no_unit if row is not None else empty_row + unit for row, unit in walk.rows(units, budget))
+        for batch in _record_batches(rows, _ROUND):
+            if progress is not None:
+                progress.add_entries(batch)
+            yield batch
+    return run
+
+
+def scan(spark: SparkSession, root: str, split_depth: int | None = None, target_partitions: int | None = None,
+         flat_split_entries: int = 50000, budget: int = BUDGET, first_budget: int = FIRST_BUDGET, progress: Progress | None = None,
+         **options) -> tuple[DataFrame, DataFrame]:
+    """A1: (entries, rejects). ``entries`` holds readable files and directories, root included.
+
+    A round has at most ``target_partitions`` tasks (default: four per core); a folder with more than ``flat_split_entries`` entries is shared by
+    several. ``options``: those of ``Walk`` (``prefix``, ``only_dirs``, ``no_hidden``, ``no_system``, ``skip_system``). ``progress`` counts while the rounds
+    run. ``split_depth`` has no meaning for rounds and is ignored; it is an option of the data source.
+    """
     target = target_partitions or _default_target(spark)
-    raw = (spark.read.format("file_inventory").option("splitDepth", str(split_depth))
-           .option("targetPartitions", str(target)).option("flatSplitEntries", str(flat_split_entries))
-           .load(root))
+    options["flat_split"] = flat_split_entries
+    units = spark.createDataFrame([(os.path.abspath(root), -1, 1)], _UNIT).coalesce(1)
+    rounds, share = [], first_budget
+    while True:
+        listed = materialize(units.mapInArrow(_round(options, share, progress), _ROUND))
+        rounds.append(listed)
+        left = listed.where(F.col("unit").isNotNull()).select(F.col("unit").alias("directory"), "shard", "of")
+        n = left.count()
+        if not n:
+            break
+        units, share = left.repartition(min(target, n)), budget
+    raw = functools.reduce(DataFrame.unionAll, rounds).where(F.col("unit").isNull()).select(*ENTRY_SCHEMA.names)
     entries = raw.where(F.col("accessible"))
     rejects = raw.where(~F.col("accessible")).select(F.col("full_path").alias("path"),
                                                      F.col("attributes").alias("reason"))
     return entries, rejects
 
 
+scan_balanced = scan
+
+
 def files_of(entries: DataFrame) -> DataFrame:
     """The inventory: file rows only."""
     return entries.where(~F.col("is_dir"))
@@ -269,126 +447,3 @@ def valid_paths(paths: DataFrame, entries: DataFrame, col: str = "path") -> Data
     """A10: which of the given paths exist as a file or directory (left join on the listing)."""
     known = entries.select(F.col("full_path").alias(col)).distinct().withColumn("is_valid", F.lit(True))
     return paths.join(known, col, "left").withColumn("is_valid", F.coalesce("is_valid", F.lit(False)))
-
-
-# ---- balanced two-phase scan -------------------------------------------------------------------
-#
-# Phase 1 walks the tree for directories only (entry types come from the directory listing, no
-# stat per file) and counts each directory's entries. Phase 2 lists every directory flat, as a
-# DataFrame of (directory, shard) work units: a directory with a huge number of entries, at any
-# depth, is cut into hash shards, so no task stats more than about ``flatSplitEntries`` entries.
-
-DIRS_SCHEMA = "directory string, n_entries long, error string"
-
-
-def _dir_row(d: str, below: list[str] | None = None):
-    """(directory, number of entries, error); adds its folders to ``below``."""
-    n, error = 0, None
-    for ent, err in _entries(d):
-        if err is not None:
-            error = err[13]
-        else:
-            n += 1
-            if below is not None and _is_folder(ent):
-                below.append(ent.path)
-    return d, n, error
-
-
-def _dir_walk(top: str):
-    stack = [top]
-    while stack:
-        yield _dir_row(stack.pop(), stack)
-
-
-class _DirsReader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.inner = FileInventoryReader(options, None)
-
-    def partitions(self):
-        # the same first-level split as the full listing, but every unit walks directories only
-        frontier, shallow = [self.inner.root], []
-        for _ in range(self.inner.split_depth):
-            if len(frontier) >= self.inner.target:
-                break
-            nxt = []
-            for d in frontier:
-                subs, _ = _subdirectories(d)
-                nxt.extend(subs)
-                shallow.append(d)
-            frontier = nxt
-            if not frontier:
-                break
-        parts: list[InputPartition] = [_Listing(sorted(shallow), False)]
-        n = max(1, min(self.inner.target, len(frontier)))
-        for i in range(n):
-            group = sorted(frontier)[i::n]
-            if group:
-                parts.append(_Listing(group, True))
-        return parts
-
-    def read(self, partition):
-        for d in partition.dirs:
-            if partition.recursive:
-                yield from _dir_walk(d)
-            else:
-                yield _dir_row(d)
-
-
-class FileInventoryDirsSource(DataSource):
-    """``spark.read.format("file_inventory_dirs").load(root)``: directories and entry counts."""
-
-    @classmethod
-    def name(cls):
-        return "file_inventory_dirs"
-
-    def schema(self):
-        return DIRS_SCHEMA
-
-    def reader(self, schema):
-        return _DirsReader(self.options)
-
-
-UNIT_ROWS = 5000  # rows handed on at a time
-
-
-def _unit_rows(d: str, shard: int, k: int):
-    if shard >= 0:
-        yield from _walk(d, False, (shard, k) if k > 1 else None)
-        return
-    try:  # the root's own record
-        yield _record(d, os.stat(d, follow_symlinks=False), True, os.path.islink(d), None)
-    except OSError as e:
-        yield _record(d, None, True, False, _error(e))
-
-
-def _list_units(batches):
-    import pandas as pd
-    cols = [f.name for f in ENTRY_SCHEMA.fields]
-    for pdf in batches:
-        rows = itertools.chain.from_iterable(_unit_rows(d, int(i), int(k)) for d, i, k in zip(pdf["directory"], pdf["shard"], pdf["k"]))
-        while part := list(itertools.islice(rows, UNIT_ROWS)):
-            yield pd.DataFrame(part, columns=cols)
-
-
-def scan_balanced(spark: SparkSession, root: str, split_depth: int = 2, target_partitions: int | None = None,
-                  flat_split_entries: int = 50000) -> tuple[DataFrame, DataFrame]:
-    """A1 in two phases (directories, then flat listings in balanced units). Same rows as ``scan``."""
-    spark.dataSource.register(FileInventoryDirsSource)
-    register(spark)
-    target = target_partitions or _default_target(spark)
-    root = os.path.abspath(root)
-    dirs = (spark.read.format("file_inventory_dirs").option("splitDepth", str(split_depth))
-            .option("targetPartitions", str(target)).load(root))
-    readable = dirs.where(F.col("error").isNull())
-    units = (readable.withColumn("k", F.greatest(F.lit(1), F.ceil(F.col("n_entries") / F.lit(flat_split_entries))))
-             .select("directory", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("shard"), "k"))
-    root_unit = spark.createDataFrame([(root, -1, 1)], "directory string, shard int, k long")
-    units = units.unionByName(root_unit).repartition(target)
-    raw = units.mapInPandas(_list_units, ENTRY_SCHEMA)
-    failed_dirs = dirs.where(F.col("error").isNotNull()).select(F.col("directory").alias("path"),
-                                                                 F.col("error").alias("reason"))
-    entries = raw.where(F.col("accessible"))
-    rejects = (raw.where(~F.col("accessible")).select(F.col("full_path").alias("path"),
-                                                      F.col("attributes").alias("reason"))
-               .unionByName(failed_dirs).distinct())
-    return entries, rejects
