@@ -41,6 +41,43 @@ def materialize(df: DataFrame) -> DataFrame:
 _WRITTEN: list[str] = []
 
 
+def _path(spark, path: str):
+    """Hadoop path and its file system (any scheme)."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def path_exists(spark, path: str) -> bool:
+    p, fs = _path(spark, path)
+    return bool(fs.exists(p))
+
+
+def publish_text(spark, path: str, text: str) -> None:
+    """Writes a small file beside ``path`` and renames it there: readers see the old text or the new one."""
+    jvm = spark.sparkContext._jvm
+    p, fs = _path(spark, path)
+    beside, _ = _path(spark, f"{path}.{uuid.uuid4().hex}")
+    out = fs.create(beside, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    option = jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(option, 1)
+    options[0] = option.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(beside, p, options)
+
+
+def read_text(spark, path: str) -> str:
+    """A small file's text (the readers of ``spark.read`` leave out names that begin with an underscore)."""
+    p, fs = _path(spark, path)
+    stream = fs.open(p)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def delete_path(spark, path: str) -> bool:
     """Deletes a folder this library wrote (through Hadoop's file system API, any scheme)."""
     jvm = spark.sparkContext._jvm

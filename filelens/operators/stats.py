@@ -94,11 +94,11 @@ def median_size(inv: DataFrame, shift: int = 20, group_bits: int = 10) -> DataFr
     group_bits)) or 2^shift distinct sizes, whatever the row count.
     """
     sized = inv.select(F.col("size")).where(F.col("size").isNotNull())
-    n = sized.agg(F.count(F.lit(1)).alias("n"))
+    counts = sized.groupBy(F.shiftright("size", shift).alias("bucket")).agg(F.count(F.lit(1)).alias("c"))
+    n = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"))  # from the same exchange: no read of its own
     # ranks of the middle values (1-based): lo = (n+1) div 2, hi = n div 2 + 1
     ranks = n.select("n", F.expr("(n + 1) div 2").alias("r_lo"), F.expr("n div 2 + 1").alias("r_hi"))
-    buckets = sized.groupBy(F.shiftright("size", shift).alias("bucket")).agg(F.count(F.lit(1)).alias("c"))
-    buckets = _running_counts(buckets, "bucket", group_bits)
+    buckets = _running_counts(counts, "bucket", group_bits)
     targets = (attach_one_row(buckets, ranks)
                .where(((F.col("r_lo") > F.col("before")) & (F.col("r_lo") <= F.col("cum")))
                       | ((F.col("r_hi") > F.col("before")) & (F.col("r_hi") <= F.col("cum"))))
@@ -133,8 +133,9 @@ def extremes(inv: DataFrame) -> DataFrame:
         F.min_by(rec, F.struct((-F.col("size")).alias("k"), F.col("full_path"))).alias("largest"),
         F.min_by(F.when(F.col("size") > 0, rec),
                  F.when(F.col("size") > 0, F.struct(F.col("size").alias("k"), F.col("full_path")))).alias("smallest"),
-        F.min_by(rec, F.struct(micros.alias("k"), F.col("full_path"))).alias("oldest"),
-        F.min_by(rec, F.struct((-micros).alias("k"), F.col("full_path"))).alias("newest"),
+        # a file of unknown time is neither
+        F.min_by(rec, F.when(micros.isNotNull(), F.struct(micros.alias("k"), F.col("full_path")))).alias("oldest"),
+        F.min_by(rec, F.when(micros.isNotNull(), F.struct((-micros).alias("k"), F.col("full_path")))).alias("newest"),
     )
     kinds = ["largest", "smallest", "oldest", "newest"]
     stacked = rows.select(F.explode(F.array(*[
@@ -218,8 +219,8 @@ def largest(inv: DataFrame, n: int = 10) -> DataFrame:
 
 
 def oldest(inv: DataFrame, n: int = 10) -> DataFrame:
-    """H2."""
-    return inv.orderBy(F.col("modified"), F.col("full_path")).limit(n).select("full_path", "size", "modified")
+    """H2. A file of unknown time comes last."""
+    return inv.orderBy(F.col("modified").asc_nulls_last(), F.col("full_path")).limit(n).select("full_path", "size", "modified")
 
 
 def newest(inv: DataFrame, n: int = 10) -> DataFrame:
