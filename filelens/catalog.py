@@ -17,6 +17,7 @@ from .functions import columns as C
 from .operators import duplicates as D
 from .operators import filters as FL
 from .operators import hierarchy as H
+from .operators import intervals as IV
 from .operators import stats as S
 from .operators.common import materialize
 from .plans import relocation as R
@@ -558,3 +559,15 @@ def q_plan_summary(spark, sf_dir):
 def q_inventory_after_staging(spark, sf_dir):
     staged = _staging(spark, sf_dir).select(F.col("source").alias("full_path"))
     return FL.remove_paths(_docs(spark, sf_dir), staged).select("full_path", "size")
+
+
+@query("folder_intervals")
+def q_folder_intervals(spark, sf_dir):
+    """Pre-order interval labels of all folders of the orders inventory."""
+    return IV.label_folders(X.inv_orders(spark, sf_dir).select("directory"))
+
+
+@query("subtree_totals")
+def q_subtree_totals(spark, sf_dir):
+    """J1 by running sums over interval labels."""
+    return IV.subtree_totals(X.inv_orders(spark, sf_dir))

@@ -38,6 +38,8 @@ def stored_pieces(df: DataFrame) -> DataFrame:
 
 def continued_pieces(pieces: DataFrame, keys: list[str], weight: Column) -> DataFrame:
     """(keys, _pid, _n): the pieces of the keys that may lie in several partitions. At most twice as many as partitions."""
+    if not keys:  # one group: every piece
+        return pieces.groupBy("_pid").agg(F.coalesce(F.sum(weight), F.lit(0)).alias("_n"))
     firsts = pieces.groupBy("_pid").agg(F.min_by(F.struct(*keys), "_mid").alias("_k")).select("_k.*").distinct()
     # one row per partition at most: small enough for a broadcast by its number
     return (pieces.join(F.broadcast(firsts), keys, "left_semi")
@@ -48,7 +50,7 @@ def _with_offsets(pieces: DataFrame, df: DataFrame, keys: list[str], weight: Col
     """``df`` (a projection of the pieces) with ``_offset``: the weight of the key's earlier pieces."""
     before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (continued_pieces(pieces, keys, weight).withColumn("_offset", F.sum("_n").over(before))
-               .where(F.col("_offset") > 0).drop("_n"))
+               .where(F.col("_offset") != 0).drop("_n"))
     return df.join(F.broadcast(offsets), [*keys, "_pid"], "left").withColumn("_offset", F.coalesce("_offset", F.lit(0)))
 
 
@@ -71,12 +73,12 @@ def rank_within(df: DataFrame, keys: list[str], order: list[str], out: str = "ra
 
 
 def counted_before(rows: DataFrame, probes: DataFrame, keys: list[str], order: list[str], out: str,
-                   ties: bool = False, partitions: int | None = None) -> DataFrame:
+                   ties: bool = False, partitions: int | None = None, weight: str | None = None) -> DataFrame:
     """Adds ``out`` to ``probes``: the number of ``rows`` with the same ``keys`` that come before it by ``order`` (with
-    ``ties`` also those at its place). Either side may have hot keys."""
-    marked = rows.select(*keys, *order, F.lit(0 if ties else 2).alias("_turn"))
+    ``ties`` also those at its place), or the sum of their ``weight``. Either side may have hot keys; without keys all rows are one group."""
+    marked = rows.select(*keys, *order, F.lit(0 if ties else 2).alias("_turn"), (F.col(weight) if weight else F.lit(1)).alias("_weight"))
     both = probes.withColumn("_turn", F.lit(1)).unionByName(marked, allowMissingColumns=True)
-    counts = F.when(F.col("_turn") != 1, F.lit(1)).otherwise(F.lit(0))
+    counts = F.when(F.col("_turn") != 1, F.col("_weight")).otherwise(F.lit(0))
     # rows at one place are never cut apart: the range is by (keys, order)
     ranged = sorted_pieces(both, keys, order, partitions).sortWithinPartitions(*keys, *order, "_turn")
     pieces = stored_pieces(ranged)

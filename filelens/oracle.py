@@ -466,3 +466,10 @@ UNION ALL
 SELECT full_path || '.missing' AS source, CAST(NULL AS VARCHAR) AS target, 'failed' AS action,
        CAST(NULL AS BIGINT) AS size
 FROM inv_docs WHERE doc_id % 7 = 0"""
+ORACLE["folder_intervals"] = _with(INV_ORDERS, """
+dirs AS (SELECT DISTINCT unnest(""" + _ancestors_sql("directory") + """) AS directory FROM inv_orders),
+numbered AS (SELECT directory, row_number() OVER (ORDER BY string_split(CASE WHEN directory = '/' THEN '' ELSE directory END, '/')) - 1 AS first FROM dirs)""") + """
+SELECT a.directory, a.first,
+       (SELECT max(b.first) FROM numbered b WHERE b.directory = a.directory OR a.directory = '/' OR starts_with(b.directory, a.directory || '/')) AS last
+FROM numbered a"""
+ORACLE["subtree_totals"] = ORACLE["directory_sizes"]
