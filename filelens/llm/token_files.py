@@ -173,7 +173,8 @@ def write(docs: DataFrame, folder: str, text: str = "text", key: str = "doc_id",
           page_rows: int = PAGE_ROWS) -> str:
     """Writes one file per range of ids, files and rows in ascending order."""
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    order = ["doc_id", F.xxhash64("text")]
+    repeated = rows.select("doc_id").groupBy("doc_id").count().where("count > 1").limit(1).count()
+    order = ["doc_id", *([F.xxhash64("text")] if repeated else [])]  # texts are read for the order of rows that share an id only
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     (rows.mapInArrow(_encoded(vocabulary or vocabulary_path(), end_id), "doc_id long, n_tokens long, ids array<int>")
      .write.option("compression", "zstd").option("parquet.writer.version", "v2")
