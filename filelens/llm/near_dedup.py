@@ -256,13 +256,15 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
                       F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def stage(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that are kept, one of each group, with all their columns. Rows that share the kept doc_id and their text
-    are one document: one stays. Unrelated texts of the kept doc_id all stay."""
-    kept = materialize(near_duplicates(docs, text, key).where("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")))
-    ids = kept.distinct()
-    out = docs.join(ids, F.col(key).cast("long") == F.col("kept_id"), "left_semi")
-    if kept.groupBy("kept_id").count().where("count > 1").limit(1).count():
-        mark = "_".join([*docs.columns, "hash"])  # a name that no column has
-        out = out.withColumn(mark, F.md5(F.col(text).cast("binary"))).dropDuplicates([key, mark]).drop(mark)
+STAGE_WIDTH = 5  # words of a shingle in a filtering stage
+
+
+def stage(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = STAGE_WIDTH) -> DataFrame:
+    """The rows of ``docs`` that are kept, one of each group of texts that share 0.8 of their ``width``-word shingles, with all their columns, whatever these are
+    called. Rows that share the kept doc_id and their text are one document: one stays. Unrelated texts of the kept doc_id all stay."""
+    free = "_".join([*docs.columns, "kept"])  # a name that no column has
+    kept = materialize(near_duplicates(docs, text, key, width=width).where("kept and doc_id is not null").select(F.col("doc_id").alias(free)))
+    out = docs.join(kept.distinct(), F.col(key).cast("long") == F.col(free), "left_semi")
+    if kept.groupBy(free).count().where("count > 1").limit(1).count():
+        out = out.withColumn(free, F.md5(F.col(text).cast("binary"))).dropDuplicates([key, free]).drop(free)
     return out.unionByName(docs.where(F.col(key).isNull()))

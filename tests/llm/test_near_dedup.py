@@ -7,11 +7,11 @@ from filelens.llm import near_dedup as N
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def brute(rows):
+def brute(rows, width=4):
     sets = []
     for i, text, *_ in rows:
         w = [re.sub("[A-Z]", lambda m: m[0].lower(), x) for x in WORD.findall(text or "")]
-        sets.append({tuple(w[k:k + 4]) for k in range(len(w) - 3)} if len(w) > 3 else {tuple(w)} if w else set())
+        sets.append({tuple(w[k:k + width]) for k in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set())
     parent = list(range(len(rows)))
 
     def root(x):

@@ -22,7 +22,7 @@ def test_stages_match_a_replay(spark, rows, docs_dir, tmp_path):
     got = out.collect()
     letters = {r[0] for r in rows if language_id.has_letter(language_id.words_of(r[1] or ""))}
     assert {r[0] for r in held[0]} <= letters and len(held[0]) > 0.95 * len(letters)
-    keep = {i for i, _, c in near(held[0]) if i == c}
+    keep = {i for i, _, c in near(held[0], 5) if i == c}
     assert {r[0] for r in held[1]} == keep and len(held[1]) == len(keep)
     assert {r[0] for r in held[2]} == keep and not any(base(r[1]) for r in held[2])
     assert {r[0] for r in held[3]} == keep and len(held[3]) >= len(keep)
