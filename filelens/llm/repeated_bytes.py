@@ -169,11 +169,14 @@ def _cut(batches):
             names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def _keyed(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """doc_id, text and k: the id, or, where ids are missing or repeated, a hash of id and text."""
+def _keyed(docs: DataFrame, text: str, key: str) -> tuple[DataFrame, bool]:
+    """(k, text) with the id as k; or, where ids are missing or repeated, (doc_id, text, k) with a hash of id and text. And which of the two."""
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     bad = rows.select("doc_id").groupBy("doc_id").count().where("doc_id is null or count > 1").limit(1).count()
-    return rows.withColumn("k", F.xxhash64("doc_id", "text") if bad else F.col("doc_id"))
+    if bad:
+        return rows.withColumn("k", F.xxhash64("doc_id", "text")), False
+    # the same rows and columns wherever texts are joined: Spark shuffles them once for all these joins
+    return rows.select(F.col("doc_id").alias("k"), "text").where("k is not null"), True
 
 
 def repeated_spans(rows: DataFrame) -> DataFrame:
@@ -211,8 +214,8 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
 
 def without_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and ``kept`` (the bytes left) of every row."""
-    rows = _keyed(docs, text, key)
-    return rows.join(repeated_spans(rows), "k", "left").select("doc_id", "text", "spans").mapInArrow(
+    rows, plain = _keyed(docs, text, key)
+    return rows.join(repeated_spans(rows), "k", "left").select(F.col("k" if plain else "doc_id").alias("doc_id"), "text", "spans").mapInArrow(
         _cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
