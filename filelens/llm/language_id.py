@@ -23,6 +23,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,41 +70,59 @@ def _counted(batches):
             names=["lang", "kind", "gram", "n"])
 
 
+def _gram_hash(gram: str) -> int:
+    return xxhash.xxh3_64_intdigest(gram.encode("utf-8", "surrogatepass"))
+
+
 class Model:
-    """Log frequencies by gram kind (0: words; 1 to LONGEST: n-grams) and language."""
+    """Log frequencies by gram kind (0: words; 1 to LONGEST: n-grams) and language. Grams are held as sorted 64-bit hashes, so that a worker needs a
+    few bytes for each."""
 
     def __init__(self, counts):
         """counts: rows (lang, kind, gram, n)."""
         self.langs = sorted({r[0] for r in counts})
         at = {x: i for i, x in enumerate(self.langs)}
-        self.rows: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
+        self.rows: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]  # the grams themselves stay on the driver
+        rows = self.rows
         for _, kind, gram, _ in counts:
-            self.rows[kind].setdefault(gram, len(self.rows[kind]))
-        self.logs = []
+            rows[kind].setdefault(gram, len(rows[kind]))
+        self.keys, self.logs = [], []
         for kind in range(LONGEST + 1):
-            table = np.zeros((len(self.rows[kind]), len(self.langs)))
+            table = np.zeros((len(rows[kind]), len(self.langs)))
             for lang, k, gram, n in counts:
                 if k == kind:
-                    table[self.rows[kind][gram], at[lang]] += n
+                    table[rows[kind][gram], at[lang]] += n
             table = (table + 0.5) / (table.sum(axis=0) + 0.5 * (len(table) + 1))
-            self.logs.append(np.log(table).astype(np.float32))
+            keys = np.fromiter(map(_gram_hash, rows[kind]), dtype=np.uint64, count=len(rows[kind]))
+            order = np.argsort(keys)
+            self.keys.append(keys[order])
+            self.logs.append(np.log(table).astype(np.float32)[order])
         self.memo: dict[str, int] = {}
         self.known = np.zeros((1024, len(self.langs)), dtype=np.float32)
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("memo", "known")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("memo", "known", "rows")}
 
     def __setstate__(self, state):
         self.__dict__.update(state, memo={}, known=np.zeros((1024, len(state["langs"])), dtype=np.float32))
 
+    def _found(self, kind: int, found: list[str]) -> np.ndarray:
+        """Rows of the known ones of some grams."""
+        keys = self.keys[kind]
+        if not len(keys):
+            return np.zeros(0, dtype=np.int64)
+        h = np.fromiter(map(_gram_hash, found), dtype=np.uint64, count=len(found))
+        i = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+        return i[keys[i] == h]
+
     def word_scores(self, word: str) -> np.ndarray:
-        row = self.rows[0].get(word)
-        if row is not None:
-            return self.logs[0][row]
+        rows = self._found(0, [word])
+        if len(rows):
+            return self.logs[0][rows[0]]
         for n in range(LONGEST, 0, -1):
-            found = [r for g in grams(word, n) if (r := self.rows[n].get(g)) is not None]
-            if found:
-                return self.logs[n][found].mean(axis=0)
+            rows = self._found(n, grams(word, n))
+            if len(rows):
+                return self.logs[n][rows].mean(axis=0)
         return np.zeros(len(self.langs), dtype=np.float32)
 
     def _row(self, word: str) -> int:
