@@ -31,12 +31,19 @@ INVENTORY_COLUMNS = ["full_path", "name", "extension", "directory", "is_dir", "s
 
 
 def write_inventory(df: DataFrame, path: str, partitions: int | None = None, keep: list[str] | None = None,
-                    mode: str = "overwrite") -> str:
+                    mode: str = "overwrite", derive: bool = False) -> str:
+    """Stores ``df``. With ``derive``, name, directory and extension come from the path after the exchange: neither the sampling of the
+    ranges nor the exchange carries them (a folder's extension is '')."""
     spark = df.sparkSession
     n = partitions or max(1, spark.sparkContext.defaultParallelism)
     cols = [c for c in (keep or INVENTORY_COLUMNS) if c in df.columns]
-    (df.select(*cols).repartitionByRange(n, "full_path").sortWithinPartitions("full_path")
-       .write.mode(mode).parquet(path))
+    made = {"name", "directory", "extension"} if derive else set()
+    rows = df.select(*[c for c in cols if c not in made]).repartitionByRange(n, "full_path").sortWithinPartitions("full_path")
+    if derive:
+        extension = C.extension_of(C.file_name("full_path"))
+        rows = rows.withColumns({"name": C.file_name("full_path"), "directory": C.parent_directory("full_path"),
+                                 "extension": F.when(F.col("is_dir"), F.lit("")).otherwise(extension) if "is_dir" in cols else extension})
+    rows.select(*cols).write.mode(mode).parquet(path)
     return path
 
 

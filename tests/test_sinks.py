@@ -104,3 +104,12 @@ def test_unknown_times_are_neither_oldest_nor_newest(spark):
     assert got == {"largest": "/c", "smallest": "/a", "oldest": "/b", "newest": "/c"}
     assert [r["full_path"] for r in S.oldest(rows, 3).collect()] == ["/b", "/c", "/a"]
     assert [r["full_path"] for r in S.newest(rows, 3).collect()] == ["/c", "/b", "/a"]
+
+
+def test_derived_columns_are_those_of_the_listing(spark, sf_small, tmp_path):
+    from filelens import fixtures as X
+    inv = X.inv_orders(spark, sf_small)
+    for derive in (False, True):
+        IT.write_inventory(inv, f"{tmp_path}/{derive}", derive=derive)
+    a, b = (IT.read_inventory(spark, f"{tmp_path}/{d}") for d in (False, True))
+    assert a.columns == b.columns and a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
