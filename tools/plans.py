@@ -11,7 +11,7 @@ from filelens import catalog as K  # noqa: E402
 from filelens.session import get_session  # noqa: E402
 
 HEADLINE = ["duplicate_summary", "marked_duplicates", "median_size", "directory_sizes", "search_grid",
-            "extreme_files", "unsafe_groups", "staging_plan"]
+            "extreme_files", "unsafe_groups", "staging_plan", "duplicate_groups_fast", "subtree_totals"]
 
 
 def main() -> None:
