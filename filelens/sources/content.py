@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.common import materialize
 from ..operators.ranking import stored_pieces
 from ..schema import DIGEST_SCHEMA, PARTIAL_CHUNK, PARTIAL_THRESHOLD, TEXT_PREVIEW_CHARS, TEXT_PREVIEW_LIMIT
 from ..streaming.progress import Progress
@@ -112,17 +113,20 @@ def file_digests(candidates: DataFrame, mode: str = "accurate", chunk: int = PAR
     """
     extra = [c for c in PASS_THROUGH if c in candidates.columns]
     rows = candidates.select("full_path", "size", *extra)
+    made = {"chunk": chunk, "threshold": threshold} if mode == "fast" else {}
+    fields = [DIGEST_SCHEMA["full_path"], DIGEST_SCHEMA["size"]] + \
+        [candidates.schema[c] for c in extra] + [T.StructField("hash", T.StringType(), False, made), DIGEST_SCHEMA["error"]]
+    schema = T.StructType(fields)
     if partitions:
         spread = rows.repartition(partitions, F.xxhash64("full_path"))
-    elif mode == "fast":
+        return spread.mapInPandas(_digest_batches(mode, chunk, threshold, progress), schema)
+    rows = materialize(rows)  # narrow; read for the bytes and for the digests
+    if mode == "fast":
         read = F.when(F.col("size") >= threshold, F.least("size", F.lit(3 * chunk))).otherwise(F.col("size"))
         spread = byte_balanced(rows.withColumn("_read", read), task_bytes, "_read").drop("_read")
     else:
         spread = byte_balanced(rows, task_bytes)
-    made = {"chunk": chunk, "threshold": threshold} if mode == "fast" else {}
-    fields = [DIGEST_SCHEMA["full_path"], DIGEST_SCHEMA["size"]] + \
-        [candidates.schema[c] for c in extra] + [T.StructField("hash", T.StringType(), False, made), DIGEST_SCHEMA["error"]]
-    return spread.mapInPandas(_digest_batches(mode, chunk, threshold, progress), T.StructType(fields))
+    return spread.mapInPandas(_digest_batches(mode, chunk, threshold, progress), schema)
 
 
 _MARKS = [(codecs.BOM_UTF8, "utf-8"), (codecs.BOM_UTF32_LE, "utf-32-le"), (codecs.BOM_UTF32_BE, "utf-32-be"),
