@@ -8,7 +8,8 @@ differing digests of both sides are known exactly, and likeness is 2 x common /
 pair is sketched again, larger: independent parts of PART_CELLS cells with about ``PART_LOAD`` digests each; a part that gets stuck is
 sketched once more in RETRY_CELLS cells with new hashes; and pairs with a part that is still stuck go on to more and new parts.
 
-Plan: a document's neighbour needs only its first characters and digests, so texts pass one shuffle, on the id, and these another.
+Plan: a document's neighbour needs only its first characters and digests, so texts pass one shuffle, on the id, written once for both
+joins, and these another.
 Sketches, their difference and the peeling are expressions on a row's digest arrays: no row is multiplied and nothing is shuffled for
 them. Parts have a bounded size, so a long text is many small parts. Only rows with a stuck side are read again.
 
@@ -188,17 +189,18 @@ def op9(docs: DataFrame) -> DataFrame:
     ranked = materialize(rank_within(ids, [], ["doc_id", "th"], out="place"))
     total, rows = ranked.agg(F.count(F.lit(1)), F.sum("copies")).first()
     # to each document: who stands before it, and how many of its characters that one takes
-    before = ranked.select(((F.col("place") + 1) % F.lit(max(total, 1))).alias("place"), F.col("k").alias("prev_k"), F.col("th").alias("prev_th"),
-                           F.floor(F.col("n_chars") / 4).cast("int").alias("take"))
+    before = ranked.select(((F.col("place") + 1) % F.lit(max(total, 1))).alias("place"), F.col("doc_id").alias("prev_id"),
+                           F.col("k").alias("prev_k"), F.col("th").alias("prev_th"), F.floor(F.col("n_chars") / 4).cast("int").alias("take"))
     asks = ranked.select("place", *_KEY).join(before, "place").drop("place")
-    gives = base.join(asks.hint("merge"), _KEY).select(
-        F.col("prev_k").alias("k"), F.col("prev_th").alias("th"), F.substring("text", F.lit(1), F.col("take")).alias("head"),
-        paragraphs(F.col("text")).alias("next_units"))
+    texts = base.select("text", *_KEY)  # the same columns for both joins, so that their exchange is written once
+    gives = texts.join(asks.hint("merge"), _KEY).select(
+        F.col("prev_id").alias("doc_id"), F.col("prev_k").alias("k"), F.col("prev_th").alias("th"),
+        F.substring("text", F.lit(1), F.col("take")).alias("head"), paragraphs(F.col("text")).alias("next_units"))
     if rows != total:  # identical rows: one of them gives its head
         gives = gives.dropDuplicates(_KEY)
     n = F.char_length("text")
     edited = F.concat(F.substring("text", F.lit(1), n - F.floor(n / 4).cast("int")), F.col("head"))
-    state = base.join(gives.hint("merge"), _KEY).select(
+    state = texts.join(gives.hint("merge"), _KEY).select(
         "doc_id", n.cast("long").alias("n_chars"), F.sha2(F.encode(edited, "UTF-8"), 256).alias("edited_sha256"),
         paragraphs(F.col("text")).alias("units"), paragraphs(edited).alias("edited_units"), "next_units")
     sides = {"edited": "edited_units", "next": "next_units"}
