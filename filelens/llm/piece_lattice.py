@@ -293,8 +293,8 @@ class Lattice:
             self.searched[s] = self.search(s)
         return self.searched[s]
 
-    def encode_many(self, texts: list[str]) -> list[tuple[bytes, list[float]]]:
-        """Of each text the ids of the best segmentation (little-endian 32-bit) and the scores of the N best."""
+    def encode_many(self, texts: list[str]) -> list[tuple[bytes, list[float], list[bytes]]]:
+        """Of each text the ids of the best segmentation (little-endian 32-bit), the scores of the N best, and the ids of the others."""
         if len(self.memo) > MEMO_CUTS:  # rows are numbered in order: what came first is the most frequent part
             self.memo = dict(itertools.islice(self.memo.items(), MEMO_CUTS // 2))
             del self.best[MEMO_CUTS // 2:]
@@ -304,21 +304,29 @@ class Lattice:
             self._learn(missing[i:i + LEARN_CUTS])
         return [self._summed(c) for c in cuts]
 
-    def _summed(self, cuts: list[str]) -> tuple[bytes, list[float]]:
+    def _summed(self, cuts: list[str]) -> tuple[bytes, list[float], list[bytes]]:
         rows = list(map(self.memo.__getitem__, cuts))
         scores = self.scores.take(np.array(rows, dtype=np.int64), axis=0)
         best, loss = float(scores[:, 0].sum()), scores[:, 1]
         n = self.n_best
         near = np.argpartition(loss, n - 2)[:n - 1].tolist() if len(rows) >= n else range(len(rows))
+        parts = list(map(self.best.__getitem__, rows))
         choices = []
         for k in near:
             if np.isfinite(loss[k]):
                 got = self._n_best(cuts[k])
-                choices += [(got[0][0] - g[0], k, None) for g in got[1:]]
-        return b"".join(map(self.best.__getitem__, rows)), [best, *(best - x for x, _ in swaps_by_loss(choices, n))]
+                other = [(got[0][0] - g[0], k, array("i", g[1]).tobytes()) for g in got]
+                choices += [c for c in other if c[2] != parts[k]][:n - 1]  # of equals, the best kept may be another one
+        swaps = swaps_by_loss(choices, n)
+        return b"".join(parts), [best, *(best - x for x, _ in swaps)], [_swapped(parts, changed) for _, changed in swaps]
 
     def encode(self, text: str) -> tuple[bytes, list[float]]:
-        return self.encode_many([text])[0]
+        return self.encode_many([text])[0][:2]
+
+    def segmentations(self, text: str) -> list[tuple[float, list[int]]]:
+        """The N best (score, ids) of a text, best first."""
+        best, scores, others = self.encode_many([text])[0]
+        return [(x, np.frombuffer(ids, dtype="<i4").tolist()) for x, ids in zip(scores, [best, *others])]
 
     def decode(self, ids) -> str:
         return joined(self.surface, ids)
@@ -328,6 +336,19 @@ def prepared(text: str) -> str:
     return text.replace("\u2581", _OWN).replace(" ", "\u2581")
 
 
+def _swapped(parts: list[bytes], changed: list[tuple]) -> bytes:
+    """A segmentation that differs from the best one in a few cuts."""
+    out = parts.copy()
+    for _, k, ids in changed:
+        out[k] = ids
+    return b"".join(out)
+
+
+def _lists(raws: list[bytes]) -> pa.ListArray:
+    ends = np.cumsum([0, *(len(x) // 4 for x in raws)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(raws), dtype=np.int32)))
+
+
 def swaps_by_loss(choices: list[tuple], n: int) -> list[tuple[float, list]]:
     """The n - 1 cheapest non-empty sets of choices (loss, place, ...), at most one of each place, with their losses."""
     places: dict[int, list] = {}
@@ -357,24 +378,24 @@ def _encoded(path: str, n_best: int, decoded: bool):
                     total += len(texts[stop] or "")
                     stop += 1
                 got = lat.encode_many([t or "" for t in texts[start:stop]])
-                ends = np.cumsum([0, *(len(g[0]) // 4 for g in got)]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(g[0] for g in got), dtype=np.int32)))
-                cols = [*(c.slice(start, stop - start) for c in batch.columns), ids, pa.array([g[1] for g in got], pa.list_(pa.float64()))]
+                others = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(g[2]) for g in got)]).astype(np.int32)), _lists([x for g in got for x in g[2]]))
+                cols = [*(c.slice(start, stop - start) for c in batch.columns), _lists([g[0] for g in got]),
+                        pa.array([g[1] for g in got], pa.list_(pa.float64())), others]
                 if decoded:
-                    back = [joined(lat.surface, ids.values[i:j].to_pylist()) for i, j in zip(ends[:-1].tolist(), ends[1:].tolist())]
+                    back = [joined(lat.surface, np.frombuffer(g[0], dtype=np.int32).tolist()) for g in got]
                     cols.append(pa.array(back, pa.string()))
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text", "ids", "scores", "decoded"][:len(cols)])
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text", "ids", "scores", "others", "decoded"][:len(cols)])
                 start = stop
     return run
 
 
 def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", vocabulary: str | None = None, n_best: int = N_BEST,
            decoded: bool = False) -> DataFrame:
-    """doc_id, text, ids (best segmentation), scores (of the N best), and with ``decoded`` the text of the ids, decoded in the same pass
+    """doc_id, text, ids (best segmentation), scores (of the N best), others (ids of the second to the N-th best), and with ``decoded`` the text of the ids, decoded in the same pass
     (one Python worker a core, not two)."""
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(_encoded(vocabulary or vocabulary_path(), n_best, decoded),
-                           "doc_id long, text string, ids array<int>, scores array<double>" + ", decoded string" * decoded)
+                           "doc_id long, text string, ids array<int>, scores array<double>, others array<array<int>>" + ", decoded string" * decoded)
 
 
 def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -399,4 +420,5 @@ def op8(docs: DataFrame) -> DataFrame:
                       F.round(F.element_at("scores", 1), 6).alias("score"),
                       F.round(F.try_element_at("scores", F.lit(2)), 6).alias("second_score"),
                       F.size("scores").alias("n_best"), F.xxhash64("ids").alias("ids_hash"),
+                      F.xxhash64("others").alias("others_hash"),
                       (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
