@@ -20,6 +20,8 @@ order and are answered once each; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +33,7 @@ PART_CELLS, PART_LOAD, RETRY_CELLS = 16, 7, 48
 ROUNDS = 8  # of peeling; a table that needs more counts as stuck
 _CUT = r"\n+|(?<=[.!?])\x20+"
 _KEY = ["k", "th"]
+_STATE = [("left", "array<struct<cell:int,n:bigint,x:bigint,y:bigint>>"), ("plus", "array<bigint>"), ("minus", "array<bigint>")]
 
 
 def paragraphs(text: Column) -> Column:
@@ -40,10 +43,11 @@ def paragraphs(text: Column) -> Column:
 
 
 def _places(u, cells: int, salt: int) -> Column:
-    """A digest's cell in each region."""
+    """A digest's cell in each region, as bits of a number."""
     region, h = cells // HASHES, F.xxhash64(u, F.lit(salt))
-    return F.array(*[(F.lit(r * region) + F.pmod(F.shiftrightunsigned(h, 16 * r).bitwiseAND(F.lit(0xFFFF)), F.lit(region))).cast("int")
-                     for r in range(HASHES)])
+    bits = [F.call_function("shiftleft", F.lit(1 << r * region).cast("bigint"), F.pmod(
+        F.shiftrightunsigned(h, 16 * r).bitwiseAND(F.lit(0xFFFF)), F.lit(region)).cast("int")) for r in range(HASHES)]
+    return functools.reduce(lambda a, b: a.bitwiseOR(b), bits)
 
 
 def _check(u) -> Column:
@@ -59,10 +63,14 @@ def _filled(c: Column) -> Column:
     return (c["n"] != 0) | (c["x"] != 0) | (c["y"] != 0)
 
 
+def _lies_in(i: Column, c: Column) -> Column:
+    return F.getbit(i["at"], c) == 1
+
+
 def _cell(items: Column, c: Column) -> Column:
     """One cell of an array of (u, sign, c, at)."""
     zero = F.lit(0).cast("bigint")
-    return _let(F.filter(items, lambda i: F.array_contains(i["at"], c)), lambda mine: F.struct(
+    return _let(F.filter(items, lambda i: _lies_in(i, c)), lambda mine: F.struct(
         c.alias("cell"), F.aggregate(mine, zero, lambda a, i: a + i["sign"]).alias("n"),
         F.aggregate(mine, zero, lambda a, i: a.bitwiseXOR(i["u"])).alias("x"),
         F.aggregate(mine, zero, lambda a, i: a.bitwiseXOR(i["c"])).alias("y")))
@@ -94,19 +102,27 @@ def _peel(cells: Column, size: int, salt: int) -> Column:
 
     def without(c: Column, found: Column) -> Column:
         """The cell after the found digests that lie in it are taken out."""
-        return _let(F.filter(found, lambda p: F.array_contains(p["at"], c["cell"])), lambda mine: F.when(F.size(mine) == 0, c).otherwise(
+        return _let(F.filter(found, lambda p: _lies_in(p, c["cell"])), lambda mine: F.when(F.size(mine) == 0, c).otherwise(
             F.struct(c["cell"].alias("cell"),
                      F.aggregate(mine, c["n"], lambda a, p: a - p["n"]).alias("n"),
                      F.aggregate(mine, c["x"], lambda a, p: a.bitwiseXOR(p["x"])).alias("x"),
                      F.aggregate(mine, c["y"], lambda a, p: a.bitwiseXOR(p["y"])).alias("y"))))
 
+    def named(x: Column, n: int) -> Column:
+        return F.transform(x, lambda u: F.struct(u.alias("x"), F.lit(n).cast("bigint").alias("n"), _check(u).alias("y"),
+                                                 _places(u, size, salt).alias("at")))
+
+    def digests(p: Column, n: int) -> Column:
+        return F.array_distinct(F.transform(F.filter(p, lambda c: c["n"] == n), lambda c: c["x"]))
+
+    def taken(state: Column, f: Column) -> Column:
+        return _let(F.concat(named(f["plus"], 1), named(f["minus"], -1)), lambda found: F.struct(
+            F.filter(F.transform(state["left"], lambda c: without(c, found)), _filled).alias("left"),
+            F.concat(state["plus"], f["plus"]).alias("plus"), F.concat(state["minus"], f["minus"]).alias("minus")))
+
     def step(state: Column, _: Column) -> Column:
-        found = F.array_distinct(F.transform(F.filter(state["left"], pure), lambda c: F.struct(
-            c["x"].alias("x"), c["n"].alias("n"), c["y"].alias("y"), _places(c["x"], size, salt).alias("at"))))
-        return _let(found, lambda f: F.when(F.size(f) == 0, state).otherwise(F.struct(
-            F.filter(F.transform(state["left"], lambda c: without(c, f)), _filled).alias("left"),
-            F.concat(state["plus"], F.transform(F.filter(f, lambda p: p["n"] > 0), lambda p: p["x"])).alias("plus"),
-            F.concat(state["minus"], F.transform(F.filter(f, lambda p: p["n"] < 0), lambda p: p["x"])).alias("minus"))))
+        return _let(F.filter(state["left"], pure), lambda p: F.when(F.size(p) == 0, state).otherwise(_let(
+            F.struct(digests(p, 1).alias("plus"), digests(p, -1).alias("minus")), lambda f: taken(state, f))))
 
     none = F.array().cast("array<bigint>")
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)),
@@ -134,12 +150,15 @@ def attempt(a: Column, b: Column, n: int) -> Column:
     width = F.ceil(F.sqrt(parts)).cast("int")  # parts are found by way of groups of so many: linear times a root
 
     def numbered(u: Column, sign: int) -> Column:
-        return F.transform(u, lambda x: F.struct(x.alias("u"), F.lit(sign).alias("sign"), F.pmod(
-            F.xxhash64(x, F.lit(f"part{n}")), parts).cast("int").alias("part")))
+        return F.transform(u, lambda x: _let(F.pmod(F.xxhash64(x, F.lit(f"part{n}")), parts).cast("int"), lambda part: F.struct(
+            x.alias("u"), F.lit(sign).alias("sign"), F.floor(part / width).cast("int").alias("group"), F.pmod(part, width).alias("place"))))
+
+    def part(items: Column) -> Column:
+        return F.when(F.size(items) == 0, F.struct(*[F.array().cast(t).alias(c) for c, t in _STATE])).otherwise(_part(items, n))
 
     def group(all_: Column, g: Column) -> Column:
-        return _let(F.filter(all_, lambda i: F.floor(i["part"] / width) == g), lambda own: F.transform(
-            F.sequence(F.lit(0), width - 1), lambda q: _part(F.filter(own, lambda i: i["part"] == g * width + q), n)))
+        return _let(F.filter(all_, lambda i: i["group"] == g), lambda own: F.transform(
+            F.sequence(F.lit(0), width - 1), lambda q: _let(F.filter(own, lambda i: i["place"] == q), part)))
 
     found = _let(F.concat(numbered(a, 1), numbered(b, -1)), lambda all_: F.flatten(F.transform(
         F.sequence(F.lit(0), width - 1), lambda g: group(all_, g))))
